@@ -49,7 +49,7 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 def input_mb(df: DataFrame) -> float:
     """Catalyst's size estimate of a frame, in MB; for files that is their size on disk."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6
+    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
 
 
 def task_count(df: DataFrame, mb_per_task: float, least: int = 1) -> int:

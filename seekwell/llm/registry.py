@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from seekwell.llm.mixing import OP8_SQL, op8_mix_hash_threshold
+from seekwell.llm.packing import op5_best_fit_packing
+from seekwell.llm.quality import op10_quality_llr
 from seekwell.llm.simhash import op2_simhash_golay
 
 QUERIES = {
     "op2_simhash_golay": op2_simhash_golay,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_mix_hash_threshold": op8_mix_hash_threshold,
+    "op10_quality_llr": op10_quality_llr,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_mix_hash_threshold": OP8_SQL}
