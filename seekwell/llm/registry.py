@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from seekwell.llm.gif import op9_gif_media
 from seekwell.llm.mixing import OP8_SQL, op8_mix_hash_threshold
 from seekwell.llm.packing import op5_best_fit_packing
+from seekwell.llm.preferences import OP4_SQL, op4_preference_pairs
 from seekwell.llm.quality import op10_quality_llr
+from seekwell.llm.sharding import OP6_SQL, op6_extendible_shards
 from seekwell.llm.simhash import op2_simhash_golay
+from seekwell.llm.suffix_array import op1_suffix_array_dedup
+from seekwell.llm.urls import OP3_SQL, op3_bloom_cascade
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_simhash_golay": op2_simhash_golay,
+    "op3_bloom_cascade": op3_bloom_cascade,
+    "op4_preference_pairs": op4_preference_pairs,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_extendible_shards": op6_extendible_shards,
     "op8_mix_hash_threshold": op8_mix_hash_threshold,
+    "op9_gif_media": op9_gif_media,
     "op10_quality_llr": op10_quality_llr,
 }
 
-ORACLES: dict[str, str] = {"op8_mix_hash_threshold": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op3_bloom_cascade": OP3_SQL,
+    "op4_preference_pairs": OP4_SQL,
+    "op6_extendible_shards": OP6_SQL,
+    "op8_mix_hash_threshold": OP8_SQL,
+}
