@@ -10,6 +10,7 @@ from seekwell.llm.quality import op10_quality_llr
 from seekwell.llm.sharding import OP6_SQL, op6_extendible_shards
 from seekwell.llm.simhash import op2_simhash_golay
 from seekwell.llm.suffix_array import op1_suffix_array_dedup
+from seekwell.llm.suffix_automaton import op7_suffix_automaton_dedup
 from seekwell.llm.urls import OP3_SQL, op3_bloom_cascade
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_preference_pairs": op4_preference_pairs,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_extendible_shards": op6_extendible_shards,
+    "op7_suffix_automaton_dedup": op7_suffix_automaton_dedup,
     "op8_mix_hash_threshold": op8_mix_hash_threshold,
     "op9_gif_media": op9_gif_media,
     "op10_quality_llr": op10_quality_llr,
