@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seekwell.llm.common import read, written
+from seekwell.llm.mixing import mixture
+from seekwell.llm.packing import packed_documents
+from seekwell.llm.quality import kept_documents
 from seekwell.llm.simhash import first_of_each_group
+from seekwell.llm.suffix_array import deduplicated
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the likelihood ratio go."""
+    return kept_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +22,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return first_of_each_group(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 100 and more that an earlier place has are cut from the texts."""
+    return deduplicated(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that the sources meet their targets."""
+    return mixture(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, with their sequence and offset."""
+    return packed_documents(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("passages", passages),
+    ("mix", mix),
+    ("packing", packing),
+]
+#: SQL has neither the hash of the quality rules nor the tokenizer.
 ORACLE_SQL = None
 
 

@@ -105,6 +105,26 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _planned(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``taken`` to ``rows(source, size, h, ...)``.
+
+    The plan comes from ``known(source, size, h)``: the same rows, written before.
+    """
+    targets = written(source_targets(known))
+    few = targets.count() <= _BROADCAST_SOURCES
+    hint = F.broadcast if few else (lambda x: x)
+
+    def ranked(df: DataFrame, plan: DataFrame) -> DataFrame:
+        other = plan.withColumnRenamed("source", "_source")
+        return df.join(hint(other), df["source"].eqNullSafe(other["_source"])).drop("_source")
+
+    edges = thresholds(ranked(known, targets.select("source", "rank")).select("rank", "size", "h"), targets)
+    more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("with_edge"))
+    taken = F.col("size") * (F.col("times") + more.cast("int"))
+    out = ranked(rows, targets.join(edges, "rank")).withColumn("taken", taken.cast("long"))
+    return out.drop("rank", "times", "edge", "with_edge")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` to ``(doc_id, size, source_size, target, taken)``.
 
@@ -112,31 +132,20 @@ def mixed(docs: DataFrame) -> DataFrame:
     the number of words, zero for null. Null ids hash as the empty string; a null source is
     a source. ``taken`` is a multiple of the size, two at most; rows without words take 0.
     """
-    rows = written(docs.select("doc_id", "source", F.expr(_SIZE).cast("long").alias("size"), F.expr(_HASH).alias("h")))
-    targets = written(source_targets(rows))
-    small = targets.count() <= _BROADCAST_SOURCES
-    hint = F.broadcast if small else (lambda x: x)
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    named = rows.join(hint(targets.withColumnRenamed("source", "_source")), same).drop("_source")
-    edges = thresholds(named.select("rank", "size", "h"), targets)
-    more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("with_edge"))
-    return named.join(hint(edges), "rank").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("times") + more.cast("int"))).cast("long").alias("taken"),
-    )
+    sizes = docs.select("doc_id", "source", F.expr(_SIZE).cast("long").alias("size"), F.expr(_HASH).alias("h"))
+    rows = written(sizes)
+    return _planned(rows, rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The rows of the mix, each as often as it is taken, with the columns of ``docs``.
 
-    Rows without words are not taken.
+    Rows without words are not taken. Texts are not shuffled.
     """
-    found = mixed(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("taken div size").alias("_n")).distinct()
-    rows = docs.where(F.expr(_SIZE) > 0).join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_id", "_n", "_e")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select("source", F.expr(_SIZE).cast("long").alias("size"), F.expr(_HASH).alias("h"), row)
+    taken = _planned(rows, written(rows.drop("row"))).where("taken > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1, cast(taken div size AS int))"))).select("row.*")
 
 
 def op8_mix_hash_threshold(spark, sf_dir: str) -> DataFrame:

@@ -66,14 +66,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``(doc_id, k, fp)``: a row's key and fingerprint."""
+    """``docs(doc_id, text, ...)`` to ``(doc_id, k1, k2, fp)``: a row's key and fingerprint."""
 
     @F.pandas_udf("long")
     def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", simhash(F.col("text")).alias("fp"))
+    return docs.select("doc_id", doc_key().alias("k"), simhash(F.col("text")).alias("fp")).select("doc_id", "k.*", "fp")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -201,8 +201,16 @@ def near_links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(verify, "u long, v long")
 
 
+def _grouped(docs: DataFrame, shingle: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, k1, k2, fp)``, and each fingerprint's component ``(fp, component)``."""
+    marked = written(fingerprints(docs, shingle))
+    nodes = marked.select("fp").distinct()
+    parts = connected_components(near_links(nodes, most)).withColumnRenamed("node", "fp")
+    return marked, nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
-    """Fingerprint, component and number of directly equal rows of every document.
+    """Fingerprint and component of every document.
 
     ``docs(doc_id, text, ...)`` gives ``(doc_id, fingerprint, component_id)``, a row for each
     input row. A null or wordless text has fingerprint zero and links like any other. A
@@ -210,31 +218,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
     a component only (as null) if it has no other id. Repeated rows and ids are kept as they
     come. Other columns are ignored. An empty table gives an empty table.
     """
-    marked = written(fingerprints(docs, shingle))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(near_links(nodes.select("fp"), most))
-    # components are named by a fingerprint first; their smallest doc_id follows from the nodes
-    joined = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    names = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = written(joined.join(names, "component").select("fp", "component_id"))
+    marked, parts = _grouped(docs, shingle, most)
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).join(parts, "fp")
+    names = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = written(nodes.join(names, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
-    """Keep of each component the row with the smallest doc_id; columns stay as they are.
+    """Keep one row of each component, that with the smallest doc_id; columns stay as they are.
 
-    Of rows that repeat this id, the one with the smallest key stays. If all ids of a
-    component are null, one of its rows stays.
+    Null ids come last, and rows with equal ids go by a hash of the text. Of rows that
+    repeat id and text one stays.
     """
-    found = near_duplicates(docs, shingle, most).select("doc_id", "component_id")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.withColumn("_k", doc_key())
-    kept = rows.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).drop("_k")
+    marked, parts = _grouped(docs, shingle, most)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")
+    least = marked.groupBy("fp").agg(F.min(order).alias("first")).join(parts, "fp")
+    keep = written(least.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("k"))
+    kept = rows.select("row", "k.*").join(keep, ["k1", "k2"], "left_semi")
+    return kept.dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def op2_simhash_golay(spark, sf_dir: str) -> DataFrame:

@@ -14,11 +14,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.llm.common import read
-from seekwell.llm.repeats import Rule, byte_values, without_repeats
+from seekwell.llm.repeats import LAST_ID, Rule, byte_values, without_repeats
 
 LENGTH, GRAM = 100, 32
 _DIVERSE = -1
@@ -191,21 +192,20 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     def finish(text: str, spans: np.ndarray) -> tuple:
         raw = text.encode("utf-8", "surrogatepass")
-        return (_kept(raw, _whole_characters(raw, spans)).decode("utf-8", "surrogatepass"), text)
-
-    rest = [c for c in docs.columns if c != "text"]
-    kept = without_repeats(docs, byte_rule(length, gram), finish, "new_text string, old_text string")
-    key = F.xxhash64("doc_id", F.coalesce("old_text", F.lit(""))), F.xxhash64(F.lit(3), "old_text")
-    new = kept.select(*(k.alias(n) for k, n in zip(key, ("_k1", "_k2"), strict=True)), "new_text").dropDuplicates(["_k1", "_k2"])
-    old = docs.select(
-        *rest,
-        F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("_k1"),
-        F.xxhash64(F.lit(3), F.coalesce("text", F.lit(""))).alias("_k2"),
-    )
-    out = old.join(new, ["_k1", "_k2"]).withColumnRenamed("new_text", "text")
+        new = _kept(raw, _whole_characters(raw, spans)).decode("utf-8", "surrogatepass")
+        return new, int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).astype(np.int64))
+
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id")
+    new = without_repeats(docs, byte_rule(length, gram), finish, "_text string, _k long").select(id_, "_k", "_text")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"),
+        id_,
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k"),
+    ).join(new.dropDuplicates(["_id", "_k"]), ["_id", "_k"])
+    put = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+        put["n_chars"] = F.length("_text").cast(dict(docs.dtypes)["n_chars"])
+    return rows.select([put.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
