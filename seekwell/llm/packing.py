@@ -26,17 +26,38 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TOKENIZER = "word_bpe_49k.json"
-_CACHED = 200_000
+_CACHED = 250_000
+#: Words of a group of texts that are looked up together.
+_GROUP = 100_000
 #: White space that ``str.split`` or the tokenizer may see otherwise than space, tab and line ends.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SIGNS = ".,;:!?%$#&*|"
 _PLAIN = re.compile("[^ \t\n\r]+")
 
 
+class Generations:
+    """A table of about ``limit`` to twice as many entries; those not met for long are forgotten."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.known, self.older = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those not in the table; all others are in ``known`` then."""
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        new = keys - self.known.keys()
+        for k in new & self.older.keys():
+            self.known[k] = self.older[k]
+        return new - self.older.keys()
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never looks across it, so the ids of a text are
-    those of its parts between spaces, which are kept for the parts met before.
+    those of its parts between spaces. It lowers letters, and parts letters from signs, so
+    the ids of letters with signs behind are those of the small letters and of the signs.
+    What was met lately is kept; new parts of a group of texts are encoded in one line.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,24 +65,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.parts, self.plain = Generations(_CACHED), Generations(_CACHED)
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = _PLAIN.findall(text) if _ODD.search(text) else text.split()
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        missing = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(missing) > _CACHED:
-            known.clear()
-            missing = list(dict.fromkeys(parts))
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+        return next(self.each([text]))
+
+    def each(self, texts: list) -> Iterator[bytes]:
+        group, size = [], 0
+        for t in texts:
+            group.append((_PLAIN.findall(t) if _ODD.search(t) else t.split()) if t else [])
+            size += len(group[-1])
+            if size >= _GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
+        new = self.parts.missing(set().union(*group))
+        cut = {}
+        for p in new:
+            core = p.rstrip(_SIGNS)
+            if core.isalpha() and (core.isascii() or max(core) <= "\u024f"):
+                cut[p] = core.lower(), p[len(core) :]
+            else:
+                cut[p] = p, ""
+        self._learn(sorted(self.plain.missing({x for both in cut.values() for x in both if x})))
+        plain = self.plain.known
+        plain[""] = b""
+        known = self.parts.known
+        for p, (core, signs) in cut.items():
+            known[p] = plain[core] + plain[signs]
+        for parts in group:
+            yield b"".join([known[p] for p in parts])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts in one line, and cut its ids where a part's characters end."""
+        for at in range(0, len(parts), 10_000):
+            some = parts[at : at + 10_000]
+            line = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(line.ids, "<u4").tobytes()
+            starts = np.fromiter((a for a, _ in line.offsets), np.int64, len(line.offsets))
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
+            before = 0
+            for p, cut in zip(some, (4 * np.searchsorted(starts, ends)).tolist(), strict=True):
+                self.plain.known[p] = ids[before:cut]
+                before = cut
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -83,8 +131,8 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
         encode = Encoder(path or tokenizer_path())
         for pdf in parts:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(pdf["doc_id"], encode.each(pdf["text"].tolist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
