@@ -7,6 +7,7 @@ on ``doc_key`` whose right side has one row per key.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,11 +48,15 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *parts).alias("k2"))
 
 
-def input_mb(df: DataFrame) -> float:
-    """Catalyst's size estimate of a frame, in MB; for files that is their size on disk."""
-    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+def input_mb(docs: DataFrame) -> float:
+    """MB of ``docs(text, ...)``: what the files say, or else the sum of the texts."""
+    told = str(docs._jdf.queryExecution().optimizedPlan().stats())
+    found = re.search(r"sizeInBytes=([\d.E+]+) ([KMGTP]?i?B)\b", told)
+    if found:
+        return float(found[1]) * 1024 ** " KMGTP".index(found[2][:1].replace("B", " ")) / 1e6
+    return (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
 
 
-def task_count(df: DataFrame, mb_per_task: float, least: int = 1) -> int:
+def task_count(docs: DataFrame, mb_per_task: float, least: int = 1) -> int:
     """So many tasks that each gets about ``mb_per_task`` of the input, whatever its size."""
-    return max(least, int(input_mb(df) / mb_per_task) + 1)
+    return max(least, int(input_mb(docs) / mb_per_task) + 1)

@@ -169,11 +169,9 @@ def with_membership(
     salted = hashed.withColumn("_shard", F.pmod("k1", F.lit(shards))).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     copies = filters.select(F.col("shard").alias("_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"), "cascade")
 
-    def judge(rows: Iterator[pd.DataFrame], sent: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cascade = next((Cascade(bytes(pdf["cascade"].iloc[0])) for pdf in sent if len(pdf)), Cascade(struct.pack("<I", 0)))
-        for pdf in rows:
-            pdf[name] = cascade.listed(_pairs(pdf)) & pdf[key].notna().to_numpy()
-            yield pdf
+    def judge(rows: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        cascade = Cascade(bytes(sent["cascade"].iloc[0]) if len(sent) else struct.pack("<I", 0))
+        return rows.assign(**{name: cascade.listed(_pairs(rows)) & rows[key].notna().to_numpy()})
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in salted.dtypes) + f", `{name}` boolean"
     grouped = salted.groupBy("_shard", "_salt").cogroup(copies.groupBy("_shard", "_salt"))
