@@ -62,7 +62,7 @@ def ignored(path: str, rules: dict[str, list[str]]) -> bool:
             wanted, rule = rule.startswith("!"), rule.lstrip("!")
             folder, rule = rule.endswith("/"), rule.strip("/")
             below = parts[depth:]
-            names = ["/".join(below[:i]) for i in range(1, len(below) + folder * 0 + 1)][: len(below) - folder]
+            names = ["/".join(below[:i]) for i in range(1, len(below) + 1 - folder)]
             hit = any(
                 fnmatch.fnmatch(n if "/" in rule or line.startswith("/") else n.rsplit("/", 1)[-1], rule) for n in names
             )
