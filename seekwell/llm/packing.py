@@ -26,7 +26,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TOKENIZER = "word_bpe_49k.json"
-_CACHED = 250_000
+_CACHED = 400_000
 #: Words of a group of texts that are looked up together.
 _GROUP = 100_000
 #: White space that ``str.split`` or the tokenizer may see otherwise than space, tab and line ends.
@@ -41,14 +41,18 @@ class Generations:
     def __init__(self, limit: int) -> None:
         self.limit, self.known, self.older = limit, {}, {}
 
-    def missing(self, keys: set) -> set:
+    def missing(self, keys: set) -> list:
         """Those not in the table; all others are in ``known`` then."""
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
-        new = keys - self.known.keys()
-        for k in new & self.older.keys():
-            self.known[k] = self.older[k]
-        return new - self.older.keys()
+        known, older, new = self.known, self.older, []
+        for k in keys:
+            if k not in known:
+                if k in older:
+                    known[k] = older[k]
+                else:
+                    new.append(k)
+        return new
 
 
 class Encoder:
@@ -65,7 +69,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.plain = Generations(_CACHED), Generations(_CACHED)
+        self.parts, self.plain = Generations(_CACHED // 2), Generations(_CACHED)
 
     def __call__(self, text: str | None) -> bytes:
         return next(self.each([text]))
@@ -82,19 +86,19 @@ class Encoder:
 
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
         new = self.parts.missing(set().union(*group))
-        cut = {}
+        cores, signs = [], []
         for p in new:
             core = p.rstrip(_SIGNS)
             if core.isalpha() and (core.isascii() or max(core) <= "\u024f"):
-                cut[p] = core.lower(), p[len(core) :]
+                cores.append(core.lower())
+                signs.append(p[len(core) :])
             else:
-                cut[p] = p, ""
-        self._learn(sorted(self.plain.missing({x for both in cut.values() for x in both if x})))
-        plain = self.plain.known
-        plain[""] = b""
-        known = self.parts.known
-        for p, (core, signs) in cut.items():
-            known[p] = plain[core] + plain[signs]
+                cores.append(p)
+                signs.append("")
+        self._learn(self.plain.missing({*cores, *signs} - {""}))
+        plain, known = self.plain.known, self.parts.known
+        for p, core, sign in zip(new, cores, signs, strict=True):
+            known[p] = plain[core] + plain[sign] if sign else plain[core]
         for parts in group:
             yield b"".join([known[p] for p in parts])
 
