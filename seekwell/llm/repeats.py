@@ -83,24 +83,25 @@ def sliding(values: np.ndarray, n: int, pick: Callable = np.minimum) -> np.ndarr
 class Rule:
     """What repeats, and how it is compared.
 
-    ``symbols`` turns texts into one array of values and the documents' sizes. ``within``:
-    an earlier place in the same document counts too.
+    ``symbols`` turns encoded texts into one array of symbols, the number of each text, and
+    a function that gives the bytes of a range of symbols; ``parse`` turns such bytes into
+    symbols again. ``within``: an earlier place in the same document counts too.
     """
 
-    symbols: Callable[[list], tuple[np.ndarray, np.ndarray]]
+    symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]]
+    parse: Callable[[list[bytes]], list[np.ndarray]]
     values: Callable[[np.ndarray], np.ndarray]
-    dtype: str
     length: int
     gram: int
     within: bool
     compare: Callable = field(repr=False, default=None)
 
     def tiles(self, texts: list) -> Iterator[tuple]:
-        """Yields (first text, symbols, text of tile, start in text, place in symbols, windows, key, twice).
+        """Yields (first text, cut, text of tile, start in text, place in symbols, windows, key, twice).
 
         ``twice`` are keys whose gram may be in a tile more than once.
         """
-        for at, sym, sizes in self.chunks(texts):
+        for at, sym, sizes, cut in self.chunks(texts):
             n = len(sym) - self.length + 1
             if n < 1:
                 continue
@@ -129,14 +130,14 @@ class Rule:
                 worth = grams[anchors]
                 twice = worth[1:][(worth[1:] == worth[:-1]) & (np.diff(anchors) <= span)]
             text = np.searchsorted(ends, first, "right")
-            yield at, sym, text, first - (ends - sizes)[text], first, stop - first, keys[first], twice
+            yield at, cut, text, first - (ends - sizes)[text], first, stop - first, keys[first], twice
 
-    def chunks(self, texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def chunks(self, texts: list[str]) -> Iterator[tuple]:
         """Texts together, about ``_CHUNK`` characters at a time."""
         at, size, group = 0, 0, []
         for i, t in enumerate(texts):
-            group.append(t)
-            size += len(t) if t is not None else 0
+            group.append(t.encode("utf-8", "surrogatepass"))
+            size += len(group[-1])
             if size >= _CHUNK or i == len(texts) - 1:
                 yield at, *self.symbols(group)
                 at, size, group = i + 1, 0, []
@@ -181,10 +182,9 @@ def _repeated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(keys, blocks, more)
 
 
-_TILE_SCHEMA = (
-    "key long, digest long, tile binary, id long, start int, block int, twice boolean, "
-    "ids array<long>, k1s array<long>, starts array<int>"
-)
+_TILE_SCHEMA = "key long, digest long, tile binary, n int, id long, start int, block int, twice boolean, places binary"
+#: A tile's places in a block, packed.
+_PLACE = np.dtype([("id", "<i8"), ("start", "<i4"), ("k1", "<i8")])
 
 
 def _cut_tiles(rule: Rule, docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
@@ -193,25 +193,24 @@ def _cut_tiles(rule: Rule, docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataF
     if not len(docs) or not len(wanted):
         return pd.DataFrame({c: [] for c in names})
     keys = np.unique(wanted["key"].to_numpy(np.int64).view(np.uint64))
-    ids, k1s = docs["id"].to_numpy(np.int64), docs["k1"].to_numpy(np.int64)
+    ids, k1s = docs["id"].tolist(), docs["k1"].tolist()
     rows: dict[tuple, list] = {}
-    for at, sym, text, start, place, windows, key, twice in rule.tiles(docs["text"].tolist()):
+    for at, cut, text, start, place, windows, key, twice in rule.tiles(docs["text"].tolist()):
         there = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         pick = np.flatnonzero(keys[there] == key)
         again = np.isin(key[pick], twice) if len(twice) else np.zeros(len(pick), bool)
-        raw, size = sym.tobytes(), sym.itemsize
         stop = place[pick] + windows[pick] + rule.length - 1
         for k, a, b, t, s, w in zip(
             key[pick].view(np.int64).tolist(), place[pick].tolist(), stop.tolist(), (text[pick] + at).tolist(), start[pick].tolist(), again.tolist(), strict=True
         ):
-            found = rows.setdefault((k, raw[a * size : b * size]), [False, []])
+            found = rows.setdefault((k, cut(a, b)), [False, b - a, []])
             found[0] |= w
-            found[1].append((ids[t], s, k1s[t]))
+            found[2].append((ids[t], s, k1s[t]))
     block, out = int(docs["block"].iloc[0]), []
-    for (k, tile), (w, places) in rows.items():
+    for (k, tile), (w, n, places) in rows.items():
         places.sort()
         digest = xxhash.xxh64_intdigest(tile) - (1 << 63)
-        out.append((k, digest, tile, places[0][0], places[0][1], block, w, [p[0] for p in places], [p[2] for p in places], [p[1] for p in places]))
+        out.append((k, digest, tile, n, places[0][0], places[0][1], block, w, np.array(places, _PLACE).tobytes()))
     return pd.DataFrame(out, columns=names)
 
 
@@ -240,7 +239,7 @@ def _compared(rule: Rule, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
     """Tiles sorted by key, content and place, to the spans to remove."""
     out: list[tuple] = []
     tiles: dict[bytes, list] = {}  # of the key at hand: its first place, and the rows that have it
-    batch: list[tuple[np.ndarray, list]] = []
+    batch: list[tuple[bytes, list]] = []
     held, current = 0, None
 
     def spans() -> pd.DataFrame:
@@ -252,15 +251,16 @@ def _compared(rule: Rule, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
         nonlocal held
         if len(tiles) > 1 or any(t[2] for t in tiles.values()):
             for tile, info in tiles.items():
-                batch.append((np.frombuffer(tile, rule.dtype), info))
-                held += len(tile) // batch[-1][0].itemsize
+                batch.append((tile, info))
+                held += info[4]
         tiles.clear()
 
     def close_batch() -> None:
         nonlocal held
         if batch:
-            many = repeated_windows([t for t, _ in batch], rule)
-            rest = [b for b, m in zip(batch, many, strict=True) if m.any()]
+            parsed = rule.parse([t for t, _ in batch])
+            many = repeated_windows(parsed, rule)
+            rest = [(t, info) for t, (_, info), m in zip(parsed, batch, many, strict=True) if m.any()]
             if rest:
                 places = [(info[0], info[1] if rule.within else 0) for _, info in rest]
                 for i, at, n in rule.compare([t for t, _ in rest], places, rule.length):
@@ -269,22 +269,20 @@ def _compared(rule: Rule, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
         held = 0
 
     for pdf in parts:
-        size = np.dtype(rule.dtype).itemsize
-        for key, tile, block, twice, ids, k1s, starts in zip(
-            pdf["key"].tolist(), pdf["tile"], pdf["block"].tolist(), pdf["twice"].tolist(), pdf["ids"], pdf["k1s"], pdf["starts"], strict=True
+        for key, tile, n, block, twice, packed in zip(
+            pdf["key"].tolist(), pdf["tile"], pdf["n"].tolist(), pdf["block"].tolist(), pdf["twice"].tolist(), pdf["places"], strict=True
         ):
             if key != current:
                 close_key()
                 current = key
                 if held >= _BATCH:
                     close_batch()
-            tile = bytes(tile)
+            tile, places = bytes(tile), np.frombuffer(packed, _PLACE).tolist()
             info = tiles.get(tile)
             if info is None:
-                info = tiles[tile] = [int(ids[0]), int(starts[0]), False, []]
+                info = tiles[tile] = [*places[0][:2], False, [], n]
             info[2] |= twice
-            n = len(tile) // size
-            for id_, k1, start in zip(ids.tolist(), k1s.tolist(), starts.tolist(), strict=True):
+            for id_, start, k1 in places:
                 if id_ == info[0] and (start == info[1] or not rule.within):
                     info[3].append((block, id_, k1, start))
                 else:

@@ -11,7 +11,7 @@ left, and the interval of the longer one stands for it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -133,13 +133,17 @@ def later_repeats(tiles: list[np.ndarray], firsts: list[tuple], least: int) -> I
                 yield own[0][i], own[1][i], length
 
 
-def _bytes_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+def _bytes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
+    raw = b"".join(texts)
+    return np.frombuffer(raw, np.uint8), np.array([len(t) for t in texts]), lambda a, b: raw[a:b]
+
+
+def _parsed(tiles: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.uint8) for t in tiles]
 
 
 def byte_rule(length: int = LENGTH, gram: int = GRAM) -> Rule:
-    return Rule(_bytes_of, lambda sym: byte_values()[sym], "u1", length, gram, True, later_repeats)
+    return Rule(_bytes_of, _parsed, lambda sym: byte_values()[sym], length, gram, True, later_repeats)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -11,7 +11,7 @@ each word, cut back to a window's length, tells the first document of the window
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -117,32 +117,35 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def _words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and how many each text has.
+def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
+    """Hashes of the words of all texts, how many each text has, and the bytes of a range of words.
 
     A word's hash is a polynomial of its bytes' random values, taken from a running sum.
     """
-    raw = np.frombuffer(b"".join(t.encode("utf-8", "surrogatepass") + b" " for t in texts), np.uint8)
-    text_ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts]) if texts else np.zeros(0, int)
-    blank = _BLANK[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).view(np.int8)))
+    joined = b" ".join([*texts, b""])
+    raw = np.frombuffer(joined, np.uint8)
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    powers = np.full(len(raw) + 1, _ODD)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    inverse = np.full(len(raw) + 1, _INVERSE)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
+    powers, inverse = (np.full(len(raw) + 1, x) for x in (_ODD, _INVERSE))
+    for x in (powers, inverse):
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(byte_values()[raw] * powers[:-1], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * inverse[starts]
     hashes ^= hashes >> np.uint64(31)
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, text_ends)]))
-    return hashes, counts
+    return hashes, counts, lambda a, b: joined[starts[a] : ends[b - 1]]
+
+
+def _parsed(tiles: list[bytes]) -> list[np.ndarray]:
+    hashes, counts, _ = _words_of(tiles)
+    return np.split(hashes, np.cumsum(counts)[:-1])
 
 
 def word_rule(length: int = LENGTH, gram: int = GRAM) -> Rule:
-    return Rule(_words_of, lambda sym: sym, "u8", length, gram, False, earlier_windows)
+    return Rule(_words_of, _parsed, lambda sym: sym, length, gram, False, earlier_windows)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
