@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from seekwell.llm import quality
+from seekwell.llm import common, quality
 
 
 def texts(spark, rows):
@@ -31,3 +31,9 @@ def test_only_trusted_documents_that_pass_the_base_rules_set_the_threshold(spark
         own = np.bincount(np.concatenate([grams[j] for j in ids if half[j] != half[i]]), minlength=quality.BUCKETS)
         held_out.append(np.mean([math.log((own[g] + quality.BUCKETS * p[g]) / (own.sum() + quality.BUCKETS) / p[g]) for g in grams[i]]))
     assert quality.fit(docs, labels(ids))[1] == pytest.approx(np.quantile(held_out, quality.QUANTILE), abs=1e-5)
+
+
+def test_input_is_counted_in_text_not_in_files(spark, tmp_path):
+    path = str(tmp_path / "copies")
+    texts(spark, [(i, "copied text " * 200) for i in range(2000)]).coalesce(1).write.parquet(path)
+    assert common.input_mb(spark.read.parquet(path)) == pytest.approx(4.8)
