@@ -8,7 +8,7 @@ from seekwell.llm.common import read, written
 from seekwell.llm.mixing import mixture
 from seekwell.llm.packing import packed_documents
 from seekwell.llm.quality import kept_documents
-from seekwell.llm.simhash import first_of_each_group
+from seekwell.llm.similar import first_of_each_similar
 from seekwell.llm.suffix_array import deduplicated
 
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest id."""
-    return first_of_each_group(docs)
+    return first_of_each_similar(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,7 +233,11 @@ def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX
     Null ids come last, and rows with equal ids go by a hash of the text. Of rows that
     repeat id and text one stays.
     """
-    marked, parts = _grouped(docs, shingle, most)
+    return first_of_components(docs, *_grouped(docs, shingle, most))
+
+
+def first_of_components(docs: DataFrame, marked: DataFrame, parts: DataFrame) -> DataFrame:
+    """The first row of each component, by rows ``(doc_id, k1, k2, fp)`` and parts ``(fp, component)``."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")
     least = marked.groupBy("fp").agg(F.min(order).alias("first")).join(parts, "fp")
     keep = written(least.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2"))

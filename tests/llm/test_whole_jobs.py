@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from seekwell.llm import common, quality
+from seekwell.llm import common, quality, similar
 
 
 def texts(spark, rows):
@@ -37,3 +37,38 @@ def test_input_is_counted_in_text_not_in_files(spark, tmp_path):
     path = str(tmp_path / "copies")
     texts(spark, [(i, "copied text " * 200) for i in range(2000)]).coalesce(1).write.parquet(path)
     assert common.input_mb(spark.read.parquet(path)) == pytest.approx(4.8)
+
+
+def test_edited_copies_go_and_less_similar_texts_stay(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    line = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows, at = [], 0
+    for _ in range(60):
+        base = line(200)
+        for edits in (0, 2, 3, 6):
+            text = list(base)
+            for k in r.sample(range(200), edits):
+                text[k] = f"z{at}-{k}"
+            rows.append((at, " ".join(text)))
+            at += 1
+    base = line(150)  # a large group
+    for k in range(80):
+        rows.append((at + k, " ".join([*base[: k + 5], f"q{k}", *base[k + 6 :]])))
+    rows += [(5000, rows[0][1]), (5001, None), (5002, ""), (None, rows[4][1])]
+    sets = [set(zip(*[(t or "").split()[i:] for i in range(5)], strict=False)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = corpus_pipeline.near_duplicates(spark, texts(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(rows[i][0] for i in range(len(rows)) if root[i] == i)
