@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,42 +27,31 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TOKENIZER = "word_bpe_49k.json"
-_CACHED = 400_000
-#: Words of a group of texts that are looked up together.
+#: Parts kept by a worker: between this many and twice as many.
+_CACHED = 300_000
+#: Parts of a group of texts that are looked up together.
 _GROUP = 100_000
 #: White space that ``str.split`` or the tokenizer may see otherwise than space, tab and line ends.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SIGNS = ".,;:!?%$#&*|"
 _PLAIN = re.compile("[^ \t\n\r]+")
+#: Letters whose small form is one letter of this range again, and signs that never join them.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#&*|]*)")
 
 
-class Generations:
-    """A table of about ``limit`` to twice as many entries; those not met for long are forgotten."""
-
-    def __init__(self, limit: int) -> None:
-        self.limit, self.known, self.older = limit, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Those not in the table; all others are in ``known`` then."""
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for k in keys:
-            if k not in known:
-                if k in older:
-                    known[k] = older[k]
-                else:
-                    new.append(k)
-        return new
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never looks across it, so the ids of a text are
-    those of its parts between spaces. It lowers letters, and parts letters from signs, so
-    the ids of letters with signs behind are those of the small letters and of the signs.
-    What was met lately is kept; new parts of a group of texts are encoded in one line.
+    those of its parts between spaces. It lowers letters and parts them from signs, so a part
+    of simple letters with signs behind has the ids of one word of the model and of the signs.
+    All other parts go through the whole tokenizer. Parts met lately are kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,7 +59,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.plain = Generations(_CACHED // 2), Generations(_CACHED)
+        self.word = self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
 
     def __call__(self, text: str | None) -> bytes:
         return next(self.each([text]))
@@ -85,35 +80,41 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        new = self.parts.missing(set().union(*group))
-        cores, signs = [], []
-        for p in new:
-            core = p.rstrip(_SIGNS)
-            if core.isalpha() and (core.isascii() or max(core) <= "\u024f"):
-                cores.append(core.lower())
-                signs.append(p[len(core) :])
-            else:
-                cores.append(p)
-                signs.append("")
-        self._learn(self.plain.missing({*cores, *signs} - {""}))
-        plain, known = self.plain.known, self.parts.known
-        for p, core, sign in zip(new, cores, signs, strict=True):
-            known[p] = plain[core] + plain[sign] if sign else plain[core]
+        if len(self.known) > _CACHED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for p in set().union(*group).difference(known):
+            ids = older.get(p)
+            known[p] = self._part(p) if ids is None else ids
+        find = known.__getitem__
         for parts in group:
-            yield b"".join([known[p] for p in parts])
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts in one line, and cut its ids where a part's characters end."""
-        for at in range(0, len(parts), 10_000):
-            some = parts[at : at + 10_000]
-            line = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(line.ids, "<u4").tobytes()
-            starts = np.fromiter((a for a, _ in line.offsets), np.int64, len(line.offsets))
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
-            before = 0
-            for p, cut in zip(some, (4 * np.searchsorted(starts, ends)).tolist(), strict=True):
-                self.plain.known[p] = ids[before:cut]
-                before = cut
+            yield b"".join(map(find, parts))
+
+    def _part(self, part: str) -> bytes:
+        simple = _SIMPLE.fullmatch(part)
+        if not simple:
+            return self._whole(part)
+        word, sign = simple.groups()
+        word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = self.signs.get(sign)
+        if ids is None:
+            if len(self.signs) > _CACHED // 10:
+                self.signs = {"": b""}
+            ids = self.signs[sign] = self._whole(sign)
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.word(word)]) + ids
+
+    def _whole(self, part: str) -> bytes:
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[i] for i in self.tokenizer.encode(part, add_special_tokens=False).ids])
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, so that they share what it has met."""
+    return Encoder(path)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -132,7 +133,7 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(path or tokenizer_path())
+        encode = encoder(path or tokenizer_path())
         for pdf in parts:
             rows = []
             for doc_id, ids in zip(pdf["doc_id"], encode.each(pdf["text"].tolist()), strict=True):

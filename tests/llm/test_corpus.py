@@ -195,6 +195,33 @@ def test_open_bins_are_bounded_and_fullest_closes_first():
     assert bins.place(10)[1] == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """Random texts over signs, scripts, marks, odd spaces and special tokens."""
+    from tokenizers import Tokenizer
+
+    whole, encode, r = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path()), np.random.default_rng(6)
+    pools = [
+        [chr(c) for c in range(32, 127)],
+        list("aAbBzZ.,;:!?%$#&*|'’<>|"),
+        [chr(c) for c in range(0x80, 0x250)],
+        list("İıſßŉǰΣςσΐßÅ\u030a\u0307\u0300\u0301\u0302 "),
+        list("  \t\n\r\x0b\x0c\x1c\x85\xa0\u3000"),
+        ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", "a", "I"],
+        [chr(c) for c in range(0x250, 0x3000)],
+        [chr(c) for c in [*range(0x3000, 0xD800, 7), *range(0xE000, 0x11000, 11), *range(0x1D400, 0x1D800)]],
+    ]
+    texts = ["DİYARBAKIR, İ.", "Mİ? Sİ. ALİ,"]
+    for _ in range(100_000):
+        some = [pools[k] for k in r.choice(len(pools), r.integers(1, 4), replace=False)]
+        texts.append("".join(p[r.integers(len(p))] for p in (some[r.integers(len(some))] for _ in range(r.integers(1, 15)))))
+    wrong = [
+        t
+        for t, got in zip(texts, encode.each(texts), strict=True)
+        if got != np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    ]
+    assert wrong == []
+
+
 def test_packing_fills_well():
     r = np.random.default_rng(1)
     bins, lengths = packing.BestFit(4096, packing.OPEN_BINS), r.integers(1, 4097, 30_000)
