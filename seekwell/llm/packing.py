@@ -28,7 +28,7 @@ END_ID = 1
 OPEN_BINS = 1024
 TOKENIZER = "word_bpe_49k.json"
 #: Parts kept by a worker: between this many and twice as many.
-_CACHED = 300_000
+_CACHED = 600_000
 #: Parts of a group of texts that are looked up together.
 _GROUP = 100_000
 #: White space that ``str.split`` or the tokenizer may see otherwise than space, tab and line ends.

@@ -6,21 +6,23 @@ with the same key make a tile, about a third as long again as a window. Five ste
 shuffle of far less than the text but for the first:
 
 1. Documents are dealt into blocks by hash. This exchange is used three times.
-2. Each block sends each of its keys once. Sorted by key, those that two blocks have, or
-   that a block has twice, go back to their blocks.
-3. Blocks cut the tiles of those keys. Equal tiles of a block make one row.
-4. Tiles meet by key, sorted by content and then by place. Of equal tiles, all but the
-   first can be removed whole, and are sent back as they stream by. Different tiles of a
-   key are compared by ``compare``, which finds what the first of each tile shares with an
-   earlier place.
-5. Blocks remove what came back.
-
-A task of step 4 keeps the different tiles of one key at a time, a row a block at most for
-equal ones, so thousands of copies of a passage cost it one tile.
+2. Each block sends each of its keys once. Those that two blocks have, or that a block has
+   twice, go back to their blocks, with a level: 0, or how often a key that very many tiles
+   have must be split. A split adds the smallest gram under another hash to the key.
+3. Blocks cut the tiles of those keys. Equal tiles of a block make one row, with their first
+   place and whether there are others.
+4. Tiles meet by key, and each different one is taken once, with a weight for its copies.
+   ``compare`` finds what each has in common with an earlier place, copies included; nothing
+   else decides. Its verdicts go to the blocks that have the tile.
+5. Blocks find the tiles again and remove what the verdicts say.
+
+So a block sends one row for a passage, however many of its documents have it, and a task of
+step 4 holds the different tiles of a key, which splitting keeps few.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,17 +30,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seekwell.llm.common import task_count
 
 #: Rows without an id come after all others.
 LAST_ID = (1 << 63) - 1
-BLOCK_MB = 8
+BLOCK_MB = 6
+#: Tiles of a key, counted in each block, above which it is split.
+HOT = 2000
+_MOST_LEVELS = 16
+_MOST_WINDOWS = 512
 _CHUNK = 1 << 20
 _BATCH = 300_000
-_SPAN_SCHEMA = "block int, id long, k1 long, start int, n int"
+_NO_HASHES = np.zeros(0, np.uint64)
 
 
 @lru_cache(1)
@@ -47,6 +54,7 @@ def byte_values() -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i]), 99) for i in range(256)), np.uint64)
 
 
+@lru_cache(256)
 def _mix(level: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(bytes([level]), 7) | 1)
 
@@ -79,38 +87,81 @@ def sliding(values: np.ndarray, n: int, pick: Callable = np.minimum) -> np.ndarr
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + size) one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+@dataclass
+class Tiles:
+    """Tiles of a group of texts, an array entry each."""
+
+    cut: Callable[[int, int], bytes]
+    text: np.ndarray
+    start: np.ndarray
+    place: np.ndarray
+    windows: np.ndarray
+    key: np.ndarray
+    base: np.ndarray
+    #: Unsplit keys whose gram may be in a tile more than once.
+    twice: np.ndarray
+
+    def pick(self, keys: np.ndarray) -> np.ndarray:
+        """Which tiles have one of the keys, which are sorted."""
+        there = np.minimum(np.searchsorted(keys, self.base), len(keys) - 1)
+        return np.flatnonzero(keys[there] == self.base)
+
+
 @dataclass
 class Rule:
     """What repeats, and how it is compared.
 
-    ``symbols`` turns encoded texts into one array of symbols, the number of each text, and
-    a function that gives the bytes of a range of symbols; ``parse`` turns such bytes into
-    symbols again. ``within``: an earlier place in the same document counts too.
+    ``segments`` cuts an encoded text into parts for counting and comparing, each with the
+    number of its first symbol; a part ends with the first ``length`` - 1 symbols of the next.
+    ``symbols`` turns such parts into one array of symbols, the number of each part, and a
+    function that gives the bytes of a range of symbols; ``parse`` turns such bytes into
+    symbols again. ``within``: an earlier place in the same document counts too. A text under
+    ``shortest`` bytes has no window.
     """
 
+    segments: Callable[[bytes, int], Iterator[tuple[int, bytes]]]
     symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]]
     parse: Callable[[list[bytes]], list[np.ndarray]]
     values: Callable[[np.ndarray], np.ndarray]
     length: int
     gram: int
     within: bool
+    shortest: int
     compare: Callable = field(repr=False, default=None)
+    groups: Callable = field(repr=False, default=None)
 
-    def tiles(self, texts: list) -> Iterator[tuple]:
-        """Yields (first text, cut, text of tile, start in text, place in symbols, windows, key, twice).
-
-        ``twice`` are keys whose gram may be in a tile more than once.
-        """
-        for at, sym, sizes, cut in self.chunks(texts):
+    def chunks(self, texts: list[str]) -> Iterator[tuple]:
+        """Segments together, about ``_CHUNK`` bytes at a time; none is much longer."""
+        texts_of, firsts, group, size = [], [], [], 0
+        for i, t in enumerate(texts):
+            for first, part in self.segments(t.encode("utf-8", "surrogatepass"), _CHUNK):
+                texts_of.append(i)
+                firsts.append(first)
+                group.append(part)
+                size += len(part)
+                if size >= _CHUNK:
+                    yield np.array(texts_of), np.array(firsts), *self.symbols(group)
+                    texts_of, firsts, group, size = [], [], [], 0
+        if group:
+            yield np.array(texts_of), np.array(firsts), *self.symbols(group)
+
+    def tiles(self, texts: list, hot: tuple[np.ndarray, np.ndarray] = (_NO_HASHES, _NO_HASHES)) -> Iterator[Tiles]:
+        """Tiles of texts; ``hot`` has the keys to split, sorted, and their levels."""
+        span = self.length - self.gram + 1
+        for texts_of, firsts, sym, sizes, cut in self.chunks(texts):
             n = len(sym) - self.length + 1
             if n < 1:
                 continue
             grams = gram_hashes(self.values(sym), self.gram)[: len(sym) - self.gram + 1]
-            span = self.length - self.gram + 1
             keys = sliding(grams, span)
             ends = np.cumsum(sizes)
             good = np.ones(n, bool)
-            for back in range(1, self.length):  # windows that would reach into the next text
+            for back in range(1, self.length):  # windows that would reach into the next part
                 pos = ends[:-1] - back
                 good[pos[(pos >= 0) & (pos < n)]] = False
             new = good.copy()
@@ -123,175 +174,206 @@ class Rule:
             if len(gaps):
                 nxt = np.searchsorted(gaps, first)
                 stop = np.minimum(stop, np.where(nxt < len(gaps), gaps[np.minimum(nxt, len(gaps) - 1)], n))
-            twice = np.zeros(0, np.uint64)
+            windows = stop - first
+            if windows.max() > _MOST_WINDOWS:
+                parts = -(-windows // _MOST_WINDOWS)
+                nth = _ranges(np.zeros(len(parts), np.int64), parts) * _MOST_WINDOWS
+                first = np.repeat(first, parts) + nth
+                windows = np.minimum(np.repeat(windows, parts) - nth, _MOST_WINDOWS)
+            twice = _NO_HASHES
             if self.within:
                 padded = np.concatenate([np.zeros(span - 1, np.uint64), keys, np.zeros(span - 1, np.uint64)])
                 anchors = np.flatnonzero(grams == sliding(padded, span, np.maximum))
                 worth = grams[anchors]
                 twice = worth[1:][(worth[1:] == worth[:-1]) & (np.diff(anchors) <= span)]
-            text = np.searchsorted(ends, first, "right")
-            yield at, cut, text, first - (ends - sizes)[text], first, stop - first, keys[first], twice
-
-    def chunks(self, texts: list[str]) -> Iterator[tuple]:
-        """Texts together, about ``_CHUNK`` characters at a time."""
-        at, size, group = 0, 0, []
-        for i, t in enumerate(texts):
-            group.append(t.encode("utf-8", "surrogatepass"))
-            size += len(group[-1])
-            if size >= _CHUNK or i == len(texts) - 1:
-                yield at, *self.symbols(group)
-                at, size, group = i + 1, 0, []
+            base = key = keys[first]
+            if len(hot[0]):
+                first, windows, key, base = self._split(grams, first, windows, key, *hot)
+            part = np.searchsorted(ends, first, "right")
+            start = first - (ends - sizes)[part] + firsts[part]
+            yield Tiles(cut, texts_of[part], start, first, windows, key, base, twice)
+
+    def _split(self, grams: np.ndarray, first: np.ndarray, windows: np.ndarray, key: np.ndarray, hot: np.ndarray, levels: np.ndarray) -> tuple:
+        """Tiles with those of hot keys cut where the smallest gram under one more hash changes."""
+        there = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        is_hot = hot[there] == key
+        if not is_hot.any():
+            return first, windows, key, key
+        span = self.length - self.gram + 1
+        at, many, level = first[is_hot], windows[is_hot], levels[there[is_hot]]
+        some = grams[_ranges(at, many + span - 1)]
+        begin = np.cumsum(many + span - 1) - (many + span - 1)
+        pick, place = _ranges(begin, many), _ranges(at, many)
+        own, level = np.repeat(key[is_hot], many), np.repeat(level, many)
+        fine = own.copy()
+        for j in range(1, int(level.max()) + 1):
+            least = sliding(some * _mix(100 + j), span)[pick]
+            fine = np.where(level >= j, (fine ^ least) * _mix(80), fine)
+        edge = np.ones(len(fine), bool)
+        edge[1:] = (fine[1:] != fine[:-1]) | (place[1:] != place[:-1] + 1) | (own[1:] != own[:-1])
+        cuts = np.flatnonzero(edge)
+        sized = np.diff(np.concatenate([cuts, [len(fine)]]))
+        rest = ~is_hot
+        both = lambda a, b: np.concatenate([a[rest], b])
+        return both(first, place[cuts]), both(windows, sized), both(key, fine[cuts]), both(key, own[cuts])
 
 
 def _keys(rule: Rule, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block's keys, and whether one alone is worth comparing."""
-    found = [(k, t) for *_, k, t in rule.tiles(pdf["text"].tolist())]
+    """A block's keys, how many tiles have each, and whether it is worth comparing alone."""
+    found = [(t.key, t.twice) for t in rule.tiles(pdf["text"].tolist())]
     if not found:
-        return pd.DataFrame({"key": np.zeros(0, np.int64), "block": np.zeros(0, np.int32), "more": np.zeros(0, bool)})
+        return pd.DataFrame({"key": np.zeros(0, np.int64), "block": np.zeros(0, np.int32), "n": np.zeros(0, np.int32), "more": np.zeros(0, bool)})
     keys, counts = np.unique(np.concatenate([k for k, _ in found]), return_counts=True)
     more = (counts > 1) | np.isin(keys, np.concatenate([t for _, t in found]))
-    return pd.DataFrame({"key": keys.view(np.int64), "block": np.int32(pdf["block"].iloc[0]), "more": more})
+    return pd.DataFrame({"key": keys.view(np.int64), "block": np.int32(pdf["block"].iloc[0]), "n": counts.astype(np.int32), "more": more})
 
 
-def _repeated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by key, those whose key has another row, or is worth comparing alone."""
-    keys, blocks, more = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+_TILE_SCHEMA = "key long, digest long, tile binary, id long, start int, block int, alone boolean, twice boolean, base long, level int"
+_VERDICT_SCHEMA = "block int, key long, digest long, id long, start int, copies boolean, spans binary, base long, level int"
+_TILE_NAMES, _VERDICT_NAMES = ([c.split()[0] for c in s.split(", ")] for s in (_TILE_SCHEMA, _VERDICT_SCHEMA))
 
-    def out(keys: np.ndarray, blocks: np.ndarray, more: np.ndarray) -> pd.DataFrame:
-        same = keys[1:] == keys[:-1]
-        keep = more.copy()
-        keep[1:] |= same
-        keep[:-1] |= same
-        return pd.DataFrame({"block": blocks[keep], "key": keys[keep]})
 
-    for pdf in parts:
-        if not len(pdf):
-            continue
-        keys, blocks, more = (
-            np.concatenate([a, pdf[c].to_numpy(a.dtype)]) for a, c in ((keys, "key"), (blocks, "block"), (more, "more"))
-        )
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield out(keys[:cut], blocks[:cut], more[:cut])
-            keys, blocks, more = keys[cut:], blocks[cut:], more[cut:]
-        elif len(keys) > 2:  # of a key in very many blocks, what is known to be repeated goes on at once
-            more[:] = True
-            yield out(keys[:-1], blocks[:-1], more[:-1])
-            keys, blocks, more = keys[-1:], blocks[-1:], more[-1:]
-    if len(keys):
-        yield out(keys, blocks, more)
-
-
-_TILE_SCHEMA = "key long, digest long, tile binary, n int, id long, start int, block int, twice boolean, places binary"
-#: A tile's places in a block, packed.
-_PLACE = np.dtype([("id", "<i8"), ("start", "<i4"), ("k1", "<i8")])
+def _hot(rows: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with a level, and their levels."""
+    hot = rows.loc[rows["level"] > 0, [key, "level"]].drop_duplicates()
+    keys = hot[key].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], hot["level"].to_numpy(np.int64)[order]
+
+
+def _digest(tile: bytes) -> int:
+    return xxhash.xxh64_intdigest(tile) - (1 << 63)
 
 
 def _cut_tiles(rule: Rule, docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-    """A block's tiles of the wanted keys, a row for each content, its first place and all others."""
-    names = [c.split()[0] for c in _TILE_SCHEMA.split(", ")]
+    """A block's tiles of the wanted keys, a row for each content."""
     if not len(docs) or not len(wanted):
-        return pd.DataFrame({c: [] for c in names})
+        return pd.DataFrame({c: [] for c in _TILE_NAMES})
     keys = np.unique(wanted["key"].to_numpy(np.int64).view(np.uint64))
-    ids, k1s = docs["id"].tolist(), docs["k1"].tolist()
+    hot = _hot(wanted, "key")
+    ids = docs["id"].tolist()
     rows: dict[tuple, list] = {}
-    for at, cut, text, start, place, windows, key, twice in rule.tiles(docs["text"].tolist()):
-        there = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        pick = np.flatnonzero(keys[there] == key)
-        again = np.isin(key[pick], twice) if len(twice) else np.zeros(len(pick), bool)
-        stop = place[pick] + windows[pick] + rule.length - 1
-        for k, a, b, t, s, w in zip(
-            key[pick].view(np.int64).tolist(), place[pick].tolist(), stop.tolist(), (text[pick] + at).tolist(), start[pick].tolist(), again.tolist(), strict=True
-        ):
-            found = rows.setdefault((k, cut(a, b)), [False, b - a, []])
-            found[0] |= w
-            found[2].append((ids[t], s, k1s[t]))
-    block, out = int(docs["block"].iloc[0]), []
-    for (k, tile), (w, n, places) in rows.items():
-        places.sort()
-        digest = xxhash.xxh64_intdigest(tile) - (1 << 63)
-        out.append((k, digest, tile, n, places[0][0], places[0][1], block, w, np.array(places, _PLACE).tobytes()))
-    return pd.DataFrame(out, columns=names)
-
-
-def repeated_windows(batch: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
-    """For each tile, its windows whose hash some other window of the batch has."""
-    hashes = []
-    sizes = np.array([len(t) for t in batch])
-    step = 0
-    while step < len(batch):
-        stop = step + max(1, int(np.searchsorted(np.cumsum(sizes[step:]), _CHUNK)))
-        joined = np.concatenate(batch[step:stop])
-        h = gram_hashes(rule.values(joined), rule.length)
-        ends = np.cumsum(sizes[step:stop])
-        hashes += [h[e - s : e - rule.length + 1].copy() for s, e in zip(sizes[step:stop], ends, strict=True)]
-        step = stop
-    flat = np.concatenate(hashes)
-    order = np.argsort(flat)
-    same = flat[order[1:]] == flat[order[:-1]]
-    many = np.zeros(len(flat), bool)
-    many[order[1:]] |= same
-    many[order[:-1]] |= same
-    return np.split(many, np.cumsum([len(h) for h in hashes])[:-1])
-
-
-def _compared(rule: Rule, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tiles sorted by key, content and place, to the spans to remove."""
+    for t in rule.tiles(docs["text"].tolist(), hot):
+        pick = t.pick(keys)
+        again = np.isin(t.base[pick], t.twice) if len(t.twice) else np.zeros(len(pick), bool)
+        stop = t.place[pick] + t.windows[pick] + rule.length - 1
+        level = np.zeros(len(pick), np.int64)
+        if len(hot[0]):
+            there = np.minimum(np.searchsorted(hot[0], t.base[pick]), len(hot[0]) - 1)
+            level = np.where(hot[0][there] == t.base[pick], hot[1][there], 0)
+        columns = (t.key[pick].view(np.int64), t.place[pick], stop, t.text[pick], t.start[pick], again, t.base[pick].view(np.int64), level)
+        for k, a, b, i, s, w, base, lv in zip(*(c.tolist() for c in columns), strict=True):
+            name, place = (k, t.cut(a, b)), (ids[i], s if rule.within else 0)
+            found = rows.get(name)
+            if found is None:
+                rows[name] = [place, True, w, (base, lv) if lv else (0, 0), s]
+            else:
+                found[2] |= w
+                if place != found[0]:
+                    found[1] = False
+                    if place < found[0]:
+                        found[0], found[4] = place, s
+    block = int(docs["block"].iloc[0])
+    out = [(k, _digest(tile), tile, place[0], place[1], block, alone, w, *hot) for (k, tile), (place, alone, w, hot, _) in rows.items()]
+    return pd.DataFrame(out, columns=_TILE_NAMES)
+
+
+class _Content:
+    """A different tile of a key: its first place, the blocks of that, and those that have copies only."""
+
+    __slots__ = ("name", "tile", "place", "hot", "first_blocks", "other_blocks", "alone", "twice")
+
+    def __init__(self, name: tuple, tile: bytes, place: tuple, hot: tuple) -> None:
+        self.name, self.tile, self.place, self.hot = name, tile, place, hot
+        self.first_blocks, self.other_blocks = array("i"), array("i")
+        self.alone, self.twice = True, False
+
+
+def _later(rule: Rule, batch: list[_Content], parsed: list[np.ndarray]) -> Iterator[tuple]:
+    """(number, copies go, False, spans that go of the first) of contents of a batch."""
+    spans: dict[int, list] = {}
+    copies: set[int] = set()
+    for i, at, n, whole in rule.compare(parsed, [c.place for c in batch], [not c.alone for c in batch], rule.length):
+        if whole:
+            copies.add(i)
+        else:
+            spans.setdefault(i, []).append((at, n))
+    for i in copies | spans.keys():
+        yield i, i in copies, False, np.array(spans.get(i, []), "<i4").tobytes()
+
+
+_MARK = np.dtype([("at", "<i4"), ("n", "<i4"), ("repeat", "<i8")])
+
+
+def _grouped(rule: Rule, batch: list[_Content], parsed: list[np.ndarray]) -> Iterator[tuple]:
+    """(number, False, True, the repeats in it) of contents of a batch."""
+    marks: dict[int, set] = {}  # a tile's copies and a longer tile that begins with it make the same repeat
+    for length, every, _, _ in rule.groups(parsed, [c.place for c in batch], [not c.alone for c in batch], rule.length):
+        tile, at = every[0]
+        repeat = _digest(parsed[tile][at : at + length].tobytes())
+        for i, start in every:
+            marks.setdefault(i, set()).add((start, length, repeat))
+    for i, found in marks.items():
+        yield i, False, True, np.array(sorted(found), _MARK).tobytes()
+
+
+def _compared(rule: Rule, judge: Callable, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tiles sorted by key, content and place, to verdicts of ``judge`` for their blocks."""
+    of_key: list[_Content] = []
+    batch: list[_Content] = []
+    held = 0
     out: list[tuple] = []
-    tiles: dict[bytes, list] = {}  # of the key at hand: its first place, and the rows that have it
-    batch: list[tuple[bytes, list]] = []
-    held, current = 0, None
-
-    def spans() -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SPAN_SCHEMA.split(", ")])
-        out.clear()
-        return frame
 
     def close_key() -> None:
         nonlocal held
-        if len(tiles) > 1 or any(t[2] for t in tiles.values()):
-            for tile, info in tiles.items():
-                batch.append((tile, info))
-                held += info[4]
-        tiles.clear()
+        if len(of_key) > 1 or any(c.twice or not c.alone for c in of_key):
+            batch.extend(of_key)
+            held += sum(len(c.tile) for c in of_key)
+        of_key.clear()
 
     def close_batch() -> None:
         nonlocal held
         if batch:
-            parsed = rule.parse([t for t, _ in batch])
-            many = repeated_windows(parsed, rule)
-            rest = [(t, info) for t, (_, info), m in zip(parsed, batch, many, strict=True) if m.any()]
-            if rest:
-                places = [(info[0], info[1] if rule.within else 0) for _, info in rest]
-                for i, at, n in rule.compare([t for t, _ in rest], places, rule.length):
-                    out.extend((block, id_, k1, start + at, n) for block, id_, k1, start in rest[i][1][3])
+            parsed = rule.parse([c.tile for c in batch])
+            for i, copies, everywhere, packed in judge(rule, batch, parsed):
+                c = batch[i]
+                common = (*c.name, *c.place, copies)
+                out.extend((b, *common, packed, *c.hot) for b in c.first_blocks)
+                if copies or everywhere:
+                    out.extend((b, *common, packed if everywhere else b"", *c.hot) for b in c.other_blocks)
         batch.clear()
         held = 0
 
+    def verdicts() -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=_VERDICT_NAMES)
+        out.clear()
+        return frame
+
+    key = None
     for pdf in parts:
-        for key, tile, n, block, twice, packed in zip(
-            pdf["key"].tolist(), pdf["tile"], pdf["n"].tolist(), pdf["block"].tolist(), pdf["twice"].tolist(), pdf["places"], strict=True
-        ):
-            if key != current:
+        for k, digest, tile, id_, start, block, alone, twice, base, level in pdf.itertuples(index=False, name=None):
+            if k != key:
                 close_key()
-                current = key
+                key = k
                 if held >= _BATCH:
                     close_batch()
-            tile, places = bytes(tile), np.frombuffer(packed, _PLACE).tolist()
-            info = tiles.get(tile)
-            if info is None:
-                info = tiles[tile] = [*places[0][:2], False, [], n]
-            info[2] |= twice
-            for id_, start, k1 in places:
-                if id_ == info[0] and (start == info[1] or not rule.within):
-                    info[3].append((block, id_, k1, start))
-                else:
-                    out.append((block, id_, k1, start, n))
+            if of_key and of_key[-1].name[1] == digest:
+                found = of_key[-1]
+            else:
+                found = _Content((k, digest), bytes(tile), (id_, start), (base, level))
+                of_key.append(found)
+            found.twice |= twice
+            if (id_, start) == found.place:
+                found.first_blocks.append(block)
+            else:
+                found.other_blocks.append(block)
+                alone = False
+            found.alone &= alone
         if len(out) > 20_000:
-            yield spans()
+            yield verdicts()
     close_key()
     close_batch()
-    yield spans()
+    yield verdicts()
 
 
 def _union(spans: np.ndarray) -> np.ndarray:
@@ -304,25 +386,49 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([start[new], top[last]], axis=1)
 
 
-def without_repeats(docs: DataFrame, rule: Rule, finish: Callable, schema: str) -> DataFrame:
-    """Rows ``finish(text, spans)`` of each document, after doc_id; ``schema`` names them.
-
-    ``docs(doc_id, text, ...)``; ``spans`` are sorted disjoint runs (start, end) of symbols that
-    lie in a window which also starts at an earlier place. Places are ordered by doc_id, null
-    last, and then by start if the rule says so. Rows with the same id are not earlier than
-    each other at equal starts. Null texts have no symbols; an empty table gives an empty
-    table; other columns are ignored.
-    """
+def _judged(rule: Rule, docs: pd.DataFrame, verdicts: pd.DataFrame) -> Iterator[tuple]:
+    """(row, start in its text, symbols, verdict) of a block's tiles that have a verdict."""
+    if not len(docs) or not len(verdicts):
+        return
+    columns = ("key", "digest", "id", "start", "copies", "spans")
+    said = {(k, d): verdict for k, d, *verdict in zip(*(verdicts[c].tolist() for c in columns), strict=True)}
+    keys = np.unique(np.where(verdicts["level"] > 0, verdicts["base"], verdicts["key"]).astype(np.int64).view(np.uint64))
+    for t in rule.tiles(docs["text"].tolist(), _hot(verdicts, "base")):
+        pick = t.pick(keys)
+        sizes = t.windows[pick] + rule.length - 1
+        columns = (t.key[pick].view(np.int64), t.place[pick], sizes, t.text[pick], t.start[pick])
+        for k, a, n, i, s in zip(*(c.tolist() for c in columns), strict=True):
+            if verdict := said.get((k, _digest(t.cut(a, a + n)))):
+                yield i, s, n, verdict
+
+
+def _removed(rule: Rule, docs: pd.DataFrame, verdicts: pd.DataFrame) -> dict[int, np.ndarray]:
+    """What goes of each text of a block, by its row."""
+    ids, found = docs["id"].tolist(), {}
+    for i, s, n, (id_, start, copies, spans) in _judged(rule, docs, verdicts):
+        if ids[i] == id_ and (s == start or not rule.within):
+            if spans:
+                found.setdefault(i, []).extend((s + at, m) for at, m in np.frombuffer(spans, "<i4").reshape(-1, 2).tolist())
+        elif copies:
+            found.setdefault(i, []).append((s, n))
+    return {i: _union(np.array(spans, np.int64)) for i, spans in found.items()}
+
+
+def _dealt(docs: DataFrame, rule: Rule) -> tuple[DataFrame, GroupedData]:
+    """Rows ``(doc_id, id, text)``, and those with a window in blocks."""
     blocks = task_count(docs, BLOCK_MB)
-    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("k1"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).select(F.pmod("k1", F.lit(blocks)).cast("int").alias("block"), "*")
-    dealt = rows.repartition(blocks, "block")
-    by_block = dealt.groupBy("block")
+    )
+    deal = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    long_enough = rows.where(F.octet_length("text") >= rule.shortest)
+    return rows, long_enough.select(deal.alias("block"), "*").repartition(blocks, "block").groupBy("block")
+
+
+def _verdicts(by_block: GroupedData, rule: Rule, judge: Callable) -> GroupedData:
+    """What ``judge`` says of the tiles of each block."""
 
     def keys(pdf: pd.DataFrame) -> pd.DataFrame:
         return _keys(rule, pdf)
@@ -331,26 +437,69 @@ def without_repeats(docs: DataFrame, rule: Rule, finish: Callable, schema: str)
         return _cut_tiles(rule, left, right)
 
     def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _compared(rule, parts)
+        yield from _compared(rule, judge, parts)
+
+    one_key = W.partitionBy("key")
+    total = F.sum("n").over(one_key)
+    level = F.when(total > HOT, F.least(F.ceil(F.log2(total / HOT)), F.lit(_MOST_LEVELS))).otherwise(0).cast("int")
+    sent = by_block.applyInPandas(keys, "key long, block int, n int, more boolean")
+    repeated = (F.count("*").over(one_key) > 1) | F.col("more")
+    wanted = sent.select("key", "block", repeated.alias("again"), level.alias("level")).where("again").drop("again")
+    cut = by_block.cogroup(wanted.groupBy("block")).applyInPandas(tiles, _TILE_SCHEMA)
+    met = cut.repartition("key").sortWithinPartitions("key", "digest", "id", "start")
+    return met.mapInPandas(compared, _VERDICT_SCHEMA).groupBy("block")
 
-    def removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        spans: dict[tuple, np.ndarray] = {}
-        if len(right):
-            right = right.sort_values(["id", "k1"], kind="stable")
-            at = right[["id", "k1"]].to_numpy(np.int64)
-            cuts = np.flatnonzero(np.any(at[1:] != at[:-1], axis=1)) + 1
-            for part, name in zip(np.split(right[["start", "n"]].to_numpy(np.int64), cuts), at[np.concatenate([[0], cuts])], strict=True):
-                spans[tuple(name.tolist())] = _union(part)
-        none = np.zeros((0, 2), np.int64)
+
+def without_repeats(docs: DataFrame, rule: Rule, finish: Callable, schema: str) -> DataFrame:
+    """Rows ``finish(text, spans)`` of each document, after doc_id; ``schema`` names them.
+
+    ``docs(doc_id, text, ...)``; ``spans`` are sorted disjoint runs (start, end) of symbols that
+    lie in a window which also starts at an earlier place. Places are ordered by doc_id, null
+    last, and then by start if the rule says so. Rows with the same id are not earlier than
+    each other at equal starts. Null texts have no symbols; an empty table gives an empty
+    table; other columns are ignored. Rows that repeat an id and text are dealt by the part of
+    the input that they are in; those too short for a window aren't dealt at all.
+    """
+    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
+    rows, by_block = _dealt(docs, rule)
+    none = np.zeros((0, 2), np.int64)
+
+    def digested(pdf: pd.DataFrame, spans: dict[int, np.ndarray]) -> pd.DataFrame:
         out = [
-            (doc_id if there else None, *finish(text, spans.get((id_, k1), none)))
-            for doc_id, there, id_, k1, text in zip(left["doc_id"], left["doc_id"].notna(), left["id"].tolist(), left["k1"].tolist(), left["text"], strict=True)
+            (doc_id if there else None, *finish(text, spans.get(i, none)))
+            for i, (doc_id, there, text) in enumerate(zip(pdf["doc_id"], pdf["doc_id"].notna(), pdf["text"], strict=True))
         ]
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    sent = by_block.applyInPandas(keys, "key long, block int, more boolean")
-    wanted = sent.repartition("key").sortWithinPartitions("key").mapInPandas(_repeated, "block int, key long")
-    cut = by_block.cogroup(wanted.groupBy("block")).applyInPandas(tiles, _TILE_SCHEMA)
-    met = cut.repartition("key").sortWithinPartitions("key", "digest", "id", "start")
-    back = met.mapInPandas(compared, _SPAN_SCHEMA)
-    return by_block.cogroup(back.groupBy("block")).applyInPandas(removed, f"doc_id long, {schema}")
+    def removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return digested(left, _removed(rule, left, right))
+
+    def untouched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield digested(pdf, {})
+
+    result = f"doc_id long, {schema}"
+    whole = by_block.cogroup(_verdicts(by_block, rule, _later)).applyInPandas(removed, result)
+    short = rows.where(F.octet_length("text") < rule.shortest).select("doc_id", "text")
+    return whole.unionByName(short.mapInPandas(untouched, result))
+
+
+def occurrences(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Maximal repeats of ``docs(doc_id, text, ...)`` with all their occurrences.
+
+    Rows ``repeat string, length int, doc_id long, start long``: a repeat is named by its
+    content, and told in the symbols of the rule. Nulls and empty tables as in
+    ``without_repeats``; rows that repeat an id and text repeat their occurrences.
+    """
+    _, by_block = _dealt(docs, rule)
+
+    def marked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, there = left["doc_id"].tolist(), left["doc_id"].notna().tolist()
+        out = [
+            (f"{repeat + (1 << 63):016x}", n, ids[i] if there[i] else None, s + at)
+            for i, s, _, (_, _, _, marks) in _judged(rule, left, right)
+            for at, n, repeat in np.frombuffer(marks, _MARK).tolist()
+        ]
+        return pd.DataFrame(out, columns=["repeat", "length", "doc_id", "start"]).astype({"doc_id": "Int64"})
+
+    return by_block.cogroup(_verdicts(by_block, rule, _grouped)).applyInPandas(marked, "repeat string, length int, doc_id long, start long")

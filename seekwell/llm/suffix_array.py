@@ -1,11 +1,13 @@
 """Repeated byte strings by an enhanced suffix array and its tree of common-prefix intervals.
 
-The array holds the suffixes of all tiles that begin a window. Its order comes from prefix
-doubling, and common prefixes of neighbours from the ranks of each doubling. A scan with a
-stack visits the tree of intervals bottom up. An interval whose suffixes are preceded by
-different symbols, or begin a tile, is a maximal repeat: all suffixes of the interval are
-its occurrences. If they are all preceded by the same symbol, the repeat goes on to the
-left, and the interval of the longer one stands for it.
+The array holds the suffixes of all tiles that begin a window, sorted by seven symbols at a
+time: each round splits only groups that are still alike, and what splits them tells the
+common prefix of the neighbours. A tile stands for all its copies, so a suffix of such a tile
+is an interval by itself. A scan with a stack visits the tree of intervals bottom up. An
+interval whose suffixes are preceded by different symbols, or begin a tile, is a maximal
+repeat: all suffixes of the interval, copies included, are its occurrences. If they are all
+preceded by the same symbol, the repeat goes on to the left, and the interval of the longer
+one stands for it.
 """
 
 from __future__ import annotations
@@ -19,55 +21,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.llm.common import read
-from seekwell.llm.repeats import LAST_ID, Rule, byte_values, without_repeats
+from seekwell.llm.repeats import LAST_ID, Rule, byte_values, occurrences, without_repeats
 
 LENGTH, GRAM = 100, 32
 _DIVERSE = -1
 
 
-def suffix_ranks(symbols: np.ndarray, longest: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all places by their next 7, 14, 28, ... symbols, up to ``longest`` at least."""
+def sorted_suffixes(symbols: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``at``, and the common prefix of each with the next one in it.
+
+    ``symbols`` are 0 behind each tile and above 0 elsewhere; ``room`` is what is left of a
+    suffix's tile. Suffixes that are alike to the end of one of them stay as they come.
+    """
     n, padded = len(symbols), np.concatenate([symbols, np.zeros(7, np.int64)])
-    key = np.zeros(n, np.int64)
+    word = np.zeros(n + 1, np.int64)
     for j in range(7):
-        key = (key << 9) | padded[j : j + n]
-    levels, size = [], 7
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
-        levels.append((size, rank))
-        if size >= longest or int(rank[order[-1]]) == n:
-            return levels
-        behind = np.zeros(n, np.int64)
-        behind[: max(0, n - size)] = rank[size:]
-        key = rank * (n + 1) + behind
-        size *= 2
-
-
-def common_prefixes(symbols: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of what the places ``a`` and ``b`` have in common, as far as the ranks reach.
-
-    The ranks give it down to the shortest of them; under that, symbol by symbol.
-    """
-    n, common = len(symbols), np.zeros(len(a), np.int64)
-    for size, rank in [*reversed(levels), *[(1, symbols)] * 6]:
-        x, y = a + common, b + common
-        ok = (x < n) & (y < n)
-        same = ok & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-        common[same] += size
-    return common
-
-
-def scan(places: list, lefts: list, commons: list, least: int) -> Iterator[tuple[int, list[int], list[int]]]:
-    """Maximal repeats of one run of the array, deepest first: length, first occurrences, others.
+        word[:n] = (word[:n] << 9) | padded[j : j + n]
+    order = np.argsort(word[at], kind="stable")
+    common = np.full(max(len(at) - 1, 0), -1)
+    todo, group, depth = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+    while len(todo):
+        got = word[np.minimum(at[order[todo]] + depth, n)]
+        by = np.lexsort((got, group)) if depth else np.arange(len(todo))
+        order[todo], got = order[todo][by], got[by]
+        inside = (group[1:] == group[:-1]) & (todo[1:] == todo[:-1] + 1)
+        differ = inside & (got[1:] != got[:-1])
+        bits = (got[1:] ^ got[:-1])[differ]
+        common[todo[:-1][differ]] = depth + sum((bits < 1 << 9 * k).astype(np.int64) for k in range(1, 7))
+        depth += 7
+        # those alike so far go on, if more than one of them has anything left
+        alike = inside & ~differ
+        group = np.cumsum(np.concatenate([[True], ~alike]))
+        tied = np.zeros(len(todo), bool)
+        tied[1:] |= alike
+        tied[:-1] |= alike
+        left = np.bincount(group, room[order[todo]] > depth)[group]
+        keep = tied & (left > 0)
+        todo, group = todo[keep], group[keep]
+    short = np.minimum(room[order[1:]], room[order[:-1]])
+    return order, np.where(common < 0, short, np.minimum(common, short))
+
+
+def scan(places: list, lefts: list, commons: list, least: int, copied: dict[int, int] | None = None) -> Iterator[tuple[int, range, list[int], bool]]:
+    """Maximal repeats of one run of the array, deepest first: length, all occurrences, later ones, copies.
 
     ``places`` are comparable; ``commons[i]`` is the common prefix of suffixes i and i + 1.
-    Firsts of an interval below go on for it, so over all intervals every suffix is among
-    the others once at most: under the longest repeat that it has with an earlier place.
+    ``copied`` has the suffixes that stand for copies too, with their length: each is an
+    interval, yielded with ``copies`` true. Firsts of an interval below go on for it, so over all
+    intervals every suffix is among the later ones once at most: under the longest repeat that
+    it has with an earlier place.
     """
-    stack: list[list] = []  # length, best place, firsts, others, symbol on the left
+    stack: list[list] = []  # length, best place, firsts, others, symbol on the left, where it begins
+    copied = copied or {}
 
     def absorb(node: list, best: tuple, firsts: list, left: int) -> None:
         if best < node[1]:
@@ -82,26 +87,30 @@ def scan(places: list, lefts: list, commons: list, least: int) -> Iterator[tuple
 
     before = least - 1
     for i in range(len(places)):
+        if i in copied and lefts[i] == _DIVERSE:
+            yield copied[i], range(i, i + 1), [], True
         after = commons[i] if i < len(commons) else least - 1
         if after > before:
-            stack.append([after, places[i], [i], [], lefts[i]])
-        else:
+            stack.append([after, places[i], [i], [], lefts[i], i])
+        elif stack:
             absorb(stack[-1], places[i], [i], lefts[i])
             while stack and stack[-1][0] > after:
-                length, best, firsts, others, left = stack.pop()
+                length, best, firsts, others, left, begin = stack.pop()
                 if left == _DIVERSE:
-                    yield length, firsts, others
+                    yield length, range(begin, i + 1), others, False
                 if stack and stack[-1][0] >= after:
                     absorb(stack[-1], best, firsts, left)
                 elif after >= least:
-                    stack.append([after, best, list(firsts), [], left])
+                    stack.append([after, best, list(firsts), [], left, begin])
         before = after
 
 
-def later_repeats(tiles: list[np.ndarray], firsts: list[tuple], least: int) -> Iterator[tuple[int, int, int]]:
-    """(tile, start, length) of what each tile has in common with an earlier place, ``least`` long or more.
+def maximal_repeats(tiles: list[np.ndarray], firsts: list[tuple], copied: list[bool], least: int) -> Iterator[tuple]:
+    """(length, occurrences, later ones, copies) of the maximal repeats of tiles, ``least`` long or more.
 
-    ``firsts`` has the place of each tile: a document, and the start in it.
+    Occurrences are (tile, start), and stand for those in a tile's copies too. ``firsts`` has the
+    place of each tile: a document, and the start in it. With ``copies`` the repeat is a whole
+    tile, and its copies are the later ones.
     """
     sizes = np.array([len(t) for t in tiles])
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -112,25 +121,39 @@ def later_repeats(tiles: list[np.ndarray], firsts: list[tuple], least: int) -> I
     windows = sizes - least + 1
     tile = np.repeat(np.arange(len(tiles)), windows)
     offset = np.arange(len(tile)) - np.repeat(np.cumsum(windows) - windows, windows)
-    levels = suffix_ranks(symbols, int(sizes.max()))
     at = begin[tile] + offset
-    order = np.argsort(levels[-1][1][at], kind="stable")
+    order, common = sorted_suffixes(symbols, at, sizes[tile] - offset)
     tile, offset, at = tile[order], offset[order], at[order]
-    room = sizes[tile] - offset
-    common = np.minimum(common_prefixes(symbols, levels, at[:-1], at[1:]), np.minimum(room[:-1], room[1:]))
     # runs of suffixes that share a window; those that go on to the left alike stand under another
     left = np.where(offset > 0, symbols[at - 1], -2)
     starts = np.flatnonzero(np.concatenate([[True], common < least]))
     sized = np.diff(np.concatenate([starts, [len(at)]]))
     low, high = np.minimum.reduceat(left, starts), np.maximum.reduceat(left, starts)
-    for s, n in zip(*(x[(sized > 1) & ((low != high) | (low == -2))].tolist() for x in (starts, sized)), strict=True):
-        own = tile[s : s + n].tolist(), offset[s : s + n].tolist()
+    stands = np.array(copied, bool)[tile] & (offset == 0)
+    any_copies = np.maximum.reduceat(stands, starts)
+    worth = ((sized > 1) & ((low != high) | (low == -2))) | any_copies
+    for s, n in zip(starts[worth].tolist(), sized[worth].tolist(), strict=True):
+        if n == 1:  # an interval of one tile and its copies
+            t = int(tile[s])
+            yield len(tiles[t]), [(t, 0)], [], True
+            continue
+        own = list(zip(tile[s : s + n].tolist(), offset[s : s + n].tolist(), strict=True))
         # a suffix that begins its tile may go on to the left in its document: always diverse
         lefts = [c if c >= 0 else _DIVERSE for c in left[s : s + n].tolist()]
-        places = [(firsts[t][0], firsts[t][1] + o) for t, o in zip(*own, strict=True)]
-        for length, _, others in scan(places, lefts, common[s : s + n - 1].tolist(), least):
-            for i in others:
-                yield own[0][i], own[1][i], length
+        places = [(firsts[t][0], firsts[t][1] + o) for t, o in own]
+        whole = {i: len(tiles[own[i][0]]) for i in np.flatnonzero(stands[s : s + n]).tolist()}
+        for length, every, later, copies in scan(places, lefts, common[s : s + n - 1].tolist(), least, whole):
+            yield length, own[every.start : every.stop], [own[i] for i in later], copies
+
+
+def later_repeats(tiles: list[np.ndarray], firsts: list[tuple], copied: list[bool], least: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(tile, start, length, False) of what each tile has in common with an earlier place,
+    and (tile, 0, length, True) if its copies are later occurrences of all of it."""
+    for length, every, later, copies in maximal_repeats(tiles, firsts, copied, least):
+        if copies:
+            yield *every[0], length, True
+        for tile, start in later:
+            yield tile, start, length, False
 
 
 def _bytes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
@@ -143,7 +166,22 @@ def _parsed(tiles: list[bytes]) -> list[np.ndarray]:
 
 
 def byte_rule(length: int = LENGTH, gram: int = GRAM) -> Rule:
-    return Rule(_bytes_of, _parsed, lambda sym: byte_values()[sym], length, gram, True, later_repeats)
+    def segments(raw: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+        for at in range(0, max(len(raw) - length + 1, 1), size):
+            yield at, raw[at : at + size + length - 1]
+
+    return Rule(segments, _bytes_of, _parsed, lambda sym: byte_values()[sym], length, gram, True, length, later_repeats, maximal_repeats)
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Maximal repeats with all their occurrences: ``repeat string, length int, doc_id long, start long``.
+
+    ``repeat`` names a repeat by its content. A repeat is maximal within tiles: a longer one
+    comes as several that overlap, each told by another key, and a run of one key is cut every
+    512 windows, so that places in another part of such a run may be missing. All occurrences are rows, copies
+    included, so nothing is gathered. ``docs`` as in ``without_repeats``.
+    """
+    return occurrences(docs, byte_rule(length, gram))
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -11,6 +11,7 @@ each word, cut back to a window's length, tells the first document of the window
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -94,23 +95,28 @@ class SuffixAutomaton:
                 yield end, owners[at]
 
 
-def earlier_windows(tiles: list[np.ndarray], firsts: list[tuple], least: int) -> Iterator[tuple[int, int, int]]:
-    """(tile, start, length) of each tile's maximal runs of windows that an earlier document has."""
+def earlier_windows(tiles: list[np.ndarray], firsts: list[tuple], copied: list[bool], least: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(tile, start, length, False) of each tile's maximal runs of windows that an earlier document has,
+    and (tile, 0, length, True) if that is so of all of it for the documents of its copies."""
     shard, lists = SuffixAutomaton(), [t.tolist() for t in tiles]
     for words, (owner, _) in zip(lists, firsts, strict=True):
         shard.add(words, owner)
     shard.settle()
-    for i, (words, (owner, _)) in enumerate(zip(lists, firsts, strict=True)):
-        start = stop = 0
+    for i, (words, (owner, _), copies) in enumerate(zip(lists, firsts, copied, strict=True)):
+        start = stop = known = 0
         for end, first in shard.first_owners(words, least):
+            known += first <= owner
             if first < owner:
                 if end != stop + 1 or not stop:
                     if stop:
-                        yield i, start, stop - start
+                        yield i, start, stop - start, False
                     start = end - least
                 stop = end
         if stop:
-            yield i, start, stop - start
+            yield i, start, stop - start, False
+        # copies are in documents behind the first owner's, so a window known from there is earlier than all of them
+        if copies and known == len(words) - least + 1:
+            yield i, 0, len(words), True
 
 
 _BLANK = np.zeros(256, bool)
@@ -144,8 +150,51 @@ def _parsed(tiles: list[bytes]) -> list[np.ndarray]:
     return np.split(hashes, np.cumsum(counts)[:-1])
 
 
+#: A word this long is compared by its hash.
+_LONG = 1 << 16
+_LONG_WORD = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % _LONG)
+
+
+def _short_words(raw: bytes) -> bytes:
+    """A text with its very long words as hashes of 256 bits."""
+    if len(raw) < _LONG:
+        return raw
+    return _LONG_WORD.sub(lambda m: b"\x00" + hashlib.sha256(m[0]).hexdigest().encode(), raw)
+
+
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _slices(raw: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces that end between words, about ``size`` bytes each."""
+    at = 0
+    while at < len(raw):
+        stop = _BLANKS.search(raw, at + size)
+        end = stop.end() if stop else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def word_rule(length: int = LENGTH, gram: int = GRAM) -> Rule:
-    return Rule(_words_of, _parsed, lambda sym: sym, length, gram, False, earlier_windows)
+    def segments(raw: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+        raw = _short_words(raw)
+        if len(raw) <= size:
+            yield 0, raw
+            return
+        before, held = 0, None
+        for part in _slices(raw, size):
+            words = part.split()
+            if held is not None:  # the last piece is sent on with the first words of this one
+                if len(words) < length - 1:
+                    held = (held[0], held[1] + part)
+                    continue
+                yield held[0], held[1] + b" ".join(words[: length - 1])
+            held = (before, part)
+            before += len(words)
+        if held:
+            yield held
+
+    return Rule(segments, _words_of, _parsed, lambda sym: sym, length, gram, False, 2 * length - 1, earlier_windows)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -156,13 +205,23 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """
 
     def finish(text: str, spans: np.ndarray) -> tuple:
-        words = text.encode("utf-8", "surrogatepass").split()
-        kept, at = [], 0
-        for a, b in spans.tolist():
-            kept += words[at:a]
-            at = b
-        kept += words[at:]
-        return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+        n_words = n_kept = 0
+        kept = hashlib.sha256()
+        for part in _slices(text.encode("utf-8", "surrogatepass"), 1 << 20):
+            words = part.split()
+            if len(spans):
+                gone = np.zeros(len(words) + 1, np.int64)
+                at = np.clip(spans - n_words, 0, len(words))
+                np.add.at(gone, at[:, 0], 1)
+                np.add.at(gone, at[:, 1], -1)
+                stay = [w for w, g in zip(words, np.cumsum(gone).tolist(), strict=False) if not g]
+            else:
+                stay = words
+            n_words += len(words)
+            if stay:
+                kept.update(b" " * bool(n_kept) + b" ".join(stay))
+                n_kept += len(stay)
+        return n_words, n_words - n_kept, kept.hexdigest()
 
     return without_repeats(docs, word_rule(length, gram), finish, "n_words long, n_removed long, kept_sha256 string")
 
