@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
 
+import regex
+
 from seekwell.functions.names import EngineError
 
-_CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
-_CJK_RUN = re.compile(f"[{_CJK}]")
+_CJK_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]")
 
 
 @dataclass(frozen=True)
@@ -126,13 +126,13 @@ def atoms(clause: Clause) -> list[Atom]:
     """What must match for a clause, all of it.
 
     Words match as prefixes each, but a hyphenated word is one phrase with a prefix at its
-    end. A phrase in a script without spaces requires its tokens in any place; whether they
-    adjoin is checked on the text.
+    end. A phrase with a script without spaces requires its tokens in any place, or none if it
+    is excluded; whether they adjoin is checked on the text.
     """
     found = word_tokens(clause.text)
     if clause.phrase:
-        if _CJK_RUN.search(clause.text):
-            return [Atom((t,), False) for t in found]
+        if needs_text_check(clause):
+            return [] if clause.excluded else [Atom((t,), False) for t in found]
         return [Atom(tuple(found), False)]
     if clause.text.find("-") > 0 and len(found) > 1:
         return [Atom(tuple(found), True)]
@@ -140,13 +140,19 @@ def atoms(clause: Clause) -> list[Atom]:
 
 
 def needs_text_check(clause: Clause) -> bool:
-    return clause.phrase
+    """Whether the text itself must have a phrase: only in scripts without spaces."""
+    return clause.phrase and bool(_CJK_RUN.search(normal(clause.text)))
+
+
+def text_terms(text: str | None) -> list[str]:
+    """Words of a text for choosing lines and chunks; repeated ones stay."""
+    return normal(text or "").lower().replace('"', "").replace("-", " ").split()
 
 
-def plain_terms(query: str) -> list[str]:
-    """Terms for choosing lines and chunks: those of clauses that aren't excluded."""
+def plain_terms(query: str | None) -> list[str]:
+    """Terms of a query: those of clauses that aren't excluded, or of all of it if it is no query."""
     try:
-        words = [c.text for c in parse(query) if not c.excluded]
+        words = [c.text for c in parse(query or "") if not c.excluded]
     except EngineError:
         words = [query]
-    return [t for w in words for t in normal(w).lower().replace('"', "").replace("-", " ").split()]
+    return [t for w in words for t in text_terms(w)]

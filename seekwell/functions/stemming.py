@@ -85,8 +85,13 @@ def unaccented(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
 
 
+def stem(word: str) -> str:
+    """What stands for a token in an index of stems."""
+    return porter(unaccented(word))
+
+
 def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: w if w is None else porter(unaccented(w)))
+    return words.map(lambda w: w if w is None else stem(w))
 
 
 def stemmed_vocabulary(terms: DataFrame) -> DataFrame:

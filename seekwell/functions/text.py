@@ -9,23 +9,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー"
+#: Wider than ``_CJK`` and quick to test: blocks that have any such character.
+_MAYBE_CJK = (
+    r"[ᄀ-ᇿ⺀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯\x{16FE0}-\x{1B2FF}\x{1F200}-\x{1F2FF}\x{20000}-\x{3FFFF}]"
+)
 #: A run of one script group: its first character is no mark, marks go along.
 _RUNS = rf"[{_CJK}][{_CJK}\p{{M}}]*|[\p{{L}}\p{{Nd}}&&[^{_CJK}]][\p{{L}}\p{{Nd}}\p{{M}}&&[^{_CJK}]]*"
-#: Between digit and other, small and capital letter, and before the last capital of an acronym.
-_PARTS = (
-    r"(?<=\p{Nd})(?=[^\p{Nd}\p{M}])|(?<=[^\p{Nd}\p{M}])(?=\p{Nd})"
-    r"|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+#: What comes before a new part of an identifier, marks included: between digit and letter, small and
+#: capital letter, and before the last capital of an acronym.
+_BEFORE_PART = (
+    r"\p{Nd}\p{M}*(?=\p{L})"
+    r"|(?!\p{M})\p{IsLowercase}\p{M}*(?=[\p{IsUppercase}\p{Nd}])"
+    r"|\p{IsUppercase}\p{M}*(?=\p{Nd}|\p{IsUppercase}\p{M}*(?!\p{M})\p{IsLowercase})"
+    r"|\p{L}\p{M}*(?=\p{Nd})"
 )
+_WORD = r"[\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*"
 _UNIT = rf"[{_CJK}]\p{{M}}*"
+#: Characters outside this set may change under NFKC, alone or behind another one.
+_STABLE = (
+    r"\x00-\x9F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž"
+    r"Α-ΡΣ-Ωα-ωА-я–—‘-„•ぁ-ゖァ-ヺー一-鿿가-힣"
+)
 
 
 def _normalized(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility-normalised text; Spark has no built-in for it."""
-    return F.pandas_udf(_normalized, "string")(text)
+    """Compatibility-normalised text; Spark has no built-in for it.
+
+    Only texts with a character that may change go to Python; of others a null goes.
+    """
+    changing = F.when(text.rlike(f"[^{_STABLE}]"), text)
+    return F.coalesce(F.pandas_udf(_normalized, "string")(changing), text)
 
 
 def cjk_grams(run: Column) -> Column:
@@ -41,20 +58,25 @@ def cjk_grams(run: Column) -> Column:
     return F.concat(grams(1), grams(2), grams(3))
 
 
-def tokens(text: Column, cjk: bool = True) -> Column:
+def tokens(text: Column) -> Column:
     """Search tokens in order of the text, small letters.
 
-    ``cjk=False`` spares the branch for texts known to have no such script.
+    Most texts have no script without spaces: theirs come from one replacement, which parts
+    identifiers, and one extraction. (Sigma is apart, as its small form depends on what follows.)
     """
     runs = F.regexp_extract_all(text, F.lit(f"({_RUNS})"), F.lit(1))
 
+    def parted(some: Column) -> Column:
+        return F.regexp_replace(some, f"({_BEFORE_PART})", "$1 ")
+
     def plain(run: Column) -> Column:
-        return F.transform(F.split(run, _PARTS), lambda p: F.lower(p))
+        return F.transform(F.split(parted(run), " "), lambda p: F.lower(p))
 
     def split(run: Column) -> Column:
         return F.when(run.rlike(f"^[{_CJK}]"), cjk_grams(run)).otherwise(plain(run))
 
-    return F.flatten(F.transform(runs, split if cjk else plain))
+    quick = F.regexp_extract_all(F.lower(parted(text)), F.lit(f"({_WORD})"), F.lit(1))
+    return F.when(text.rlike(f"{_MAYBE_CJK}|Σ"), F.flatten(F.transform(runs, split))).otherwise(quick)
 
 
 def projection(text: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window as W
 from seekwell.functions.grammar import Atom, parse, plain_terms
 from seekwell.functions.names import doc_id, virtual_path
 from seekwell.functions.stemming import stemmed_vocabulary
-from seekwell.functions.text import best_line, cjk_grams, lines, numbered, projection, snippet, title, tokens
-from seekwell.operators import context, documents, fusion, lexical, maintenance, statistics, vector
+from seekwell.functions.text import best_line, cjk_grams, lines, nfkc, numbered, projection, snippet, title
+from seekwell.jobs.indexing import keyword_index, tokenized
+from seekwell.operators import context, documents, fusion, hybrid, lexical, maintenance, results, statistics, vector
 from seekwell.operators.chunking import chunked
 from seekwell.schemas import documents as registry
 from seekwell.schemas import table
@@ -140,11 +141,7 @@ def status_derivation(spark, sf):
 
 @query(f"WITH {_DOCS} SELECT doc_id, array_to_string({_toks('body')}, ' ') AS projected FROM d")
 def token_projection(spark, sf):
-    return registry(spark, sf).select("doc_id", projection(F.col("body")).alias("projected"))
-
-
-def _index(docs: DataFrame) -> DataFrame:
-    return lexical.token_index(docs.withColumn("title", title(F.col("body"), F.col("path"))), normalized=True, cjk=False)
+    return registry(spark, sf).select("doc_id", projection(nfkc(F.col("body"))).alias("projected"))
 
 
 _INDEX = f"""{_DOCS},
@@ -155,14 +152,12 @@ n AS (SELECT *, (len(tt) + len(bt))::INTEGER AS doc_len FROM i)"""
 @query(f"""WITH {_INDEX}, t AS (SELECT doc_id, unnest(bt) AS term FROM n)
 SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM t GROUP BY term""")
 def token_vocabulary(spark, sf):
-    return lexical.vocabulary(_index(registry(spark, sf)))
+    return lexical.vocabulary(keyword_index(spark, sf))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, len(tt)::INTEGER AS title_len, len(bt)::INTEGER AS body_len, doc_len FROM n")
 def doc_lengths(spark, sf):
-    return _index(registry(spark, sf)).select(
-        "doc_id", F.size("title_tokens").alias("title_len"), F.size("body_tokens").alias("body_len"), "doc_len"
-    )
+    return keyword_index(spark, sf).lengths.select("doc_id", "title_len", "body_len", "doc_len")
 
 
 _KANJI = ("aeinorst", "日本語中文字漢国")
@@ -181,8 +176,7 @@ def cjk_ngrams(spark, sf):
 
 @query()
 def porter_stem(spark, sf):
-    words = registry(spark, sf).select(F.explode(tokens(F.col("body"), cjk=False)).alias("term"))
-    return stemmed_vocabulary(words.distinct())
+    return stemmed_vocabulary(keyword_index(spark, sf).postings.where("col = 1"))
 
 
 # --- keyword search
@@ -220,7 +214,7 @@ FROM h ORDER BY raw, project_name, path LIMIT {limit}"""
 
 
 def _search(spark, sf, text: str, limit: int | None = 20, scope: list[str] | None = None) -> DataFrame:
-    hits = lexical.bm25_topk(_index(registry(spark, sf)), parse(text), limit, scope)
+    hits = lexical.bm25_topk(keyword_index(spark, sf), parse(text), limit, scope)
     return hits.select("project_name", "path", F.round("raw_bm25", 6).alias("raw_bm25"), F.round("score", 6).alias("score"))
 
 
@@ -234,7 +228,7 @@ def lexical_term_prefix(spark, sf):
     return _search(spark, sf, "tion", None)
 
 
-@query(_bm25_sql([(["of", "the"], False)], "contains(lower(body), 'of the')", limit=10_000_000))
+@query(_bm25_sql([(["of", "the"], False)], limit=10_000_000))
 def lexical_phrase(spark, sf):
     return _search(spark, sf, '"of the"', None)
 
@@ -258,10 +252,62 @@ def lexical_scoped(spark, sf):
   SELECT project_name, path, unnest(bt) AS term FROM n)
 SELECT term, project_name, path, count(*)::INTEGER AS tf FROM p WHERE term >= 'erin' AND term < 'erio' GROUP BY ALL""")
 def postings_prefix_range(spark, sf):
-    found = lexical.postings(_index(registry(spark, sf))).where(lexical.prefix_range("erin") & (F.col("col") == 1))
+    found = keyword_index(spark, sf).postings.where(lexical.prefix_range("erin") & (F.col("col") == 1))
     return found.select("term", "project_name", "path", "tf")
 
 
+_SCRIPT = ("aeinorst", "日本語中文字漢国")
+
+
+def _scripted(spark, sf) -> DataFrame:
+    """The corpus with some letters written as Han characters, and a full-width form of one word."""
+    return registry(spark, sf).withColumn("body", F.regexp_replace(F.translate("body", *_SCRIPT), "d", "ｄ"))
+
+
+_SCRIPTED = f"""{_DOCS}, x AS (SELECT project_name, path, body, lower(translate(body, '{_SCRIPT[0]}', '{_SCRIPT[1]}')) AS plain FROM d)"""
+
+
+def _script_search(spark, sf, text: str) -> DataFrame:
+    docs = _scripted(spark, sf)
+    index = lexical.inverted(tokenized(docs))
+    return lexical.bm25_topk(index, parse(text), None, bodies=docs).select("project_name", "path")
+
+
+@query(f"WITH {_SCRIPTED} SELECT project_name, path FROM x WHERE contains(plain, '国語') AND contains(plain, '本中')")
+def cjk_phrase(spark, sf):
+    return _script_search(spark, sf, '"国語" "本中"')
+
+
+@query(f"WITH {_SCRIPTED} SELECT project_name, path FROM x WHERE contains(plain, '国語') AND NOT contains(plain, '語漢')")
+def cjk_phrase_excluded(spark, sf):
+    return _script_search(spark, sf, '"国語" -"語漢"')
+
+
+_WIDE = ("abcdefgh", "ａｂｃｄｅｆｇｈ")
+
+
+@query(_bm25_sql([(["of", "the"], False)], limit=10_000_000))
+def nfkc_phrase(spark, sf):
+    """Bodies in full-width letters are found by plain ones."""
+    docs = registry(spark, sf).withColumn("body", F.translate("body", *_WIDE))
+    hits = lexical.bm25_topk(lexical.inverted(tokenized(docs)), parse('"of the"'), None)
+    return hits.select("project_name", "path", F.round("raw_bm25", 6).alias("raw_bm25"), F.round("score", 6).alias("score"))
+
+
+def _stemmed_sql(starts: list[str]) -> str:
+    """Terms that begin with these stems are those whose stem does: cutting ends keeps what is before."""
+    plain = f"""s AS (SELECT *, list_transform(tt, lambda t: strip_accents(t)) AS st, list_transform(bt, lambda t: strip_accents(t)) AS sb FROM n),
+p AS (SELECT * REPLACE (st AS tt, sb AS bt) FROM s)"""
+    return _bm25_sql([([s], True) for s in starts], limit=10_000_000).replace(f"{_INDEX}, f AS", f"{_INDEX}, {plain}, f AS").replace(" FROM n), a AS", " FROM p), a AS")
+
+
+@query(_stemmed_sql(["tion", "here"]))
+def lexical_stemmed(spark, sf):
+    """Query and index by stems: ``tions`` and ``heres`` stand for all that begins with their stems."""
+    hits = lexical.bm25_topk(keyword_index(spark, sf, stemmed=True), parse("tions heres"), None)
+    return hits.select("project_name", "path", F.round("raw_bm25", 6).alias("raw_bm25"), F.round("score", 6).alias("score"))
+
+
 # --- vectors
 
 
@@ -276,15 +322,16 @@ def _vectors(spark, sf) -> DataFrame:
     )
 
 
-def _questions(spark, sf, ids: str) -> DataFrame:
-    return table(spark, sf, "embeddings").where(f"vec_id IN ({ids})").select(
+def _questions(spark, sf) -> DataFrame:
+    """Every row whose id is divisible by 50 asks against all rows."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")
     )
 
 
-def _knn_sql(ids: str, limit: int, scope: str = "true", total: int | None = None) -> str:
+def _knn_sql(limit: int, scope: str = "true", total: int | None = None) -> str:
     head = f"""WITH v AS (SELECT 'label' || (label % 4)::VARCHAR AS project_name, 'doc' || (vec_id // 3)::VARCHAR AS path, (vec_id % 3)::INTEGER AS chunk_index, embedding FROM embeddings),
-q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id IN ({ids})),
+q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT query_id, project_name, path, chunk_index, list_distance(embedding::DOUBLE[], query::DOUBLE[]) AS distance FROM v, q WHERE {scope}),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, project_name, path ORDER BY distance, chunk_index) AS k FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, project_name ORDER BY distance, path) AS rank FROM c WHERE k = 1)"""
@@ -301,19 +348,19 @@ def _rounded(hits: DataFrame) -> DataFrame:
     )
 
 
-@query(_knn_sql("0, 7, 100", 10))
+@query(_knn_sql(10))
 def vector_knn(spark, sf):
-    return _rounded(vector.nearest_documents(_vectors(spark, sf), _questions(spark, sf, "0, 7, 100"), 10))
+    return _rounded(vector.nearest_documents(_vectors(spark, sf), _questions(spark, sf), 10))
 
 
-@query(_knn_sql("0, 7, 100", 10, "project_name IN ('label1', 'label2')"))
+@query(_knn_sql(10, "project_name IN ('label1', 'label2')"))
 def vector_knn_scoped(spark, sf):
-    return _rounded(vector.nearest_documents(_vectors(spark, sf), _questions(spark, sf, "0, 7, 100"), 10, ["label1", "label2"]))
+    return _rounded(vector.nearest_documents(_vectors(spark, sf), _questions(spark, sf), 10, ["label1", "label2"]))
 
 
-@query(_knn_sql("3, 11", 20, total=20))
+@query(_knn_sql(20, total=20))
 def vector_merged(spark, sf):
-    hits = vector.nearest_documents(_vectors(spark, sf), _questions(spark, sf, "3, 11"), 20)
+    hits = vector.nearest_documents(_vectors(spark, sf), _questions(spark, sf), 20)
     return _rounded(vector.merged(hits, 20))
 
 
@@ -329,16 +376,18 @@ def vector_validate(spark, sf):
 
 def _rankings(spark, sf) -> DataFrame:
     """Three rankings of documents, as searches would give them: by two words, and by length."""
-    docs = _index(registry(spark, sf)).withColumn("virtual_path", virtual_path(F.col("project_name"), F.col("path")))
+    index = keyword_index(spark, sf)
+    bodies = lexical.Index(index.postings.where("col = 1"), index.lengths)
+    path = virtual_path(F.col("project_name"), F.col("path")).alias("virtual_path")
     words = {"lex-a": ("tion", 2.0), "lex-b": ("heres", 1.0)}
     parts = []
     for name, (w, weight) in words.items():
-        count = lexical.atom_count("body_tokens", Atom((w,), True))
-        parts.append(docs.select(F.lit(name).alias("query_id"), F.lit(weight).alias("weight"), "virtual_path", count.alias("worth")).where("worth > 0"))
-    parts.append(docs.select(F.lit("length").alias("query_id"), F.lit(1.0).alias("weight"), "virtual_path", F.col("doc_len").alias("worth")))
+        counts = lexical.atom_counts(bodies, [Atom((w,), True)])
+        parts.append(counts.select(F.lit(name).alias("query_id"), F.lit(weight).alias("weight"), path, F.col("_f0").alias("worth")))
+    parts.append(index.lengths.select(F.lit("length").alias("query_id"), F.lit(1.0).alias("weight"), path, F.col("doc_len").cast("long").alias("worth")))
+    parts = [p.orderBy(F.desc("worth"), "virtual_path").limit(100) for p in parts]
     hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    ranked = fusion.ranked(hits, [F.desc("worth"), F.col("virtual_path")])
-    return ranked.where(F.col("rank") <= 100)
+    return fusion.ranked(hits, [F.desc("worth"), F.col("virtual_path")])
 
 
 _RANKED = f"""{_INDEX},
@@ -645,30 +694,101 @@ def semantic_chunks(spark, sf):
 # --- all of it
 
 
-@query()
-def hybrid_search(spark, sf):
-    """Keyword and vector rankings fused, reranked by terms, with snippets: 20 best documents.
+_ASKED = hybrid.Request(query="tion heres", lex="que", vec="ciones", hyde="und der", intent="ung", limit=20)
 
-    The vector ranking's query is the embedding of the document that the keywords rank first
-    by id; only the candidates' bodies are read again.
-    """
-    text = "tion heres"
-    docs = registry(spark, sf)
-    lex = lexical.bm25_topk(_index(docs), parse(text), 100).select(
-        F.lit("lexical").alias("query_id"), F.lit(2.0).alias("weight"), virtual_path(F.col("project_name"), F.col("path")).alias("virtual_path"), F.col("score").alias("worth")
-    )
-    rows = docs.select(F.col("doc_id").alias("vec_id"), "project_name", "path").join(
-        table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id"
-    ).withColumn("chunk_index", F.lit(0))
-    near = vector.merged(vector.nearest_documents(rows, _questions(spark, sf, "7"), 100), 100).select(
-        F.lit("vector").alias("query_id"), F.lit(2.0).alias("weight"), virtual_path(F.col("project_name"), F.col("path")).alias("virtual_path"), F.col("score").alias("worth")
+
+def _chunk_rows(docs: DataFrame) -> DataFrame:
+    """Lines as chunks, with where they start."""
+    rows = _line_chunks(docs).withColumnRenamed("chunk", "body")
+    before = W.partitionBy("content_hash").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("char_start_offset", F.coalesce(F.sum(F.length("body") + 1).over(before), F.lit(0)).cast("int"))
+
+
+def _hybrid(spark, sf) -> DataFrame:
+    """One request with all inputs. Texts are embedded as the embedding of the document, of those
+    that have one, that keywords rank first for them."""
+    docs = registry(spark, sf).withColumn("title", title(F.col("body"), F.col("path")))
+    index, vecs = keyword_index(spark, sf), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    vectors = docs.select("doc_id", "project_name", "path").join(vecs, "doc_id").withColumn("chunk_index", F.lit(0))
+    wanted = hybrid.candidates(_ASKED)
+    texts = {"query": _ASKED.query, "vec": _ASKED.vec, "hyde": _ASKED.hyde}
+    questions = None
+    for no, c in enumerate(wanted):
+        if not c.clauses:
+            best = lexical.bm25_topk(index, parse(texts[c.kind]), None).join(vectors, ["project_name", "path"])
+            one = best.orderBy("raw_bm25", "project_name", "path").limit(1).select(F.lit(no).alias("query_id"), F.col("embedding").alias("query"))
+            questions = one if questions is None else questions.unionByName(one)
+    return hybrid.search(_ASKED, wanted, index, vectors, questions, docs, _chunk_rows(docs), _contexts(docs))
+
+
+def _bm25_part(no: int, words: list[str], limit: int | None) -> str:
+    """DuckDB: the keyword ranking of words, as CTEs that end in ``k{no}``."""
+    fs = ", ".join(f"{_both([w], True)} AS f{i}" for i, w in enumerate(words))
+    dfs = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END)::DOUBLE AS df{i}" for i in range(len(words)))
+    score = " + ".join(
+        f"greatest(ln((c - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{i}::DOUBLE * 2.2::DOUBLE"
+        f" / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / mean))"
+        for i in range(len(words))
     )
-    ranked = fusion.ranked(lex.unionByName(near), [F.desc("worth"), F.col("virtual_path")])
-    bodies = docs.select(virtual_path(F.col("project_name"), F.col("path")).alias("virtual_path"), "content_hash", "body")
-    terms = plain_terms(text)
-    scored = fusion.fused(ranked).join(bodies, "virtual_path").withColumn("rerank", fusion.term_overlap(F.col("body"), terms))
-    best = fusion.blended(scored).where("final_rank <= 20").withColumn("ls", lines(F.col("body")))
-    at = best_line(F.col("ls"), [(t, 1.0) for t in terms])
-    return best.select(
-        "final_rank", "virtual_path", doc_id(F.col("content_hash")).alias("id"), F.round("score", 6).alias("score"), snippet(F.col("ls"), at).alias("snippet")
+    hit = " AND ".join(f"f{i} > 0" for i in range(len(words)))
+    return f"""f{no} AS (SELECT *, {fs} FROM n), a{no} AS (SELECT count(*)::DOUBLE AS c, avg(doc_len) AS mean, {dfs} FROM f{no}),
+k{no} AS (SELECT doc_id, project_name, path, -({score}) AS raw FROM f{no}, a{no} WHERE {hit} ORDER BY raw, project_name, path{f" LIMIT {limit}" if limit else ""})"""
+
+
+def _weights_sql(text: str, terms: list[tuple[str, float]]) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains(lower({text}), '{t}') THEN {w}::DOUBLE ELSE 0 END" for t, w in terms) + ")"
+
+
+_CHUNKED = """ch AS (SELECT content_hash, unnest(string_split(body, chr(10))) AS chunk, unnest(range(len(string_split(body, chr(10))))) AS i FROM (SELECT DISTINCT content_hash, body FROM d)),
+cs AS (SELECT *, coalesce(sum(length(chunk) + 1) OVER (PARTITION BY content_hash ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS begin FROM ch)"""
+_HYBRID = f"""{_INDEX}, {_bm25_part(0, ["tion", "heres"], 40)}, {_bm25_part(1, ["que"], 40)},
+{_bm25_part(2, ["tion", "heres"], None)}, {_bm25_part(3, ["ciones"], None)}, {_bm25_part(4, ["und", "der"], None)},
+v AS (SELECT d.doc_id, d.project_name, d.path, e.embedding FROM d JOIN embeddings e ON e.vec_id = d.doc_id),
+q AS ({" UNION ALL ".join(f"SELECT {i} AS no, * FROM (SELECT v.embedding AS query FROM k{i} JOIN v USING (doc_id) ORDER BY k{i}.raw, k{i}.project_name, k{i}.path LIMIT 1)" for i in (2, 3, 4))}),
+dist AS (SELECT no, v.project_name, v.path, 1 / (1 + list_distance(v.embedding::DOUBLE[], q.query::DOUBLE[])) AS score FROM v, q),
+near AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY no ORDER BY score DESC, project_name, path) <= 40),
+hits AS (SELECT 0 AS no, 2.0::DOUBLE AS weight, project_name, path, NULL::INTEGER AS chunk, raw AS ord FROM k0
+  UNION ALL SELECT 1, 1.0, project_name, path, NULL, raw FROM k1
+  UNION ALL SELECT no, CASE WHEN no = 2 THEN 2.0 ELSE 1.0 END, project_name, path, 0, -score FROM near),
+live AS (SELECT h.*, d.content_hash, d.body, 'doc://' || project_name || '/' || path AS vp FROM hits h JOIN d USING (project_name, path) WHERE length(trim(d.body, ' ' || chr(9) || chr(10) || chr(13))) > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY ord, vp) AS rank FROM live),
+fu AS (SELECT vp, sum(weight / (60 + rank)) AS rrf, min(rank) AS best FROM rk GROUP BY vp),
+fs AS (SELECT *, round(rrf + CASE WHEN best = 1 THEN 0.05 WHEN best <= 3 THEN 0.02 ELSE 0 END, 12) AS fusion_score FROM fu),
+fr AS (SELECT *, row_number() OVER (ORDER BY fusion_score DESC, vp) AS fusion_rank FROM fs ORDER BY fusion_score DESC, vp LIMIT 40),
+rep AS (SELECT DISTINCT ON (vp) vp, project_name, path, content_hash, body, chunk FROM rk ORDER BY vp, chunk IS NULL, no, rank),
+{_CHUNKED},
+ev AS (SELECT DISTINCT ON (rep.vp) rep.vp, cs.chunk AS evidence, cs.begin FROM rep JOIN cs USING (content_hash) WHERE rep.chunk IS NULL OR rep.chunk = cs.i
+  ORDER BY rep.vp, {_weights_sql("cs.chunk", [("tion", 1.0), ("heres", 1.0), ("ung", 0.5)])} DESC, cs.i),
+aa AS (SELECT count(*) AS n FROM d), pp AS (SELECT project_name, count(*) AS n FROM d GROUP BY 1), ff AS (SELECT project_name, split_part(path, '/', 1) AS folder, count(*) AS n FROM d GROUP BY 1, 2),
+cx AS (SELECT rep.*, 'corpus of ' || aa.n || chr(10) || chr(10) || rep.project_name || ' has ' || pp.n || chr(10) || chr(10) || ff.folder || ' has ' || ff.n AS context
+  FROM rep, aa, pp, ff WHERE pp.project_name = rep.project_name AND ff.project_name = rep.project_name AND ff.folder = split_part(rep.path, '/', 1)),
+rr AS (SELECT fr.*, cx.* EXCLUDE (vp), ev.evidence, ev.begin, {_weights_sql("'Context:' || chr(10) || cx.context || chr(10) || chr(10) || 'Document excerpt:' || chr(10) || ev.evidence", [("tion", 1.0), ("heres", 1.0), ("ung", 1.0)])} / 3 AS rerank
+  FROM fr JOIN cx USING (vp) JOIN ev USING (vp)),
+bl AS (SELECT *, (CASE WHEN fusion_rank <= 3 THEN 0.75 WHEN fusion_rank <= 10 THEN 0.6 ELSE 0.4 END)::DOUBLE AS w FROM rr),
+sc AS (SELECT *, round(w * (1.0::DOUBLE / fusion_rank) + (1 - w) * rerank, 12) AS final FROM bl),
+fi AS (SELECT *, row_number() OVER (ORDER BY final DESC, vp)::INTEGER AS final_rank FROM sc)"""
+
+
+@query(f"""WITH {_HYBRID} SELECT final_rank, vp AS virtual_path, chunk AS chunk_index, fusion_rank::INTEGER AS fusion_rank, evidence, begin AS evidence_start, context, round(rerank, 6) AS rerank, round(final, 6) AS score
+FROM fi WHERE final_rank <= 20""")
+def hybrid_evidence(spark, sf):
+    """Matches of a hybrid search with what they were reranked on."""
+    return _hybrid(spark, sf).select(
+        "final_rank", "virtual_path", "chunk_index", "fusion_rank", "evidence", "evidence_start", "context", F.round("rerank", 6).alias("rerank"), F.round("score", 6).alias("score")
     )
+
+
+_EVIDENCE_WORDS = [("tion", 1.0), ("heres", 1.0), ("ung", 0.3)]
+
+
+@query(rf"""WITH {_HYBRID}, src AS (SELECT *, CASE WHEN length(trim(evidence, ' ' || chr(9) || chr(10) || chr(13))) > 0 THEN evidence ELSE body END AS source,
+  regexp_split_to_array(lower(context), '\s+') AS words FROM fi WHERE final_rank <= 20),
+ls AS (SELECT *, {_LINES.replace("body", "source")} AS ls FROM src),
+ws AS (SELECT *, list_transform(ls, lambda x: {_weights_sql("x", _EVIDENCE_WORDS)} + 0.15::DOUBLE * len(list_filter(words, lambda t: contains(lower(x), t)))) AS ws FROM ls),
+bs AS (SELECT *, (list_position(ws, list_max(ws)) - 1)::INTEGER AS pick FROM ws),
+sn AS (SELECT *, array_to_string(ls[greatest(pick, 1):greatest(pick, 1) + 2], chr(10)) AS s, len(string_split(left(body, begin), chr(10))) AS first FROM bs)
+SELECT final_rank, '@' || substr(content_hash, 1, 6) AS id, vp AS virtual_path, {_title_sql()} AS title, round(final, 6) AS score,
+  CASE WHEN length(s) > 500 THEN left(s, 497) || '...' ELSE s END AS snippet, NULL::VARCHAR AS body, (first + pick)::INTEGER AS line, context FROM sn""")
+def hybrid_search(spark, sf):
+    """Keyword and vector rankings of all inputs fused, reranked on evidence, with snippets: 20 best documents."""
+    return results.items(_hybrid(spark, sf), _ASKED).withColumn("score", F.round("score", 6))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 
 TARGET, RESERVED, MOST_OVERLAP = 900, 128, 96
 _FENCE = re.compile(r" {0,3}`{3,}")
-_HEADING = re.compile(r" {0,3}#{1,6}(\s|$)")
+_HEADING = re.compile(r" {0,3}#{1,6}([ \t\x0b\x0c\r]|$)")
+#: White space that breaks lines or words; non-breaking spaces are text.
+_BLANK = re.compile(r"[\t-\r\x1c-\x20  -  -    　]*")
 
 
 def default_tokens(text: str) -> int:
@@ -22,8 +24,8 @@ def default_tokens(text: str) -> int:
 def structure(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Boundaries (offset, priority) in order, and fences (start, end).
 
-    Headings outside fences have 3, edges of a fence 2, blank lines 1, other line ends 0. An
-    open fence runs to the end.
+    Headings have 3, edges of a fence 2, blank lines 1, other line ends 0; inside a fence there
+    is none. An open fence runs to the end. Lines end with line feeds only.
     """
     marks: dict[int, int] = {}
     fences, opened, at = [], None, 0
@@ -31,8 +33,8 @@ def structure(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     def mark(offset: int, priority: int) -> None:
         marks[offset] = max(priority, marks.get(offset, 0))
 
-    for line in text.splitlines(keepends=True) if text else []:
-        end = at + len(line)
+    for part in re.findall(r"[^\n]*\n|[^\n]+", text):
+        line, end = part.removesuffix("\n").removesuffix("\r"), at + len(part)
         if _FENCE.match(line):
             if opened is None:
                 opened = at
@@ -41,9 +43,10 @@ def structure(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
                 fences.append((opened, end))
                 opened = None
                 mark(end, 2)
-        elif opened is None and _HEADING.match(line):
-            mark(at, 3)
-        mark(end, 1 if not line.strip() else 0)
+        elif opened is None:
+            if _HEADING.match(line):
+                mark(at, 3)
+            mark(end, 1 if _BLANK.fullmatch(line) else 0)
         at = end
     if opened is not None:
         fences.append((opened, len(text)))
@@ -55,9 +58,9 @@ def chunks(text: str, count: Callable[[str], int] = default_tokens, most_input:
 
     A chunk ends before a fence that it would cut, or behind it if that still fits; else at
     the boundary of highest priority in its second half, the last of equals. After a soft end
-    the next chunk begins within the last tenth, at a line if there is one.
+    the next chunk begins within the last tenth, behind a line end if there is one.
     """
-    if not text.strip():
+    if _BLANK.fullmatch(text):
         return []
     limit = min(TARGET, most_input - RESERVED)
     boundaries, fences = structure(text)
@@ -66,37 +69,34 @@ def chunks(text: str, count: Callable[[str], int] = default_tokens, most_input:
 
     def fit(begin: int, end: int) -> int:
         while end - begin > 1 and (n := count(text[begin:end])) > limit:
-            end = begin + max(1, min(end - begin - 1, (end - begin) * limit // n))
+            end = min(end - 1, begin + max(1, (end - begin) * limit // n))
         return end
 
+    def overlap(begin: int, end: int) -> int:
+        at = end - max(1, (end - begin) // 10)
+        while at < end and count(text[at:end]) > max(1, min(MOST_OVERLAP, limit // 10)):
+            at += max(1, (end - at) // 3)
+        newline = text.find("\n", at, end - 1)
+        at = newline + 1 if newline >= 0 else at
+        return at if begin < at < end else end
+
     while covered < len(text):
         end = fit(start, min(len(text), start + 3 * limit))
-        end = max(end, min(covered + 1, len(text)))
-        strong = end == len(text)
-        if not strong:
-            fence = next(((a, b) for a, b in fences if a < end < b), None)
-            if fence and fence[0] > max(start, covered):
-                end, strong = fence[0], True
-            elif fence and count(text[start : fence[1]]) <= limit:
-                end, strong = fence[1], True
-            else:
-                low = max(covered + 1, start + (end - start) // 2)
-                i, j = bisect.bisect_left(offsets, low), bisect.bisect_right(offsets, end)
-                if i < j:
-                    end, priority = max(boundaries[i:j], key=lambda b: (b[1], b[0]))
-                    strong = priority > 0
+        end, strong = max(end, covered + 1), False
+        fence = next(((a, b) for a, b in fences if a < end < b), None)
+        if fence and fence[0] > max(start, covered):
+            end, strong = fence[0], True
+        elif fence and count(text[start : fence[1]]) <= limit:
+            end, strong = fence[1], True
+        elif end < len(text):
+            low = max(covered + 1, start + (end - start) // 2)
+            i, j = bisect.bisect_left(offsets, low), bisect.bisect_right(offsets, end)
+            if i < j:
+                end, priority = max(boundaries[i:j], key=lambda b: (b[1], b[0]))
+                strong = priority > 0
         out.append((start, end))
         begin, covered = start, end
-        if strong:
-            start = covered
-        else:
-            allowed = max(1, min(MOST_OVERLAP, limit // 10))
-            start = covered - (covered - begin) // 10
-            while start < covered and count(text[start:covered]) > allowed:
-                start += max(1, (covered - start) // 4)
-            newline = text.find("\n", start, covered)
-            start = newline + 1 if 0 <= newline < covered - 1 else start
-            start = max(start, begin + 1)
+        start = covered if strong else overlap(begin, end)
     return out
 
 

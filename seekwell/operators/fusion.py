@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from seekwell.functions.text import nfkc
+
 RRF_K = 60
 RERANK_DEPTH = 40
 
 
 def ranked(hits: DataFrame, order: list[Column]) -> DataFrame:
-    """Dense ranks from 1 within each ranking, repeated paths and blank bodies left out before.
+    """Dense ranks from 1 within each ranking, which has a path once: its first hit.
 
-    ``hits(query_id, virtual_path, ...)``, each ranking of bounded length.
+    ``hits(query_id, virtual_path, ...)``; searches cut their rankings to the candidates that
+    are asked for, so a ranking is ranked by one task.
     """
     once = W.partitionBy("query_id", "virtual_path").orderBy(*order)
     first = hits.withColumn("_o", F.row_number().over(once)).where("_o = 1").drop("_o")
@@ -24,18 +27,20 @@ def bonus(best_rank: Column) -> Column:
     return F.when(best_rank == 1, 0.05).when(best_rank <= 3, 0.02).otherwise(0.0)
 
 
-def fused(rankings: DataFrame) -> DataFrame:
+def fused(rankings: DataFrame, limit: int | None = None) -> DataFrame:
     """Weighted reciprocal rank fusion of ``rankings(query_id, weight, rank, virtual_path)``.
 
-    Sums weight / (60 + rank), with a bonus for the best rank. Fusion ranks are over the
-    paths that came out of the rankings, whose number their limits bound.
+    Sums weight / (60 + rank), with a bonus for the best rank. With a limit, a top-k of each
+    task comes before the fusion ranks, so that one task ranks that many rows.
     """
     sums = rankings.groupBy("virtual_path").agg(
         F.sum(F.col("weight") / (RRF_K + F.col("rank"))).alias("rrf"), F.min("rank").alias("best_rank")
     )
     scored = sums.withColumn("fusion_score", F.round(F.col("rrf") + bonus(F.col("best_rank")), 12))
-    order = W.partitionBy(F.lit(1)).orderBy(F.desc("fusion_score"), "virtual_path")
-    return scored.withColumn("fusion_rank", F.row_number().over(order))
+    order = [F.desc("fusion_score"), F.col("virtual_path")]
+    if limit is not None:
+        scored = scored.orderBy(*order).limit(limit)
+    return scored.withColumn("fusion_rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
 
 
 def blend(fusion_rank: Column, rerank: Column) -> Column:
@@ -58,18 +63,20 @@ def blended(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("score", score).withColumn("final_rank", F.row_number().over(order))
 
 
+def term_score(text: Column, terms: list[tuple[str, float]]) -> Column:
+    """Sum of the weights of the terms that a text has, in compatibility form and any case."""
+    plain = F.lower(nfkc(text))
+    return sum((F.when(plain.contains(t), float(w)).otherwise(0.0) for t, w in terms), F.lit(0.0))
+
+
 def best_chunk(chunks: DataFrame, key: str, text: Column, terms: list[tuple[str, float]]) -> DataFrame:
     """For each ``key`` the chunk whose text has most of the weighted terms, the first on ties."""
-    found = [F.when(F.lower(text).contains(t), float(w)).otherwise(0.0) for t, w in terms]
-    scored = chunks.withColumn("evidence_score", sum(found, F.lit(0.0)))
+    scored = chunks.withColumn("evidence_score", term_score(text, terms))
     return scored.groupBy(key).agg(
         F.max_by(F.struct("chunk_index", "evidence_score"), F.struct("evidence_score", -F.col("chunk_index"))).alias("e")
     ).select(key, "e.*")
 
 
 def term_overlap(text: Column, terms: list[str]) -> Column:
-    """The default reranker: the share of the terms that a text contains."""
-    if not terms:
-        return F.lit(0.0)
-    found = [F.when(F.lower(text).contains(t), 1.0).otherwise(0.0) for t in terms]
-    return sum(found, F.lit(0.0)) / len(terms)
+    """The share of the terms that a text contains."""
+    return term_score(text, [(t, 1.0) for t in terms]) / len(terms) if terms else F.lit(0.0)

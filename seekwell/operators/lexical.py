@@ -1,109 +1,159 @@
 """Keyword search: the token index, matching, and BM25 ranking over two columns.
 
-Two ways to the same counts: ``atom_counts`` reads token arrays, one pass over the index;
-``postings`` keeps a table sorted by term, where a word's prefix is a range of terms that
-reaches the Parquet scan, and phrases are equi-joins on position.
+An index is made once and searched often: ``postings`` has a row for each term, document and
+column, sorted by term, so that a word's prefix is a range of terms that reaches the Parquet
+scan; ``lengths`` has a row for each document. A search reads the postings of its terms only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.functions.grammar import Atom, Clause, atoms, normal
+from seekwell.functions.grammar import Atom, Clause, atoms, needs_text_check, normal
+from seekwell.functions.stemming import stem, stemmed_vocabulary
 from seekwell.functions.text import nfkc, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+KEY = ["project_name", "path"]
 
 
-def token_index(docs: DataFrame, normalized: bool = False, cjk: bool = True) -> DataFrame:
-    """Adds ``title_tokens`` (of title and path), ``body_tokens`` and ``doc_len`` to documents.
-
-    ``normalized`` says that the texts are in compatibility form already.
-    """
-    form = (lambda c: c) if normalized else nfkc
+def token_index(docs: DataFrame) -> DataFrame:
+    """Adds ``title_tokens`` (of title and path), ``body_tokens`` and ``doc_len`` to documents."""
     both = F.struct(
-        tokens(form(F.concat("title", F.lit(" "), "path")), cjk).alias("title_tokens"),
-        tokens(form(F.col("body")), cjk).alias("body_tokens"),
+        tokens(nfkc(F.concat("title", F.lit(" "), "path"))).alias("title_tokens"),
+        tokens(nfkc(F.col("body"))).alias("body_tokens"),
     )
     # a generator of one row: filters on the tokens are not pushed below it, where each use would tokenize anew
     once = docs.select(*docs.columns, F.explode(F.array(both)).alias("_t")).select(*docs.columns, "_t.*")
     return once.withColumn("doc_len", F.size("title_tokens") + F.size("body_tokens"))
 
 
-def atom_count(column: str, atom: Atom) -> Column:
-    """Occurrences of an atom in an array of tokens."""
-    first = [F.lit(t) for t in atom.tokens]
-    if len(first) == 1:
-        test = (lambda t: t.startswith(atom.tokens[0])) if atom.prefix else (lambda t: t == first[0])
-        return F.size(F.filter(column, test))
+@dataclass
+class Index:
+    """``postings(term, project_name, path, col, tf, positions)`` and ``lengths(project_name, path, ..., doc_len)``."""
 
-    def here(i: Column) -> Column:
-        found = F.lit(True)
-        for k, want in enumerate(atom.tokens):
-            got = F.element_at(column, i + k)
-            last = k + 1 == len(atom.tokens)
-            found = found & (got.startswith(want) if atom.prefix and last else got == want)
-        return found
+    postings: DataFrame
+    lengths: DataFrame
+    #: Whether terms are stems without diacritics; queries are treated alike.
+    stemmed: bool = False
 
-    n = len(first)
-    at = F.when(F.size(column) >= n, F.sequence(F.lit(1), F.size(column) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(at, here))
 
+def inverted(index: DataFrame) -> Index:
+    """The index of a table of tokens."""
+    return Index(postings(index), index.drop("title_tokens", "body_tokens", "body"))
 
-def _positive(clauses: list[Clause]) -> list[Atom]:
-    return [a for c in clauses if not c.excluded for a in atoms(c)]
 
+def with_stems(index: Index) -> Index:
+    """The same index by stems; each distinct term is stemmed once."""
+    stems = stemmed_vocabulary(index.postings)
+    return Index(index.postings.join(stems, "term").drop("term").withColumnRenamed("stem", "term"), index.lengths, True)
 
-def matching(index: DataFrame, clauses: list[Clause]) -> tuple[Column, list[Column]]:
-    """Whether a row of the index matches, and the occurrences of each required atom.
 
-    An atom may match in either column. Excluded phrases without spaces between words are
-    only checked on the text, as all phrases are.
-    """
-    counts = [atom_count("title_tokens", a) + atom_count("body_tokens", a) for a in _positive(clauses)]
-    ok = F.lit(True)
-    for c in counts:
-        ok = ok & (c > 0)
-    for clause in clauses:
-        if clause.excluded:
-            gone = F.lit(True)
-            for a in atoms(clause):
-                gone = gone & (atom_count("title_tokens", a) + atom_count("body_tokens", a) > 0)
-            ok = ok & ~gone
-        if clause.phrase and not clause.excluded:
-            ok = ok & F.lower(F.col("body")).contains(normal(clause.text).lower())
-    return ok, counts
-
-
-def bm25_topk(index: DataFrame, clauses: list[Clause], limit: int | None, scope: list[str] | None = None) -> DataFrame:
-    """Matching documents with ``raw_bm25`` (lower is better) and ``score``, best first.
-
-    Document frequencies, the number of documents and their mean length are those of the
-    whole index; ``scope`` only says which projects are returned. The statistics are one row
-    of a partial aggregate, and the limit is a top-k of each task before the merge.
+def atom_count(column: str, atom: Atom) -> Column:
+    """Occurrences of an atom of one token in an array of tokens."""
+    (first,) = atom.tokens
+    test = (lambda t: t.startswith(first)) if atom.prefix else (lambda t: t == first)
+    return F.size(F.filter(column, test))
+
+
+def prefix_range(term: str) -> Column:
+    """Terms with a prefix as a range, so that a sorted file can be skipped by its statistics."""
+    low, last = F.col("term") >= term, term
+    while last and ord(last[-1]) == 0x10FFFF:
+        last = last[:-1]
+    if not last:
+        return low
+    after = 0xE000 if ord(last[-1]) == 0xD7FF else ord(last[-1]) + 1
+    return low & (F.col("term") < last[:-1] + chr(after))
+
+
+def atom_counts(index: Index, wanted: list[Atom]) -> DataFrame:
+    """``(project_name, path, _f0, _f1, ...)``: occurrences of atoms in documents that have any.
+
+    Only postings of the atoms' terms are read. An atom of several tokens holds where they
+    follow each other in one column: their positions, moved back by their place in the atom,
+    are then equal.
     """
-    ok, counts = matching(index, clauses)
-    names = [f"_f{i}" for i in range(len(counts))]
-    counted = index.select("project_name", "path", "content_hash", "body", "doc_len", ok.alias("_ok"), *(c.alias(n) for c, n in zip(counts, names, strict=True)))
-    stats = counted.agg(
-        F.count("*").alias("_n"),
-        F.avg("doc_len").alias("_mean"),
-        *(F.sum(F.when(F.col(n) > 0, 1).otherwise(0)).alias(f"_df{i}") for i, n in enumerate(names)),
+    tags = []
+    for a, atom in enumerate(wanted):
+        for i, t in enumerate(atom.tokens):
+            is_it = prefix_range(t) if atom.prefix and i + 1 == len(atom.tokens) else F.col("term") == t
+            tags.append((is_it, F.struct(F.lit(a).alias("atom"), F.lit(i).alias("at"))))
+    found = index.postings.where(reduce(or_, (c for c, _ in tags))).select(
+        *KEY, "col", "tf", "positions", F.inline(F.array_compact(F.array(*(F.when(c, t) for c, t in tags))))
     )
+    several = [i for i, a in enumerate(wanted) if len(a.tokens) > 1]
+    counts = found.where(~F.col("atom").isin(several)) if several else found
+    counts = counts.select(*KEY, "atom", F.col("tf").cast("long").alias("n"))
+    if several:
+        starts = found.where(F.col("atom").isin(several)).select(*KEY, "atom", "col", "at", F.explode("positions").alias("pos"))
+        whole = F.element_at(F.array(*(F.lit(len(a.tokens)) for a in wanted)), F.col("atom") + 1)
+        runs = starts.groupBy(*KEY, "atom", "col", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count("*").alias("k"))
+        counts = counts.unionByName(runs.where(F.col("k") == whole).select(*KEY, "atom", F.lit(1).cast("long").alias("n")))
+    columns = [F.coalesce(F.sum(F.when(F.col("atom") == a, F.col("n"))), F.lit(0)).alias(f"_f{a}") for a in range(len(wanted))]
+    return counts.groupBy(*KEY).agg(*columns)
+
+
+def _as_indexed(index: Index, atom: Atom) -> Atom:
+    return Atom(tuple(map(stem, atom.tokens)), atom.prefix) if index.stemmed else atom
+
+
+def text_check(body: Column, clauses: list[Clause]) -> Column:
+    """Whether a text has each phrase of a script without spaces that it should, and no excluded one."""
+    plain, ok = F.lower(nfkc(body)), F.lit(True)
+    for clause in filter(needs_text_check, clauses):
+        has = plain.contains(normal(clause.text).lower())
+        ok = ok & (~has if clause.excluded else has)
+    return ok
+
+
+def bm25_topk(index: Index, clauses: list[Clause], limit: int | None, scope: list[str] | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """``(project_name, path, raw_bm25, score)`` of matching documents, best (lowest ``raw_bm25``) first.
+
+    An atom may match in either column. Document frequencies, the number of documents and
+    their mean length are those of the whole index; ``scope`` only says which projects are
+    returned. The statistics are one row, and the limit is a top-k of each task before the
+    merge. ``bodies(project_name, path, body)`` is read, for documents that match, if a
+    phrase has a script without spaces; the limit counts what its check lets through.
+    """
+    positive = [_as_indexed(index, a) for c in clauses if not c.excluded for a in atoms(c)]
+    refused = [[_as_indexed(index, a) for a in atoms(c)] for c in clauses if c.excluded]
+    wanted = [*positive, *(a for some in refused for a in some)]
+    counted = atom_counts(index, wanted)
+    ok, at = F.lit(True), len(positive)
+    for i in range(len(positive)):
+        ok = ok & (F.col(f"_f{i}") > 0)
+    for some in refused:
+        if some:
+            ok = ok & (F.least(F.lit(1), *(F.col(f"_f{at + i}") for i in range(len(some)))) == 0)
+            at += len(some)
+    frequencies = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(positive))))
+    whole = index.lengths.agg(F.count("*").alias("_n"), F.avg("doc_len").alias("_mean"))
     score = F.lit(0.0)
-    for i, n in enumerate(names):
+    for i in range(len(positive)):
         df = F.col(f"_df{i}")
         idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        f = F.col(n).cast("double")
+        f = F.col(f"_f{i}").cast("double")
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("_mean")))
-    hits = counted.where(F.col("_ok"))
+    hits = counted.where(ok)
     if scope is not None:
         hits = hits.where(F.col("project_name").isin(scope))
-    ranked = hits.crossJoin(F.broadcast(stats)).select(
-        "project_name", "path", "content_hash", "body", (-score).alias("raw_bm25")
+    if any(map(needs_text_check, clauses)):
+        if bodies is None:
+            raise ValueError("a phrase of this script is checked on the bodies")
+        hits = hits.join(bodies.select(*KEY, "body"), KEY).where(text_check(F.col("body"), clauses)).drop("body")
+    ranked = (
+        hits.join(index.lengths.select(*KEY, "doc_len"), KEY)
+        .crossJoin(F.broadcast(frequencies))
+        .crossJoin(F.broadcast(whole))
+        .select(*KEY, (-score).alias("raw_bm25"))
     )
-    out = ranked.withColumn("score", public_score(F.col("raw_bm25"))).orderBy("raw_bm25", "project_name", "path")
+    out = ranked.withColumn("score", public_score(F.col("raw_bm25"))).orderBy("raw_bm25", *KEY)
     return out if limit is None else out.limit(limit)
 
 
@@ -116,26 +166,12 @@ def public_score(raw: Column) -> Column:
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """A row for each term, document and column: its count and positions, sorted by term in files."""
-    sides = [
-        index.select("project_name", "path", F.lit(i).cast("tinyint").alias("col"), F.posexplode(c).alias("pos", "term"))
-        for i, c in enumerate(("title_tokens", "body_tokens"))
-    ]
-    return (
-        sides[0]
-        .unionByName(sides[1])
-        .groupBy("term", "project_name", "path", "col")
-        .agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
-
-
-def prefix_range(term: str) -> Column:
-    """Terms with a prefix as a range, so that a sorted file can be skipped by its statistics."""
-    return (F.col("term") >= term) & (F.col("term") < term[:-1] + chr(ord(term[-1]) + 1))
+    """A row for each term, document and column: its count and positions."""
+    sides = [F.struct(F.lit(i).cast("tinyint").alias("col"), F.col(c).alias("tokens")) for i, c in enumerate(("title_tokens", "body_tokens"))]
+    places = index.select(*KEY, F.inline(F.array(*sides))).select(*KEY, "col", F.posexplode("tokens").alias("pos", "term"))
+    return places.groupBy("term", *KEY, "col").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def vocabulary(index: DataFrame) -> DataFrame:
+def vocabulary(index: Index) -> DataFrame:
     """Terms of bodies with the documents and occurrences that have them."""
-    pairs = index.select("project_name", "path", F.explode("body_tokens").alias("term"))
-    per_doc = pairs.groupBy("term", "project_name", "path").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+    return index.postings.where("col = 1").groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("occurrences"))

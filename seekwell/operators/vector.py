@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 FARTHEST = 1.7976931348623157e308
-
-
-def distance(a: str | Column, b: str | Column) -> Column:
-    """Euclidean distance of two arrays, in double precision; no number counts as farthest."""
-    square = F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-        F.lit(0.0),
-        lambda s, x: s + x,
-    )
-    d = F.sqrt(square)
-    return F.when(d.isNull() | F.isnan(d) | (d == float("inf")), F.lit(FARTHEST)).otherwise(F.greatest(d, F.lit(0.0)))
+#: Most vectors and queries, on average, that one group compares.
+PART, BLOCK = 50_000, 1_000
 
 
 def score(dist: Column) -> Column:
@@ -30,27 +23,79 @@ def valid(vector: str, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & finite, F.lit(False))
 
 
-def nearest_documents(vectors: DataFrame, queries: DataFrame, limit: int, scope: list[str] | None = None) -> DataFrame:
+def _distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; no number counts as farthest."""
+    with np.errstate(all="ignore"):
+        found = np.sqrt(np.square(vectors - query).sum(axis=1))
+    return np.where(np.isfinite(found), found, FARTHEST)
+
+
+def _matrix(arrays: pd.Series, dims: int) -> np.ndarray:
+    """Vectors as rows; one of another length, or without, is nowhere near."""
+    rows = [a if a is not None and len(a) == dims else np.full(dims, np.nan) for a in arrays]
+    return np.array(rows, np.float64).reshape(-1, dims)
+
+
+_HIT = "query_id long, project_name string, path string, chunk_index int, distance double"
+
+
+def _nearest(vectors: pd.DataFrame, queries: pd.DataFrame, limit: int | None) -> pd.DataFrame:
+    """The nearest chunk of each document of a group, and of these the nearest of each project."""
+    names = [c.split()[0] for c in _HIT.split(", ")]
+    if not len(vectors) or not len(queries):
+        return pd.DataFrame({c: [] for c in names})
+    found = vectors.sort_values(["project_name", "path", "chunk_index"], kind="stable", ignore_index=True)
+    dims = len(queries["query"].iloc[0])
+    matrix = _matrix(found["embedding"], dims)
+    doc = found.groupby(["project_name", "path"], sort=False, dropna=False).ngroup().to_numpy()
+    project = pd.factorize(found["project_name"], use_na_sentinel=False)[0]
+    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    out = []
+    for name, query in zip(queries["query_id"].tolist(), queries["query"], strict=True):
+        d = _distances(matrix, np.asarray(query, np.float64))
+        by_doc = np.lexsort((d, doc))[starts]  # stable: the first chunk of equals; documents stay in order of path
+        order = by_doc[np.lexsort((d[by_doc], project[by_doc]))]
+        if limit is not None:
+            of = project[order]
+            first = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+            order = order[np.arange(len(order)) - np.repeat(first, np.diff([*first, len(order)])) < limit]
+        hits = found.iloc[order]
+        out.append(pd.DataFrame({"query_id": name, "project_name": hits["project_name"], "path": hits["path"], "chunk_index": hits["chunk_index"], "distance": d[order]}))
+    return pd.concat(out)
+
+
+def nearest_documents(vectors: DataFrame, queries: DataFrame, limit: int | None, scope: list[str] | None = None) -> DataFrame:
     """The ``limit`` nearest documents of each project for each query, by their nearest chunk.
 
-    ``vectors(project_name, path, chunk_index, embedding)``; ``queries(query_id, query)``, a stated,
-    small set that goes to every task. The scope filter comes before all else. The two ranks
-    keep only what can be among the first in each task before the shuffle.
+    ``vectors(project_name, path, chunk_index, embedding)``; ``queries(query_id, query)``, which may grow
+    with the vectors. The scope filter comes before all else. Both are dealt into parts of bounded
+    size, the vectors by document; each part of vectors meets each block of queries once, and
+    only what may be among the first leaves the pair.
     """
     rows = vectors if scope is None else vectors.where(F.col("project_name").isin(scope))
-    pairs = rows.crossJoin(F.broadcast(queries)).withColumn("distance", distance("embedding", "query"))
-    chunk = W.partitionBy("query_id", "project_name", "path").orderBy("distance", "chunk_index")
+    parts, blocks = (-(-max(n, 1) // most) for n, most in ((rows.count(), PART), (queries.count(), BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(
+        "project_name", "path", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding",
+        F.pmod(F.xxhash64("project_name", "path"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"),
+    )
+    right = queries.select(
+        F.col("query_id").cast("long").alias("query_id"), "query",
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"),
+    )
+
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(a, b, limit)
+
+    best = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(compared, _HIT)
     doc = W.partitionBy("query_id", "project_name").orderBy("distance", "path", "chunk_index")
-    best = pairs.drop("embedding", "query").withColumn("_c", F.row_number().over(chunk)).where("_c = 1")
-    return (
-        best.withColumn("rank", F.row_number().over(doc))
-        .where(F.col("rank") <= limit)
-        .drop("_c")
-        .withColumn("score", score(F.col("distance")))
-    )
+    ranked = best.withColumn("rank", F.row_number().over(doc))
+    kept = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return kept.withColumn("score", score(F.col("distance")))
 
 
-def merged(hits: DataFrame, limit: int) -> DataFrame:
+def merged(hits: DataFrame, limit: int | None) -> DataFrame:
     """The best of all projects for each query: score, then project and path."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "project_name", "path")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = hits.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)

@@ -2,8 +2,11 @@
 
 import os
 import random
+import re
+import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from seekwell.functions import grammar, names, stemming, text
 from seekwell.functions.names import EngineError
@@ -53,11 +56,9 @@ DOCS = [
 
 
 def index(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame(DOCS, "project_name string, path string, body string")
     docs = docs.withColumn("title", text.title(docs.body, docs.path)).withColumn("content_hash", F.sha2("body", 256))
-    return lexical.token_index(docs)
+    return lexical.inverted(lexical.token_index(docs))
 
 
 @pytest.mark.parametrize(
@@ -78,8 +79,44 @@ def test_keyword_search(spark, query, scope, paths):
     assert [h.raw_bm25 for h in hits] == sorted(h.raw_bm25 for h in hits)
 
 
+SCRIPTS = [("p", "a", "rate\nlimiter ｆｕｌｌ width"), ("p", "b", "word 中文测 x 文测试"), ("p", "c", "word 中文测试"), ("p", "d", None), ("p", "e", "running dogs, naïve")]
+
+
+@pytest.mark.parametrize(
+    "query, paths",
+    [('"rate limiter"', "a"), ('"full width"', "a"), ('word -"中文测试"', "b"), ('"中文测试"', "c"), ("中文", "bc"), ('-"中文测试" word', "b")],
+)
+def test_phrases_and_scripts(spark, query, paths):
+    docs = spark.createDataFrame(SCRIPTS, "project_name string, path string, body string").withColumn("title", text.title(F.lit(""), F.lit("t")))
+    found = lexical.bm25_topk(lexical.inverted(lexical.token_index(docs)), grammar.parse(query), None, bodies=docs).collect()
+    assert "".join(sorted(r.path for r in found)) == paths
+
+
+def test_stems_find_other_forms(spark):
+    docs = spark.createDataFrame(SCRIPTS, "project_name string, path string, body string").withColumn("title", F.lit("t"))
+    stems = lexical.with_stems(lexical.inverted(lexical.token_index(docs)))
+    for query in ("runs dog", '"running dog"', "naive", "dog naïve"):
+        assert [r.path for r in lexical.bm25_topk(stems, grammar.parse(query), None).collect()] == ["e"], query
+
+
+def test_quick_tokens_are_those_of_the_slow_way(spark):
+    r = random.Random(3)
+    signs = list("abAB12zZ ._-'\"́̈ßÉéÑ中文サーがσΣςǅ٣ªʰ９ｆ")
+    rows = [("".join(r.choice(signs) for _ in range(r.randint(0, 14))),) for _ in range(3000)]
+    got = spark.createDataFrame(rows, "t string").select("t", text.tokens(text.nfkc(F.col("t"))).alias("n")).collect()
+    assert [(g.t, g.n) for g in got if g.n != grammar.word_tokens(g.t)] == []
+
+
+def test_characters_taken_for_stable_and_for_other_scripts(spark):
+    every = spark.createDataFrame([(chr(c),) for c in range(0x80, 0x2FA20) if not 0xD800 <= c < 0xE000], "c string")
+    stable = [r.c for r in every.where(~F.col("c").rlike(f"[^{text._STABLE}]")).collect()]
+    second = {x for c in range(0x80, 0x2FA20) if not 0xD800 <= c < 0xE000 for x in unicodedata.normalize("NFD", chr(c))[1:]}
+    assert len(stable) > 1000 and all(unicodedata.normalize("NFKC", c) == c and c not in second for c in stable)
+    assert every.where(F.col("c").rlike(f"[{text._CJK}]") & ~F.col("c").rlike(text._MAYBE_CJK)).count() == 0
+
+
 def test_postings_agree_with_counts(spark):
-    rows = lexical.postings(index(spark)).where(lexical.prefix_range("limit")).collect()
+    rows = index(spark).postings.where(lexical.prefix_range("limit")).collect()
     assert {(r.path, r.col, r.tf) for r in rows} == {(p, 1, 1) for p in ("alpha.md", "beta.md", "gamma.md", "old.md")}
 
 
@@ -90,6 +127,7 @@ def test_vector_limit_counts_documents(spark):
     got = vector.nearest_documents(vecs, query, 2).orderBy("project_name", "rank").collect()
     assert [(r.path, r.chunk_index, r.distance) for r in got[:2]] == [("long.md", 0, 0.0), ("short.md", 0, 1.0)]
     assert got[2].distance == vector.FARTHEST
+    assert vector.nearest_documents(vecs, query, None).count() == 3
     ok = [r.ok for r in vecs.select(vector.valid("embedding", 2).alias("ok")).collect()]
     assert ok == [True] * 4 + [False]
 
@@ -133,6 +171,62 @@ def test_chunks_are_bounded_and_cover():
     assert chunking.chunks(" \n") == []
 
 
+def restated_chunks(body, limit):
+    """The chunk rules again, a step at a time; tokens are characters."""
+    lines = [(m.start(), m.end(), m[0].rstrip("\n").removesuffix("\r")) for m in re.finditer(r"[^\n]*\n|[^\n]+$", body)]
+    edges, fences, inside = [], [], None
+    for a, b, line in lines:
+        if re.match(r" ? ? ?```", line):
+            edges.append((a if inside is None else b, 2))
+            if inside is not None:
+                fences.append((inside, b))
+            inside = a if inside is None else None
+        elif inside is None:
+            if re.match(r" ? ? ?#{1,6}(\s|$)", line):
+                edges.append((a, 3))
+            edges.append((b, 0 if line.strip() else 1))
+    if inside is not None:
+        fences.append((inside, len(body)))
+    out, start, done = [], 0, 0
+    while done < len(body):
+        end = min(len(body), start + min(3 * limit, limit))
+        cut = [f for f in fences if f[0] < end < f[1]][:1]
+        hard = False
+        if cut and cut[0][0] > start:
+            end, hard = cut[0][0], True
+        elif cut and cut[0][1] - start <= limit:
+            end, hard = cut[0][1], True
+        if not hard and end < len(body):
+            fit = [(p, o) for o, p in edges if max(done + 1, start + (end - start) // 2) <= o <= end]
+            if fit:
+                p, end = max(fit)
+                hard = p > 0
+        out.append((start, end))
+        done = end
+        if hard:
+            start = done
+            continue
+        back = end - max(1, (end - out[-1][0]) // 10)
+        while back < end and end - back > max(1, min(96, limit // 10)):
+            back += max(1, (end - back) // 3)
+        line = body.find("\n", back)
+        if line >= 0 and line + 1 < end:
+            back = line + 1
+        start = end if back <= out[-1][0] or back >= end else back
+    return out
+
+
+def test_chunks_follow_the_rules_on_markdown():
+    r, count = random.Random(2), 0
+    parts = ["word ", "longer words here ", "\n", "\n\n", "# head\n", "   ### deep\n", "```\n", "  ````py\n", "x\x0cy ", "\r\n", " \n", "tail\u2028more "]
+    for _ in range(2000):
+        body = "".join(r.choice(parts) for _ in range(r.randint(1, 150)))
+        if body.strip():
+            count += 1
+            assert chunking.chunks(body, len, 168) == restated_chunks(body, 40), repr(body)
+    assert count > 1900
+
+
 def test_stems():
     want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop",
             "filing": "file", "happy": "happi", "relational": "relat", "formalize": "formal", "adoption": "adopt", "probate": "probat", "controll": "control"}
