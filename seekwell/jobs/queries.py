@@ -10,8 +10,9 @@ from seekwell.functions.grammar import Atom, parse, plain_terms
 from seekwell.functions.names import doc_id, virtual_path
 from seekwell.functions.stemming import stemmed_vocabulary
 from seekwell.functions.text import best_line, cjk_grams, lines, nfkc, numbered, projection, snippet, title
+from seekwell.jobs import config
 from seekwell.jobs.indexing import keyword_index, tokenized
-from seekwell.operators import context, documents, fusion, hybrid, lexical, maintenance, results, statistics, vector
+from seekwell.operators import context, documents, embedding, extraction, fusion, hybrid, lexical, maintenance, results, statistics, vector
 from seekwell.operators.chunking import chunked
 from seekwell.schemas import documents as registry
 from seekwell.schemas import table
@@ -685,6 +686,156 @@ def constraint_violations(spark, sf):
     return maintenance.violations(_flawed(_with_state(registry(spark, sf))))
 
 
+@query(f"""WITH {_NEXT} SELECT t.project_name, t.path, t.source_mtime_ns, t.title, CASE WHEN {{touch}} THEN s.content_hash ELSE t.content_hash END AS content_hash,
+CASE WHEN {{touch}} THEN s.extraction_status ELSE t.extraction_status END AS extraction_status FROM t LEFT JOIN s ON s.project_name = t.project_name AND s.path = t.path""".replace("{touch}", """(s.path IS NOT NULL
+AND t.source_hash IS NOT DISTINCT FROM s.source_hash AND t.title = s.title AND t.file_type = s.file_type AND ((t.file_type <> 'text' AND t.extraction_status = 'pending')
+OR (t.content_hash IS NOT DISTINCT FROM s.content_hash AND t.extraction_status = s.extraction_status)))"""))
+def metadata_applied(spark, sf):
+    docs = _with_state(registry(spark, sf)).withColumn("updated_at", F.lit(None).cast("timestamp"))
+    return maintenance.applied(docs, _next(docs)).select("project_name", "path", "source_mtime_ns", "title", "content_hash", "extraction_status")
+
+
+def _outcomes(docs: DataFrame) -> DataFrame:
+    """What an extractor might say of the waiting documents."""
+    waiting = extraction.work(docs).join(docs.select("project_name", "path", "document_id"), maintenance.KEY)
+    outcome = F.expr("CASE document_id % 3 WHEN 0 THEN 'extracted' WHEN 1 THEN 'failed' ELSE 'skipped' END")
+    return waiting.select("project_name", "path", outcome.alias("outcome"), F.concat(F.lit("text of "), "path").alias("body"))
+
+
+_WAITING = "file_type IN ('pdf', 'image', 'audio', 'video') AND extraction_status = 'pending' AND source_hash IS NOT NULL"
+
+
+@query(f"WITH {_STATE} SELECT project_name, path, file_type, source_hash FROM s WHERE {_WAITING}")
+def extraction_work(spark, sf):
+    return extraction.work(_with_state(registry(spark, sf)))
+
+
+@query(f"""WITH {_STATE}, o AS (SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'extracted' WHEN 1 THEN 'failed' ELSE 'skipped' END AS outcome FROM s WHERE {_WAITING})
+SELECT s.document_id, CASE outcome WHEN 'extracted' THEN sha256('text of ' || path) WHEN 'failed' THEN NULL ELSE content_hash END AS content_hash,
+CASE outcome WHEN 'extracted' THEN 'ready' WHEN 'failed' THEN 'failed' ELSE extraction_status END AS extraction_status FROM s LEFT JOIN o USING (document_id)""")
+def extraction_published(spark, sf):
+    docs = _with_state(registry(spark, sf))
+    return extraction.published(docs, _outcomes(docs)).select("document_id", "content_hash", "extraction_status")
+
+
+@query(f"WITH {_STATE} SELECT sha256('text of ' || path) AS content_hash, 'text of ' || path AS body FROM s WHERE {_WAITING} AND document_id % 3 = 0")
+def extraction_contents(spark, sf):
+    return extraction.new_contents(_outcomes(_with_state(registry(spark, sf))))
+
+
+@query(f"""WITH {_TABLES}, y AS (SELECT document_id, project_name, CASE WHEN document_id % 13 = 2 THEN NULL ELSE content_hash END AS content_hash,
+CASE WHEN document_id % 13 = 2 THEN 'pending' ELSE extraction_status END AS extraction_status FROM s)
+SELECT m.document_id, m.chunk_index FROM m JOIN y USING (document_id, project_name, content_hash) WHERE y.extraction_status = 'ready'""")
+def live_embeddings(spark, sf):
+    docs, _, embedded, _ = _tables(spark, sf)
+    now = docs.withColumn("content_hash", F.expr("CASE WHEN document_id % 13 = 2 THEN NULL ELSE content_hash END")).withColumn(
+        "extraction_status", F.expr("CASE WHEN document_id % 13 = 2 THEN 'pending' ELSE extraction_status END")
+    )
+    return embedding.live_embeddings(embedded, now).select("document_id", "chunk_index")
+
+
+@query(f"""WITH {_NEXT} SELECT s.project_name, s.path FROM s JOIN t ON s.project_name = t.project_name AND s.path = t.path
+WHERE t.extraction_status = 'ready' AND s.content_hash = t.content_hash AND s.title = t.title""")
+def live_lexical(spark, sf):
+    docs = _with_state(registry(spark, sf))
+    return maintenance.live_lexical(docs.select("project_name", "path", "content_hash", "title"), _next(docs)).select("project_name", "path")
+
+
+@query(f"""WITH {_DOCS} SELECT doc_id, 'title: ' || CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE {_title_sql()} END || ' | text: ' || body AS input FROM d""")
+def embedding_input(spark, sf):
+    docs = registry(spark, sf)
+    name = F.when(F.col("doc_id") % 4 != 0, title(F.lit(""), F.col("path"))).otherwise(" ")
+    return docs.select("doc_id", embedding.document_input(name, F.col("body")).alias("input"))
+
+
+@query(f"""WITH {_DOCS}, e AS (SELECT DISTINCT content_hash, body FROM d), c AS (SELECT content_hash, unnest(range(len(string_split(body, chr(10)))))::INTEGER AS i FROM e),
+x AS (SELECT content_hash, CASE WHEN i % 3 = 2 THEN i + 1 ELSE i END AS i, CASE WHEN i % 7 = 6 THEN -1 ELSE 0 END AS a FROM c),
+g AS (SELECT content_hash, count_if(a < 0) AS bad, count(*) AS n, count(DISTINCT i) AS k, min(i) AS low, max(i) AS high FROM x GROUP BY 1)
+SELECT content_hash, 'offsets' AS rule FROM g WHERE bad > 0 UNION ALL SELECT content_hash, 'repeated' FROM g WHERE k < n
+UNION ALL SELECT content_hash, 'gaps' FROM g WHERE low <> 0 OR high - low + 1 <> k""")
+def chunk_violations(spark, sf):
+    rows = _line_chunks(registry(spark, sf)).select(
+        "content_hash", F.expr("CASE WHEN chunk_index % 3 = 2 THEN chunk_index + 1 ELSE chunk_index END").alias("chunk_index"),
+        F.expr("CASE WHEN chunk_index % 7 = 6 THEN -1 ELSE 0 END").alias("char_start_offset"), F.lit(1).alias("char_end_offset"),
+    )
+    return maintenance.chunk_violations(rows)
+
+
+@query(f"""WITH {_CACHE}, w AS (SELECT event_id, sha256(event_id::VARCHAR) AS cache_key, CASE WHEN event_id % 2 = 0 THEN 'embed' ELSE 'extract' END AS operation FROM events)
+SELECT w.event_id, k.user_id::VARCHAR AS payload FROM w JOIN k USING (cache_key, operation)""")
+def cache_hits(spark, sf):
+    """A row of another operation is no hit, although its key is the same."""
+    same = {c: F.lit("r") for c in ("recipe_id", "input_hash")}
+    work = table(spark, sf, "events").select(
+        "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("cache_key"), F.expr("CASE WHEN event_id % 2 = 0 THEN 'embed' ELSE 'extract' END").alias("operation")
+    ).withColumns(same)
+    cache = _cache(spark, sf).withColumns(same).withColumn("payload", F.col("user_id").cast("string"))
+    return maintenance.cache_hits(work, cache).select("event_id", "payload")
+
+
+@query(f"""WITH {_NEXT}, j AS (SELECT s.path AS was, t.path AS now, s.source_mtime_ns = t.source_mtime_ns AND s.source_size_bytes = t.source_size_bytes AS alike,
+  s.path IS NOT NULL AND t.source_hash IS NOT DISTINCT FROM s.source_hash AND t.title = s.title AND t.file_type = s.file_type AND ((t.file_type <> 'text' AND t.extraction_status = 'pending')
+  OR (t.content_hash IS NOT DISTINCT FROM s.content_hash AND t.extraction_status = s.extraction_status)) AS touch, t.extraction_status
+  FROM s FULL JOIN t ON s.project_name = t.project_name AND s.path = t.path)
+SELECT count_if(now IS NOT NULL AND NOT touch) AS upserted, count_if(now IS NOT NULL AND touch) AS touched, count_if(alike) AS unchanged, count_if(now IS NULL) AS removed,
+count_if(extraction_status = 'ready') AS ready, count_if(extraction_status = 'pending') AS pending, count_if(extraction_status = 'failed') AS failed FROM j""")
+def scan_report(spark, sf):
+    docs = _with_state(registry(spark, sf))
+    later = _next(docs)
+    return statistics.scan_report(maintenance.diff(docs, later), maintenance.write_kind(docs, later), later)
+
+
+@query(f"WITH {_STATS} SELECT 'NO_DOCUMENTS' AS warning FROM st GROUP BY ALL HAVING sum(documents) = 0")
+def workspace_warnings(spark, sf):
+    """Nothing is wrong with a workspace that has documents."""
+    return statistics.workspace_warnings(_statistics(spark, sf))
+
+
+@query(f"WITH {_STATE} SELECT project_name, count(*) AS documents, max(epoch_ms(document_id * 1000)) AS updated_at FROM s GROUP BY 1")
+def project_updates(spark, sf):
+    docs, chunks, embedded, lexed = _tables(spark, sf)
+    named = docs.withColumn("updated_at", F.timestamp_seconds(F.col("document_id")).cast("timestamp_ntz"))
+    stats = statistics.project_statistics(docs.select("project_name").distinct(), named, lexed, chunks, embedded)
+    return stats.select("project_name", "documents", "updated_at")
+
+
+_PLACES = config.Config((config.Project("en", "/corpus/en"), config.Project("de", "/corpus/de", default_search=False), config.Project("fr", "/corpus/fr")))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM d WHERE project_name IN ('en', 'fr')")
+def default_scope(spark, sf):
+    """Documents of the projects that are searched unless others are named, by a join with the configuration."""
+    searched = _PLACES.project_rows(spark).where("default_search").select("project_name")
+    return registry(spark, sf).join(F.broadcast(searched), "project_name", "left_semi").select("doc_id")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM d WHERE project_name IN ('de', 'en')")
+def explicit_scope(spark, sf):
+    return registry(spark, sf).where(F.col("project_name").isin(_PLACES.scope(["de", "en", "de"]))).select("doc_id")
+
+
+_TARGETS = ["doc://en/src1*/*7.txt", "de/src2/*", "/corpus/en/src3/**", "doc://fr/none.txt"]
+
+
+@query(rf"""WITH {_DOCS}, r AS (SELECT *, CASE doc_id % 10 WHEN 7 THEN strlen(body) > 1000 WHEN 8 THEN strlen(body) > 1000 WHEN 9 THEN strlen(body) > 1000 ELSE true END AS ready FROM d),
+f AS (SELECT 0 AS "at", '{_TARGETS[0]}' AS target, * FROM r WHERE project_name = 'en' AND regexp_full_match(path, 'src1[^/]*/[^/]*7\.txt')
+UNION ALL SELECT 1, '{_TARGETS[1]}', * FROM r WHERE project_name = 'de' AND regexp_full_match(path, 'src2/[^/]*')
+UNION ALL SELECT 2, '{_TARGETS[2]}', * FROM r WHERE project_name = 'en' AND starts_with(path, 'src3/')),
+g AS (SELECT "at", target, 'doc://' || project_name || '/' || path AS virtual_path, CASE WHEN NOT ready THEN 'not_ready' WHEN strlen(body) > 3000 THEN 'skipped' ELSE 'ok' END AS state, {_LINES} AS ls FROM f)
+SELECT "at", target, virtual_path, state, CASE WHEN state = 'ok' THEN array_to_string(ls[1:2], chr(10)) || chr(10) END AS body FROM g
+UNION ALL SELECT i, t, NULL, 'missing', NULL FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_TARGETS))}) AS v(i, t) WHERE i NOT IN (SELECT "at" FROM f)""")
+def get_targets(spark, sf):
+    base = registry(spark, sf)
+    docs = base.join(_with_state(base).select("document_id", "extraction_status"), base.doc_id == F.col("document_id"))
+    found = results.resolved(docs, _TARGETS, {p.name: p.root for p in _PLACES.projects})
+    return results.got(docs, found, 3000, 1, 2)
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, len(string_split(left(body, doc_id::INTEGER % 700), chr(10)))::INTEGER AS line FROM d")
+def line_of_offset(spark, sf):
+    return registry(spark, sf).select("doc_id", results.line_at(F.col("body"), (F.col("doc_id") % 700).cast("int")).alias("line"))
+
+
 @query()
 def semantic_chunks(spark, sf):
     docs = registry(spark, sf)

@@ -1,65 +1,145 @@
-"""One round of keeping a workspace in step with its folders: scan, chunk, index, clean, publish."""
+"""One round of keeping a workspace in step with its folders: scan, extract, chunk, embed, index, publish."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekwell import schemas
 from seekwell.functions.names import recipe_id
 from seekwell.functions.text import title
-from seekwell.operators.chunking import chunked
+from seekwell.jobs.config import Config, Project
+from seekwell.operators import embedding, extraction, maintenance
+from seekwell.operators.chunking import RECIPE as CHUNK_RULES
+from seekwell.operators.chunking import chunked, default_tokens
 from seekwell.operators.lexical import token_index
-from seekwell.operators.maintenance import chunk_work, diff, live_contents, merged, status
-from seekwell.sources.files import scan
-from seekwell.sources.snapshots import Workspace
+from seekwell.sources.files import contents, listed
+from seekwell.sources.snapshots import Snapshot, Workspace
 
-LEXICAL_RECIPE = recipe_id("lexical", "v1", "nfkc", "identifier-split", "cjk-1-3")
+LEXICAL_RECIPE = recipe_id("lexical", "v2", "nfkc", "identifier-split", "cjk-1-3")
+KEY = maintenance.KEY
 
 
-def registry(files: DataFrame, project: str) -> DataFrame:
-    """Scanned files as rows of the document registry."""
+@dataclass(frozen=True)
+class Models:
+    """Plug-ins of a sync, each with the name of what made it; a change of name makes its results anew."""
+
+    extract: Callable[[str, str], tuple[str | None, str]] | None = None
+    extract_recipes: tuple[tuple[str, str], ...] = ()
+    embed: Callable[[list[str]], list[list[float]]] | None = None
+    embed_recipe: str = ""
+    dims: int = 64
+    count: Callable[[str], int] = default_tokens
+    most_input: int = 2048
+
+    def recipes(self) -> dict[str, str]:
+        chunk = recipe_id("chunk", *CHUNK_RULES, str(self.most_input), self.embed_recipe)
+        return {"lexical": LEXICAL_RECIPE, "semantic": chunk} | {f"extract.{k}": v for k, v in self.extract_recipes}
+
+
+def listing(workspace: Workspace, projects: tuple[Project, ...]) -> DataFrame:
+    """Files of all projects, by names only."""
+    parts = [
+        listed(workspace.spark, p.root, p.include, p.exclude, p.ignore_files).select(F.lit(p.name).alias("project_name"), F.lit(p.root).alias("root"), "*")
+        for p in projects
+    ]
+    none = workspace.spark.createDataFrame([], "project_name string, root string, path string, source_mtime_ns long, source_size_bytes long")
+    return reduce(DataFrame.unionByName, parts, none)
+
+
+def registry(files: DataFrame) -> DataFrame:
+    """Read files as rows of the document registry, with their bodies."""
     return files.select(
-        F.lit(project).alias("project_name"),
-        "path",
+        F.xxhash64(*KEY).alias("document_id"),
+        *KEY,
         "source_hash",
-        F.when(F.col("body").isNotNull(), F.sha2("body", 256)).alias("content_hash"),
+        F.sha2("body", 256).alias("content_hash"),
         title(F.coalesce("body", F.lit("")), F.col("path")).alias("title"),
-        F.col("source_mtime_us").alias("source_mtime_ns"),
+        "source_mtime_ns",
         "source_size_bytes",
         "file_type",
-        F.when(F.col("file_type") == "other", "failed").otherwise(status(F.col("source_hash"), F.col("body"))).alias("extraction_status"),
+        maintenance.status(F.col("source_hash"), F.col("body")).alias("extraction_status"),
+        F.current_timestamp().alias("updated_at"),
         "body",
     )
 
 
-def sync(workspace: Workspace, projects: dict[str, str]) -> dict[str, int]:
-    """Bring a workspace up to date with ``projects`` (name to folder); returns counts of changes.
+def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models | None = None, full: bool = False) -> dict[str, int]:
+    """Bring a workspace up to date with projects (or name to folder); returns counts of changes.
 
-    What it leaves equals a build from nothing: documents of unlisted projects go, contents
-    and chunks that no document has go, and only contents without chunks are cut.
+    What it leaves equals a build from nothing, which ``full`` makes: documents of unlisted projects
+    go, contents and chunks that no document has go. Only new and changed files are read, once; only
+    contents without chunks are cut, only chunks without embeddings embedded, and only documents
+    whose content or title is new get token rows, unless a recipe changed.
     """
-    spark = workspace.spark
+    config = projects if isinstance(projects, Config) else Config(tuple(Project(n, r) for n, r in sorted(projects.items())))
+    models = models or Models()
     with workspace.writing("sync"):
-        found = reduce(DataFrame.unionByName, [registry(scan(spark, root), name) for name, root in sorted(projects.items())])
-        old = workspace.read("documents")
-        docs = found.drop("body")
-        changes = {"added": found.count()} if old is None else {r.change: r["count"] for r in diff(old, docs).groupBy("change").count().collect()}
-        contents = found.where("body IS NOT NULL").select("content_hash", "body").dropDuplicates(["content_hash"])
-        if (had := workspace.read("contents")) is not None:
-            contents = live_contents(merged(had, contents, ["content_hash"]), docs)
-        kept = workspace.read("chunks")
-        if kept is None:
-            chunks = chunked(contents)
-        else:
-            chunks = live_contents(kept, docs).unionByName(chunked(chunk_work(docs, contents, kept)))
-        lexical = token_index(docs.join(contents, "content_hash")).select(
-            "project_name", "path", "title_tokens", "body_tokens", "doc_len"
-        )
-        workspace.publish(
-            {"documents": docs, "contents": contents, "chunks": chunks, "lexical": lexical},
-            {"lexical": LEXICAL_RECIPE},
-            {"lexical": "project_name"},
-        )
+        recipes = models.recipes()
+        had = {} if full else workspace.recipes()
+        same = {k: had.get(k) == v for k, v in recipes.items()}
+        old = {} if full else {t: workspace.read(t) for t in ("documents", "contents", "chunks", "embeddings", "lexical")}
+        new = workspace.building()
+        files = new.add("_listing", listing(workspace, config.projects), kept=False)
+        docs, found, changes = _scanned(new, files, old.get("documents"))
+        texts = found.where("body IS NOT NULL").select("content_hash", "body").dropDuplicates(["content_hash"])
+        if models.extract:
+            kinds = [k for group, names in extraction.RECIPE_KINDS.items() if group in dict(models.extract_recipes) for k in names]
+            stale = [k for group, names in extraction.RECIPE_KINDS.items() if same.get(f"extract.{group}") is False for k in names]
+            waiting = maintenance.invalidated(docs, stale) if stale else docs
+            todo = extraction.work(waiting, kinds or list(extraction.RICH)).join(files.select(*KEY, "root"), KEY)
+            outcomes = new.add("_outcomes", extraction.extracted(todo, models.extract), kept=False)
+            docs = extraction.published(waiting, outcomes)
+            texts = texts.unionByName(extraction.new_contents(outcomes)).dropDuplicates(["content_hash"])
+        docs = new.add("documents", schemas.as_table(docs, schemas.DOCUMENTS))
+        if old.get("contents") is not None:
+            texts = maintenance.merged(old["contents"], texts, ["content_hash"])
+        texts = new.add("contents", schemas.as_table(maintenance.live_contents(texts, docs), schemas.CONTENTS))
+        kept = old.get("chunks") if same["semantic"] else None
+        work = texts if kept is None else maintenance.chunk_work(docs, texts, kept)
+        chunks = chunked(work, models.count, models.most_input)
+        if kept is not None:
+            chunks = maintenance.live_contents(kept, docs).unionByName(chunks)
+        chunks = new.add("chunks", schemas.as_table(chunks, schemas.CHUNKS))
+        if models.embed:
+            changes |= _embedded(new, docs, chunks, old.get("embeddings") if same["semantic"] else None, models)
+        lexical = maintenance.live_lexical(old["lexical"], docs) if same["lexical"] and old.get("lexical") is not None else None
+        ready = docs.where("extraction_status = 'ready'")
+        missing = ready if lexical is None else maintenance.missing_lexical(docs, lexical)
+        rows = token_index(missing.join(texts, "content_hash"))
+        rows = schemas.as_table(rows, schemas.LEXICAL)
+        new.add("lexical", rows if lexical is None else lexical.unionByName(rows), "project_name")
+        new.publish(recipes)
         return changes
+
+
+def _scanned(new: Snapshot, files: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The registry after a scan, what was read for it, and counts of changes."""
+    if old is None:
+        found = new.add("_found", registry(contents(files)), kept=False)
+        return found.drop("body"), found, {"added": found.count()}
+    diff = new.add("_diff", maintenance.diff(old, files), kept=False)
+    changes = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
+    todo = files.join(diff.where("change IN ('added', 'changed')").select(KEY), KEY)
+    found = new.add("_found", registry(contents(todo)), kept=False)
+    still = old.join(diff.where("change = 'unchanged'").select(KEY), KEY, "left_semi")
+    return still.unionByName(maintenance.applied(old, found.drop("body"))), found, changes
+
+
+def _embedded(new: Snapshot, docs: DataFrame, chunks: DataFrame, old: DataFrame | None, models: Models) -> dict[str, int]:
+    """Embeddings of all chunks that have none, beside those that still hold."""
+    none = docs.sparkSession.createDataFrame([], schemas.EMBEDDINGS)
+    kept = none if old is None else embedding.live_embeddings(old, docs)
+    work = maintenance.embedding_work(docs, chunks, kept)
+    texts = chunks.select("content_hash", "chunk_index", F.col("body").alias("chunk"))
+    named = work.join(docs.select("document_id", "title"), "document_id").join(texts, ["content_hash", "chunk_index"])
+    inputs = named.withColumn("input", embedding.document_input(F.col("title"), F.col("chunk")))
+    found = new.add("_embedded", embedding.embedded(inputs, models.embed, models.dims, models.count, models.most_input), kept=False)
+    good = found.where("failure IS NULL")
+    new.add("embeddings", schemas.as_table(kept.unionByName(good.drop("failure")), schemas.EMBEDDINGS))
+    r = embedding.report(found).first()
+    return {"embedded": r.chunks, "embedding_failed": r.failed}

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 TARGET, RESERVED, MOST_OVERLAP = 900, 128, 96
+#: What the rules are; other rules are another recipe.
+RECIPE = ("v2", f"target={TARGET}", f"reserved={RESERVED}", "heading-fence-paragraph-line", f"overlap-after-soft-ends={MOST_OVERLAP}")
 _FENCE = re.compile(r" {0,3}`{3,}")
 _HEADING = re.compile(r" {0,3}#{1,6}([ \t\x0b\x0c\r]|$)")
 #: White space that breaks lines or words; non-breaking spaces are text.

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from seekwell.functions.text import non_blank
 
 KEY = ["project_name", "path"]
+_BARS = 1000
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -45,6 +46,16 @@ def write_kind(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(a, KEY, "left").select(*KEY, F.when(touch, "touch").otherwise("upsert").alias("write"))
 
 
+def applied(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new`` as they are stored: of one that only touches the old row, its time and size."""
+    kinds = write_kind(old, new)
+    was = old.select(*KEY, *(F.col(c).alias(f"_{c}") for c in ("content_hash", "extraction_status", "updated_at")))
+    joined = new.join(kinds, KEY).join(was, KEY, "left")
+    touch = F.col("write") == "touch"
+    kept = {c: F.when(touch, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("content_hash", "extraction_status", "updated_at")}
+    return joined.select(*(kept.get(c, F.col(c)).alias(c) for c in new.columns))
+
+
 def merged(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` with another key."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
@@ -59,6 +70,12 @@ def live_contents(contents: DataFrame, docs: DataFrame) -> DataFrame:
     return contents.join(docs.select("content_hash").distinct(), "content_hash", "left_semi")
 
 
+def live_lexical(lexical: DataFrame, docs: DataFrame) -> DataFrame:
+    """Token rows whose document is still ready, with the same content and title."""
+    key = [*KEY, "content_hash", "title"]
+    return lexical.join(docs.where("extraction_status = 'ready'").select(key), key, "left_semi").select(lexical.columns)
+
+
 def missing_lexical(docs: DataFrame, lexical: DataFrame) -> DataFrame:
     """Ready documents that the token index lacks."""
     return docs.where("extraction_status = 'ready'").join(lexical.select(KEY), KEY, "left_anti")
@@ -93,28 +110,55 @@ def status(source_hash: Column, body: Column) -> Column:
     return F.when(body.isNotNull(), "ready").when(source_hash.isNotNull(), "pending").otherwise("failed")
 
 
+IDENTITY = ["cache_key", "operation", "recipe_id", "input_hash"]
+
+
+def cache_hits(work: DataFrame, cache: DataFrame) -> DataFrame:
+    """Work with the ``payload`` of the row that has its key and all that the key was made of."""
+    return work.join(cache.select(*IDENTITY, "payload").dropDuplicates(IDENTITY), IDENTITY)
+
+
 def cache_misses(work: DataFrame, cache: DataFrame) -> DataFrame:
     return work.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
+def cache_written(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with new results in place of those with the same key."""
+    return merged(cache, new.dropDuplicates(["cache_key"]), ["cache_key"])
+
+
 def evicted(cache: DataFrame, cap: int, keep: int, cheap: list[str]) -> DataFrame:
-    """Beyond ``cap`` rows, the rows that go so that ``keep`` stay: cheap ones first, then the oldest.
+    """Beyond ``cap`` rows, the rows that go so that ``keep`` stay: cheap ones first, then the oldest, then by key.
 
-    The cut is found on a histogram of cheapness and time, so no task sorts all rows: whole
-    groups before the cut go, and only the group at the cut is ordered by key.
+    The cut is found on histograms of time with at most ``_BARS`` bars, of which the one at the cut
+    is looked at more closely until it is one second; only rows of that second are put in order.
+    A null time is the oldest.
     """
-    rows = cache.withColumn("_cheap", F.col("operation").isin(cheap).cast("int"))
-    groups = rows.groupBy("_cheap", "created_at").agg(F.count("*").alias("n"))
-    order = W.orderBy(F.desc("_cheap"), "created_at").rowsBetween(W.unboundedPreceding, 0)
-    total = groups.agg(F.sum("n").alias("total"))
-    run = groups.withColumn("upto", F.sum("n").over(order)).crossJoin(F.broadcast(total)).withColumn(
-        "excess", F.when(F.col("total") > cap, F.col("total") - keep).otherwise(F.lit(0))
+    rows = cache.withColumn("_cheap", F.coalesce(F.col("operation").isin(cheap), F.lit(False))).withColumn(
+        "_time", F.coalesce(F.col("created_at"), F.lit(-(1 << 62)))
     )
-    cut = run.where("upto - n < excess").select("_cheap", "created_at", (F.col("excess") - (F.col("upto") - F.col("n"))).alias("room"), "n")
-    found = rows.join(cut, ["_cheap", "created_at"])
-    whole = found.where("room >= n")
-    part = found.where("room < n").withColumn("_i", F.row_number().over(W.partitionBy("_cheap", "created_at").orderBy("cache_key")))
-    return whole.drop("room", "n", "_cheap").unionByName(part.where("_i <= room").drop("room", "n", "_cheap", "_i"))
+    sides = {r["_cheap"]: r for r in rows.groupBy("_cheap").agg(F.count("*").alias("n"), F.min("_time").alias("low"), F.max("_time").alias("high")).collect()}
+    total = sum(r.n for r in sides.values())
+    if total <= cap or total <= keep:
+        return cache.limit(0)
+    side, excess = True, total - keep
+    if True not in sides or excess > sides[True].n:
+        side, excess = False, excess - (sides[True].n if True in sides else 0)
+    low, high = sides[side].low, sides[side].high
+    while low < high:
+        width = -(-(high - low + 1) // _BARS)
+        bar = F.floor((F.col("_time") - low) / width) if width > 1 else F.col("_time") - low
+        bars = rows.where((F.col("_cheap") == side) & F.col("_time").between(low, high)).groupBy(bar.cast("long").alias("bar")).count()
+        for r in sorted(bars.collect()):
+            if r["count"] >= excess:
+                low, high = low + r.bar * width, min(high, low + (r.bar + 1) * width - 1)
+                break
+            excess -= r["count"]
+    before = (F.col("_cheap") == side) & (F.col("_time") < low)
+    whole = rows.where(before if side else F.col("_cheap") | before)
+    ordered = F.row_number().over(W.partitionBy("_cheap", "_time").orderBy("cache_key"))
+    part = rows.where((F.col("_cheap") == side) & (F.col("_time") == low)).withColumn("_i", ordered).where(F.col("_i") <= excess).drop("_i")
+    return whole.unionByName(part).drop("_cheap", "_time")
 
 
 def violations(docs: DataFrame) -> DataFrame:
@@ -135,4 +179,15 @@ def violations(docs: DataFrame) -> DataFrame:
 
 
 def repeated_keys(table: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that a table has more than once."""
     return table.groupBy(key).count().where("count > 1")
+
+
+def chunk_violations(chunks: DataFrame) -> DataFrame:
+    """``(content_hash, rule)``: offsets out of order, indexes with gaps or twice."""
+    by_content = chunks.groupBy("content_hash").agg(
+        F.count_if((F.col("char_start_offset") < 0) | (F.col("char_end_offset") < F.col("char_start_offset"))).alias("bad"),
+        F.count("*").alias("n"), F.count_distinct("chunk_index").alias("k"), F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"),
+    )
+    rules = [("offsets", F.col("bad") > 0), ("repeated", F.col("k") < F.col("n")), ("gaps", (F.col("low") != 0) | (F.col("high") - F.col("low") + 1 != F.col("k")))]
+    return by_content.select("content_hash", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in rules)))).alias("rule"))

@@ -11,8 +11,9 @@ def project_statistics(
 ) -> DataFrame:
     """A row for each requested project, with zeros where it has nothing.
 
-    Chunks count once for every document with the content. Each table is aggregated before
-    the joins, which are of a row a project.
+    Chunks count once for every document with the content; they are counted by content before
+    documents meet them, so a join has a row a content. The last joins are of a row a project.
+    Documents with ``updated_at`` give the last of it.
     """
     by = "project_name"
     parts = [
@@ -20,15 +21,35 @@ def project_statistics(
             F.count("*").alias("documents"),
             *(F.count_if(F.col("extraction_status") == s).alias(s) for s in ("ready", "pending", "failed")),
             F.sum("source_size_bytes").alias("bytes"),
+            *([F.max("updated_at").alias("updated_at")] if "updated_at" in docs.columns else []),
         ),
         lexical.groupBy(by).agg(F.count("*").alias("lexical")),
-        docs.join(chunks.select("content_hash"), "content_hash").groupBy(by).agg(F.count("*").alias("chunks")),
+        docs.groupBy(by, "content_hash").agg(F.count("*").alias("_docs"))
+        .join(chunks.groupBy("content_hash").agg(F.count("*").alias("_chunks")), "content_hash")
+        .groupBy(by)
+        .agg(F.sum(F.col("_docs") * F.col("_chunks")).alias("chunks")),
         embeddings.groupBy(by).agg(F.count("*").alias("embeddings"), F.countDistinct("document_id").alias("embedded")),
     ]
     out = requested
     for p in parts:
         out = out.join(p, by, "left")
-    return out.select(by, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in out.columns if c != by))
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in out.columns if c not in (by, "updated_at")]
+    return out.select(by, *numbers, *(["updated_at"] if "updated_at" in out.columns else []))
+
+
+def workspace_warnings(stats: DataFrame) -> DataFrame:
+    """``NO_PROJECTS`` if there is none, ``NO_DOCUMENTS`` if none of them has any."""
+    totals = stats.agg(F.count("*").alias("projects"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
+    warning = F.when(F.col("projects") == 0, "NO_PROJECTS").when(F.col("documents") == 0, "NO_DOCUMENTS")
+    return totals.select(warning.alias("warning")).where("warning IS NOT NULL")
+
+
+def scan_report(changes: DataFrame, writes: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row of what a scan did (rows upserted, touched, unchanged, removed) and of the states it left."""
+    by_change = changes.agg(F.count_if(F.col("change") == "unchanged").alias("unchanged"), F.count_if(F.col("change") == "removed").alias("removed"))
+    by_write = writes.agg(F.count_if(F.col("write") == "upsert").alias("upserted"), F.count_if(F.col("write") == "touch").alias("touched"))
+    by_state = docs.agg(*(F.count_if(F.col("extraction_status") == s).alias(s) for s in ("ready", "pending", "failed")))
+    return by_write.crossJoin(by_change).crossJoin(by_state)
 
 
 def health_warnings(stats: DataFrame) -> DataFrame:

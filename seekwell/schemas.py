@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +15,22 @@ DOCUMENTS = (
     "document_id long, project_name string, path string, source_hash string, content_hash string, title string, "
     "source_mtime_ns long, source_size_bytes long, file_type string, extraction_status string, updated_at timestamp"
 )
-CONTENTS = "content_hash string, body string, created_at timestamp"
-CHUNKS = (
-    "content_hash string, chunk_index int, char_start_offset int, char_end_offset int, body string, token_count int"
-)
+CONTENTS = "content_hash string, body string"
+CHUNKS = "content_hash string, chunk_index int, char_start_offset int, char_end_offset int, body string, token_count int"
 EMBEDDINGS = (
-    "document_id long, project_name string, content_hash string, chunk_index int, input_token_count int, "
-    "embedding array<float>"
+    "document_id long, project_name string, content_hash string, chunk_index int, input_token_count int, embedding array<float>"
 )
-CACHE = (
-    "cache_key binary, operation string, recipe_id string, input_hash string, payload binary, created_at long"
+LEXICAL = (
+    "project_name string, path string, content_hash string, title string, title_tokens array<string>, body_tokens array<string>, doc_len int"
 )
+#: Tables with other columns are not read, but made anew.
+SCHEMA_ID = hashlib.sha256("|".join((DOCUMENTS, CONTENTS, CHUNKS, EMBEDDINGS, LEXICAL)).encode()).hexdigest()
+
+
+def as_table(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a table, in its order and of its types."""
+    parts = [c.rsplit(" ", 1) for c in schema.split(", ")]
+    return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in parts))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

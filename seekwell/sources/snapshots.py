@@ -10,10 +10,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from seekwell.functions.names import EngineError
+from seekwell.schemas import SCHEMA_ID
+from seekwell.sources import store
 
 
 class Workspace:
-    """A folder with ``snapshots/<id>/<table>`` and ``CURRENT``, which names the one to read.
+    """A folder of any store with ``snapshots/<id>/<table>`` and ``CURRENT``, which names the one to read.
 
     Readers resolve the pointer once, so they see one state; a writer publishes all tables
     of a snapshot by replacing the pointer.
@@ -23,43 +25,62 @@ class Workspace:
         self.spark, self.path = spark, path
 
     def current(self) -> dict | None:
+        found = store.read_text(self.spark, f"{self.path}/CURRENT")
+        return None if found is None else json.loads(found)
+
+    def status(self) -> str:
+        """``missing``, ``unreadable``, ``incompatible`` (of other schemas) or ``ready``."""
         try:
-            with open(f"{self.path}/CURRENT") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+            now = self.current()
+        except Exception:
+            return "unreadable"
+        if now is None:
+            return "missing"
+        return "ready" if now.get("schema") == SCHEMA_ID else "incompatible"
+
+    def recipes(self) -> dict[str, str]:
+        now = self.current()
+        return now["meta"] if now and now.get("schema") == SCHEMA_ID else {}
 
     def read(self, table: str) -> DataFrame | None:
+        """A table of the current snapshot; none of one with other schemas."""
         now = self.current()
-        if not now or table not in now["tables"]:
+        if not now or table not in now["tables"] or now.get("schema") != SCHEMA_ID:
             return None
         return self.spark.read.parquet(f"{self.path}/snapshots/{now['id']}/{table}")
 
-    def publish(self, tables: dict[str, DataFrame], meta: dict[str, str], partition_by: dict[str, str] | None = None) -> str:
-        name = uuid.uuid4().hex
-        for table, df in tables.items():
-            writer = df.write
-            if table in (partition_by or {}):
-                writer = writer.partitionBy(partition_by[table])
-            writer.parquet(f"{self.path}/snapshots/{name}/{table}")
-        temp = f"{self.path}/CURRENT.{name}"
-        with open(temp, "w") as f:
-            json.dump({"id": name, "tables": sorted(tables), "meta": meta}, f)
-        os.replace(temp, f"{self.path}/CURRENT")
-        return name
+    def building(self) -> Snapshot:
+        return Snapshot(self, uuid.uuid4().hex)
 
     @contextmanager
     def writing(self, owner: str):
         """Hold the only write lock, or fail at once."""
-        os.makedirs(self.path, exist_ok=True)
         lock = f"{self.path}/LOCK"
+        if not store.write_text(self.spark, lock, json.dumps({"owner": owner, "pid": os.getpid()}), overwrite=False):
+            raise EngineError("BUSY", f"{self.path} is being written", "wait for the other writer")
         try:
-            fd = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError:
-            raise EngineError("BUSY", f"{self.path} is being written", "wait for the other writer") from None
-        try:
-            os.write(fd, json.dumps({"owner": owner, "pid": os.getpid()}).encode())
-            os.close(fd)
             yield self
         finally:
-            os.unlink(lock)
+            store.delete(self.spark, lock)
+
+
+class Snapshot:
+    """A snapshot in the making: each table is written once and read from there by what follows."""
+
+    def __init__(self, workspace: Workspace, name: str) -> None:
+        self.workspace, self.name, self.tables = workspace, name, []
+
+    def add(self, table: str, df: DataFrame, partition_by: str | None = None, kept: bool = True) -> DataFrame:
+        """Write a table; with ``kept`` false it is a step on the way that the snapshot doesn't name."""
+        path = f"{self.workspace.path}/snapshots/{self.name}/{table}"
+        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        writer.parquet(path)
+        if kept:
+            self.tables.append(table)
+        return self.workspace.spark.read.schema(df.schema).parquet(path)
+
+    def publish(self, meta: dict[str, str]) -> str:
+        text = json.dumps({"id": self.name, "tables": sorted(self.tables), "meta": meta, "schema": SCHEMA_ID})
+        store.replace_text(self.workspace.spark, f"{self.workspace.path}/CURRENT", text, self.name)
+        return self.name
+

@@ -1,5 +1,6 @@
 """Text functions, the query language, ranking, chunking and the index's upkeep."""
 
+import hashlib
 import os
 import random
 import re
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from seekwell.functions import grammar, names, stemming, text
 from seekwell.functions.names import EngineError
-from seekwell.operators import chunking, context, documents, fusion, lexical, maintenance, vector
+from seekwell.jobs import config
+from seekwell.operators import chunking, context, documents, embedding, extraction, fusion, hybrid, lexical, maintenance, results, vector
 from seekwell.sources import files
 from seekwell.sources.snapshots import Workspace
 
@@ -259,37 +261,175 @@ def test_eviction_keeps_what_it_says(spark):
     assert maintenance.evicted(cache, 100, 55, ["cheap"]).count() == 0
 
 
-def test_file_kinds_and_ignore_rules():
-    kinds = [files.kind_of(h, True) for h in (b"", b"plain", b"%PDF-1.7", b"\x89PNG\r\n\x1a\n", b"\xff\xfe\x00x", b"\x01\x02\x03ab", "é".encode())]
-    assert kinds == ["text", "text", "pdf", "image", "other", "other", "text"]
+def test_file_kinds():
+    iso = lambda brand: b"\0\0\0\x18ftyp" + brand
+    kinds = {
+        b"": "text", b"plain": "text", b"%PDF-1.7": "pdf", b"\x89PNG\r\n\x1a\n": "image", b"BM6": "image", b"II*\0": "image", b"MM\0*": "image",
+        b"RIFF....WEBP": "image", iso(b"heic"): "image", iso(b"avif"): "image", iso(b"mif1"): "image", iso(b"M4A "): "video", iso(b"isom"): "video",
+        b"RIFF....AVI ": "video", b"\x1aE\xdf\xa3": "video", b"\0\0\x01\xba": "video", b"OggS\0\x80theora": "video", b"OggS\0vorbis": "audio",
+        b"ID3": "audio", b"fLaC": "audio", b"RIFF....WAVE": "audio", b"\xff\xfb\x90": "audio", b"\xff\xfe\x00x": "audio", b"\x01\x02\x03ab": "other",
+        "é".encode(): "text", "a\x85b".encode(): "other", b"\xc3(": "other",
+    }
+    assert {h: files.kind_of(h, True) for h in kinds} == kinds
     assert files.kind_of(("a" * 8191 + "é").encode()[:8192], False) == "text"
-    rules = {"": ["*.log", "build/", "!keep.log"], "sub": ["!*.log"]}
-    paths = ["a.log", "keep.log", "build/x", "sub/b.log", "a.txt", "sub/build/y"]
-    assert [files.ignored(p, rules) for p in paths] == [True, False, True, False, False, True]
+
+
+def test_ignore_rules():
+    frames = [("", files.ignore_rules("*.log\nbuild/\n!keep.log\n/top.txt\na/**/z\n#no\n\\#yes\n[ab].md \n")), ("sub", files.ignore_rules("!*.log\n"))]
+    hidden = {"a.log": 1, "keep.log": 0, "sub/b.log": 0, "x/c.log": 1, "top.txt": 1, "x/top.txt": 0, "a/z": 1, "a/q/r/z": 1, "#yes": 1, "#no": 0, "x/a.md": 1, "c.md": 0}
+    assert {p: int(files.ignored(frames[: 1 + p.startswith("sub")], p, False)) for p in hidden} == hidden
+    assert files.ignored(frames, "sub/build", True) and not files.ignored(frames, "build", False)
+
+
+def test_listing_follows_ignore_files_links_and_globs(spark, tmp_path):
+    def put(path, body="x"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(body)
+
+    for p in ("a.md", "_b.md", ".c.md", "deep/er/and/d.md", "deep/er/skip/e.md", "deep/er/f.log", "node_modules/g.md", "no.txt", "out/h.md"):
+        put(p)
+    put("deep/er/.gitignore", "skip/\n*.log\n")
+    (tmp_path / "link.md").symlink_to(tmp_path / "no.txt")
+    (tmp_path / "folder").symlink_to(tmp_path / "deep")
+    rows = files.listed(spark, str(tmp_path), ("**/*.md", "**/*.log"), ("out/*",)).collect()
+    assert {r.path for r in rows} == {"a.md", "_b.md", ".c.md", "deep/er/and/d.md", "link.md"}
+    assert all(r.source_mtime_ns == os.stat(tmp_path / r.path).st_mtime_ns and r.source_size_bytes == 1 for r in rows)
+    assert {r.path for r in files.listed(spark, str(tmp_path), use_ignore=False).collect()} > {"deep/er/f.log", "deep/er/skip/e.md", "out/h.md"}
+
+
+def test_configuration(spark, tmp_path):
+    path = str(tmp_path / "c.yml")
+    assert config.load(path) == config.Config()
+    with open(path, "w") as f:
+        f.write('{"projects": [{"name": "a", "root": "x", "include": ["**/*.md"]}, {"name": "b", "root": "/y", "default-search": false}],'
+                ' "context": [{"path": "/", "text": "one"}, {"project": "a", "path": "/", "text": "two"}, {"path": "/", "text": "three"}]}')
+    c = config.load(path)
+    assert c.projects[0].root == str(tmp_path / "x") and [x.text for x in c.contexts] == ["three", "two"]
+    assert c.default_scope() == ["a"] and c.scope(["b", "a", "b"]) == ["b", "a"] and c.locate("/y/z.md") == ("b", "z.md") and c.locate("/q") is None
+    with pytest.raises(EngineError, match="no project"):
+        c.scope(["q"])
+    d = c.renamed("a", "c d").with_default_search(["b"], True).with_context(config.Context("b", "/k", "four"))
+    assert d.default_scope() == ["c-d", "b"] and [x.project for x in d.contexts] == [None, "c-d", "b"]
+    assert [x.project for x in d.without_project("b").without_context("c-d", "/").contexts] == [None]
+    config.save(d, path)
+    assert config.load(path) == d and d.context_rows(spark).count() == 3 and d.project_rows(spark).count() == 2
+    with open(path, "w") as f:
+        f.write("{nothing")
+    with pytest.raises(EngineError):
+        config.load(path)
+    assert config.load_for_change(path) == config.Config() and len(os.listdir(tmp_path)) == 1
+
+
+def test_requests_and_candidates():
+    request = hybrid.Request(query="rate limiter", intent="speed")
+    got = hybrid.candidates(request, lambda text: hybrid.Expansion(("Rate Limiter", "bad --query", "x"), ("how fast",), ("a passage",)))
+    assert [(c.kind, c.weight, c.text) for c in got] == [
+        ("query", 2.0, "rate limiter"), ("lex", 1.0, "bad --query"), ("lex", 1.0, "x"),
+        ("query", 2.0, "rate limiter\nQuery intent: speed"), ("vec", 1.0, "how fast"), ("hyde", 1.0, "a passage"),
+    ]
+    own = hybrid.candidates(hybrid.Request(vec="near", intent="speed"))
+    assert [(c.kind, c.text) for c in own] == [("vec", "near\nQuery intent: speed")]
+    with pytest.raises(EngineError, match="expansion"):
+        hybrid.candidates(request, lambda text: hybrid.Expansion(("x",), ("y",)))
+    for bad, mode in ((hybrid.Request(), "hybrid"), (hybrid.Request(vec="x"), "lexical"), (hybrid.Request(query="x", limit=0), "vector"),
+                      (hybrid.Request(query="x", paths=True, full=True), "hybrid"), (hybrid.Request(query='"x'), "lexical")):
+        with pytest.raises(EngineError):
+            hybrid.validate(bad, mode)
+    assert hybrid.candidate_limit(5) == 40 and hybrid.candidate_limit(None) is None and hybrid.rerank_query(request) == "speed\n\nrate limiter"
+
+
+def test_results(spark):
+    body = "first\nsecond has rate\nthird\nfourth"
+    rows = [(1, "a" * 64, "doc://p/x", "X", 0.5, body, "third\nfourth", 23, "about p"), (2, "b" * 64, "doc://p/y", "Y", 0.25, body, None, None, "")]
+    schema = "final_rank int, content_hash string, virtual_path string, title string, score double, body string, evidence string, evidence_start int, context string"
+    matches = spark.createDataFrame(rows, schema)
+    got = results.items(matches, hybrid.Request(query="rate fourth", line_numbers=True)).orderBy("final_rank").collect()
+    assert [(r.snippet, r.line) for r in got] == [("3: third\n4: fourth", 4), ("1: first\n2: second has rate\n3: third", 2)]
+    full = results.items(matches, hybrid.Request(query="rate", full=True)).orderBy("final_rank").collect()
+    assert [(r.snippet, r.body, r.line) for r in full] == [("", body, 3), ("", body, 2)]
+    paths = results.items(matches, hybrid.Request(query="rate", paths=True)).orderBy("final_rank").collect()
+    assert [(r.id, r.snippet, r.body) for r in paths] == [("@aaaaaa", "", None), ("@bbbbbb", "", None)]
+    assert results.rendered(paths, "paths") == "doc://p/x\ndoc://p/y" and "0.25" in results.rendered(full, "csv") and "## X" in results.rendered(full, "md")
+
+
+def test_lookup(spark):
+    h = ["a" * 64, "a" * 64, "c" * 64, None]
+    rows = [("p", "x.md", h[0], "ready", "one\ntwo\n"), ("p", "y.md", h[1], "ready", "one"), ("q", "z.md", h[2], "ready", "long" * 50), ("q", "w.pdf", None, "pending", None)]
+    docs = spark.createDataFrame(rows, "project_name string, path string, content_hash string, extraction_status string, body string")
+    targets = ["@AAAAAA", "@cccccc", "doc://p/x.md", "p/*.md", "/files/q/w.pdf", "p/none.md"]
+    found = results.resolved(docs, targets, {"p": "/files/p", "q": "/files/q"})
+    got = [(r.target, r.virtual_path, r.state, r.body) for r in results.got(docs, found, 100, 1, 1).collect()]
+    assert got == [
+        ("@AAAAAA", "doc://p/x.md", "ambiguous", None), ("@AAAAAA", "doc://p/y.md", "ambiguous", None), ("@cccccc", "doc://q/z.md", "skipped", None),
+        ("doc://p/x.md", "doc://p/x.md", "ok", "one\n"), ("p/*.md", "doc://p/x.md", "ok", "one\n"), ("p/*.md", "doc://p/y.md", "ok", "one\n"),
+        ("/files/q/w.pdf", "doc://q/w.pdf", "not_ready", None), ("p/none.md", None, "missing", None),
+    ]
+    assert results.exit_code(["ok", "skipped"]) == 0 and results.exit_code(["ok", "missing"]) == 3 and results.exit_code(["missing"]) == 1
+
+
+def test_cleaned_text():
+    clean = extraction.cleaned_text
+    assert clean("abcd efgh", "abcd efgh", "Sure: ```text\nabcd efgh!\n```") == "abcd efgh!"
+    assert clean("abcd efgh", "abcd efgh", "a") == "abcd efgh" and clean("ab", "ab", "x" * 300) == "ab" and clean("abcd rest", "abcd", "ABCD") == "ABCD rest"
+    assert clean("x", "x", None) == "x"
+
+
+def test_embedding_batches_fail_alone(spark):
+    rows = [(i, "p", "h", 0, f"text {i}") for i in range(64)]
+    work = spark.createDataFrame(rows, "document_id long, project_name string, content_hash string, chunk_index int, input string").coalesce(1)
+
+    def embed(texts):
+        if "text 40" in texts:
+            raise RuntimeError("no")
+        return embedding.hashed_embedding(8)(texts)
+
+    found = embedding.embedded(work, embed, 8)
+    assert embedding.report(found).first() == (32, 32, 32)
+    assert {r.failure for r in found.collect()} == {None, "no"}
 
 
 def test_sync_is_incremental_and_equals_a_rebuild(spark, tmp_path):
-    from seekwell.jobs.sync import sync
+    from seekwell.jobs.sync import Models, sync
     from seekwell.streaming.resync import resync
 
     root = tmp_path / "docs"
     (root / "node_modules").mkdir(parents=True)
     for name, body in (("a.md", "# One\nbody"), ("b.md", "two"), ("copy.md", "two"), ("node_modules/x.md", "no")):
         (root / name).write_text(body)
-    (root / "raw.bin").write_bytes(b"\xff\xfe\x00")
+    (root / "raw.bin").write_bytes(b"\x00\x01\x02\x03")
+    (root / "p.pdf").write_bytes(b"%PDF-one")
+    (root / "q.pdf").write_bytes(b"%PDF-bad")
+
+    def extract(path, kind):
+        raw = open(path, "rb").read()
+        if b"bad" in raw:
+            raise ValueError("no text in it")
+        return f"text of a {kind}", hashlib.sha256(raw).hexdigest()
+
+    models = Models(extract=extract, extract_recipes=(("pdf", "r1"),), embed=embedding.hashed_embedding(8), embed_recipe="e1", dims=8)
     space = Workspace(spark, str(tmp_path / "w"))
-    assert sync(space, {"p": str(root)}) == {"added": 4}
+    assert space.status() == "missing"
+    assert sync(space, {"p": str(root)}, models) == {"added": 6, "embedded": 4, "embedding_failed": 0}
+    state = {r.path: (r.extraction_status, r.file_type) for r in space.read("documents").collect()}
+    assert space.status() == "ready" and state["p.pdf"] == ("ready", "pdf") and state["q.pdf"] == ("failed", "pdf") and state["raw.bin"] == ("failed", "other")
     (root / "b.md").unlink()
     (root / "new.md").write_text("three")
     (root / "a.md").write_text("# One\nbody, longer")
-    assert sync(space, {"p": str(root)}) == {"added": 1, "changed": 1, "removed": 1, "unchanged": 2}
+    os.utime(root / "p.pdf", ns=(5, 5))
+    assert sync(space, {"p": str(root)}, models) == {"added": 1, "changed": 2, "removed": 1, "unchanged": 3, "embedded": 2, "embedding_failed": 0}
     fresh = Workspace(spark, str(tmp_path / "fresh"))
-    sync(fresh, {"p": str(root)})
-    for table in ("documents", "contents", "chunks", "lexical"):
-        assert sorted(map(repr, space.read(table).collect())) == sorted(map(repr, fresh.read(table).collect())), table
+    sync(fresh, {"p": str(root)}, models)
+    for table in ("documents", "contents", "chunks", "lexical", "embeddings"):
+        rows = [sorted(map(repr, w.read(table).drop("updated_at").collect())) for w in (space, fresh)]
+        assert rows[0] == rows[1] and rows[0], table
+    # another recipe makes its results anew
+    other = Models(extract=lambda p, k: ("else", extract(p, k)[1]), extract_recipes=(("pdf", "r2"),), embed=models.embed, embed_recipe="e2", dims=8)
+    assert sync(space, {"p": str(root)}, other)["embedded"] == 4
+    assert "else" in {r.body for r in space.read("contents").collect()}
     with space.writing("test"), pytest.raises(EngineError):
         sync(space, {"p": str(root)})
     (root / "late.md").write_text("four")
     resync(space, {"p": str(root)}, str(tmp_path / "c")).awaitTermination(120)
     assert "late.md" in {r.path for r in space.read("documents").collect()}
+    assert sync(space, config.Config()) == {"removed": 7} and space.read("contents").count() == 0
     assert not os.path.exists(f"{space.path}/LOCK")
