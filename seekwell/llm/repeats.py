@@ -17,7 +17,8 @@ shuffle of far less than the text but for the first:
 5. Blocks find the tiles again and remove what the verdicts say.
 
 So a block sends one row for a passage, however many of its documents have it, and a task of
-step 4 holds the different tiles of a key, which splitting keeps few.
+step 4 holds the different tiles of a key, which splitting keeps few. Contents are told apart by 64 bits
+of key and 64 bits of digest.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ BLOCK_MB = 6
 #: Tiles of a key, counted in each block, above which it is split.
 HOT = 2000
 _MOST_LEVELS = 16
-_MOST_WINDOWS = 512
 _CHUNK = 1 << 20
 _BATCH = 300_000
 _NO_HASHES = np.zeros(0, np.uint64)
@@ -97,6 +97,8 @@ class Tiles:
     """Tiles of a group of texts, an array entry each."""
 
     cut: Callable[[int, int], bytes]
+    #: Names the content of a tile, with its key.
+    digest: np.ndarray
     text: np.ndarray
     start: np.ndarray
     place: np.ndarray
@@ -150,14 +152,15 @@ class Rule:
         if group:
             yield np.array(texts_of), np.array(firsts), *self.symbols(group)
 
-    def tiles(self, texts: list, hot: tuple[np.ndarray, np.ndarray] = (_NO_HASHES, _NO_HASHES)) -> Iterator[Tiles]:
-        """Tiles of texts; ``hot`` has the keys to split, sorted, and their levels."""
+    def tiles(self, texts: list, hot: tuple[np.ndarray, np.ndarray] = (_NO_HASHES, _NO_HASHES), named: bool = False) -> Iterator[Tiles]:
+        """Tiles of texts; ``hot`` has the keys to split, sorted, and their levels. Digests are only right if ``named``."""
         span = self.length - self.gram + 1
         for texts_of, firsts, sym, sizes, cut in self.chunks(texts):
             n = len(sym) - self.length + 1
             if n < 1:
                 continue
-            grams = gram_hashes(self.values(sym), self.gram)[: len(sym) - self.gram + 1]
+            values = self.values(sym)
+            grams = gram_hashes(values, self.gram)[: len(sym) - self.gram + 1]
             keys = sliding(grams, span)
             ends = np.cumsum(sizes)
             good = np.ones(n, bool)
@@ -175,11 +178,11 @@ class Rule:
                 nxt = np.searchsorted(gaps, first)
                 stop = np.minimum(stop, np.where(nxt < len(gaps), gaps[np.minimum(nxt, len(gaps) - 1)], n))
             windows = stop - first
-            if windows.max() > _MOST_WINDOWS:
-                parts = -(-windows // _MOST_WINDOWS)
-                nth = _ranges(np.zeros(len(parts), np.int64), parts) * _MOST_WINDOWS
+            if windows.max() > self.length:
+                parts = -(-windows // self.length)
+                nth = _ranges(np.zeros(len(parts), np.int64), parts) * self.length
                 first = np.repeat(first, parts) + nth
-                windows = np.minimum(np.repeat(windows, parts) - nth, _MOST_WINDOWS)
+                windows = np.minimum(np.repeat(windows, parts) - nth, self.length)
             twice = _NO_HASHES
             if self.within:
                 padded = np.concatenate([np.zeros(span - 1, np.uint64), keys, np.zeros(span - 1, np.uint64)])
@@ -191,7 +194,10 @@ class Rule:
                 first, windows, key, base = self._split(grams, first, windows, key, *hot)
             part = np.searchsorted(ends, first, "right")
             start = first - (ends - sizes)[part] + firsts[part]
-            yield Tiles(cut, texts_of[part], start, first, windows, key, base, twice)
+            # a tile has no more windows than a window has symbols, so its first and last one cover it
+            whole = gram_hashes(values, self.length) if named else values
+            digest = (whole[first] * _mix(81) + whole[first + windows - 1]) * _mix(82) + windows.astype(np.uint64)
+            yield Tiles(cut, digest, texts_of[part], start, first, windows, key, base, twice)
 
     def _split(self, grams: np.ndarray, first: np.ndarray, windows: np.ndarray, key: np.ndarray, hot: np.ndarray, levels: np.ndarray) -> tuple:
         """Tiles with those of hot keys cut where the smallest gram under one more hash changes."""
@@ -241,8 +247,8 @@ def _hot(rows: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], hot["level"].to_numpy(np.int64)[order]
 
 
-def _digest(tile: bytes) -> int:
-    return xxhash.xxh64_intdigest(tile) - (1 << 63)
+def _digest(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
 def _cut_tiles(rule: Rule, docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
@@ -251,31 +257,36 @@ def _cut_tiles(rule: Rule, docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataF
         return pd.DataFrame({c: [] for c in _TILE_NAMES})
     keys = np.unique(wanted["key"].to_numpy(np.int64).view(np.uint64))
     hot = _hot(wanted, "key")
-    ids = docs["id"].tolist()
-    rows: dict[tuple, list] = {}
-    for t in rule.tiles(docs["text"].tolist(), hot):
+    ids, parts, cuts = docs["id"].to_numpy(np.int64), [], []
+    for t in rule.tiles(docs["text"].tolist(), hot, True):
         pick = t.pick(keys)
-        again = np.isin(t.base[pick], t.twice) if len(t.twice) else np.zeros(len(pick), bool)
-        stop = t.place[pick] + t.windows[pick] + rule.length - 1
         level = np.zeros(len(pick), np.int64)
         if len(hot[0]):
             there = np.minimum(np.searchsorted(hot[0], t.base[pick]), len(hot[0]) - 1)
             level = np.where(hot[0][there] == t.base[pick], hot[1][there], 0)
-        columns = (t.key[pick].view(np.int64), t.place[pick], stop, t.text[pick], t.start[pick], again, t.base[pick].view(np.int64), level)
-        for k, a, b, i, s, w, base, lv in zip(*(c.tolist() for c in columns), strict=True):
-            name, place = (k, t.cut(a, b)), (ids[i], s if rule.within else 0)
-            found = rows.get(name)
-            if found is None:
-                rows[name] = [place, True, w, (base, lv) if lv else (0, 0), s]
-            else:
-                found[2] |= w
-                if place != found[0]:
-                    found[1] = False
-                    if place < found[0]:
-                        found[0], found[4] = place, s
-    block = int(docs["block"].iloc[0])
-    out = [(k, _digest(tile), tile, place[0], place[1], block, alone, w, *hot) for (k, tile), (place, alone, w, hot, _) in rows.items()]
-    return pd.DataFrame(out, columns=_TILE_NAMES)
+        again = np.isin(t.base[pick], t.twice)
+        stop = t.place[pick] + t.windows[pick] + rule.length - 1
+        parts.append((t.key[pick], t.digest[pick], ids[t.text[pick]], t.start[pick], t.place[pick], stop, again, t.base[pick], level))
+        cuts.append((len(pick), t.cut))
+    if not parts:
+        return pd.DataFrame({c: [] for c in _TILE_NAMES})
+    key, digest, id_, start, place, stop, again, base, level = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not rule.within:
+        start = np.zeros(len(start), np.int64)
+    order = np.lexsort((start, id_, digest, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(order)]]) - 1
+    top = order[first]
+    alone = (id_[top] == id_[order[last]]) & (start[top] == start[order[last]])
+    twice = np.maximum.reduceat(again[order], first) if len(first) else again
+    of = np.searchsorted(np.cumsum([n for n, _ in cuts]), top, "right").tolist()
+    texts = [cuts[c][1](a, b) for c, a, b in zip(of, place[top].tolist(), stop[top].tolist(), strict=True)]
+    hot_base = np.where(level[top] > 0, base[top], 0)
+    columns = (key[top].view(np.int64), digest[top].view(np.int64), texts, id_[top], start[top].astype(np.int32), np.int32(docs["block"].iloc[0]), alone, twice)
+    columns += (hot_base.astype(np.uint64).view(np.int64), level[top].astype(np.int32))
+    return pd.DataFrame(dict(zip(_TILE_NAMES, columns, strict=True)))
 
 
 class _Content:
@@ -386,32 +397,41 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([start[new], top[last]], axis=1)
 
 
-def _judged(rule: Rule, docs: pd.DataFrame, verdicts: pd.DataFrame) -> Iterator[tuple]:
-    """(row, start in its text, symbols, verdict) of a block's tiles that have a verdict."""
+def _judged(rule: Rule, docs: pd.DataFrame, verdicts: pd.DataFrame) -> Iterator[tuple[Tiles, np.ndarray, np.ndarray]]:
+    """A block's tiles, which of them have a verdict, and the number of that."""
     if not len(docs) or not len(verdicts):
         return
-    columns = ("key", "digest", "id", "start", "copies", "spans")
-    said = {(k, d): verdict for k, d, *verdict in zip(*(verdicts[c].tolist() for c in columns), strict=True)}
-    keys = np.unique(np.where(verdicts["level"] > 0, verdicts["base"], verdicts["key"]).astype(np.int64).view(np.uint64))
-    for t in rule.tiles(docs["text"].tolist(), _hot(verdicts, "base")):
-        pick = t.pick(keys)
-        sizes = t.windows[pick] + rule.length - 1
-        columns = (t.key[pick].view(np.int64), t.place[pick], sizes, t.text[pick], t.start[pick])
-        for k, a, n, i, s in zip(*(c.tolist() for c in columns), strict=True):
-            if verdict := said.get((k, _digest(t.cut(a, a + n)))):
-                yield i, s, n, verdict
+    key, digest = (verdicts[c].to_numpy(np.int64).view(np.uint64) for c in ("key", "digest"))
+    names = key * _mix(83) + digest
+    order = np.argsort(names)
+    names = names[order]
+    for t in rule.tiles(docs["text"].tolist(), _hot(verdicts, "base"), True):
+        own = t.key * _mix(83) + t.digest
+        there = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        pick = np.flatnonzero(names[there] == own)
+        yield t, pick, order[there[pick]]
 
 
 def _removed(rule: Rule, docs: pd.DataFrame, verdicts: pd.DataFrame) -> dict[int, np.ndarray]:
     """What goes of each text of a block, by its row."""
-    ids, found = docs["id"].tolist(), {}
-    for i, s, n, (id_, start, copies, spans) in _judged(rule, docs, verdicts):
-        if ids[i] == id_ and (s == start or not rule.within):
-            if spans:
-                found.setdefault(i, []).extend((s + at, m) for at, m in np.frombuffer(spans, "<i4").reshape(-1, 2).tolist())
-        elif copies:
-            found.setdefault(i, []).append((s, n))
-    return {i: _union(np.array(spans, np.int64)) for i, spans in found.items()}
+    ids, spans = docs["id"].to_numpy(np.int64), []
+    packed = verdicts["spans"].tolist()
+    firsts, starts, copies = (verdicts[c].to_numpy(kind) for c, kind in (("id", np.int64), ("start", np.int64), ("copies", bool)))
+    for t, pick, said in _judged(rule, docs, verdicts):
+        text, start = t.text[pick], t.start[pick]
+        is_first = ids[text] == firsts[said]
+        if rule.within:
+            is_first &= start == starts[said]
+        gone = np.flatnonzero(~is_first & copies[said])
+        spans.append(np.stack([text[gone], start[gone], t.windows[pick[gone]] + rule.length - 1], axis=1))
+        for i in np.flatnonzero(is_first).tolist():
+            if packed[said[i]]:
+                found = np.frombuffer(packed[said[i]], "<i4").reshape(-1, 2)
+                spans.append(np.stack([np.full(len(found), text[i]), found[:, 0] + start[i], found[:, 1]], axis=1))
+    every = np.concatenate([np.zeros((0, 3), np.int64), *spans])
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    rows, begin = np.unique(every[:, 0], return_index=True)
+    return {i: _union(part[:, 1:]) for i, part in zip(rows.tolist(), np.split(every, begin[1:]), strict=False)}
 
 
 def _dealt(docs: DataFrame, rule: Rule) -> tuple[DataFrame, GroupedData]:
@@ -494,12 +514,11 @@ def occurrences(docs: DataFrame, rule: Rule) -> DataFrame:
     _, by_block = _dealt(docs, rule)
 
     def marked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, there = left["doc_id"].tolist(), left["doc_id"].notna().tolist()
-        out = [
-            (f"{repeat + (1 << 63):016x}", n, ids[i] if there[i] else None, s + at)
-            for i, s, _, (_, _, _, marks) in _judged(rule, left, right)
-            for at, n, repeat in np.frombuffer(marks, _MARK).tolist()
-        ]
+        ids, there, marks, out = left["doc_id"].tolist(), left["doc_id"].notna().tolist(), right["spans"].tolist(), []
+        for t, pick, said in _judged(rule, left, right):
+            for i, s, v in zip(t.text[pick].tolist(), t.start[pick].tolist(), said.tolist(), strict=True):
+                found = np.frombuffer(marks[v], _MARK).tolist()
+                out += [(f"{repeat + (1 << 63):016x}", n, ids[i] if there[i] else None, s + at) for at, n, repeat in found]
         return pd.DataFrame(out, columns=["repeat", "length", "doc_id", "start"]).astype({"doc_id": "Int64"})
 
     return by_block.cogroup(_verdicts(by_block, rule, _grouped)).applyInPandas(marked, "repeat string, length int, doc_id long, start long")

@@ -1,19 +1,20 @@
 """Repeated byte strings by an enhanced suffix array and its tree of common-prefix intervals.
 
-The array holds the suffixes of all tiles that begin a window, sorted by seven symbols at a
-time: each round splits only groups that are still alike, and what splits them tells the
-common prefix of the neighbours. A tile stands for all its copies, so a suffix of such a tile
-is an interval by itself. A scan with a stack visits the tree of intervals bottom up. An
+Suffixes of tiles that begin a window fall into runs that share the window, told by its hash.
+A run whose suffixes are all preceded by the same symbol goes on to the left, and the run of
+the longer repeat stands for it. The suffixes of the other runs are sorted by seven symbols at
+a time: each round splits only groups that are still alike, and what splits them tells the
+common prefix of the neighbours. A tile stands for all its copies, so a suffix that begins such
+a tile is an interval by itself. A scan with a stack visits the tree of intervals bottom up. An
 interval whose suffixes are preceded by different symbols, or begin a tile, is a maximal
-repeat: all suffixes of the interval, copies included, are its occurrences. If they are all
-preceded by the same symbol, the repeat goes on to the left, and the interval of the longer
-one stands for it.
+repeat: all suffixes of the interval, copies included, are its occurrences.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -21,12 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.llm.common import read
-from seekwell.llm.repeats import LAST_ID, Rule, byte_values, occurrences, without_repeats
+from seekwell.llm.repeats import LAST_ID, Rule, _ranges, byte_values, gram_hashes, occurrences, without_repeats
 
 LENGTH, GRAM = 100, 32
 _DIVERSE = -1
 
 
+@lru_cache(1)
+def _symbol_values() -> np.ndarray:
+    """Values of symbols for hashing: a separator's, and those of bytes."""
+    return np.concatenate([[np.uint64(1)], byte_values()])
+
+
 def sorted_suffixes(symbols: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at ``at``, and the common prefix of each with the next one in it.
 
@@ -120,30 +127,40 @@ def maximal_repeats(tiles: list[np.ndarray], firsts: list[tuple], copied: list[b
         symbols[b : b + len(t)] += 1
     windows = sizes - least + 1
     tile = np.repeat(np.arange(len(tiles)), windows)
-    offset = np.arange(len(tile)) - np.repeat(np.cumsum(windows) - windows, windows)
+    offset = _ranges(np.zeros(len(tiles), np.int64), windows)
     at = begin[tile] + offset
-    order, common = sorted_suffixes(symbols, at, sizes[tile] - offset)
-    tile, offset, at = tile[order], offset[order], at[order]
-    # runs of suffixes that share a window; those that go on to the left alike stand under another
+    shared = gram_hashes(_symbol_values()[symbols], least)[at]
+    order = np.argsort(shared)
+    tile, offset, at, shared = tile[order], offset[order], at[order], shared[order]
     left = np.where(offset > 0, symbols[at - 1], -2)
-    starts = np.flatnonzero(np.concatenate([[True], common < least]))
-    sized = np.diff(np.concatenate([starts, [len(at)]]))
-    low, high = np.minimum.reduceat(left, starts), np.maximum.reduceat(left, starts)
     stands = np.array(copied, bool)[tile] & (offset == 0)
-    any_copies = np.maximum.reduceat(stands, starts)
-    worth = ((sized > 1) & ((low != high) | (low == -2))) | any_copies
-    for s, n in zip(starts[worth].tolist(), sized[worth].tolist(), strict=True):
-        if n == 1:  # an interval of one tile and its copies
-            t = int(tile[s])
-            yield len(tiles[t]), [(t, 0)], [], True
-            continue
-        own = list(zip(tile[s : s + n].tolist(), offset[s : s + n].tolist(), strict=True))
-        # a suffix that begins its tile may go on to the left in its document: always diverse
-        lefts = [c if c >= 0 else _DIVERSE for c in left[s : s + n].tolist()]
-        places = [(firsts[t][0], firsts[t][1] + o) for t, o in own]
-        whole = {i: len(tiles[own[i][0]]) for i in np.flatnonzero(stands[s : s + n]).tolist()}
-        for length, every, later, copies in scan(places, lefts, common[s : s + n - 1].tolist(), least, whole):
-            yield length, own[every.start : every.stop], [own[i] for i in later], copies
+    starts = np.flatnonzero(np.concatenate([[True], shared[1:] != shared[:-1]]))
+    sized = np.diff(np.concatenate([starts, [len(at)]]))
+    diverse = (np.minimum.reduceat(left, starts) != np.maximum.reduceat(left, starts)) | (np.minimum.reduceat(left, starts) == -2)
+    whole = np.maximum.reduceat(stands, starts)
+    for t in tile[starts[whole & (sized == 1)]].tolist():  # intervals of a tile and its copies
+        yield len(tiles[t]), [(t, 0)], [], True
+    pick = _ranges(starts, sized)[np.repeat((sized > 1) & (diverse | whole), sized)]
+    if not len(pick):
+        return
+    tile, offset, at, left, stands = (x[pick] for x in (tile, offset, at, left, stands))
+    order, common = sorted_suffixes(symbols, at, sizes[tile] - offset)
+    tile, offset, left, stands = (x[order] for x in (tile, offset, left, stands))
+    own = list(zip(tile.tolist(), offset.tolist(), strict=True))
+    # a suffix that begins its tile may go on to the left in its document: always diverse
+    lefts = np.where(left >= 0, left, _DIVERSE).tolist()
+    places = [(firsts[t][0], firsts[t][1] + o) for t, o in own]
+    commons = common.tolist()
+    cuts = np.flatnonzero(np.concatenate([[True], common < least, [True]])).tolist()
+    copies_at = np.flatnonzero(stands).tolist()
+    c = 0
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        standing = {}
+        while c < len(copies_at) and copies_at[c] < e:
+            standing[copies_at[c] - s] = len(tiles[own[copies_at[c]][0]])
+            c += 1
+        for length, every, later, copies in scan(places[s:e], lefts[s:e], commons[s : e - 1], least, standing):
+            yield length, own[s + every.start : s + every.stop], [own[s + i] for i in later], copies
 
 
 def later_repeats(tiles: list[np.ndarray], firsts: list[tuple], copied: list[bool], least: int) -> Iterator[tuple[int, int, int, bool]]:
@@ -178,7 +195,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
     ``repeat`` names a repeat by its content. A repeat is maximal within tiles: a longer one
     comes as several that overlap, each told by another key, and a run of one key is cut every
-    512 windows, so that places in another part of such a run may be missing. All occurrences are rows, copies
+    ``length`` windows, so that places in another part of such a run may be missing. All occurrences are rows, copies
     included, so nothing is gathered. ``docs`` as in ``without_repeats``.
     """
     return occurrences(docs, byte_rule(length, gram))

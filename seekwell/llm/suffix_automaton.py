@@ -5,7 +5,9 @@ of all of it would grow with the data, so each shard's automaton goes, by the sh
 to the documents that can match it. A shard's distinct tiles are put into one generalised
 suffix automaton, whose states know the smallest document that has their words. Then the
 tiles are streamed through it for matching statistics: the state of the longest match at
-each word, cut back to a window's length, tells the first document of the window there.
+each word, cut back to a window's length, tells the first document of the window there. The
+automaton's symbols are runs of seven words, one beginning at each word: a match of so many
+symbols is one of six words more, and shorter ones are of no use.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from seekwell.llm.common import read
-from seekwell.llm.repeats import Rule, byte_values, without_repeats
+from seekwell.llm.repeats import Rule, byte_values, gram_hashes, without_repeats
 
 LENGTH, GRAM = 13, 4
+#: Words of a symbol of the automata; at most ``LENGTH``.
+RUN = 7
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -57,18 +61,26 @@ class SuffixAutomaton:
             there = steps[last].get(word)
             if there is not None:
                 last = there if length[there] == length[last] + 1 else self._split(last, word, there)
+                if owners[last] is None or owner < owners[last]:
+                    owners[last] = owner
+                continue
+            new = len(link)
+            steps.append({})
+            length.append(length[last] + 1)
+            owners.append(owner)
+            steps[last][word] = new
+            state = link[last]
+            while state >= 0:
+                there = steps[state].setdefault(word, new)
+                if there != new:
+                    break
+                state = link[state]
             else:
-                new = self._state({}, length[last] + 1, 0, owner)
-                state = last
-                while state >= 0 and word not in steps[state]:
-                    steps[state][word] = new
-                    state = link[state]
-                if state >= 0:
-                    there = steps[state][word]
-                    link[new] = there if length[there] == length[state] + 1 else self._split(state, word, there)
-                last = new
-            if owners[last] is None or owner < owners[last]:
-                owners[last] = owner
+                there = 0
+            link.append(0)
+            if there:
+                link[new] = there if length[there] == length[state] + 1 else self._split(state, word, there)
+            last = new
 
     def settle(self) -> None:
         """Hand each state's owner down to the states of its suffixes."""
@@ -98,7 +110,12 @@ class SuffixAutomaton:
 def earlier_windows(tiles: list[np.ndarray], firsts: list[tuple], copied: list[bool], least: int) -> Iterator[tuple[int, int, int, bool]]:
     """(tile, start, length, False) of each tile's maximal runs of windows that an earlier document has,
     and (tile, 0, length, True) if that is so of all of it for the documents of its copies."""
-    shard, lists = SuffixAutomaton(), [t.tolist() for t in tiles]
+    shard = SuffixAutomaton()
+    sizes = np.array([len(t) for t in tiles])
+    ends = np.cumsum(sizes)
+    symbols = np.unique(gram_hashes(np.concatenate(tiles), RUN), return_inverse=True)[1].tolist()
+    lists = [symbols[end - n : end - RUN + 1] for end, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    least -= RUN - 1
     for words, (owner, _) in zip(lists, firsts, strict=True):
         shard.add(words, owner)
     shard.settle()
@@ -109,14 +126,14 @@ def earlier_windows(tiles: list[np.ndarray], firsts: list[tuple], copied: list[b
             if first < owner:
                 if end != stop + 1 or not stop:
                     if stop:
-                        yield i, start, stop - start, False
+                        yield i, start, stop - start + RUN - 1, False
                     start = end - least
                 stop = end
         if stop:
-            yield i, start, stop - start, False
+            yield i, start, stop - start + RUN - 1, False
         # copies are in documents behind the first owner's, so a window known from there is earlier than all of them
         if copies and known == len(words) - least + 1:
-            yield i, 0, len(words), True
+            yield i, 0, len(words) + RUN - 1, True
 
 
 _BLANK = np.zeros(256, bool)
