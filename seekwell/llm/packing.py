@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +28,13 @@ END_ID = 1
 OPEN_BINS = 1024
 TOKENIZER = "word_bpe_49k.json"
 #: Parts kept by a worker: between this many and twice as many.
-_CACHED = 600_000
-#: Parts of a group of texts that are looked up together.
-_GROUP = 100_000
+_CACHED = 900_000
 #: White space that ``str.split`` or the tokenizer may see otherwise than space, tab and line ends.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile("[^ \t\n\r]+")
 #: Letters whose small form is one letter of this range again, and signs that never join them.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#&*|]*)")
+_SIGNS = ".,;:!?%$#&*|"
+_SIMPLE = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{_SIGNS}]*)")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -45,6 +44,17 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
+class Learned(dict):
+    """A dictionary that finds out what it lacks."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.learn(key)
+        return found
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
@@ -62,42 +72,31 @@ class Encoder:
         self.word = self.tokenizer.model.tokenize
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        self.known = Learned(self._again)
+        self.signs = {"": b""}
 
     def __call__(self, text: str | None) -> bytes:
-        return next(self.each([text]))
-
-    def each(self, texts: list) -> Iterator[bytes]:
-        group, size = [], 0
-        for t in texts:
-            group.append((_PLAIN.findall(t) if _ODD.search(t) else t.split()) if t else [])
-            size += len(group[-1])
-            if size >= _GROUP:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
+        if not text:
+            return b""
         if len(self.known) > _CACHED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        for p in set().union(*group).difference(known):
-            ids = older.get(p)
-            known[p] = self._part(p) if ids is None else ids
-        find = known.__getitem__
-        for parts in group:
-            yield b"".join(map(find, parts))
+            self.known, self.older = Learned(self._again), self.known
+        parts = _PLAIN.findall(text) if _ODD.search(text) else text.split()
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def _again(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        return self._part(part) if ids is None else ids
 
     def _part(self, part: str) -> bytes:
-        simple = _SIMPLE.fullmatch(part)
-        if not simple:
+        word = part.rstrip(_SIGNS)
+        if word.isascii() and word.isalpha():
+            sign, word = part[len(word) :], word.lower()
+        elif simple := _SIMPLE.fullmatch(part):
+            word, sign = simple.groups()
+            word = word.lower().encode().decode("latin-1").translate(self.letters)
+        else:
             return self._whole(part)
-        word, sign = simple.groups()
-        word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
         ids = self.signs.get(sign)
         if ids is None:
             if len(self.signs) > _CACHED // 10:
@@ -136,7 +135,7 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
         encode = encoder(path or tokenizer_path())
         for pdf in parts:
             rows = []
-            for doc_id, ids in zip(pdf["doc_id"], encode.each(pdf["text"].tolist()), strict=True):
+            for doc_id, ids in zip(pdf["doc_id"], map(encode, pdf["text"].tolist()), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

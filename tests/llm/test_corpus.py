@@ -216,7 +216,7 @@ def test_ids_are_those_of_the_tokenizer():
         texts.append("".join(p[r.integers(len(p))] for p in (some[r.integers(len(some))] for _ in range(r.integers(1, 15)))))
     wrong = [
         t
-        for t, got in zip(texts, encode.each(texts), strict=True)
+        for t, got in zip(texts, map(encode, texts), strict=True)
         if got != np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
     ]
     assert wrong == []
