@@ -104,13 +104,17 @@ def decoding_table() -> np.ndarray:
     return table
 
 
+def codewords(segments: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Numbers of the codewords near segments of up to 23 bits: one or six each, -1 fills up."""
+    errors = table[_syndrome(segments)]
+    return np.where(errors < 0, -1, (segments[:, None] ^ errors) >> 11)
+
+
 def golay_keys(fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of fingerprints (uint64): positions into ``fps``, and a key each."""
     found, at = [], 0
     for width in _WIDTHS:
-        segment = ((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        errors = table[_syndrome(segment)]
-        found.append(np.where(errors < 0, -1, (segment[:, None] ^ errors) >> 11))
+        found.append(codewords(((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64), table))
         at += width
     rows, keys = [], []
     for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
@@ -243,7 +247,8 @@ def first_of_components(docs: DataFrame, marked: DataFrame, parts: DataFrame) ->
     keep = written(least.groupBy("component").agg(F.min("first").alias("first")).select("first.k1", "first.k2"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("k"))
     kept = rows.select("row", "k.*").join(keep, ["k1", "k2"], "left_semi")
-    return kept.dropDuplicates(["k1", "k2"]).select("row.*")
+    # of rows that repeat id and text the same one stays in every run: the least by all its columns
+    return kept.groupBy("k1", "k2").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
 
 
 def op2_simhash_golay(spark, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Near-duplicate texts by the Jaccard similarity of their sets of five-word shingles.
+"""Near-duplicate texts by SimHash with Golay-code keys, for sets of five-word shingles.
 
-Each different set gets ``BANDS`` keys of ``ROWS`` MinHash values. Sets that meet under a key
-are candidates, and every candidate pair is checked on the sets themselves. Two sets of
-similarity 0.8 share no key with a probability of 7e-5, more similar ones with less.
+Texts are near-duplicates if the Jaccard similarity of their sets is 0.8 or more. Fingerprints
+of two such sets differ in 15 % of their bits at most, on average, so a wide fingerprint of
+``SEGMENTS`` segments of 23 bits is taken. As in ``simhash`` each segment decodes to the
+codewords near it, and a pair of codewords of two segments is a key. Sets that meet under a
+key, and whose first 64 bits differ in at most ``MOST_BITS``, are candidates; what decides is
+the check of each candidate pair on the sets themselves.
 
-A key of few sets gives all its pairs. One of many sets would give pairs with the square of
-their number; there a text that is met takes in all that are clearly near it by their
-signatures, as a spanning forest, and those that may be near it are checked with it up to
-``DOUBTS`` times for each text and key.
+Two sets of similarity 0.8 share a key with a probability of 0.96, of 0.86 with 0.993, of 0.9
+with 0.999 (as simulated); what isn't met as a pair may still be connected by others.
 """
 
 from __future__ import annotations
@@ -22,156 +23,240 @@ from pyspark.sql import functions as F
 
 from seekwell.llm.common import doc_key, written
 from seekwell.llm.components import connected_components
-from seekwell.llm.simhash import _UPPER, first_of_components
+from seekwell.llm.repeats import gram_hashes
+from seekwell.llm.simhash import _UPPER, codewords, decoding_table, first_of_components
+from seekwell.llm.suffix_automaton import word_rule
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 24, 5
-DOUBTS = 4
-#: Keys of up to so many sets give all their pairs.
-_SMALL = 24
-#: Shares of equal signature values from which two sets are clearly near, or may be.
-_SURE, _MAYBE = 0.92, 0.7
-_SEED = 5
-_FACTORS = np.random.default_rng(_SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.random.default_rng(_SEED + 1).integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles; a shorter text is one, a wordless one none."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER).split()
-    parts = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, _SEED) for p in parts), np.uint64, len(parts)))
+SEGMENTS, WIDTH = 6, 23
+#: Bits of the first 64 that candidates may differ in: three deviations more than the mean at 0.8.
+MOST_BITS = 18
+#: Bits in which a set may differ from one that stands for it in a key's group.
+ALIKE_BITS = 4
+#: Larger groups grow their parts one set at a time, and give ``DOUBTS`` candidates more for a set.
+_SMALL, DOUBTS = 24, 4
+#: Parts that the candidates of one set are dealt over.
+SALTS = 16
+_WORDS = ("h", "h2", "h3")
+_RULE = word_rule(SHINGLE)
+_CHUNK = 1 << 20
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its five-word shingles, A-Z in small letters.
+
+    A text of fewer words is one shingle, a wordless one has none. Long texts go in segments.
+    """
+    group, size = [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER)
+        if len(raw) > _CHUNK:
+            yield from _sets(group)
+            yield np.unique(np.concatenate(list(_sets([part for _, part in _RULE.segments(raw, _CHUNK)]))))
+            group, size = [], 0
+            continue
+        group.append(raw)
+        size += len(raw)
+        if size > _CHUNK:
+            yield from _sets(group)
+            group, size = [], 0
+    yield from _sets(group)
+
+
+def _sets(group: list[bytes]) -> Iterator[np.ndarray]:
+    if not group:
+        return
+    words, counts, _ = _RULE.symbols(group)
+    grams = gram_hashes(words, SHINGLE) if len(words) >= SHINGLE else words
+    ends = np.cumsum(counts)
+    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+        if n >= SHINGLE:
+            yield np.unique(grams[end - n : end - SHINGLE + 1])
+        else:
+            yield gram_hashes(words[end - n : end], n)[:1] if n else words[:0]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have a Jaccard similarity of ``LEAST`` at least; empty ones are equal."""
+    few, many = sorted((len(a), len(b)))
+    if few * LEAST[1] < many * LEAST[0]:
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """MinHash values of a set."""
-    if not len(s):
-        return np.zeros(len(_FACTORS), np.uint64)
-    out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):
-        out = np.minimum(out, (s[at : at + 4096, None] * _FACTORS).min(axis=0))
-    return out
-
+#: Odd numbers that make the words of a fingerprint of a shingle's hash.
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """Three words of 64 bits of a set: a bit is 1 if it is in over half of the shingles' hashes."""
+    ones = np.zeros(64 * len(_ODD), np.int64)
+    for at in range(0, len(s), 1 << 14):
+        x = s[at : at + (1 << 14)]
+        x = x ^ (x >> np.uint64(29))
+        words = np.empty((len(x), len(_ODD)), np.uint64)
+        for i, odd in enumerate(_ODD):
+            y = x * np.uint64(odd)
+            y = (y ^ (y >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            words[:, i] = y ^ (y >> np.uint64(31))
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(s), bitorder="little").view(np.uint64)
+
+
+def golay_keys(prints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints (rows of three uint64): their numbers, and a key each."""
+    found = []
+    for i in range(SEGMENTS):
+        word, at = divmod(i * WIDTH, 64)
+        segment = prints[:, word] >> np.uint64(at)
+        if at + WIDTH > 64:
+            segment = segment | prints[:, word + 1] << np.uint64(64 - at)
+        found.append(codewords((segment & np.uint64((1 << WIDTH) - 1)).astype(np.int64), table))
+    rows, keys = [], []
+    for pair, (i, j) in enumerate((i, j) for j in range(SEGMENTS) for i in range(j)):
+        both = (found[i][:, :, None] << 12) | found[j][:, None, :]
+        ok = (found[i][:, :, None] >= 0) & (found[j][:, None, :] >= 0)
+        rows.append(np.nonzero(ok)[0])
+        keys.append(both[ok] | (pair << 24))
+    return np.concatenate(rows), np.concatenate(keys)
 
-def _bands(values: np.ndarray) -> np.ndarray:
-    """A key for each band."""
-    v = values.reshape(BANDS, ROWS)
-    h = (((v ^ (v >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) * _FACTORS[0]
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
-
-def _grown(fps: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate links of one large group, a few for each text."""
-    rest, doubts = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+def _marked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row's key, the name of its set, and the set's fingerprint."""
+    for pdf in parts:
+        names, prints = [], []
+        for s in shingle_sets(pdf["text"].tolist()):
+            names.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+            prints.append(wide_fingerprint(s))
+        wide = np.array(prints, np.uint64).reshape(-1, len(_ODD)).view(np.int64)
+        named = pdf[["doc_id", "k1", "k2"]].assign(fp=np.array(names, np.int64))
+        yield named.assign(**{c: wide[:, i] for i, c in enumerate(_WORDS)}).astype({"doc_id": "Int64"})
+
+
+def _grown(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of one large group: a set takes in all that are clearly like it, and a few that may be."""
+    rest, doubts = np.arange(len(prints)), np.zeros(len(prints), np.int64)
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             one = front.pop()
-            share = (sigs[rest] == sigs[one]).mean(axis=1)
-            sure = share >= _SURE
-            maybe = ~sure & (share >= _MAYBE) & (doubts[rest] < DOUBTS)
+            bits = np.bitwise_count(prints[rest] ^ prints[one])
+            sure = bits <= ALIKE_BITS
+            maybe = ~sure & (bits <= MOST_BITS) & (doubts[rest] < DOUBTS)
             doubts[rest[maybe]] += 1
             got = rest[sure | maybe]
             if len(got):
-                yield np.full(len(got), fps[one]), fps[got]
+                yield np.full(len(got), prints[one]), prints[got]
             front += rest[sure].tolist()
             rest = rest[~sure]
 
 
-def _groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key in pieces that hold every key of theirs whole."""
-    held: list[pd.DataFrame] = []
-    for pdf in parts:
-        if not len(pdf):
-            continue
-        keys = pdf["key"].to_numpy(np.int64)
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut or (held and held[-1]["key"].iloc[-1] != keys[0]):
-            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
-            held = []
-        held.append(pdf.iloc[cut:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _starts(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-
-
-def _small(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All pairs (u, v) of small keys; rows (key, u) of large ones."""
-    for pdf in _groups(parts):
-        keys, fps = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64)
-        sizes = np.diff(_starts(keys))
-        few = np.repeat(sizes <= _SMALL, sizes)
-        k, f = keys[few], fps[few]
-        for lag in range(1, min(_SMALL, len(k))):
-            same = k[lag:] == k[:-lag]
-            if not same.any():
-                break
-            a, b = f[:-lag][same], f[lag:][same]
-            yield pd.DataFrame({"key": None, "u": np.minimum(a, b), "v": np.maximum(a, b)}).drop_duplicates().astype({"key": "Int64", "v": "Int64"})
-        if not few.all():
-            yield pd.DataFrame({"key": keys[~few], "u": fps[~few], "v": None}).astype({"key": "Int64", "v": "Int64"})
-
-
-def _large(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _groups(parts):
-        keys, fps = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64)
-        cuts = _starts(keys)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            sigs = np.frombuffer(b"".join(pdf["sig"].iloc[a:b]), np.uint8).reshape(b - a, -1)
-            for u, v in _grown(fps[a:b], sigs):
-                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
+def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows sorted by key and print.
 
-def _marked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row's key, the name of its set, and what stands for the set."""
+    In a small group every print that is clearly like a smaller one is paired with the smallest
+    such only, and those that are like none are all paired.
+    """
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
+    sizes = np.diff(cuts)
+    small = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
+    k, f = keys[small], prints[small]
+    stands, pairs = np.arange(len(k)), []
+    for lag in range(1, min(_SMALL, len(k))):
+        same = k[lag:] == k[:-lag]
+        if not same.any():
+            break
+        i = np.flatnonzero(same)
+        bits = np.bitwise_count(f[i] ^ f[i + lag])
+        alike, maybe = i[bits <= ALIKE_BITS], i[(bits > ALIKE_BITS) & (bits <= MOST_BITS)]
+        stands[alike + lag] = np.minimum(stands[alike + lag], alike)
+        pairs.append(np.stack([maybe, maybe + lag]))
+    own = np.arange(len(k))
+    taken = own[stands < own]
+    us, vs = [f[stands[taken]]], [f[taken]]
+    for a, b in pairs:
+        free = (stands[a] == a) & (stands[b] == b)
+        us.append(f[a[free]])
+        vs.append(f[b[free]])
+    for g in np.flatnonzero(sizes > _SMALL):
+        for u, v in _grown(prints[cuts[g] : cuts[g + 1]]):
+            us.append(u)
+            vs.append(v)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def candidate_pairs(prints: DataFrame) -> DataFrame:
+    """``prints(h, h2, h3)``, distinct by ``h``, to candidates ``(u, v)`` of these first 64 bits."""
+    table = decoding_table()
+
+    def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            wide = pdf[list(_WORDS)].to_numpy(np.int64)
+            for at in range(0, len(wide), 500):
+                some = np.ascontiguousarray(wide[at : at + 1000])
+                rows, keys = golay_keys(some.view(np.uint64), table)
+                yield pd.DataFrame({"key": keys.astype(np.int32), "h": some[rows, 0]})
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by key and print; a group that a batch cuts is carried over whole."""
+        keys, h = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+        def out(k: np.ndarray, f: np.ndarray) -> pd.DataFrame:
+            u, v = candidates(k, f.view(np.uint64))
+            return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)}).drop_duplicates()
+
+        for pdf in parts:
+            keys = np.concatenate([keys, pdf["key"].to_numpy(np.int32)])
+            h = np.concatenate([h, pdf["h"].to_numpy(np.int64)])
+            if len(keys) > 200_000 and keys[0] != keys[-1]:
+                cut = int(np.searchsorted(keys, keys[-1]))
+                yield out(keys[:cut], h[:cut])
+                keys, h = keys[cut:], h[cut:]
+        if len(keys):
+            yield out(keys, h)
+
+    keyed = prints.select(*_WORDS).mapInPandas(emit, "key int, h long")
+    return keyed.repartition("key").sortWithinPartitions("key", "h").mapInPandas(meet, "u long, v long").distinct()
+
+
+def _checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by set and role: the set's own text, then those of its candidates, to links."""
+    own, name = None, None
     for pdf in parts:
-        fps, sigs, bands = [], [], []
-        for text in pdf["text"]:
-            s = shingles(text)
-            values = signature(s)
-            fps.append(xxhash.xxh64_intdigest(s.tobytes(), _SEED) - (1 << 63))
-            sigs.append((values >> np.uint64(40)).astype(np.uint8).tobytes())
-            bands.append(_bands(values))
-        yield pdf[["doc_id", "k1", "k2"]].assign(fp=np.array(fps, np.int64), sig=sigs, bands=bands).astype({"doc_id": "Int64"})
-
-
-def _checked(a: pd.Series, b: pd.Series) -> pd.Series:
-    out, last, known = [], None, None
-    for x, y in zip(a, b, strict=True):
-        if x != last:
-            last, known = x, shingles(x)
-        out.append(similar(known, shingles(y)))
-    return pd.Series(out, dtype=bool)
+        us, vs = [], []
+        for u, v, role, s in zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["role"].tolist(), shingle_sets(pdf["text"].tolist()), strict=True):
+            if role == 0:
+                own, name = s, u
+            elif u == name and similar(own, s):
+                us.append(u)
+                vs.append(v)
+        yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
 
 def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` of the sets in ``marked(k1, k2, fp, sig, bands)`` that are similar."""
-    sets = marked.groupBy("fp").agg(F.min(F.struct("k1", "k2", "sig", "bands")).alias("m"))
-    keyed = sets.select("fp", F.explode("m.bands").alias("key"))
-    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_small, "key long, u long, v long"))
-    sigs = marked.groupBy("fp").agg(F.min("sig").alias("sig"))
-    many = met.where("key IS NOT NULL").select("key", F.col("u").alias("fp")).join(sigs, "fp")
-    large = many.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_large, "u long, v long")
-    pairs = written(met.where("key IS NULL").select("u", "v").unionByName(large).distinct())
-    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    one = marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k")).join(ends, "fp", "left_semi")
-    keys = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    held = written(keys.join(one, "k").select("fp", "text").dropDuplicates(["fp"]))
-    left = held.select(F.col("fp").alias("u"), F.col("text").alias("a"))
-    right = held.select(F.col("fp").alias("v"), F.col("text").alias("b"))
-    checked = F.pandas_udf(_checked, "boolean")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", checked("a", "b").alias("ok")).where("ok").select("u", "v")
+    """Links ``(u, v)`` between names of the sets in ``marked(k1, k2, fp, h, h2, h3)`` that are similar.
+
+    Each candidate text is sent to the set that it is checked with, whose own text comes first;
+    candidates of one set are dealt over ``SALTS`` parts.
+    """
+    sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.min(c).alias(c) for c in _WORDS)))
+    first = sets.groupBy("h").agg(F.min(F.struct("fp", "h2", "h3")).alias("f")).select("h", "f.*")
+    met = written(candidate_pairs(first))
+    ends = met.join(first.select(F.col("h").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("h").alias("v"), F.col("fp").alias("b")), "v")
+    same = sets.join(first.select("h", F.col("fp").alias("a")), "h").where("fp <> a").select("a", F.col("fp").alias("b"))
+    pairs = written(ends.select("a", "b").unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    dealt = pairs.withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int"))
+    roles = dealt.select("u", "salt", "v", F.lit(1).alias("role"), F.col("v").alias("fp")).unionByName(
+        dealt.select("u", "salt", F.lit(0).cast("long").alias("v"), F.lit(0).alias("role"), F.col("u").alias("fp")).distinct()
+    )
+    placed = roles.join(sets.select("fp", "k"), "fp").select("u", "salt", "v", "role", "k")
+    texts = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    sent = placed.join(texts, "k").select("u", "salt", "v", "role", "text")
+    return sent.repartition("u", "salt").sortWithinPartitions("u", "salt", "role").mapInPandas(_checked, "u long, v long").distinct()
 
 
 def first_of_each_similar(docs: DataFrame) -> DataFrame:
@@ -182,7 +267,7 @@ def first_of_each_similar(docs: DataFrame) -> DataFrame:
     Texts of equal shingle sets are equal; wordless ones are one group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_key().alias("k")).select("doc_id", "text", "k.*")
-    marked = written(rows.mapInPandas(_marked, "doc_id long, k1 long, k2 long, fp long, sig binary, bands array<long>"))
+    marked = written(rows.mapInPandas(_marked, "doc_id long, k1 long, k2 long, fp long, h long, h2 long, h3 long"))
     parts = connected_components(similar_links(docs, marked)).withColumnRenamed("node", "fp")
     nodes = marked.select("fp").distinct()
     named = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from seekwell.llm import common, quality, similar
+from seekwell.llm.simhash import decoding_table
 
 
 def texts(spark, rows):
@@ -70,5 +71,39 @@ def test_edited_copies_go_and_less_similar_texts_stay(spark):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    got = corpus_pipeline.near_duplicates(spark, texts(spark, rows), "")
-    assert sorted(r.doc_id for r in got.collect()) == sorted(rows[i][0] for i in range(len(rows)) if root[i] == i)
+    roots = {rows[i][0] for i in range(len(rows)) if root[i] == i}
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, texts(spark, rows), "").collect()}
+    # what is least of its group stays; keys find 0.993 of the pairs that are 0.86 alike
+    assert got >= roots and len(got - roots) <= 0.02 * (len(rows) - len(roots))
+
+
+def test_pairs_are_met_as_often_as_stated():
+    r, table, found = random.Random(3), decoding_table(), {k: 0 for k in (1, 2, 3)}
+    for edits in found:
+        for _ in range(300):
+            words = [f"w{r.randrange(5000)}" for _ in range(200)]
+            other = list(words)
+            for k in r.sample(range(200), edits):
+                other[k] = "z"
+            sets = list(similar.shingle_sets([" ".join(words), " ".join(other)]))
+            prints = np.array([similar.wide_fingerprint(s) for s in sets])
+            number, keys = similar.golay_keys(prints, table)
+            near = np.bitwise_count(prints[0, 0] ^ prints[1, 0]) <= similar.MOST_BITS
+            found[edits] += bool(near and set(keys[number == 0]) & set(keys[number == 1]))
+    assert found[1] == 300 and found[2] >= 297 and found[3] >= 294
+
+
+def test_shingle_sets_of_short_and_long_texts(monkeypatch):
+    def plain(text):
+        w = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    r = random.Random(2)
+    some = [None, "", " ", "one", "a b c d", "A b c d e", "a b c d e f", " ".join(r.choice("abcde") for _ in range(900))]
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(similar, "_CHUNK", size)
+        sets = list(similar.shingle_sets(some))
+        assert [len(s) for s in sets] == [len(plain(t)) for t in some]
+        assert similar.similar(sets[0], sets[1]) and not similar.similar(sets[0], sets[3]) and not similar.similar(sets[5], sets[6])
+    whole = list(similar.shingle_sets(some))
+    assert all((a == b).all() for a, b in zip(sets, whole, strict=True))
