@@ -2,15 +2,19 @@
 
 The directory is a binary tree over the leading bits of a row's hash. A bucket whose rows
 exceed the byte limit splits on another bit; all others stay as they are. Bytes are summed
-once by cells of some more bits than an even split would need, then rolled up, and a row's
-shard is its shallowest bucket within the limit. Cells that are still too large are split
-alone on further bits.
+once by cells of some more bits than an even split would need. Each task rolls up subtrees of
+at most ``2 ** _LEVELS`` cells: a cell's shard is its shallowest bucket within the limit. A
+subtree that is within the limit as a whole is a cell of the next, shallower round; cells
+that are still too large are split alone on further bits.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,27 +24,67 @@ LIMIT_BYTES = 1 << 20
 _BITS = 60
 #: Bits below those of an even split that the first sums have; later rounds go on by as many.
 _SLACK = 6
+#: Bits that a task rolls up at once.
+_LEVELS = 12
 
 _HASH = "cast(conv(substring(md5(concat(coalesce(cast(doc_id AS string), ''), ':', coalesce(text, ''))), 1, 15), 16, 10) AS bigint)"
 
 
-def _leaves(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """For each cell of ``high`` bits, the shallowest bucket from ``low`` bits on that holds.
-
-    A bucket holds if its rows are within the limit, or can't be told apart by any bit.
-    """
-    cells = rows.groupBy(F.shiftright("h", _BITS - high).alias("cell")).agg(
+def _cells(rows: DataFrame, level: int) -> DataFrame:
+    return rows.groupBy(F.shiftright("h", _BITS - level).alias("cell")).agg(
         F.sum("n_bytes").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")
     )
-    up = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(
-        "prefix", F.expr(f"shiftright(cell, {high} - depth)")
-    )
-    buckets = up.groupBy("depth", "prefix").agg(
-        F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    good = buckets.where((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi")))
-    held = up.select("cell", "depth", "prefix").join(good.drop("lo", "hi"), ["depth", "prefix"])
-    return held.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaf"))
+
+
+def _rolled(cells: DataFrame, level: int, root: int, limit: int) -> DataFrame:
+    """For each cell of ``level`` bits its shallowest bucket that holds, from ``root`` bits on.
+
+    A bucket holds if its rows are within the limit, or can't be told apart by any bit. The
+    depth is null if not even the cell does.
+    """
+
+    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = pdf["cell"].to_numpy(np.int64)
+        sums = [pdf[c].to_numpy(np.int64) for c in ("b", "n", "lo", "hi")]
+        out = pdf.assign(depth=-1, prefix=cell)
+        for depth in range(level, root - 1, -1):
+            inside = (cell >> (level - depth)) - (int(cell[0]) >> (level - root) << (depth - root))
+            b, n = (np.zeros(1 << depth - root, np.int64) for _ in range(2))
+            lo, hi = np.full(len(b), 1 << _BITS), np.full(len(b), -1)
+            for at, (total, part) in zip((np.add, np.add, np.minimum, np.maximum), zip((b, n, lo, hi), sums, strict=True), strict=True):
+                at.at(total, inside, part)
+            holds = ((b <= limit) | (lo == hi))[inside]
+            values = {"depth": depth, "prefix": cell >> (level - depth), "b": b[inside], "n": n[inside], "lo": lo[inside], "hi": hi[inside]}
+            for c, v in values.items():
+                out[c] = np.where(holds, v, out[c])
+        return out.astype({"depth": np.int32})
+
+    schema = "cell long, b long, n long, lo long, hi long, depth int, prefix long"
+    found = cells.groupBy(F.shiftright("cell", level - root)).applyInPandas(roll, schema)
+    return found.withColumn("depth", F.expr("nullif(depth, -1)"))
+
+
+def _settled(rows: DataFrame, low: int, high: int, limit: int) -> tuple[list[DataFrame], DataFrame]:
+    """Rows with their bucket of ``low`` to ``high`` bits, and those of cells that none holds."""
+    columns, done, over = rows.columns, [], None
+    cells, level = _cells(rows, high), high
+    while True:
+        root = max(low, level - _LEVELS)
+        rolled = written(_rolled(cells, level, root, limit))
+        placed = rows.join(rolled.drop("lo", "hi"), F.shiftright("h", _BITS - level) == F.col("cell"))
+        up = (F.col("depth") == root) if root > low else F.lit(False)
+        done.append(placed.where(F.col("depth").isNotNull() & ~up))
+        if over is None:
+            over = placed.where("depth IS NULL").select(columns)
+        if root == low:
+            return done, over
+        if rolled.where(F.col("depth") == root).isEmpty():
+            return done, over
+        # a subtree that has split is a cell that no bucket can take in
+        whole = F.max(F.coalesce(F.col("depth") == root, F.lit(False)))
+        parts = {"b": limit + 1, "n": 0, "lo": 0, "hi": 1}
+        cells = rolled.groupBy(F.shiftright("cell", level - root).alias("cell")).agg(*(F.when(whole, F.max(c)).otherwise(F.lit(v)).cast("long").alias(c) for c, v in parts.items()))
+        rows, level = written(placed.where(up).select(columns)), root
 
 
 def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
@@ -48,29 +92,29 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 
     ``shard`` is the bucket's leading bits, empty if all rows fit into one. A row's hash is of
     its id and text, so rows that repeat both share a shard. Only a shard of one such row or
-    its repeats can exceed the limit; ``fits`` is then false. Null texts have no bytes.
+    its repeats can exceed the limit; ``fits`` is then false. Null texts have no bytes. An
+    empty table gives an empty table; other columns are ignored.
     """
     rows = written(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr(_HASH).alias("h")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    done, rest = None, rows
-    low, high = 0, min(_BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + _SLACK)
+    done, low, high = [], 0, min(_BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + _SLACK)
     while True:
-        leaves = written(_leaves(rest, low, high, limit))
-        cell = F.shiftright("h", _BITS - high)
-        found = rest.join(leaves, cell == F.col("cell")).select("doc_id", "n_bytes", "leaf.*")
-        done = found if done is None else done.unionByName(found)
-        rest = rest.join(leaves, cell == F.col("cell"), "left_anti")
-        if high == _BITS or rest.isEmpty():
+        found, rows = _settled(rows, low, high, limit)
+        done += found
+        if high == _BITS:
+            break
+        rows = written(rows)
+        if rows.isEmpty():
             break
-        rest, low, high = written(rest), high + 1, min(_BITS, high + _SLACK)
-    return done.select(
+        low, high = high + 1, min(_BITS, high + _SLACK)
+    return reduce(DataFrame.unionByName, done).select(
         "doc_id",
         "n_bytes",
         F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')")).alias("shard"),
-        F.col("depth").cast("int").alias("depth"),
-        "shard_bytes",
-        "shard_docs",
-        (F.col("shard_bytes") <= limit).alias("fits"),
+        "depth",
+        F.col("b").alias("shard_bytes"),
+        F.col("n").alias("shard_docs"),
+        (F.col("b") <= limit).alias("fits"),
     )
 
 

@@ -234,7 +234,9 @@ def test_packing_nothing(spark):
     assert packing.packed_documents(frame(spark, [])).collect() == []
 
 
-def test_shards_fit(spark):
+@pytest.mark.parametrize("levels", [sharding._LEVELS, 2])
+def test_shards_fit(spark, monkeypatch, levels):
+    monkeypatch.setattr(sharding, "_LEVELS", levels)
     r = np.random.default_rng(4)
     rows = [(int(i), "x" * int(r.integers(0, 400)), "s") for i in range(500)]
     rows += [(1000, "y" * 5000, "s"), (1001, None, "s"), (None, "z", "s"), (7, "same", "s"), (7, "same", "s")]
