@@ -18,8 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from seekwell.llm.common import read, written
 
@@ -144,10 +146,13 @@ def with_membership(
 ) -> DataFrame:
     """Adds whether ``key``, a key of the universe, is listed; null is not.
 
-    Small cascades go to every worker. Beyond ``broadcast_bytes`` rows are dealt by shard,
-    each shard over ``SALTS`` tasks with a copy of its cascade, so a hot key is spread out.
+    Small cascades go to every worker. Beyond ``broadcast_bytes`` rows are dealt by shard, each
+    shard over ``SALTS`` tasks; a task has one cascade at a time, which comes before its rows, and
+    these stream past it, so neither a hot key nor a large shard is gathered. All columns stay
+    as they are, but for one that is called ``name``, which is replaced.
     """
-    hashed = _with_hashes(df, key)
+    df = df.drop(name)
+    k1, k2 = F.xxhash64(key), F.xxhash64(F.lit(1), F.col(key))
     total = filters.agg(F.sum(F.length("cascade"))).first()[0] or 0
     if total <= broadcast_bytes:
         sent = df.sparkSession.sparkContext.broadcast({r.shard: bytes(r.cascade) for r in filters.collect()})
@@ -155,27 +160,51 @@ def with_membership(
         @F.pandas_udf("boolean")
         def member(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             known = {s: Cascade(c) for s, c in sent.value.items()}
-            for k1, k2 in parts:
-                pdf = pd.DataFrame({"k1": k1, "k2": k2})
-                keys, shard, out = _pairs(pdf), np.mod(k1.to_numpy(np.int64), shards), np.zeros(len(pdf), bool)
+            for a, b in parts:
+                keys = np.stack([a.to_numpy(np.int64), b.to_numpy(np.int64)], axis=1).view(np.uint64)
+                shard, out = np.mod(a.to_numpy(np.int64), shards), np.zeros(len(a), bool)
                 for s in np.unique(shard):
                     if int(s) in known:
                         out[shard == s] = known[int(s)].listed(keys[shard == s])
                 yield pd.Series(out)
 
-        found = hashed.withColumn(name, member("k1", "k2") & F.col(key).isNotNull())
-        return found.drop("k1", "k2")
-
-    salted = hashed.withColumn("_shard", F.pmod("k1", F.lit(shards))).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    copies = filters.select(F.col("shard").alias("_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"), "cascade")
-
-    def judge(rows: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        cascade = Cascade(bytes(sent["cascade"].iloc[0]) if len(sent) else struct.pack("<I", 0))
-        return rows.assign(**{name: cascade.listed(_pairs(rows)) & rows[key].notna().to_numpy()})
-
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in salted.dtypes) + f", `{name}` boolean"
-    grouped = salted.groupBy("_shard", "_salt").cogroup(copies.groupBy("_shard", "_salt"))
-    return grouped.applyInPandas(judge, schema).drop("k1", "k2", "_shard", "_salt")
+        return df.withColumn(name, member(k1, k2) & F.col(key).isNotNull())
+
+    own = [f"_{c}{i}" for i, c in enumerate(("k1", "k2", "shard", "salt", "there", "cascade"))]
+    while set(own) & set(df.columns):
+        own = ["_" + c for c in own]
+    first, second, shard, salt, there, cascade = own
+    rows = df.select(
+        "*", k1.alias(first), k2.alias(second), F.pmod(k1, F.lit(shards)).alias(shard), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias(salt),
+        F.col(key).isNotNull().alias(there), F.lit(None).cast("binary").alias(cascade),
+    )
+    nothing = F.lit(None).cast("long")
+    copies = filters.select(
+        *(F.lit(None).cast(kind).alias(c) for c, kind in df.dtypes), nothing.alias(first), nothing.alias(second), F.col("shard").alias(shard),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(salt), F.lit(False).alias(there), F.col("cascade").alias(cascade),
+    )
+    keep = df.columns
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard and salt, their cascade first."""
+        now, now_for = Cascade(struct.pack("<I", 0)), None
+        for batch in batches:
+            sent = batch.column(batch.schema.get_field_index(cascade))
+            of = batch.column(batch.schema.get_field_index(shard)).to_numpy()
+            hashes = [batch.column(batch.schema.get_field_index(c)).fill_null(0).to_numpy() for c in (first, second)]
+            keys, out = np.stack(hashes, axis=1).view(np.uint64), np.zeros(len(of), bool)
+            news = np.flatnonzero(sent.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for a, b in zip([0, *news], [*news, len(of)], strict=True):
+                if a in news:
+                    now, now_for = Cascade(sent[a].as_py()), of[a]
+                mine = np.arange(a, b)[of[a:b] == now_for]
+                out[mine] = now.listed(keys[mine])
+            out &= batch.column(batch.schema.get_field_index(there)).to_numpy(zero_copy_only=False)
+            found = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out)], names=[*keep, name])
+            yield found.filter(sent.is_null())
+
+    dealt = copies.unionByName(rows).repartition(shard, salt).sortWithinPartitions(shard, salt, F.col(cascade).isNull())
+    return dealt.mapInArrow(judge, StructType([*df.schema.fields, StructField(name, BooleanType())]))
 
 
 def judged(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
