@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seekwell.llm.common import read
 
@@ -58,8 +59,11 @@ def formatted(pairs: DataFrame) -> DataFrame:
 
     Gives ``(pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask)``. A side
     that is a prefix of the other has an empty completion and mask; pairs stay as they
-    come, repeats included.
+    come, repeats included. A null list of turns is empty; a null role or text is empty too.
     """
+    sides = ("chosen_turns", "rejected_turns")
+    clean = "coalesce(transform({0}, t -> named_struct('role', coalesce(t.role, ''), 'text', coalesce(t.text, ''))), array())".format
+    pairs = pairs.select("pair_id", *(F.expr(clean(c)).alias(c) for c in sides))
     cut = pairs.withColumn("n_common", _common("chosen_turns", "rejected_turns"))
     tail = "slice({0}_turns, n_common + 1, size({0}_turns))".format
     return cut.select(
@@ -73,53 +77,58 @@ def formatted(pairs: DataFrame) -> DataFrame:
     )
 
 
-def swapped_endings(turns: DataFrame) -> DataFrame:
-    """Pairs of each conversation with itself under another ending, that of the next id's.
+#: Conversations that are put in order to find each one's neighbour, on average.
+NEIGHBOURS = 1000
+_HASH = "cast(conv(substring(md5(cast(conv_id AS string)), 1, 15), 16, 10) AS bigint)"
 
-    Conversations whose next id has none are left out.
+
+def branched(turns: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``(pair_id, chosen_turns, rejected_turns)``: each conversation, and itself going on as another one does.
+
+    The other is the next by id of those in the same bucket of a hash of the id, after the
+    last the first; ids need not be numbers or follow each other. The place where the two part
+    goes by the hash too, from before the first turn to behind the last. A conversation alone
+    in its bucket is cut short there, and so is one whose neighbour has no turn after it. Every
+    conversation gives a pair.
     """
-    convs = conversations(turns)
-    other = convs.select((F.col("conv_id") - 1).alias("conv_id"), F.slice("turns", -1, 1).alias("ending"))
-    return convs.join(other, "conv_id").select(
+    convs = conversations(turns).withColumn("_h", F.expr(_HASH))
+    buckets = max(1, -(-convs.count() // neighbours))
+    bucket = W.partitionBy(F.pmod("_h", F.lit(buckets)))
+    order = bucket.orderBy("conv_id")
+    other = F.when(F.count("*").over(bucket) > 1, F.coalesce(F.lead("turns").over(order), F.first("turns").over(order)))
+    paired = convs.withColumn("_other", other).withColumn("_k", F.expr("cast(pmod(_h, size(turns) + 1) AS int)"))
+    return paired.select(
         F.col("conv_id").alias("pair_id"),
         F.col("turns").alias("chosen_turns"),
-        F.expr("concat(slice(turns, 1, size(turns) - 1), ending)").alias("rejected_turns"),
+        F.expr("concat(slice(turns, 1, _k), coalesce(slice(_other, _k + 1, size(_other)), slice(turns, 1, 0)))").alias("rejected_turns"),
     )
 
 
 def op4_preference_pairs(spark, sf_dir: str) -> DataFrame:
-    return formatted(swapped_endings(read(spark, sf_dir, "conversations")))
-
-
-OP4_SQL = r"""
-WITH t AS (
-  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
-         count(*) OVER (PARTITION BY conv_id) AS n
-  FROM conversations WHERE conv_id IS NOT NULL),
-e AS (SELECT conv_id - 1 AS conv_id, role, text FROM t WHERE i = n - 1),
-sides AS (
-  SELECT t.conv_id, 'chosen' AS side, t.i, t.n, t.role, t.text FROM t JOIN e USING (conv_id)
-  UNION ALL
-  SELECT t.conv_id, 'rejected', t.i, t.n, CASE WHEN t.i = t.n - 1 THEN e.role ELSE t.role END, CASE WHEN t.i = t.n - 1 THEN e.text ELSE t.text END
-  FROM t JOIN e USING (conv_id)),
-c AS (
-  SELECT a.conv_id, coalesce(min(CASE WHEN a.role <> b.role OR a.text <> b.text THEN a.i END), max(a.n))::INTEGER AS n_common
-  FROM sides a JOIN sides b ON a.conv_id = b.conv_id AND a.i = b.i AND a.side = 'chosen' AND b.side = 'rejected'
-  GROUP BY a.conv_id),
-x AS (
-  SELECT s.conv_id, s.side, s.i, s.role, n_common, '<|' || s.role || '|>' || chr(10) || s.text || chr(10) AS shown
-  FROM sides s JOIN c USING (conv_id)),
-y AS (
-  SELECT *, coalesce(sum(CASE WHEN i >= n_common THEN length(shown) ELSE 0 END)
-           OVER (PARTITION BY conv_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM x)
-SELECT conv_id AS pair_id, any_value(n_common) AS n_common,
-       coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'chosen' AND i < n_common), '') AS prompt,
-       coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'chosen' AND i >= n_common), '') AS chosen,
-       coalesce(string_agg((pos + length(role) + 5)::VARCHAR || ':' || (pos + length(shown))::VARCHAR, ',' ORDER BY i)
-                FILTER (side = 'chosen' AND i >= n_common AND role = 'assistant'), '') AS chosen_mask,
-       coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'rejected' AND i >= n_common), '') AS rejected,
-       coalesce(string_agg((pos + length(role) + 5)::VARCHAR || ':' || (pos + length(shown))::VARCHAR, ',' ORDER BY i)
-                FILTER (side = 'rejected' AND i >= n_common AND role = 'assistant'), '') AS rejected_mask
-FROM y GROUP BY conv_id
+    return formatted(branched(read(spark, sf_dir, "conversations")))
+
+
+def _shown(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), '')"
+
+
+def _spans(turns: str) -> str:
+    """DuckDB: the mask of a list of turns."""
+    before = f"length({_shown(f'{turns}[1:i - 1]')})"
+    return f"""array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant'),
+    lambda i: ({before} + length({turns}[i].role) + 5)::VARCHAR || ':' || ({before} + length({turns}[i].role) + length({turns}[i].text) + 6)::VARCHAR), ',')"""
+
+
+OP4_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS ts,
+             ('0x' || substr(md5(conv_id::VARCHAR), 1, 15))::BIGINT AS h FROM t GROUP BY conv_id),
+b AS (SELECT *, h % greatest(1, ceil(count(*) OVER () / {NEIGHBOURS}.0)::BIGINT) AS bucket, (h % (len(ts) + 1))::INTEGER AS k FROM c),
+p AS (SELECT *, lead(ts) OVER (PARTITION BY bucket ORDER BY conv_id) AS later, first(ts) OVER (PARTITION BY bucket ORDER BY conv_id) AS front,
+             count(*) OVER (PARTITION BY bucket) AS m FROM b),
+s AS (SELECT conv_id, ts AS ch, list_concat(ts[1:k], CASE WHEN m > 1 THEN coalesce(later, front)[k + 1:] ELSE ts[1:0] END) AS rj FROM p),
+n AS (SELECT *, coalesce(list_min(list_filter(range(least(len(ch), len(rj))), lambda i: ch[i + 1] <> rj[i + 1])), least(len(ch), len(rj)))::INTEGER AS n_common FROM s),
+x AS (SELECT conv_id, n_common, ch[1:n_common] AS pr, ch[n_common + 1:] AS a, rj[n_common + 1:] AS b FROM n)
+SELECT conv_id AS pair_id, n_common, {_shown("pr")} AS prompt, {_shown("a")} AS chosen, {_spans("a")} AS chosen_mask,
+       {_shown("b")} AS rejected, {_spans("b")} AS rejected_mask FROM x
 """

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seekwell.llm import gif, preferences, urls
 
@@ -142,6 +143,19 @@ def test_rules_and_cascade(spark, most):
     assert urls.judged(pages.limit(0), urls.tracked_addresses(pages.limit(0)), broadcast_bytes=most).collect() == []
 
 
+@pytest.mark.parametrize("most", [urls.BROADCAST_BYTES, 0])
+def test_membership_leaves_other_columns_alone(spark, most):
+    big = (1 << 62) + 1
+    rows = [(f"k{i % 50}" if i % 7 else None, big + i, [i], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, k1 long, _shard array<int>, _salt int").withColumn("listed", F.lit("old"))
+    universe = df.selectExpr("key", "key IN ('k3', 'k44') AS listed")
+    filters, shards = urls.cascades(universe, 10)
+    got = urls.with_membership(df, "key", filters, shards, most)
+    assert got.columns == ["key", "k1", "_shard", "_salt", "listed"] and shards > 3
+    want = [(*r[:4], r[0] in ("k3", "k44")) for r in rows]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_cascade_is_exact():
     r = np.random.default_rng(1)
     keys = r.integers(0, 1 << 63, (20_000, 2), dtype=np.uint64)
@@ -175,8 +189,22 @@ def test_conversations_handle_nulls_and_ties(spark):
     turns = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, turns int")
     got = {r.conv_id: [tuple(t) for t in r.turns] for r in preferences.conversations(turns).collect()}
     assert got == {1: [("", ""), ("assistant", "a"), ("user", "b")], 2: [("user", "y")]}
-    assert [r.pair_id for r in preferences.formatted(preferences.swapped_endings(turns)).collect()] == [1]
-    assert preferences.swapped_endings(turns.limit(0)).collect() == []
+    pairs = preferences.formatted(preferences.branched(turns)).collect()
+    assert sorted(r.pair_id for r in pairs) == [1, 2]
+    alone = {r.pair_id: r for r in preferences.formatted(preferences.branched(turns, 1)).collect()}
+    assert all(r.rejected == "" or r.chosen for r in alone.values()) and len(alone) == 2
+    assert preferences.branched(turns.limit(0)).collect() == []
+    schema = "pair_id string, chosen_turns array<struct<role:string,text:string>>, rejected_turns array<struct<role:string,text:string>>"
+    odd = preferences.formatted(spark.createDataFrame([("x", None, [("user", None)]), ("y", [], None)], schema)).orderBy("pair_id").collect()
+    assert [(r.n_common, r.chosen, r.rejected) for r in odd] == [(0, "", "<|user|>\n\n"), (0, "", "")]
+
+
+def test_branches_part_anywhere_and_leave_none_out(spark):
+    rows = [(f"c{i}", t, ("user", "assistant")[t % 2], "hello" if t == 0 and i % 3 else f"{i}-{t}") for i in range(0, 200, 7) for t in range(1 + i % 5)]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = preferences.formatted(preferences.branched(turns, 10)).collect()
+    assert {r.pair_id for r in got} == {r[0] for r in rows} and len({r.n_common for r in got}) > 3
+    assert any(r.n_common and r.chosen and r.rejected for r in got)
 
 
 def test_pipeline_stages(spark):
