@@ -4,8 +4,8 @@ Texts are near-duplicates if the Jaccard similarity of their sets is 0.8 or more
 of two such sets differ in 15 % of their bits at most, on average, so a wide fingerprint of
 ``SEGMENTS`` segments of 23 bits is taken. As in ``simhash`` each segment decodes to the
 codewords near it, and a pair of codewords of two segments is a key. Sets that meet under a
-key, and whose first 64 bits differ in at most ``MOST_BITS``, are candidates; what decides is
-the check of each candidate pair on the sets themselves.
+key are candidates if their first 64 bits differ in at most ``MOST_BITS`` and all 192 in at most
+``MOST_WIDE_BITS``; what decides is the check of each candidate pair on the sets themselves.
 
 Two sets of similarity 0.8 share a key with a probability of 0.96, of 0.86 with 0.993, of 0.9
 with 0.999 (as simulated); what isn't met as a pair may still be connected by others.
@@ -13,6 +13,7 @@ with 0.999 (as simulated); what isn't met as a pair may still be connected by ot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ LEAST = (4, 5)
 SEGMENTS, WIDTH = 6, 23
 #: Bits of the first 64 that candidates may differ in: three deviations more than the mean at 0.8.
 MOST_BITS = 18
+#: The same of all bits that a fingerprint has.
+MOST_WIDE_BITS = 42
 #: Bits in which a set may differ from one that stands for it in a key's group.
 ALIKE_BITS = 4
 #: Larger groups grow their parts one set at a time, and give ``DOUBTS`` candidates more for a set.
@@ -42,6 +45,9 @@ SALTS = 16
 _WORDS = ("h", "h2", "h3")
 _RULE = word_rule(SHINGLE)
 _CHUNK = 1 << 20
+_PAIRS, _KEYS_OF_PAIR, _KEY_BITS = SEGMENTS * (SEGMENTS - 1) // 2, 29, 28
+#: Entries of a bucket of keys, on average.
+_BUCKET = 500_000
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -190,37 +196,54 @@ def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """``prints(h, h2, h3)``, distinct by ``h``, to candidates ``(u, v)`` of these first 64 bits."""
+    """``prints(h, h2, h3)``, distinct by ``h``, to candidates ``(u, v)`` of these first 64 bits.
+
+    Keys of equal leading bits make a bucket, of about ``_BUCKET`` entries at every size of the
+    input; a batch of prints sends one row to each bucket, with the rest of its keys and prints.
+    """
     table = decoding_table()
+    entries = prints.count() * _PAIRS * _KEYS_OF_PAIR
+    low = min(16, max(0, _KEY_BITS - math.ceil(math.log2(max(1, entries / _BUCKET)))))
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             wide = pdf[list(_WORDS)].to_numpy(np.int64)
-            for at in range(0, len(wide), 500):
-                some = np.ascontiguousarray(wide[at : at + 1000])
+            for at in range(0, len(wide), 5000):
+                some = np.ascontiguousarray(wide[at : at + 5000])
                 rows, keys = golay_keys(some.view(np.uint64), table)
-                yield pd.DataFrame({"key": keys.astype(np.int32), "h": some[rows, 0]})
+                order = np.argsort(keys, kind="stable")
+                keys, h = keys[order], some[rows[order], 0]
+                cuts = np.flatnonzero(np.diff(keys >> low)) + 1
+                starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+                rest = (keys & ((1 << low) - 1)).astype(np.uint16)
+                packed = [rest[a:b].tobytes() + h[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pd.DataFrame({"bucket": (keys[starts] >> low).astype(np.int32), "entries": packed})
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key and print; a group that a batch cuts is carried over whole."""
-        keys, h = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-        def out(k: np.ndarray, f: np.ndarray) -> pd.DataFrame:
-            u, v = candidates(k, f.view(np.uint64))
+        """Rows come sorted by bucket."""
+        held: list[bytes] = []
+        now = None
+
+        def out() -> pd.DataFrame:
+            sizes = [len(e) // 10 for e in held]
+            keys = np.concatenate([np.frombuffer(e, np.uint16, n) for e, n in zip(held, sizes, strict=True)])
+            h = np.concatenate([np.frombuffer(e, np.int64, n, 2 * n) for e, n in zip(held, sizes, strict=True)])
+            order = np.lexsort((h, keys))
+            u, v = candidates(keys[order], h[order].view(np.uint64))
             return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)}).drop_duplicates()
 
         for pdf in parts:
-            keys = np.concatenate([keys, pdf["key"].to_numpy(np.int32)])
-            h = np.concatenate([h, pdf["h"].to_numpy(np.int64)])
-            if len(keys) > 200_000 and keys[0] != keys[-1]:
-                cut = int(np.searchsorted(keys, keys[-1]))
-                yield out(keys[:cut], h[:cut])
-                keys, h = keys[cut:], h[cut:]
-        if len(keys):
-            yield out(keys, h)
+            for bucket, packed in zip(pdf["bucket"].tolist(), pdf["entries"], strict=True):
+                if bucket != now and held:
+                    yield out()
+                    held.clear()
+                now = bucket
+                held.append(bytes(packed))
+        if held:
+            yield out()
 
-    keyed = prints.select(*_WORDS).mapInPandas(emit, "key int, h long")
-    return keyed.repartition("key").sortWithinPartitions("key", "h").mapInPandas(meet, "u long, v long").distinct()
+    keyed = prints.select(*_WORDS).mapInPandas(emit, "bucket int, entries binary")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "u long, v long").distinct()
 
 
 def _checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +269,9 @@ def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.min(c).alias(c) for c in _WORDS)))
     first = sets.groupBy("h").agg(F.min(F.struct("fp", "h2", "h3")).alias("f")).select("h", "f.*")
     met = written(candidate_pairs(first))
-    ends = met.join(first.select(F.col("h").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("h").alias("v"), F.col("fp").alias("b")), "v")
+    side = lambda h, fp: first.select(F.col("h").alias(h), F.col("fp").alias(fp), *(F.col(w).alias(f"{h}_{w}") for w in _WORDS[1:]))
+    bits = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in _WORDS[1:]), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))))
+    ends = met.join(side("u", "a"), "u").join(side("v", "b"), "v").where(bits <= MOST_WIDE_BITS)
     same = sets.join(first.select("h", F.col("fp").alias("a")), "h").where("fp <> a").select("a", F.col("fp").alias("b"))
     pairs = written(ends.select("a", "b").unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     dealt = pairs.withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int"))
