@@ -25,6 +25,9 @@ DELAY_MS = 100
 BINS = 4
 _FULL = 4096
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+_COLOURS = np.stack([np.arange(256), 255 - np.arange(256), np.arange(256) * 7 % 256], axis=1).astype(np.uint8).tobytes()
+#: A frame stays, is cleared, or gives way to what was before it; this sample is see-through.
+DISPOSALS, SEE_THROUGH = (1, 2, 3), 32
 
 
 class BrokenImage(ValueError):
@@ -150,16 +153,21 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode(payload: bytes, delay_ms: int = DELAY_MS) -> bytes:
-    """A GIF whose frames' pixels, in order, are the bytes of ``payload``: a positive multiple of ``ROW``."""
+    """A GIF whose frames' pixels, in order, are the bytes of ``payload``: a positive multiple of ``ROW``.
+
+    Bytes are grey levels, and in every other frame colours of a palette of its own; spaces are
+    see-through, and frames stay, are cleared, or give way to what was before, in turn.
+    """
     rows, rest = divmod(len(payload), ROW)
     if rest or not rows:
         raise ValueError(f"a payload is a positive multiple of {ROW} bytes")
     out = [b"GIF89a", struct.pack("<HHBBB", ROW, min(rows, MOST_ROWS), 0xF7, 0, 0), _GREY]
-    for top in range(0, rows, MOST_ROWS):
+    for frame, top in enumerate(range(0, rows, MOST_ROWS)):
         part = payload[top * ROW : (top + MOST_ROWS) * ROW]
+        own = _COLOURS if frame % 2 else b""
         out += [
-            b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay_ms // 10, 0, 0),
-            b"\x2c" + struct.pack("<HHHHB", 0, 0, ROW, len(part) // ROW, 0) + b"\x08",
+            b"\x21\xf9\x04" + struct.pack("<BHBB", DISPOSALS[frame % 3] << 2 | 1, delay_ms // 10, SEE_THROUGH, 0),
+            b"\x2c" + struct.pack("<HHHHB", 0, 0, ROW, len(part) // ROW, 0x87 if own else 0) + own + b"\x08",
             _blocks(_packed(lzw_codes(part))),
         ]
     return b"".join([*out, b"\x3b"])
@@ -363,3 +371,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op9_gif_media(spark, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
+
+
+def gif_timed_frames(spark, sf_dir: str) -> DataFrame:
+    """Every frame of every stored text: its time, size and colour histograms, without the pixels."""
+    frames = timed_frames(stored(read(spark, sf_dir, "documents")))
+    return frames.select("doc_id", "frame", "start_ms", "delay_ms", "width", "height", "red", "green", "blue")

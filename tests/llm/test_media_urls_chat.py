@@ -67,7 +67,26 @@ def test_round_trip(rows, kind):
     frames = gif.decode(gif.encode(data))
     assert b"".join(f.samples for f in frames) == data
     assert len(frames) == -(-rows // gif.MOST_ROWS)
-    assert sum(sum(f.histogram()[0]) for f in frames) >= n
+    assert gif.feature_of(frames) == plain_feature(data)
+
+
+def plain_feature(payload):
+    """The stored frames put together pixel by pixel."""
+    wide, screen, shown = gif.ROW, {}, []
+    size = wide * gif.MOST_ROWS
+    for f, at in enumerate(range(0, len(payload), size)):
+        before, part = dict(screen), payload[at : at + size]
+        for i, b in enumerate(part):
+            if b != 32:
+                screen[i] = (b, 255 - b, b * 7 % 256) if f % 2 else (b, b, b)
+        shown.append(dict(screen))
+        if f % 3 == 1:
+            for i in range(len(part)):
+                screen.pop(i, None)
+        elif f % 3 == 2:
+            screen = before
+    bins = [[sum(p[k] // 64 == q for s in shown for p in s.values()) for q in range(4)] for k in range(3)]
+    return f"frames={len(shown)};ms={100 * len(shown)};" + ";".join(f"{c}={','.join(map(str, b))}" for c, b in zip("rgb", bins, strict=True))
 
 
 def test_digests_and_frames(spark):
@@ -83,7 +102,8 @@ def test_digests_and_frames(spark):
             assert (x.n_bytes, x.payload_bytes) == (len(raw), len(padded))
             assert x.payload_sha256 == hashlib.sha256(padded).hexdigest()
             assert x.tail_crc32 == zlib.crc32(padded[-16:])
-            assert x.media_sha256 == hashlib.sha256(gif.encode(padded)).hexdigest()
+            assert x.media_sha256 == hashlib.sha256(gif.encode(padded)).hexdigest() and x.media_bytes == len(gif.encode(padded))
+            assert x.feature == plain_feature(padded)
     frames = gif.timed_frames(gif.stored(docs)).collect()
     assert sorted(f.start_ms for f in frames if f.doc_id == 4) == [0, 100, 200]
     odd = spark.createDataFrame([(1, bytearray(b"no")), (2, None)], "doc_id long, gif binary")
