@@ -7,12 +7,13 @@ on ``doc_key`` whose right side has one row per key.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekwell.sources.shared import written
+
+__all__ = ["WORD", "doc_key", "input_mb", "read", "task_count", "written"]
+
 #: Words are runs of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,26 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` once into the shared folder and read it back.
-
-    The files are replicated with that folder's storage, so a lost executor costs nothing.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """128 bits that name a row by its id and text; null and empty differ from all else."""
     parts = (F.col(doc_id), F.coalesce(F.col(text), F.lit("")))

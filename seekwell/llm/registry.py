@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from seekwell.llm.gif import op9_gif_media
+from seekwell.llm.gif import gif_timed_frames, op9_gif_media
 from seekwell.llm.mixing import OP8_SQL, op8_mix_hash_threshold
 from seekwell.llm.packing import op5_best_fit_packing
 from seekwell.llm.preferences import OP4_SQL, op4_preference_pairs
 from seekwell.llm.quality import op10_quality_llr
 from seekwell.llm.sharding import OP6_SQL, op6_extendible_shards
 from seekwell.llm.simhash import op2_simhash_golay
-from seekwell.llm.suffix_array import op1_suffix_array_dedup
+from seekwell.llm.suffix_array import op1_suffix_array_dedup, repeat_groups_of_documents
 from seekwell.llm.suffix_automaton import op7_suffix_automaton_dedup
 from seekwell.llm.urls import OP3_SQL, op3_bloom_cascade
 
@@ -24,6 +24,8 @@ QUERIES = {
     "op8_mix_hash_threshold": op8_mix_hash_threshold,
     "op9_gif_media": op9_gif_media,
     "op10_quality_llr": op10_quality_llr,
+    "gif_timed_frames": gif_timed_frames,
+    "repeat_groups": repeat_groups_of_documents,
 }
 
 ORACLES: dict[str, str] = {

@@ -269,3 +269,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
+
+
+def repeat_groups_of_documents(spark, sf_dir: str) -> DataFrame:
+    """Maximal repeats of 100 bytes and more of ``documents``, with all their occurrences."""
+    return repeat_groups(read(spark, sf_dir, "documents"))
