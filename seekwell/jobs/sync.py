@@ -16,7 +16,7 @@ from seekwell.jobs.config import Config, Project
 from seekwell.operators import embedding, extraction, maintenance
 from seekwell.operators.chunking import RECIPE as CHUNK_RULES
 from seekwell.operators.chunking import chunked, default_tokens
-from seekwell.operators.lexical import token_index
+from seekwell.operators.lexical import inverted, token_index
 from seekwell.sources.files import contents, listed
 from seekwell.sources.snapshots import Snapshot, Workspace
 
@@ -112,7 +112,9 @@ def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models
         missing = ready if lexical is None else maintenance.missing_lexical(docs, lexical)
         rows = token_index(missing.join(texts, "content_hash"))
         rows = schemas.as_table(rows, schemas.LEXICAL)
-        new.add("lexical", rows if lexical is None else lexical.unionByName(rows), "project_name")
+        lexical = new.add("lexical", rows if lexical is None else lexical.unionByName(rows), "project_name")
+        order = ["term", *KEY]
+        new.add("postings", inverted(lexical).postings.repartitionByRange(*order).sortWithinPartitions(*order, "col"))
         new.publish(recipes)
         return changes
 

@@ -13,6 +13,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from seekwell.functions.grammar import Atom, Clause, atoms, needs_text_check, normal
 from seekwell.functions.stemming import stem, stemmed_vocabulary
@@ -157,6 +159,11 @@ def bm25_topk(index: Index, clauses: list[Clause], limit: int | None, scope: lis
     return out if limit is None else out.limit(limit)
 
 
+def best_first() -> WindowSpec:
+    """The order of hits of one search, which its limit bounds."""
+    return W.partitionBy(F.lit(1)).orderBy("raw_bm25", *KEY)
+
+
 def public_score(raw: Column) -> Column:
     """|b| / (1 + |b|); 0 for no number, 1 for infinity."""
     size = F.abs(raw)

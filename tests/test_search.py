@@ -388,6 +388,25 @@ def test_embedding_batches_fail_alone(spark):
     assert {r.failure for r in found.collect()} == {None, "no"}
 
 
+def assert_searches(space):
+    """Searches of the synced workspace, by keywords, vectors and both."""
+    from seekwell.jobs.searching import SearchModels, search
+
+    places = config.Config((config.Project("p", "/p"), config.Project("q", "/q", default_search=False)), (config.Context("p", "/", "about p"),))
+    models = SearchModels(embedding.hashed_embedding(8), lambda text: hybrid.Expansion(("longer",), ("near",), ("a passage",)))
+    found = search(space, places, hybrid.Request(query="body"), "lexical", models).collect()
+    assert [(r.virtual_path, r.snippet, r.line, r.context) for r in found] == [("doc://p/a.md", "# One\nbody, longer", 2, "about p")]
+    near = search(space, places, hybrid.Request(query="three", limit=2), "vector", models).collect()
+    assert [r.final_rank for r in near] == [1, 2] and all(r.id.startswith("@") for r in near)
+    both = search(space, places, hybrid.Request(query="body longer", paths=True, limit=3), "hybrid", models).collect()
+    assert both[0].virtual_path == "doc://p/a.md" and len(both) == 3 and both[0].snippet == ""
+    with pytest.raises(EngineError, match="no vectors"):
+        search(space, places, hybrid.Request(query="x"), "vector", models, ["q"])
+    with pytest.raises(EngineError, match="no project"):
+        search(space, places, hybrid.Request(query="x"), "lexical", models, ["none"])
+    assert search(space, places, hybrid.Request(query="body"), "lexical", models, ["q"]).collect() == []
+
+
 def test_sync_is_incremental_and_equals_a_rebuild(spark, tmp_path):
     from seekwell.jobs.sync import Models, sync
     from seekwell.streaming.resync import resync
@@ -422,6 +441,7 @@ def test_sync_is_incremental_and_equals_a_rebuild(spark, tmp_path):
     for table in ("documents", "contents", "chunks", "lexical", "embeddings"):
         rows = [sorted(map(repr, w.read(table).drop("updated_at").collect())) for w in (space, fresh)]
         assert rows[0] == rows[1] and rows[0], table
+    assert_searches(space)
     # another recipe makes its results anew
     other = Models(extract=lambda p, k: ("else", extract(p, k)[1]), extract_recipes=(("pdf", "r2"),), embed=models.embed, embed_recipe="e2", dims=8)
     assert sync(space, {"p": str(root)}, other)["embedded"] == 4
