@@ -777,8 +777,8 @@ def cache_hits(spark, sf):
   s.path IS NOT NULL AND t.source_hash IS NOT DISTINCT FROM s.source_hash AND t.title = s.title AND t.file_type = s.file_type AND ((t.file_type <> 'text' AND t.extraction_status = 'pending')
   OR (t.content_hash IS NOT DISTINCT FROM s.content_hash AND t.extraction_status = s.extraction_status)) AS touch, t.extraction_status
   FROM s FULL JOIN t ON s.project_name = t.project_name AND s.path = t.path)
-SELECT count_if(now IS NOT NULL AND NOT touch) AS upserted, count_if(now IS NOT NULL AND touch) AS touched, count_if(alike) AS unchanged, count_if(now IS NULL) AS removed,
-count_if(extraction_status = 'ready') AS ready, count_if(extraction_status = 'pending') AS pending, count_if(extraction_status = 'failed') AS failed FROM j""")
+SELECT count_if(now IS NOT NULL AND NOT touch)::BIGINT AS upserted, count_if(now IS NOT NULL AND touch)::BIGINT AS touched, count_if(alike)::BIGINT AS unchanged, count_if(now IS NULL)::BIGINT AS removed,
+count_if(extraction_status = 'ready')::BIGINT AS ready, count_if(extraction_status = 'pending')::BIGINT AS pending, count_if(extraction_status = 'failed')::BIGINT AS failed FROM j""")
 def scan_report(spark, sf):
     docs = _with_state(registry(spark, sf))
     later = _next(docs)
