@@ -35,11 +35,11 @@ SEGMENTS, WIDTH = 6, 23
 #: Bits of the first 64 that candidates may differ in: three deviations more than the mean at 0.8.
 MOST_BITS = 18
 #: The same of all bits that a fingerprint has.
-MOST_WIDE_BITS = 42
-#: Bits in which a set may differ from one that stands for it in a key's group.
-ALIKE_BITS = 4
-#: Larger groups grow their parts one set at a time, and give ``DOUBTS`` candidates more for a set.
-_SMALL, DOUBTS = 24, 4
+MOST_WIDE_BITS = 40
+#: Bits that likely pairs differ in at most.
+LIKELY_BITS = 9
+#: Larger groups are compared one set at a time.
+_SMALL = 24
 #: Parts that the candidates of one set are dealt over.
 SALTS = 16
 _WORDS = ("h", "h2", "h3")
@@ -142,68 +142,101 @@ def _marked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield named.assign(**{c: wide[:, i] for i, c in enumerate(_WORDS)}).astype({"doc_id": "Int64"})
 
 
-def _grown(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of one large group: a set takes in all that are clearly like it, and a few that may be."""
-    rest, doubts = np.arange(len(prints)), np.zeros(len(prints), np.int64)
-    while len(rest):
-        front, rest = [int(rest[0])], rest[1:]
-        while front and len(rest):
-            one = front.pop()
-            bits = np.bitwise_count(prints[rest] ^ prints[one])
-            sure = bits <= ALIKE_BITS
-            maybe = ~sure & (bits <= MOST_BITS) & (doubts[rest] < DOUBTS)
-            doubts[rest[maybe]] += 1
-            got = rest[sure | maybe]
-            if len(got):
-                yield np.full(len(got), prints[one]), prints[got]
-            front += rest[sure].tolist()
-            rest = rest[~sure]
-
-
-def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows sorted by key and print.
-
-    In a small group every print that is clearly like a smaller one is paired with the smallest
-    such only, and those that are like none are all paired.
-    """
+def _large_group(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of one large group and their bits; a print that has met a likely one before it is met no more."""
+    rest = np.arange(len(prints))
+    while len(rest) > 1:
+        one, rest = rest[0], rest[1:]
+        bits = np.bitwise_count(prints[rest] ^ prints[one])
+        near = bits <= MOST_BITS
+        got = rest[near]
+        yield np.full(len(got), prints[one]), prints[got], bits[near]
+        rest = rest[bits > LIKELY_BITS]
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
-    sizes = np.diff(cuts)
+    return cuts, np.diff(cuts)
+
+
+def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (u, v), u < v, of the prints of a bucket, and the prints that have more of them.
+
+    Rows are sorted by key and print. A print is paired with the smallest of its likely partners
+    before it, or else with the closest of all. So a group of near copies gives one pair for
+    each; what is left out is asked for again (``candidates_between``) by those that the check
+    of these pairs doesn't connect.
+    """
+    cuts, sizes = _groups(keys)
     small = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
     k, f = keys[small], prints[small]
-    stands, pairs = np.arange(len(k)), []
+    found, more = [(f[:0], f[:0], np.zeros(0, np.uint8))], []
     for lag in range(1, min(_SMALL, len(k))):
-        same = k[lag:] == k[:-lag]
-        if not same.any():
+        i = np.flatnonzero(k[lag:] == k[:-lag])
+        if not len(i):
             break
-        i = np.flatnonzero(same)
         bits = np.bitwise_count(f[i] ^ f[i + lag])
-        alike, maybe = i[bits <= ALIKE_BITS], i[(bits > ALIKE_BITS) & (bits <= MOST_BITS)]
-        stands[alike + lag] = np.minimum(stands[alike + lag], alike)
-        pairs.append(np.stack([maybe, maybe + lag]))
-    own = np.arange(len(k))
-    taken = own[stands < own]
-    us, vs = [f[stands[taken]]], [f[taken]]
-    for a, b in pairs:
-        free = (stands[a] == a) & (stands[b] == b)
-        us.append(f[a[free]])
-        vs.append(f[b[free]])
+        near = bits <= MOST_BITS
+        found.append((f[i[near]], f[i[near] + lag], bits[near]))
+    for g in np.flatnonzero(sizes > _SMALL):
+        group = prints[cuts[g] : cuts[g + 1]]
+        found += _large_group(group)
+        more.append(group)
+    u, v, bits = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((u, np.where(bits <= LIKELY_BITS, 0, bits), v))
+    u, v = u[order], v[order]
+    keep = np.ones(len(u), bool)
+    keep[1:] = v[1:] != v[:-1]
+    other = ~keep
+    other[1:] &= u[1:] != u[:-1]  # the same pair under another key is no other one
+    return u[keep], v[keep], np.unique(np.concatenate([u[other], v[other], *more]))
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which fingerprints of three words differ in few enough bits."""
+    bits = np.bitwise_count(a ^ b)
+    return (bits[..., 0] <= MOST_BITS) & (bits.sum(axis=-1, dtype=np.int64) <= MOST_WIDE_BITS)
+
+
+def candidates_between(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (u, v) of the first words of ``prints``, three words each, of a bucket that have different labels."""
+    cuts, sizes = _groups(keys)
+    small = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
+    k, f, name = keys[small], prints[small], labels[small]
+    us, vs = [f[:0, 0]], [f[:0, 0]]
+    for lag in range(1, min(_SMALL, len(k))):
+        i = np.flatnonzero((k[lag:] == k[:-lag]) & (name[lag:] != name[:-lag]))
+        i = i[_near(f[i], f[i + lag])]
+        us.append(f[i, 0])
+        vs.append(f[i + lag, 0])
     for g in np.flatnonzero(sizes > _SMALL):
-        for u, v in _grown(prints[cuts[g] : cuts[g + 1]]):
-            us.append(u)
-            vs.append(v)
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return np.minimum(u, v), np.maximum(u, v)
+        group, own = prints[cuts[g] : cuts[g + 1]], labels[cuts[g] : cuts[g + 1]]
+        if (own == own[0]).all():
+            continue
+        for one in range(len(group) - 1):
+            rest = group[one + 1 :][own[one + 1 :] != own[one]]
+            got = rest[_near(rest, group[one]), 0]
+            us.append(np.full(len(got), group[one, 0]))
+            vs.append(got)
+    both = np.sort(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=1)
+    both = np.unique(both, axis=0)
+    return both[:, 0], both[:, 1]
+
 
+_ENTRY = {False: np.dtype([("key", "<u4"), ("h", "<u8")]), True: np.dtype([("key", "<u4"), ("h", "<u8"), ("h2", "<u8"), ("h3", "<u8"), ("label", "<i8")])}
 
-def candidate_pairs(prints: DataFrame) -> DataFrame:
+
+def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
     """``prints(h, h2, h3)``, distinct by ``h``, to candidates ``(u, v)`` of these first 64 bits.
 
-    Keys of equal leading bits make a bucket, of about ``_BUCKET`` entries at every size of the
-    input; a batch of prints sends one row to each bucket, with the rest of its keys and prints.
+    A row with equal ends is a print that has more candidates. With ``label`` as a column of
+    ``prints`` all candidates with different labels are given instead. Keys of equal leading bits
+    make a bucket, of about ``_BUCKET`` entries at every size of the input; a batch of prints sends
+    one row to each bucket.
     """
-    table = decoding_table()
+    table, entry = decoding_table(), _ENTRY[labelled]
     entries = prints.count() * _PAIRS * _KEYS_OF_PAIR
-    low = min(16, max(0, _KEY_BITS - math.ceil(math.log2(max(1, entries / _BUCKET)))))
+    low = max(0, _KEY_BITS - math.ceil(math.log2(max(1, entries / _BUCKET))))
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -212,12 +245,16 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
                 some = np.ascontiguousarray(wide[at : at + 5000])
                 rows, keys = golay_keys(some.view(np.uint64), table)
                 order = np.argsort(keys, kind="stable")
-                keys, h = keys[order], some[rows[order], 0]
+                rows, keys = rows[order], keys[order]
                 cuts = np.flatnonzero(np.diff(keys >> low)) + 1
                 starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-                rest = (keys & ((1 << low) - 1)).astype(np.uint16)
-                packed = [rest[a:b].tobytes() + h[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"bucket": (keys[starts] >> low).astype(np.int32), "entries": packed})
+                packed = np.empty(len(keys), entry)
+                packed["key"], packed["h"] = keys, some[rows, 0].view(np.uint64)
+                if labelled:
+                    packed["h2"], packed["h3"] = some[rows, 1].view(np.uint64), some[rows, 2].view(np.uint64)
+                    packed["label"] = pdf["label"].to_numpy(np.int64)[at : at + 5000][rows]
+                sent = [packed[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pd.DataFrame({"bucket": (keys[starts] >> low).astype(np.int32), "entries": sent})
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket."""
@@ -225,12 +262,16 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
         now = None
 
         def out() -> pd.DataFrame:
-            sizes = [len(e) // 10 for e in held]
-            keys = np.concatenate([np.frombuffer(e, np.uint16, n) for e, n in zip(held, sizes, strict=True)])
-            h = np.concatenate([np.frombuffer(e, np.int64, n, 2 * n) for e, n in zip(held, sizes, strict=True)])
-            order = np.lexsort((h, keys))
-            u, v = candidates(keys[order], h[order].view(np.uint64))
-            return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)}).drop_duplicates()
+            found = np.frombuffer(b"".join(held), entry)
+            found = found[np.lexsort((found["h"], found["key"]))]
+            keys = found["key"].copy()
+            if labelled:
+                wide = np.stack([found[w] for w in _WORDS], axis=1)
+                u, v = candidates_between(keys, wide, found["label"].copy())
+            else:
+                u, v, more = candidates(keys, found["h"].copy())
+                u, v = np.concatenate([u, more]), np.concatenate([v, more])
+            return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
         for pdf in parts:
             for bucket, packed in zip(pdf["bucket"].tolist(), pdf["entries"], strict=True):
@@ -242,7 +283,7 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    keyed = prints.select(*_WORDS).mapInPandas(emit, "bucket int, entries binary")
+    keyed = prints.select(*_WORDS, *["label"] * labelled).mapInPandas(emit, "bucket int, entries binary")
     return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "u long, v long").distinct()
 
 
@@ -260,28 +301,44 @@ def _checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
 
-def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` between names of the sets in ``marked(k1, k2, fp, h, h2, h3)`` that are similar.
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` of set names, as links ``(u, v)``, that are similar.
 
     Each candidate text is sent to the set that it is checked with, whose own text comes first;
     candidates of one set are dealt over ``SALTS`` parts.
     """
-    sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.min(c).alias(c) for c in _WORDS)))
-    first = sets.groupBy("h").agg(F.min(F.struct("fp", "h2", "h3")).alias("f")).select("h", "f.*")
-    met = written(candidate_pairs(first))
-    side = lambda h, fp: first.select(F.col("h").alias(h), F.col("fp").alias(fp), *(F.col(w).alias(f"{h}_{w}") for w in _WORDS[1:]))
-    bits = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in _WORDS[1:]), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))))
-    ends = met.join(side("u", "a"), "u").join(side("v", "b"), "v").where(bits <= MOST_WIDE_BITS)
-    same = sets.join(first.select("h", F.col("fp").alias("a")), "h").where("fp <> a").select("a", F.col("fp").alias("b"))
-    pairs = written(ends.select("a", "b").unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    dealt = pairs.withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int"))
+    named = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    dealt = named.withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int"))
     roles = dealt.select("u", "salt", "v", F.lit(1).alias("role"), F.col("v").alias("fp")).unionByName(
         dealt.select("u", "salt", F.lit(0).cast("long").alias("v"), F.lit(0).alias("role"), F.col("u").alias("fp")).distinct()
     )
     placed = roles.join(sets.select("fp", "k"), "fp").select("u", "salt", "v", "role", "k")
-    texts = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     sent = placed.join(texts, "k").select("u", "salt", "v", "role", "text")
-    return sent.repartition("u", "salt").sortWithinPartitions("u", "salt", "role").mapInPandas(_checked, "u long, v long").distinct()
+    return written(sent.repartition("u", "salt").sortWithinPartitions("u", "salt", "role").mapInPandas(_checked, "u long, v long").distinct())
+
+
+def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between names of the sets in ``marked(k1, k2, fp, h, h2, h3)`` that are similar.
+
+    A first round checks a few candidates of each set. Sets that have more of them go
+    into a second round, with all candidates that the first did not connect them to.
+    """
+    sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.min(c).alias(c) for c in _WORDS)))
+    texts = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    first = written(sets.groupBy("h").agg(F.min(F.struct("fp", "h2", "h3")).alias("f")).select("h", "f.*"))
+    side = lambda h, fp: first.select(F.col("h").alias(h), F.col("fp").alias(fp), *(F.col(w).alias(f"{h}_{w}") for w in _WORDS[1:]))
+    bits = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in _WORDS[1:]), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))))
+
+    def ends(met: DataFrame) -> DataFrame:
+        return met.join(side("u", "a"), "u").join(side("v", "b"), "v").where(bits <= MOST_WIDE_BITS).select("a", "b")
+
+    met = written(candidate_pairs(first))
+    same = sets.join(first.select("h", F.col("fp").alias("a")), "h").where("fp <> a").select("a", F.col("fp").alias("b"))
+    links = _verified(ends(met.where("u <> v")).unionByName(same), sets, texts)
+    parts = connected_components(links).withColumnRenamed("node", "fp")
+    more = first.join(met.where("u = v").select(F.col("u").alias("h")), "h", "left_semi")
+    labelled = written(more.join(parts, "fp", "left").withColumn("label", F.coalesce("component", "fp")))
+    return links.unionByName(_verified(ends(candidate_pairs(labelled, True)), sets, texts))
 
 
 def first_of_each_similar(docs: DataFrame) -> DataFrame:
