@@ -46,8 +46,8 @@ _WORDS = ("h", "h2", "h3")
 _RULE = word_rule(SHINGLE)
 _CHUNK = 1 << 20
 _PAIRS, _KEYS_OF_PAIR, _KEY_BITS = SEGMENTS * (SEGMENTS - 1) // 2, 29, 28
-#: Entries of a bucket of keys, on average.
-_BUCKET = 500_000
+#: Entries of a bucket of keys, on average, and prints whose keys are sent together.
+_BUCKET, _BATCH = 500_000, 1_000
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -241,8 +241,8 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             wide = pdf[list(_WORDS)].to_numpy(np.int64)
-            for at in range(0, len(wide), 5000):
-                some = np.ascontiguousarray(wide[at : at + 5000])
+            for at in range(0, len(wide), _BATCH):
+                some = np.ascontiguousarray(wide[at : at + _BATCH])
                 rows, keys = golay_keys(some.view(np.uint64), table)
                 order = np.argsort(keys, kind="stable")
                 rows, keys = rows[order], keys[order]
@@ -252,7 +252,7 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
                 packed["key"], packed["h"] = keys, some[rows, 0].view(np.uint64)
                 if labelled:
                     packed["h2"], packed["h3"] = some[rows, 1].view(np.uint64), some[rows, 2].view(np.uint64)
-                    packed["label"] = pdf["label"].to_numpy(np.int64)[at : at + 5000][rows]
+                    packed["label"] = pdf["label"].to_numpy(np.int64)[at : at + _BATCH][rows]
                 sent = [packed[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pd.DataFrame({"bucket": (keys[starts] >> low).astype(np.int32), "entries": sent})
 
