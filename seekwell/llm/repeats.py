@@ -39,12 +39,12 @@ from seekwell.llm.common import task_count
 
 #: Rows without an id come after all others.
 LAST_ID = (1 << 63) - 1
-BLOCK_MB = 6
+BLOCK_MB = 4
 #: Tiles of a key, counted in each block, above which it is split.
 HOT = 2000
 _MOST_LEVELS = 16
-_CHUNK = 1 << 20
-_BATCH = 300_000
+_CHUNK = 1 << 19
+_BATCH = 100_000
 _NO_HASHES = np.zeros(0, np.uint64)
 
 
