@@ -48,6 +48,8 @@ _CHUNK = 1 << 20
 _PAIRS, _KEYS_OF_PAIR, _KEY_BITS = SEGMENTS * (SEGMENTS - 1) // 2, 29, 28
 #: Entries of a bucket of keys, on average, and prints whose keys are sent together.
 _BUCKET, _BATCH = 500_000, 1_000
+#: Pairs of a bucket that are held before repeated ones go.
+_HELD = 500_000
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -170,26 +172,42 @@ def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
     cuts, sizes = _groups(keys)
     small = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
     k, f = keys[small], prints[small]
-    found, more = [(f[:0], f[:0], np.zeros(0, np.uint8))], []
+    found, more, held = [(f[:0], f[:0], np.zeros(0, np.uint8))], [f[:0]], 0
+
+    def best() -> None:
+        """Keep the best pair of each print, and note those that have others."""
+        u, v, bits = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((u, np.where(bits <= LIKELY_BITS, 0, bits), v))
+        u, v, bits = u[order], v[order], bits[order]
+        keep = np.ones(len(u), bool)
+        keep[1:] = v[1:] != v[:-1]
+        other = ~keep
+        other[1:] &= u[1:] != u[:-1]  # the same pair under another key is no other one
+        more[:] = [np.unique(np.concatenate([u[other], v[other], *more]))]
+        found[:] = [(u[keep], v[keep], bits[keep])]
+
+    def add(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> None:
+        nonlocal held
+        found.append((u, v, bits))
+        held += len(u)
+        if held > _HELD:
+            best()
+            held = 0
+
     for lag in range(1, min(_SMALL, len(k))):
         i = np.flatnonzero(k[lag:] == k[:-lag])
         if not len(i):
             break
         bits = np.bitwise_count(f[i] ^ f[i + lag])
         near = bits <= MOST_BITS
-        found.append((f[i[near]], f[i[near] + lag], bits[near]))
+        add(f[i[near]], f[i[near] + lag], bits[near])
     for g in np.flatnonzero(sizes > _SMALL):
         group = prints[cuts[g] : cuts[g + 1]]
-        found += _large_group(group)
+        for pairs in _large_group(group):
+            add(*pairs)
         more.append(group)
-    u, v, bits = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((u, np.where(bits <= LIKELY_BITS, 0, bits), v))
-    u, v = u[order], v[order]
-    keep = np.ones(len(u), bool)
-    keep[1:] = v[1:] != v[:-1]
-    other = ~keep
-    other[1:] &= u[1:] != u[:-1]  # the same pair under another key is no other one
-    return u[keep], v[keep], np.unique(np.concatenate([u[other], v[other], *more]))
+    best()
+    return *found[0][:2], more[0]
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,12 +221,27 @@ def candidates_between(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray)
     cuts, sizes = _groups(keys)
     small = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
     k, f, name = keys[small], prints[small], labels[small]
-    us, vs = [f[:0, 0]], [f[:0, 0]]
+    found, held = [np.zeros((0, 2), np.uint64)], 0
+
+    def distinct() -> None:
+        both = np.sort(np.concatenate(found), axis=1)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]).any(axis=1)
+        found[:] = [both[new]]
+
+    def add(u: np.ndarray, v: np.ndarray) -> None:
+        nonlocal held
+        found.append(np.stack([u, v], axis=1))
+        held += len(u)
+        if held > _HELD:
+            distinct()
+            held = 0
+
     for lag in range(1, min(_SMALL, len(k))):
         i = np.flatnonzero((k[lag:] == k[:-lag]) & (name[lag:] != name[:-lag]))
         i = i[_near(f[i], f[i + lag])]
-        us.append(f[i, 0])
-        vs.append(f[i + lag, 0])
+        add(f[i, 0], f[i + lag, 0])
     for g in np.flatnonzero(sizes > _SMALL):
         group, own = prints[cuts[g] : cuts[g + 1]], labels[cuts[g] : cuts[g + 1]]
         if (own == own[0]).all():
@@ -216,11 +249,9 @@ def candidates_between(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray)
         for one in range(len(group) - 1):
             rest = group[one + 1 :][own[one + 1 :] != own[one]]
             got = rest[_near(rest, group[one]), 0]
-            us.append(np.full(len(got), group[one, 0]))
-            vs.append(got)
-    both = np.sort(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=1)
-    both = np.unique(both, axis=0)
-    return both[:, 0], both[:, 1]
+            add(np.full(len(got), group[one, 0]), got)
+    distinct()
+    return found[0][:, 0], found[0][:, 1]
 
 
 _ENTRY = {False: np.dtype([("key", "<u4"), ("h", "<u8")]), True: np.dtype([("key", "<u4"), ("h", "<u8"), ("h2", "<u8"), ("h3", "<u8"), ("label", "<i8")])}
