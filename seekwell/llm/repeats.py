@@ -40,6 +40,7 @@ from seekwell.llm.common import task_count
 #: Rows without an id come after all others.
 LAST_ID = (1 << 63) - 1
 BLOCK_MB = 4
+_BLOCKS_OF_TASK = 3
 #: Tiles of a key, counted in each block, above which it is split.
 HOT = 2000
 _MOST_LEVELS = 16
@@ -444,7 +445,9 @@ def _dealt(docs: DataFrame, rule: Rule) -> tuple[DataFrame, GroupedData]:
     )
     deal = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
     long_enough = rows.where(F.octet_length("text") >= rule.shortest)
-    return rows, long_enough.select(deal.alias("block"), "*").repartition(blocks, "block").groupBy("block")
+    # a task goes through several blocks, one at a time
+    tasks = -(-blocks // _BLOCKS_OF_TASK)
+    return rows, long_enough.select(deal.alias("block"), "*").repartition(tasks, "block").groupBy("block")
 
 
 def _verdicts(by_block: GroupedData, rule: Rule, judge: Callable) -> GroupedData:
