@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seekwell.sources.shared import written
 
-__all__ = ["WORD", "doc_key", "input_mb", "read", "task_count", "written"]
+__all__ = ["WORD", "crc32_sql", "doc_key", "input_mb", "read", "task_count", "written"]
 
 #: Words are runs of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,3 +36,12 @@ def input_mb(docs: DataFrame) -> float:
 def task_count(docs: DataFrame, mb_per_task: float, least: int = 1) -> int:
     """So many tasks that each gets about ``mb_per_task`` of the input, whatever its size."""
     return max(least, int(input_mb(docs) / mb_per_task) + 1)
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1), lambda k: ascii(substr({0}, k, 1))::BIGINT)),
+ lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the CRC-32 of an expression of ASCII text."""
+    return _CRC.format(text)
