@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from seekwell.llm.gif import gif_timed_frames, op9_gif_media
+from seekwell.llm.itq import op11_itq_near_vectors
 from seekwell.llm.merkle import OP13_SQL, op13_merkle_versions
 from seekwell.llm.mixing import OP8_SQL, op8_mix_hash_threshold
 from seekwell.llm.packing import op5_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mix_hash_threshold": op8_mix_hash_threshold,
     "op9_gif_media": op9_gif_media,
     "op10_quality_llr": op10_quality_llr,
+    "op11_itq_near_vectors": op11_itq_near_vectors,
     "op12_prefix_trie_euler": op12_prefix_trie_euler,
     "op13_merkle_versions": op13_merkle_versions,
     "gif_timed_frames": gif_timed_frames,
