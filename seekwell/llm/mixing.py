@@ -1,10 +1,11 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every row has a 60-bit hash of its id. What a source gives beyond whole repetitions is a
-budget of words; the rows with the smallest hashes fill it. The threshold is found by
+Every row has a 60-bit hash of its id and text. What a source gives beyond whole repetitions is a
+budget of words; the rows with the smallest hashes fill it. Of rows that are equal so many are taken as
+come nearest to it. The threshold is found by
 histograms: words by source and by the next 12 bits of the hash, a running sum over at
 most 4096 buckets, and then the same within the one bucket where the budget ends, five
-times at most. Rows are filtered by the threshold; nothing is sorted.
+times at most. Rows are filtered by the threshold; only the equal ones at it are numbered.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from seekwell.llm.common import read, written
+from seekwell.llm.scans import ranked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -23,7 +25,7 @@ _BITS, _LEVELS = 12, 5
 _BROADCAST_SOURCES = 100_000
 
 _SIZE = r"regexp_count(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
-_HASH = "cast(conv(substring(md5(coalesce(cast(doc_id AS string), '')), 1, 15), 16, 10) AS bigint)"
+_HASH = "cast(conv(substring(md5(concat(coalesce(cast(doc_id AS string), ''), ':', coalesce(text, ''))), 1, 15), 16, 10) AS bigint)"
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -66,10 +68,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """``rows(rank, size, h)`` and ``targets`` to ``(rank, times, edge, with_edge)``.
+    """``rows(rank, size, h)`` and ``targets`` to ``(rank, times, edge, at_edge)``.
 
-    All rows of a source are taken ``times`` times; those with a hash below ``edge``, or at
-    it if ``with_edge``, once more. At the edge the nearer side of the budget is chosen.
+    All rows of a source are taken ``times`` times; those with a hash below ``edge``, and ``at_edge`` of
+    those at it, once more. At the edge the count nearest to the budget is chosen, the smaller of two.
     """
     start = targets.select(
         "rank",
@@ -77,19 +79,20 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
         "source_size",
         "target",
     ).select("rank", "times", (F.col("target") - F.col("times") * F.col("source_size")).alias("need"))
-    state = start.withColumn("prefix", F.lit(0).cast("long")).withColumn("last", F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    state = start.withColumns({"prefix": zero, "last": zero, "equal": zero})
     for level in range(1, _LEVELS + 1):
         left = _BITS * (_LEVELS - level)
         inside = rows
         if level > 1:
             held = F.shiftright("h", left + _BITS) == F.col("prefix")
             inside = rows.join(state.select("rank", "prefix"), "rank").where(held)
-        sums = inside.groupBy("rank", F.shiftright("h", left).alias("bucket")).agg(F.sum("size").alias("words"))
+        sums = inside.groupBy("rank", F.shiftright("h", left).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("equal"))
         run = sums.withColumn(
             "upto", F.sum("words").over(W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
         )
         over = run.join(state.select("rank", "need"), "rank").where("upto > need")
-        first = over.groupBy("rank").agg(F.min(F.struct("bucket", "words", "upto")).alias("e"))
+        first = over.groupBy("rank").agg(F.min(F.struct("bucket", "words", "upto", "equal")).alias("e"))
         state = written(
             state.join(first, "rank", "left").select(
                 "rank",
@@ -98,11 +101,11 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
                 # a source whose rows all fit has no edge: nothing lies beyond its last bucket
                 F.coalesce("e.bucket", F.lit((1 << (60 - left)) - 1)).alias("prefix"),
                 F.coalesce("e.words", F.lit(0)).cast("long").alias("last"),
+                F.coalesce("e.equal", F.lit(0)).cast("long").alias("equal"),
             )
         )
-    return state.select(
-        "rank", "times", F.col("prefix").alias("edge"), (F.col("last") - F.col("need") < F.col("need")).alias("with_edge")
-    )
+    nearest = F.ceil(F.col("need") * F.col("equal") / F.col("last") - 0.5).cast("long")
+    return state.select("rank", "times", F.col("prefix").alias("edge"), F.when(F.col("last") > 0, nearest).otherwise(0).alias("at_edge"))
 
 
 def _planned(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -114,22 +117,25 @@ def _planned(rows: DataFrame, known: DataFrame) -> DataFrame:
     few = targets.count() <= _BROADCAST_SOURCES
     hint = F.broadcast if few else (lambda x: x)
 
-    def ranked(df: DataFrame, plan: DataFrame) -> DataFrame:
+    def planned(df: DataFrame, plan: DataFrame) -> DataFrame:
         other = plan.withColumnRenamed("source", "_source")
         return df.join(hint(other), df["source"].eqNullSafe(other["_source"])).drop("_source")
 
-    edges = thresholds(ranked(known, targets.select("source", "rank")).select("rank", "size", "h"), targets)
-    more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("with_edge"))
-    taken = F.col("size") * (F.col("times") + more.cast("int"))
-    out = ranked(rows, targets.join(edges, "rank")).withColumn("taken", taken.cast("long"))
-    return out.drop("rank", "times", "edge", "with_edge")
+    edges = written(thresholds(planned(known, targets.select("source", "rank")).select("rank", "size", "h"), targets))
+    every = planned(rows, targets.join(edges, "rank"))
+    off = every.where(F.col("h") != F.col("edge")).withColumn("more", F.col("h") < F.col("edge"))
+    order = F.to_json("row") if "row" in rows.columns else F.lit("")
+    equal = ranked(every.where(F.col("h") == F.col("edge")).withColumn("_order", order), ["rank"], ["_order"]).drop("_order")
+    whole = off.unionByName(equal.withColumn("more", F.col("pos") < F.col("at_edge")).drop("pos", "n"))
+    taken = F.col("size") * (F.col("times") + F.col("more").cast("int"))
+    return whole.withColumn("taken", taken.cast("long")).drop("rank", "times", "edge", "at_edge", "more")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` to ``(doc_id, size, source_size, target, taken)``.
 
-    A row each, repeated rows included: these share a hash, so all or none are taken. Size is
-    the number of words, zero for null. Null ids hash as the empty string; a null source is
+    A row each, repeated rows included, of which as many are taken as the target asks for. Size is
+    the number of words, zero for null. A row's hash is of its id, null as the empty string, and its text; a null source is
     a source. ``taken`` is a multiple of the size, two at most; rows without words take 0.
     """
     sizes = docs.select("doc_id", "source", F.expr(_SIZE).cast("long").alias("size"), F.expr(_HASH).alias("h"))
@@ -155,7 +161,7 @@ def op8_mix_hash_threshold(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -176,17 +182,16 @@ t AS (
 n AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
 c AS (
-  SELECT rank, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY rank ORDER BY h) AS upto
+  SELECT rank, h, sum(size) AS words, count(*) AS equal, sum(sum(size)) OVER (PARTITION BY rank ORDER BY h) AS upto
   FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source GROUP BY rank, h),
 e AS (
-  SELECT n.rank, min(h) AS edge, arg_min(words, h) AS words, arg_min(upto, h) AS upto
+  SELECT n.rank, min(h) AS edge, arg_min(words, h) AS words, arg_min(upto, h) AS upto, arg_min(equal, h) AS equal
   FROM n JOIN c ON c.rank = n.rank AND c.upto > n.target - n.times * n.source_size GROUP BY n.rank)
 SELECT d.doc_id, d.size::BIGINT AS size, n.source_size, n.target,
        (d.size * (n.times + CASE
           WHEN e.edge IS NULL THEN CASE WHEN n.target - n.times * n.source_size > 0 THEN 1 ELSE 0 END
           WHEN d.h < e.edge THEN 1
-          WHEN d.h = e.edge AND e.upto - (n.target - n.times * n.source_size)
-                                < (n.target - n.times * n.source_size) - (e.upto - e.words) THEN 1
+          WHEN d.h = e.edge AND d.k <= ceil((n.target - n.times * n.source_size - (e.upto - e.words)) * e.equal / e.words - 0.5::DOUBLE) THEN 1
           ELSE 0 END))::BIGINT AS taken
-FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN e ON e.rank = n.rank
+FROM (SELECT *, row_number() OVER (PARTITION BY source, h) AS k FROM d) d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN e ON e.rank = n.rank
 """

@@ -147,6 +147,30 @@ def test_mixing(spark):
     assert sum(len(x.text.split()) for x in mix.collect()) == sum(taken.values())
 
 
+@pytest.mark.parametrize("kind", ["null ids", "three ids", "equal rows"])
+def test_targets_are_met_whatever_the_ids(spark, kind):
+    word = "one two three four "
+    if kind == "null ids":
+        rows = [(None, f"{word}{i}", "abc"[i % 3]) for i in range(3000)]
+    elif kind == "three ids":
+        rows = [(i % 3, f"{word}{i}", "abc"[i % 2]) for i in range(3000)]
+    else:
+        rows = [(i % 3, word * (1 + i % 3), "abc"[i % 3]) for i in range(3000)]
+    got = mixing.mixed(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by, sizes, longest = collections.Counter(), {}, 0
+    for x in got:
+        key = (x.source_size, x.target)
+        by[key] += x.taken
+        sizes[key] = x.target
+        longest = max(longest, x.size)
+        assert x.taken in (0, x.size, 2 * x.size)
+    assert all(abs(by[k] - target) <= longest / 2 for k, target in sizes.items())
+    mix = mixing.mixture(frame(spark, rows))
+    assert sum(len(x.text.split()) for x in mix.collect()) == sum(by.values())
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixed(frame(spark, rows[::-1]).repartition(7)).collect()))
+
+
 def test_mixing_nothing(spark):
     assert mixing.mixed(frame(spark, [])).collect() == []
     assert [tuple(r) for r in mixing.mixed(frame(spark, [(1, None, "a")])).collect()] == [(1, 0, 0, 0.0, 0)]
