@@ -4,8 +4,9 @@ Texts are near-duplicates if the Jaccard similarity of their sets is 0.8 or more
 of two such sets differ in 15 % of their bits at most, on average, so a wide fingerprint of
 ``SEGMENTS`` segments of 23 bits is taken. As in ``simhash`` each segment decodes to the
 codewords near it, and a pair of codewords of two segments is a key. Sets that meet under a
-key are candidates if their first 64 bits differ in at most ``MOST_BITS`` and all 192 in at most
-``MOST_WIDE_BITS``; what decides is the check of each candidate pair on the sets themselves.
+key are candidates if their first 64 bits differ in at most ``MOST_BITS``, their sizes allow the
+similarity, and so do their sketches: 256 bins that have the smallest hash of each bin, three
+deviations off at most. What decides is the check of each candidate pair on the sets themselves.
 
 Two sets of similarity 0.8 share a key with a probability of 0.96, of 0.86 with 0.993, of 0.9
 with 0.999 (as simulated); what isn't met as a pair may still be connected by others.
@@ -34,8 +35,8 @@ LEAST = (4, 5)
 SEGMENTS, WIDTH = 6, 23
 #: Bits of the first 64 that candidates may differ in: three deviations more than the mean at 0.8.
 MOST_BITS = 18
-#: The same of all bits that a fingerprint has.
-MOST_WIDE_BITS = 40
+#: Bins of a sketch, and deviations that a sketch may show a pair less alike than it must be.
+BINS, DEVIATIONS = 256, 3.0
 #: Bits that likely pairs differ in at most.
 LIKELY_BITS = 9
 #: Larger groups are compared one set at a time.
@@ -114,6 +115,32 @@ def wide_fingerprint(s: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(s), bitorder="little").view(np.uint64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte for each bin of the hashes, from the smallest in it; 0 for an empty bin.
+
+    Two sets have the same byte in as large a share of the bins that either has as their similarity is.
+    """
+    y = (s ^ (s >> np.uint64(32))) * np.uint64(_ODD[0])
+    y = np.sort((y ^ (y >> np.uint64(29))) * np.uint64(_ODD[1]))
+    at = np.searchsorted(y, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
+    filled = at < np.append(at[1:], len(y))
+    out = np.zeros(BINS, np.uint8)
+    out[filled] = (y[at[filled]] >> np.uint64(8)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Which pairs of sets may be, by their sizes and by sketches, a row each."""
+    out = np.minimum(size_a, size_b) * LEAST[1] >= np.maximum(size_a, size_b) * LEAST[0]
+    least = LEAST[0] / LEAST[1]
+    for at in range(0, len(out), 1 << 15):
+        x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+        used = np.count_nonzero(x | y, axis=1)
+        same = np.count_nonzero((x == y) & (x != 0), axis=1)
+        out[at : at + (1 << 15)] &= same >= least * used - DEVIATIONS * np.sqrt(least * (1 - least) * used)
+    return out
+
+
 def golay_keys(prints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of fingerprints (rows of three uint64): their numbers, and a key each."""
     found = []
@@ -135,12 +162,14 @@ def golay_keys(prints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nd
 def _marked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row's key, the name of its set, and the set's fingerprint."""
     for pdf in parts:
-        names, prints = [], []
+        names, prints, sizes, sketches = [], [], [], []
         for s in shingle_sets(pdf["text"].tolist()):
+            sizes.append(len(s))
+            sketches.append(sketch(s).tobytes())
             names.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
             prints.append(wide_fingerprint(s))
         wide = np.array(prints, np.uint64).reshape(-1, len(_ODD)).view(np.int64)
-        named = pdf[["doc_id", "k1", "k2"]].assign(fp=np.array(names, np.int64))
+        named = pdf[["doc_id", "k1", "k2"]].assign(fp=np.array(names, np.int64), n=np.array(sizes, np.int32), sketch=sketches)
         yield named.assign(**{c: wide[:, i] for i, c in enumerate(_WORDS)}).astype({"doc_id": "Int64"})
 
 
@@ -210,62 +239,75 @@ def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
     return *found[0][:2], more[0]
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which fingerprints of three words differ in few enough bits."""
-    bits = np.bitwise_count(a ^ b)
-    return (bits[..., 0] <= MOST_BITS) & (bits.sum(axis=-1, dtype=np.int64) <= MOST_WIDE_BITS)
-
+def candidates_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (u, v) of a bucket that have different labels and may be similar.
 
-def candidates_between(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (u, v) of the first words of ``prints``, three words each, of a bucket that have different labels."""
+    ``side`` has the prints of the bucket, of type ``_SIDE`` and sorted; ``at`` tells which of them has each key.
+    """
     cuts, sizes = _groups(keys)
     small = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
-    k, f, name = keys[small], prints[small], labels[small]
-    found, held = [np.zeros((0, 2), np.uint64)], 0
+    k, own = keys[small], at[small]
+    prints, labels, counts = (np.ascontiguousarray(side[c]) for c in ("h", "label", "n"))
+    found, held = [np.zeros(0, np.int64)], 0
 
-    def distinct() -> None:
-        both = np.sort(np.concatenate(found), axis=1)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        new = np.ones(len(both), bool)
-        new[1:] = (both[1:] != both[:-1]).any(axis=1)
-        found[:] = [both[new]]
+    def worth(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = counts[i], counts[j]
+        sized = np.minimum(a, b) * LEAST[1] >= np.maximum(a, b) * LEAST[0]
+        return sized & (labels[i] != labels[j]) & (np.bitwise_count(prints[i] ^ prints[j]) <= MOST_BITS)
 
-    def add(u: np.ndarray, v: np.ndarray) -> None:
+    def add(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal held
-        found.append(np.stack([u, v], axis=1))
-        held += len(u)
+        found.append(np.minimum(i, j) * len(side) + np.maximum(i, j))
+        held += len(i)
         if held > _HELD:
-            distinct()
+            checked()
             held = 0
 
+    def checked() -> None:
+        """Each pair once, and only those whose sketches allow it."""
+        new = np.unique(np.concatenate(found[1:])) if len(found) > 1 else found[0]
+        i, j = np.divmod(new, max(1, len(side)))
+        good = np.zeros(len(new), bool)
+        for start in range(0, len(new), 1 << 16):  # sketches are taken for so many pairs at a time
+            part = slice(start, start + (1 << 16))
+            a, b = side[i[part]], side[j[part]]
+            good[part] = may_be_similar(a["sketch"], b["sketch"], a["n"], b["n"])
+        found[:] = [np.union1d(found[0], new[good])]
+
     for lag in range(1, min(_SMALL, len(k))):
-        i = np.flatnonzero((k[lag:] == k[:-lag]) & (name[lag:] != name[:-lag]))
-        i = i[_near(f[i], f[i + lag])]
-        add(f[i, 0], f[i + lag, 0])
+        same = np.flatnonzero(k[lag:] == k[:-lag])
+        if not len(same):
+            break
+        i, j = own[same], own[same + lag]
+        ok = worth(i, j)
+        add(i[ok], j[ok])
     for g in np.flatnonzero(sizes > _SMALL):
-        group, own = prints[cuts[g] : cuts[g + 1]], labels[cuts[g] : cuts[g + 1]]
-        if (own == own[0]).all():
+        group = at[cuts[g] : cuts[g + 1]]
+        if (labels[group] == labels[group[0]]).all():
             continue
         for one in range(len(group) - 1):
-            rest = group[one + 1 :][own[one + 1 :] != own[one]]
-            got = rest[_near(rest, group[one]), 0]
-            add(np.full(len(got), group[one, 0]), got)
-    distinct()
-    return found[0][:, 0], found[0][:, 1]
+            rest = group[one + 1 :]
+            rest = rest[worth(rest, np.full(len(rest), group[one]))]
+            add(rest, np.full(len(rest), group[one]))
+    checked()
+    i, j = np.divmod(found[0], max(1, len(side)))
+    u, v = prints[i], prints[j]
+    return np.minimum(u, v), np.maximum(u, v)
 
 
-_ENTRY = {False: np.dtype([("key", "<u4"), ("h", "<u8")]), True: np.dtype([("key", "<u4"), ("h", "<u8"), ("h2", "<u8"), ("h3", "<u8"), ("label", "<i8")])}
+_ENTRY = np.dtype([("key", "<u4"), ("h", "<u8")])
+_SIDE = np.dtype([("h", "<u8"), ("label", "<i8"), ("n", "<i4"), ("sketch", "u1", (BINS,))])
 
 
 def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
     """``prints(h, h2, h3)``, distinct by ``h``, to candidates ``(u, v)`` of these first 64 bits.
 
-    A row with equal ends is a print that has more candidates. With ``label`` as a column of
-    ``prints`` all candidates with different labels are given instead. Keys of equal leading bits
+    A row with equal ends is a print that has more candidates. With ``labelled``, ``prints(h, h2, h3, label, n, sketch)``
+    give all candidates with different labels instead; sketches go once to each bucket that has the print. Keys of equal leading bits
     make a bucket, of about ``_BUCKET`` entries at every size of the input; a batch of prints sends
     one row to each bucket.
     """
-    table, entry = decoding_table(), _ENTRY[labelled]
+    table = decoding_table()
     entries = prints.count() * _PAIRS * _KEYS_OF_PAIR
     low = max(0, _KEY_BITS - math.ceil(math.log2(max(1, entries / _BUCKET))))
 
@@ -279,42 +321,51 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
                 rows, keys = rows[order], keys[order]
                 cuts = np.flatnonzero(np.diff(keys >> low)) + 1
                 starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-                packed = np.empty(len(keys), entry)
+                packed = np.empty(len(keys), _ENTRY)
                 packed["key"], packed["h"] = keys, some[rows, 0].view(np.uint64)
+                ranges = list(zip(starts.tolist(), ends.tolist(), strict=True))
+                sides = [b""] * len(ranges)
                 if labelled:
-                    packed["h2"], packed["h3"] = some[rows, 1].view(np.uint64), some[rows, 2].view(np.uint64)
-                    packed["label"] = pdf["label"].to_numpy(np.int64)[at : at + _BATCH][rows]
-                sent = [packed[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"bucket": (keys[starts] >> low).astype(np.int32), "entries": sent})
+                    side = np.empty(len(some), _SIDE)
+                    side["h"] = some[:, 0].view(np.uint64)
+                    side["label"], side["n"] = (pdf[c].to_numpy(np.int64)[at : at + _BATCH] for c in ("label", "n"))
+                    side["sketch"] = np.frombuffer(b"".join(pdf["sketch"].iloc[at : at + _BATCH]), np.uint8).reshape(-1, BINS)
+                    sides = [side[np.unique(rows[a:b])].tobytes() for a, b in ranges]
+                sent = [packed[a:b].tobytes() for a, b in ranges]
+                yield pd.DataFrame({"bucket": (keys[starts] >> low).astype(np.int32), "entries": sent, "sides": sides})
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket."""
         held: list[bytes] = []
+        known: list[bytes] = []
         now = None
 
         def out() -> pd.DataFrame:
-            found = np.frombuffer(b"".join(held), entry)
+            found = np.frombuffer(b"".join(held), _ENTRY)
             found = found[np.lexsort((found["h"], found["key"]))]
-            keys = found["key"].copy()
+            keys, prints = found["key"].copy(), found["h"].copy()
             if labelled:
-                wide = np.stack([found[w] for w in _WORDS], axis=1)
-                u, v = candidates_between(keys, wide, found["label"].copy())
+                side = np.frombuffer(b"".join(known), _SIDE)
+                side = side[np.argsort(side["h"])]
+                u, v = candidates_between(keys, np.searchsorted(side["h"], prints), side)
             else:
-                u, v, more = candidates(keys, found["h"].copy())
+                u, v, more = candidates(keys, prints)
                 u, v = np.concatenate([u, more]), np.concatenate([v, more])
             return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
         for pdf in parts:
-            for bucket, packed in zip(pdf["bucket"].tolist(), pdf["entries"], strict=True):
+            for bucket, packed, side in zip(pdf["bucket"].tolist(), pdf["entries"], pdf["sides"], strict=True):
                 if bucket != now and held:
                     yield out()
                     held.clear()
+                    known.clear()
                 now = bucket
                 held.append(bytes(packed))
+                known.append(bytes(side))
         if held:
             yield out()
 
-    keyed = prints.select(*_WORDS, *["label"] * labelled).mapInPandas(emit, "bucket int, entries binary")
+    keyed = prints.select(*_WORDS, *["label", "n", "sketch"] * labelled).mapInPandas(emit, "bucket int, entries binary, sides binary")
     return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "u long, v long").distinct()
 
 
@@ -349,27 +400,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` between names of the sets in ``marked(k1, k2, fp, h, h2, h3)`` that are similar.
+    """Links ``(u, v)`` between names of the sets in ``marked(k1, k2, fp, n, sketch, h, h2, h3)`` that are similar.
 
     A first round checks a few candidates of each set. Sets that have more of them go
     into a second round, with all candidates that the first did not connect them to.
     """
-    sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.min(c).alias(c) for c in _WORDS)))
+    more = ("n", "sketch", *_WORDS)
+    sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.first(c).alias(c) for c in more)))
     texts = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    first = written(sets.groupBy("h").agg(F.min(F.struct("fp", "h2", "h3")).alias("f")).select("h", "f.*"))
-    side = lambda h, fp: first.select(F.col("h").alias(h), F.col("fp").alias(fp), *(F.col(w).alias(f"{h}_{w}") for w in _WORDS[1:]))
-    bits = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in _WORDS[1:]), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))))
+    # sets of one fingerprint are all held against one of them
+    first = written(sets.groupBy("h").agg(F.min("fp").alias("fp")).join(sets.drop("k", "h"), "fp"))
+    side = lambda h, fp: first.select(F.col("h").alias(h), F.col("fp").alias(fp), *(F.col(c).alias(f"{h}_{c}") for c in ("n", "sketch")))
 
     def ends(met: DataFrame) -> DataFrame:
-        return met.join(side("u", "a"), "u").join(side("v", "b"), "v").where(bits <= MOST_WIDE_BITS).select("a", "b")
+        """Names of the sets of candidates that may be similar."""
+        both = met.join(side("u", "a"), "u").join(side("v", "b"), "v")
+        return both.select("a", "b", "u_n", "v_n", "u_sketch", "v_sketch").mapInPandas(_allowed, "a long, b long")
 
     met = written(candidate_pairs(first))
     same = sets.join(first.select("h", F.col("fp").alias("a")), "h").where("fp <> a").select("a", F.col("fp").alias("b"))
     links = _verified(ends(met.where("u <> v")).unionByName(same), sets, texts)
     parts = connected_components(links).withColumnRenamed("node", "fp")
-    more = first.join(met.where("u = v").select(F.col("u").alias("h")), "h", "left_semi")
-    labelled = written(more.join(parts, "fp", "left").withColumn("label", F.coalesce("component", "fp")))
-    return links.unionByName(_verified(ends(candidate_pairs(labelled, True)), sets, texts))
+    left = first.join(met.where("u = v").select(F.col("u").alias("h")), "h", "left_semi")
+    labelled = written(left.join(parts, "fp", "left").withColumn("label", F.coalesce("component", "fp")))
+    pairs = candidate_pairs(labelled, True)
+    named = pairs.join(first.select(F.col("h").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("h").alias("v"), F.col("fp").alias("b")), "v")
+    return links.unionByName(_verified(named.select("a", "b"), sets, texts))
+
+
+def _allowed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, BINS) for c in ("u_sketch", "v_sketch"))
+        yield pdf.loc[may_be_similar(a, b, pdf["u_n"].to_numpy(np.int64), pdf["v_n"].to_numpy(np.int64)), ["a", "b"]]
 
 
 def first_of_each_similar(docs: DataFrame) -> DataFrame:
@@ -380,7 +442,7 @@ def first_of_each_similar(docs: DataFrame) -> DataFrame:
     Texts of equal shingle sets are equal; wordless ones are one group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_key().alias("k")).select("doc_id", "text", "k.*")
-    marked = written(rows.mapInPandas(_marked, "doc_id long, k1 long, k2 long, fp long, h long, h2 long, h3 long"))
+    marked = written(rows.mapInPandas(_marked, "doc_id long, k1 long, k2 long, fp long, n int, sketch binary, h long, h2 long, h3 long"))
     parts = connected_components(similar_links(docs, marked)).withColumnRenamed("node", "fp")
     nodes = marked.select("fp").distinct()
     named = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

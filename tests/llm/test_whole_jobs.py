@@ -89,10 +89,29 @@ def test_pairs_are_met_as_often_as_stated():
             prints = np.array([similar.wide_fingerprint(s) for s in sets])
             number, keys = similar.golay_keys(prints, table)
             near = np.bitwise_count(prints[0, 0] ^ prints[1, 0]) <= similar.MOST_BITS
+            near &= similar.may_be_similar(*(similar.sketch(s)[None] for s in sets), *(np.array([len(s)]) for s in sets))[0]
             found[edits] += bool(near and set(keys[number == 0]) & set(keys[number == 1]))
     assert found[1] == 300 and found[2] >= 297 and found[3] >= 294
 
 
+def test_sketches_let_pairs_of_080_pass_and_few_of_060():
+    r = np.random.default_rng(8)
+    for size in (12, 60, 400, 3000):
+        passed = {}
+        for least in (0.8, 0.6):
+            both = round(2 * size * least / (1 + least) + 0.49)
+            n = 0
+            for _ in range(400):
+                h = np.unique(r.integers(0, 1 << 63, 2 * size - both, np.uint64))
+                r.shuffle(h)
+                a, b = np.sort(h[:size]), np.sort(h[size - both :])
+                n += similar.may_be_similar(similar.sketch(a)[None], similar.sketch(b)[None], np.array([size]), np.array([size]))[0]
+            passed[least] = n
+        assert passed[0.8] >= 394
+        assert size < 400 or passed[0.6] <= 4
+    assert not similar.may_be_similar(*(similar.sketch(h[:k])[None] for k in (70, 100)), np.array([70]), np.array([100]))[0]
+
+
 def test_shingle_sets_of_short_and_long_texts(monkeypatch):
     def plain(text):
         w = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
