@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seekwell.llm.common import doc_key, written
 from seekwell.llm.components import connected_components
@@ -129,6 +130,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity of sets as sketches show it, a row each."""
+    return np.count_nonzero((a == b) & (a != 0), axis=1) / np.maximum(1, np.count_nonzero(a | b, axis=1))
+
+
 def may_be_similar(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Which pairs of sets may be, by their sizes and by sketches, a row each."""
     out = np.minimum(size_a, size_b) * LEAST[1] >= np.maximum(size_a, size_b) * LEAST[0]
@@ -239,9 +245,26 @@ def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
     return *found[0][:2], more[0]
 
 
-def candidates_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(nodes: np.ndarray, u: np.ndarray, v: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (u, v) of nodes that join parts not joined before, taken in an order."""
+    parent = {n: n for n in np.unique(nodes).tolist()}
+    kept = []
+    for p, a, b in zip(order.tolist(), u[order].tolist(), v[order].tolist(), strict=True):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[b] = a
+            kept.append(p)
+    return np.array(kept, np.int64)
+
+
+def candidates_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray, forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (u, v) of a bucket that have different labels and may be similar.
 
+    With ``forest`` only those of a spanning forest of the labels, the most alike first.
+
     ``side`` has the prints of the bucket, of type ``_SIDE`` and sorted; ``at`` tells which of them has each key.
     """
     cuts, sizes = _groups(keys)
@@ -291,6 +314,10 @@ def candidates_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray) -> tu
             add(rest, np.full(len(rest), group[one]))
     checked()
     i, j = np.divmod(found[0], max(1, len(side)))
+    if forest and len(i):
+        alike = np.concatenate([_alike(side[i[k : k + (1 << 16)]]["sketch"], side[j[k : k + (1 << 16)]]["sketch"]) for k in range(0, len(i), 1 << 16)])
+        some = _forest(labels, labels[i], labels[j], np.argsort(-alike, kind="stable"))
+        i, j = i[some], j[some]
     u, v = prints[i], prints[j]
     return np.minimum(u, v), np.maximum(u, v)
 
@@ -299,11 +326,11 @@ _ENTRY = np.dtype([("key", "<u4"), ("h", "<u8")])
 _SIDE = np.dtype([("h", "<u8"), ("label", "<i8"), ("n", "<i4"), ("sketch", "u1", (BINS,))])
 
 
-def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
+def candidate_pairs(prints: DataFrame, labelled: bool = False, forest: bool = False) -> DataFrame:
     """``prints(h, h2, h3)``, distinct by ``h``, to candidates ``(u, v)`` of these first 64 bits.
 
     A row with equal ends is a print that has more candidates. With ``labelled``, ``prints(h, h2, h3, label, n, sketch)``
-    give all candidates with different labels instead; sketches go once to each bucket that has the print. Keys of equal leading bits
+    give all candidates with different labels instead, or a forest of them for each bucket; sketches go once to each bucket that has the print. Keys of equal leading bits
     make a bucket, of about ``_BUCKET`` entries at every size of the input; a batch of prints sends
     one row to each bucket.
     """
@@ -347,7 +374,7 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
             if labelled:
                 side = np.frombuffer(b"".join(known), _SIDE)
                 side = side[np.argsort(side["h"])]
-                u, v = candidates_between(keys, np.searchsorted(side["h"], prints), side)
+                u, v = candidates_between(keys, np.searchsorted(side["h"], prints), side, forest)
             else:
                 u, v, more = candidates(keys, prints)
                 u, v = np.concatenate([u, more]), np.concatenate([v, more])
@@ -402,8 +429,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between names of the sets in ``marked(k1, k2, fp, n, sketch, h, h2, h3)`` that are similar.
 
-    A first round checks a few candidates of each set. Sets that have more of them go
-    into a second round, with all candidates that the first did not connect them to.
+    A first round checks one candidate of each set. Sets that have more go into two further
+    rounds, each with candidates of sets that aren't connected so far: the likeliest ones, a spanning
+    forest for each bucket, and then all that are left. So a large group is connected before its
+    pairs are asked for.
     """
     more = ("n", "sketch", *_WORDS)
     sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.first(c).alias(c) for c in more)))
@@ -417,15 +446,23 @@ def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
         both = met.join(side("u", "a"), "u").join(side("v", "b"), "v")
         return both.select("a", "b", "u_n", "v_n", "u_sketch", "v_sketch").mapInPandas(_allowed, "a long, b long")
 
-    met = written(candidate_pairs(first))
+    # of what the buckets give the best candidate of each print is checked first
+    found = written(candidate_pairs(first))
+    bits = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    best = W.partitionBy("v").orderBy(F.when(bits <= LIKELY_BITS, 0).otherwise(bits), "u")
+    met = written(found.where("u <> v").withColumn("_nth", F.row_number().over(best)))
+    others = met.where("_nth > 1")
+    more_of = found.where("u = v").select(F.col("u").alias("h")).unionByName(others.select(F.explode(F.array("u", "v")).alias("h"))).distinct()
     same = sets.join(first.select("h", F.col("fp").alias("a")), "h").where("fp <> a").select("a", F.col("fp").alias("b"))
-    links = _verified(ends(met.where("u <> v")).unionByName(same), sets, texts)
-    parts = connected_components(links).withColumnRenamed("node", "fp")
-    left = first.join(met.where("u = v").select(F.col("u").alias("h")), "h", "left_semi")
-    labelled = written(left.join(parts, "fp", "left").withColumn("label", F.coalesce("component", "fp")))
-    pairs = candidate_pairs(labelled, True)
-    named = pairs.join(first.select(F.col("h").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("h").alias("v"), F.col("fp").alias("b")), "v")
-    return links.unionByName(_verified(named.select("a", "b"), sets, texts))
+    links = _verified(ends(met.where("_nth = 1")).unionByName(same), sets, texts)
+    left = written(first.join(more_of, "h", "left_semi"))
+    named = [first.select(F.col("h").alias(h), F.col("fp").alias(fp)) for h, fp in (("u", "a"), ("v", "b"))]
+    for forest in (True, False):
+        parts = connected_components(links).withColumnRenamed("node", "fp")
+        labelled = written(left.join(parts, "fp", "left").withColumn("label", F.coalesce("component", "fp")))
+        pairs = candidate_pairs(labelled, True, forest).join(named[0], "u").join(named[1], "v").select("a", "b")
+        links = links.unionByName(_verified(pairs, sets, texts))
+    return links
 
 
 def _allowed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
