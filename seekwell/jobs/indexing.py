@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seekwell.functions.text import title
 from seekwell.operators.lexical import KEY, Index, inverted, token_index, with_stems
 from seekwell.schemas import documents
+from seekwell.sources import store
 from seekwell.sources.shared import fresh_path, shared_dir, spread
 
 _MADE: dict[tuple, str] = {}
@@ -30,9 +31,14 @@ def tokenized(docs: DataFrame) -> DataFrame:
 
 
 def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
-    """The index of ``documents``, written into the shared folder when a session first asks for it."""
+    """The index of ``documents``, written into the shared folder when a session first asks for it.
+
+    It goes by the table's files, their sizes and times: a table that is written anew has another index.
+    """
+    state = store.state_of(spark, f"{sf_dir}/documents.parquet")
+
     def once(kind: str, make) -> str:
-        name = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, kind)
+        name = (spark.sparkContext.applicationId, shared_dir(spark), state, kind)
         if name not in _MADE:
             path = fresh_path(spark, kind)
             make(path)

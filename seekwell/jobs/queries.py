@@ -12,10 +12,12 @@ from seekwell.functions.stemming import stemmed_vocabulary
 from seekwell.functions.text import best_line, cjk_grams, lines, nfkc, numbered, projection, snippet, title
 from seekwell.jobs import config
 from seekwell.jobs.indexing import keyword_index, tokenized
-from seekwell.operators import context, documents, embedding, extraction, fusion, hybrid, lexical, maintenance, results, statistics, vector
+from seekwell.operators import context, documents, embedding, extraction, fusion, hybrid, lexical, maintenance, results, segments, statistics, vector
 from seekwell.operators.chunking import chunked
 from seekwell.schemas import documents as registry
 from seekwell.schemas import table
+from seekwell.sources.shared import fresh_path, written
+from seekwell.sources.snapshots import Workspace
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -309,6 +311,53 @@ def lexical_stemmed(spark, sf):
     return hits.select("project_name", "path", F.round("raw_bm25", 6).alias("raw_bm25"), F.round("score", 6).alias("score"))
 
 
+# --- tables and index after a change
+
+#: Of every 50 documents one is changed, one goes and one comes again elsewhere.
+_CHANGED = """
+o AS (SELECT doc_id, lang AS project_name, source || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, text AS body FROM documents),
+d AS (
+  SELECT doc_id, project_name, path, CASE WHEN doc_id % 50 = 7 THEN 'tion heres ' || body ELSE body END AS body FROM o WHERE doc_id % 50 <> 8
+  UNION ALL SELECT doc_id, project_name, 'again/' || path, body FROM o WHERE doc_id % 50 = 9)"""
+
+
+def _change(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Keys of documents whose rows hold no more, and rows of changed and new ones."""
+    docs = registry(spark, sf).drop("content_hash")
+    other = docs.where("doc_id % 50 = 7").withColumn("body", F.concat(F.lit("tion heres "), "body"))
+    again = docs.where("doc_id % 50 = 9").withColumn("path", F.concat(F.lit("again/"), "path"))
+    return docs.where("doc_id % 50 IN (7, 8)").select(*lexical.KEY), other.unionByName(again)
+
+
+@query(f"WITH {_CHANGED} SELECT doc_id, project_name, path, sha256(body) AS content_hash FROM d")
+def snapshot_merge(spark, sf):
+    """A table of a workspace after a change, which wrote only the buckets that it touches."""
+    space = Workspace(spark, fresh_path(spark, "space"), bucket_rows=1000)
+    rows = lambda docs: docs.select("doc_id", *lexical.KEY, F.sha2("body", 256).alias("content_hash"))
+    first = space.building()
+    docs = registry(spark, sf)
+    first.whole("documents", rows(docs), lexical.KEY, docs.count())
+    first.publish({})
+    gone, new = _change(spark, sf)
+    second = space.building()
+    second.change("documents", gone, rows(new), lexical.KEY)
+    second.publish({})
+    return space.read("documents")
+
+
+@query(_bm25_sql([(["tion"], True), (["heres"], True)], limit=10_000_000).replace(_DOCS, _CHANGED))
+def lexical_after_update(spark, sf):
+    """Scores after a change, of the old postings with a segment of new ones and marks of what is gone."""
+    index = keyword_index(spark, sf)
+    gone, new = _change(spark, sf)
+    tokens = written(tokenized(new).drop("body"))
+    added = lexical.inverted(tokens)
+    postings = segments.live([segments.Segment(index.postings), segments.Segment(written(added.postings), gone)], lexical.KEY)
+    lengths = [x.select(*lexical.KEY, "doc_len") for x in (index.lengths.join(gone, lexical.KEY, "left_anti"), added.lengths)]
+    hits = lexical.bm25_topk(lexical.Index(postings, lengths[0].unionByName(lengths[1])), parse("tion heres"), None)
+    return hits.select("project_name", "path", F.round("raw_bm25", 6).alias("raw_bm25"), F.round("score", 6).alias("score"))
+
+
 # --- vectors
 
 

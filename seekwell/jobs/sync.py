@@ -22,6 +22,8 @@ from seekwell.sources.snapshots import Snapshot, Workspace
 
 LEXICAL_RECIPE = recipe_id("lexical", "v2", "nfkc", "identifier-split", "cjk-1-3")
 KEY = maintenance.KEY
+#: Snapshots whose files stay: the new one, and that of readers who began before it.
+KEPT_SNAPSHOTS = 2
 
 
 @dataclass(frozen=True)
@@ -37,8 +39,9 @@ class Models:
     most_input: int = 2048
 
     def recipes(self) -> dict[str, str]:
-        chunk = recipe_id("chunk", *CHUNK_RULES, str(self.most_input), self.embed_recipe)
-        return {"lexical": LEXICAL_RECIPE, "semantic": chunk} | {f"extract.{k}": v for k, v in self.extract_recipes}
+        """What the results of a sync are made by; chunks go by their rules and by the model that reads them."""
+        semantic = recipe_id("semantic", str(self.most_input), self.embed_recipe)
+        return {"lexical": LEXICAL_RECIPE, "chunks": recipe_id("chunk", *CHUNK_RULES), "semantic": semantic} | {f"extract.{k}": v for k, v in self.extract_recipes}
 
 
 def listing(workspace: Workspace, projects: tuple[Project, ...]) -> DataFrame:
@@ -74,74 +77,116 @@ def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models
     What it leaves equals a build from nothing, which ``full`` makes: documents of unlisted projects
     go, contents and chunks that no document has go. Only new and changed files are read, once; only
     contents without chunks are cut, only chunks without embeddings embedded, and only documents
-    whose content or title is new get token rows, unless a recipe changed.
+    whose content or title is new get token rows, unless a recipe changed. Only buckets with a
+    change are written. Without a model for extraction or embedding its results are kept as long
+    as they hold, with their recipes.
     """
     config = projects if isinstance(projects, Config) else Config(tuple(Project(n, r) for n, r in sorted(projects.items())))
     models = models or Models()
     with workspace.writing("sync"):
-        recipes = models.recipes()
         had = {} if full else workspace.recipes()
+        recipes = models.recipes() if models.embed or "semantic" not in had else models.recipes() | {"semantic": had["semantic"]}
+        recipes = {k: v for k, v in had.items() if k.startswith("extract.")} | recipes
         same = {k: had.get(k) == v for k, v in recipes.items()}
-        old = {} if full else {t: workspace.read(t) for t in ("documents", "contents", "chunks", "embeddings", "lexical")}
+        cut = same["chunks"] and same["semantic"]
         new = workspace.building()
-        files = new.add("_listing", listing(workspace, config.projects), kept=False)
-        docs, found, changes = _scanned(new, files, old.get("documents"))
+        if full:
+            new.last = None
+        old = {t: workspace.read(t) if new.had(t) else None for t in ("documents", "contents", "chunks", "embeddings", "lexical")}
+        files = new.step("listing", listing(workspace, config.projects))
+        size = files.count()
+        docs, found, changes = _scanned(new, files, old["documents"])
         texts = found.where("body IS NOT NULL").select("content_hash", "body").dropDuplicates(["content_hash"])
         if models.extract:
             kinds = [k for group, names in extraction.RECIPE_KINDS.items() if group in dict(models.extract_recipes) for k in names]
             stale = [k for group, names in extraction.RECIPE_KINDS.items() if same.get(f"extract.{group}") is False for k in names]
             waiting = maintenance.invalidated(docs, stale) if stale else docs
             todo = extraction.work(waiting, kinds or list(extraction.RICH)).join(files.select(*KEY, "root"), KEY)
-            outcomes = new.add("_outcomes", extraction.extracted(todo, models.extract), kept=False)
+            outcomes = new.step("outcomes", extraction.extracted(todo, models.extract))
             docs = extraction.published(waiting, outcomes)
             texts = texts.unionByName(extraction.new_contents(outcomes)).dropDuplicates(["content_hash"])
-        docs = new.add("documents", schemas.as_table(docs, schemas.DOCUMENTS))
-        if old.get("contents") is not None:
-            texts = maintenance.merged(old["contents"], texts, ["content_hash"])
-        texts = new.add("contents", schemas.as_table(maintenance.live_contents(texts, docs), schemas.CONTENTS))
-        kept = old.get("chunks") if same["semantic"] else None
-        work = texts if kept is None else maintenance.chunk_work(docs, texts, kept)
-        chunks = chunked(work, models.count, models.most_input)
-        if kept is not None:
-            chunks = maintenance.live_contents(kept, docs).unionByName(chunks)
-        chunks = new.add("chunks", schemas.as_table(chunks, schemas.CHUNKS))
-        if models.embed:
-            changes |= _embedded(new, docs, chunks, old.get("embeddings") if same["semantic"] else None, models)
-        lexical = maintenance.live_lexical(old["lexical"], docs) if same["lexical"] and old.get("lexical") is not None else None
-        ready = docs.where("extraction_status = 'ready'")
-        missing = ready if lexical is None else maintenance.missing_lexical(docs, lexical)
-        rows = token_index(missing.join(texts, "content_hash"))
-        rows = schemas.as_table(rows, schemas.LEXICAL)
-        lexical = new.add("lexical", rows if lexical is None else lexical.unionByName(rows), "project_name")
-        order = ["term", *KEY]
-        new.add("postings", inverted(lexical).postings.repartitionByRange(*order).sortWithinPartitions(*order, "col"))
+        docs = new.step("docs", schemas.as_table(docs, schemas.DOCUMENTS))
+        hashes = docs.select("content_hash").where("content_hash IS NOT NULL").distinct()
+        gone, fresh = maintenance.changes(old["documents"], docs, KEY)
+        docs = _stored(new, "documents", KEY, size, docs, gone, fresh, KEY)
+        texts = texts.join(hashes, "content_hash", "left_semi")
+        dead, lacking = _content_changes(old["contents"], hashes, texts)
+        lacking = new.step("texts", schemas.as_table(lacking, schemas.CONTENTS))
+        contents_ = _stored(new, "contents", ["content_hash"], size, lacking, dead, lacking, ["content_hash"])
+        work = lacking if cut else contents_
+        chunks = new.step("chunked", schemas.as_table(chunked(work, models.count, models.most_input), schemas.CHUNKS))
+        chunks = _stored(new, "chunks", ["content_hash"], size, chunks, dead, chunks, ["content_hash"], cut)
+        if models.embed or old["embeddings"] is not None:
+            changes |= _embedded(new, docs, chunks, old["embeddings"] if cut else None, models, size)
+        _indexed(new, docs, contents_, old["lexical"] if same["lexical"] else None, size)
         new.publish(recipes)
+        workspace.collect(KEPT_SNAPSHOTS)
         return changes
 
 
+def _stored(new: Snapshot, table: str, on: list[str], size: int, every: DataFrame, gone: DataFrame | None, fresh: DataFrame, by: list[str], keep: bool = True) -> DataFrame:
+    """A table changed by what is gone and fresh, or written whole if there is none to change."""
+    if keep and new.had(table) and gone is not None:
+        return new.change(table, gone, fresh, by)
+    return new.whole(table, every, on, size)
+
+
+def _content_changes(old: DataFrame | None, hashes: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Hashes of contents that no document has any more, and the texts that aren't there yet."""
+    if old is None:
+        return None, texts
+    had = old.select("content_hash")
+    return had.join(hashes, "content_hash", "left_anti"), texts.join(had, "content_hash", "left_anti")
+
+
+def _indexed(new: Snapshot, docs: DataFrame, texts: DataFrame, old: DataFrame | None, size: int) -> None:
+    """Token rows and postings of documents whose content or title is new, in place of those that hold no more."""
+    order = ["term", *KEY, "col"]
+    ready = docs.where("extraction_status = 'ready'")
+    if old is None:
+        rows = new.whole("lexical", schemas.as_table(token_index(ready.join(texts, "content_hash")), schemas.LEXICAL), KEY, size)
+        new.segment("postings", inverted(rows).postings, None, KEY, order)
+        return
+    known = old.select(*KEY, "content_hash", "title")
+    dead = known.join(ready.select(known.columns), known.columns, "left_anti").select(KEY)
+    missing = new.step("unindexed", ready.join(known, known.columns, "left_anti"))
+    wanted = missing.select("content_hash").distinct()
+    # only buckets that have a wanted content are read
+    bodies = new.workspace._opened(new.tables["contents"], wanted).join(wanted, "content_hash", "left_semi")
+    rows = new.step("tokens", schemas.as_table(token_index(missing.join(bodies, "content_hash")), schemas.LEXICAL))
+    gone = new.step("unlisted", dead.unionByName(missing.select(KEY)).distinct())
+    new.change("lexical", gone, rows, KEY)
+    new.segment("postings", inverted(rows).postings, gone, KEY, order)
+
+
 def _scanned(new: Snapshot, files: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """The registry after a scan, what was read for it, and counts of changes."""
     if old is None:
-        found = new.add("_found", registry(contents(files)), kept=False)
+        found = new.step("found", registry(contents(files)))
         return found.drop("body"), found, {"added": found.count()}
-    diff = new.add("_diff", maintenance.diff(old, files), kept=False)
+    diff = new.step("diff", maintenance.diff(old, files))
     changes = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
     todo = files.join(diff.where("change IN ('added', 'changed')").select(KEY), KEY)
-    found = new.add("_found", registry(contents(todo)), kept=False)
+    found = new.step("found", registry(contents(todo)))
     still = old.join(diff.where("change = 'unchanged'").select(KEY), KEY, "left_semi")
     return still.unionByName(maintenance.applied(old, found.drop("body"))), found, changes
 
 
-def _embedded(new: Snapshot, docs: DataFrame, chunks: DataFrame, old: DataFrame | None, models: Models) -> dict[str, int]:
-    """Embeddings of all chunks that have none, beside those that still hold."""
-    none = docs.sparkSession.createDataFrame([], schemas.EMBEDDINGS)
-    kept = none if old is None else embedding.live_embeddings(old, docs)
-    work = maintenance.embedding_work(docs, chunks, kept)
-    texts = chunks.select("content_hash", "chunk_index", F.col("body").alias("chunk"))
+def _embedded(new: Snapshot, docs: DataFrame, chunks: DataFrame, old: DataFrame | None, models: Models, size: int) -> dict[str, int]:
+    """Embeddings of all chunks that have none, beside those that still hold; without a model only these."""
+    by = ["document_id", "content_hash"]
+    kept = docs.sparkSession.createDataFrame([], schemas.EMBEDDINGS) if old is None else embedding.live_embeddings(old, docs)
+    dead = None if old is None else old.select(by).join(kept.select(by), by, "left_anti")
+    if models.embed is None:
+        _stored(new, "embeddings", by[:1], size, kept, dead, kept.limit(0), by)
+        return {}
+    work = new.step("unembedded", maintenance.embedding_work(docs, chunks, kept))
+    wanted = work.select("content_hash").distinct()
+    texts = new.workspace._opened(new.tables["chunks"], wanted).select("content_hash", "chunk_index", F.col("body").alias("chunk"))
     named = work.join(docs.select("document_id", "title"), "document_id").join(texts, ["content_hash", "chunk_index"])
     inputs = named.withColumn("input", embedding.document_input(F.col("title"), F.col("chunk")))
-    found = new.add("_embedded", embedding.embedded(inputs, models.embed, models.dims, models.count, models.most_input), kept=False)
-    good = found.where("failure IS NULL")
-    new.add("embeddings", schemas.as_table(kept.unionByName(good.drop("failure")), schemas.EMBEDDINGS))
+    found = new.step("embedded", embedding.embedded(inputs, models.embed, models.dims, models.count, models.most_input))
+    good = schemas.as_table(found.where("failure IS NULL").drop("failure"), schemas.EMBEDDINGS)
+    _stored(new, "embeddings", by[:1], size, good, dead, good, by)
     r = embedding.report(found).first()
     return {"embedded": r.chunks, "embedding_failed": r.failed}

@@ -17,14 +17,14 @@ def effective_context(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """``docs(project_name, path)`` to ``(project_name, path, context)``.
 
     ``contexts(project, path, text, position)``; a null project holds for all. A path holds for
-    itself and what is below. Every ancestor is a key, so the prefix join is an equi-join.
+    itself and what is below. Every ancestor is a key, with its project or without, so the prefix join is two equi-joins.
     Texts go global first, then by length of path, then as configured, with a blank line
     between; documents without any have an empty context.
     """
     keys = docs.select("project_name", "path").distinct().withColumn("_at", F.explode(ancestors()))
-    found = keys.join(
-        contexts.select("project", F.col("path").alias("_at"), "text", "position"), "_at"
-    ).where(F.col("project").isNull() | (F.col("project") == F.col("project_name")))
+    named = contexts.select("project", F.col("path").alias("_at"), "text", "position")
+    own = keys.join(named.where("project IS NOT NULL").withColumn("project_name", F.col("project")), ["project_name", "_at"])
+    found = own.unionByName(keys.join(named.where("project IS NULL"), "_at"))
     texts = found.groupBy("project_name", "path").agg(
         F.sort_array(
             F.collect_list(F.struct(F.col("project").isNotNull().alias("own"), F.length("_at").alias("n"), "position", "text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,9 +14,13 @@ from seekwell.functions.text import non_blank
 RICH = ("pdf", "image", "audio", "video")
 #: Kinds that one recipe makes.
 RECIPE_KINDS = {"pdf": ("pdf",), "image": ("image",), "media": ("audio", "video")}
+#: How short and how long an answer may be, and how answers begin.
 LEAST_SHARE, MOST_TIMES, MOST_MORE = 4, 3, 200
 _OPENINGS = ("here is the result:", "here's the result:", "sure:", "sure,", "result:")
 
+_GREETING = rf"\s*(?:{'|'.join(map(re.escape, _OPENINGS))})?\s*"
+_ANSWER = re.compile(rf"{_GREETING}(?:```[^\n]*\n{_GREETING}(?P<fenced>.*)```.*|(?P<plain>.*))", re.DOTALL | re.IGNORECASE)
+
 
 def work(docs: DataFrame, kinds: list[str] = RICH) -> DataFrame:
     """Pending documents of the kinds, with a source."""
@@ -52,13 +57,17 @@ def extracted(files: DataFrame, extract: Callable[[str, str], tuple[str | None,
 
 
 def published(docs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The registry after outcomes: extracted documents are ready, failed ones have no content, others stay."""
+    """The registry after outcomes: extracted documents are ready, failed ones have no content, others stay.
+
+    A document that is ready with the same content is only touched: its time of update is now, as of all that change.
+    """
     found = outcomes.select("project_name", "path", "outcome", F.sha2("body", 256).alias("_hash"))
     joined = docs.join(found, ["project_name", "path"], "left")
     done, failed = F.coalesce(F.col("outcome") == "extracted", F.lit(False)), F.coalesce(F.col("outcome") == "failed", F.lit(False))
     columns = {
         "content_hash": F.when(done, F.col("_hash")).when(failed, F.lit(None)).otherwise(F.col("content_hash")),
         "extraction_status": F.when(done, "ready").when(failed, "failed").otherwise(F.col("extraction_status")),
+        "updated_at": F.when(done | failed, F.current_timestamp()).otherwise(F.col("updated_at") if "updated_at" in docs.columns else F.lit(None)),
     }
     return joined.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
 
@@ -68,23 +77,12 @@ def new_contents(outcomes: DataFrame) -> DataFrame:
     return texts.select(F.sha2("body", 256).alias("content_hash"), "body").dropDuplicates(["content_hash"])
 
 
-def _without_opening(text: str) -> str:
-    for opening in _OPENINGS:
-        if text.lower().startswith(opening):
-            return text[len(opening) :].strip()
-    return text
-
-
 def cleaned_text(original: str, given: str, answer: str | None) -> str:
     """A model's clean-up of the first part ``given`` of a text, or the text itself if the answer can't be one.
 
-    A greeting and a fence around it are cut. An answer much shorter or longer is none.
+    A greeting and a fence around it are no part of an answer. One much shorter or longer is none.
     """
-    text = _without_opening((answer or "").strip())
-    if text.startswith("```") and 0 <= (first := text.find("\n")) < (last := text.rfind("```")):
-        text = text[first + 1 : last].strip()
-    text = _without_opening(text)
-    least, most = max(1, len(given.strip()) // LEAST_SHARE), len(given) * MOST_TIMES + MOST_MORE
-    if not text or not least <= len(text) <= most:
-        return original
-    return text + original[len(given) :]
+    found = _ANSWER.fullmatch(answer or "")
+    text = (found["fenced"] if found["fenced"] is not None else found["plain"]).strip()
+    sized = max(1, len(given.strip()) // LEAST_SHARE) <= len(text) <= MOST_TIMES * len(given) + MOST_MORE
+    return text + original[len(given) :] if text and sized else original

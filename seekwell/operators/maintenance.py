@@ -56,6 +56,17 @@ def applied(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(*(kept.get(c, F.col(c)).alias(c) for c in new.columns))
 
 
+def changes(old: DataFrame | None, new: DataFrame, key: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Between two states of a table: keys whose row is gone or another one, and rows that are new or another one."""
+    if old is None:
+        return None, new
+    same = F.sha2(F.to_json(F.struct(*(F.col(c) for c in new.columns)), {"ignoreNullFields": "false"}), 256).alias("_row")
+    was, now = (t.select(*key, same) for t in (old.select(new.columns), new))
+    gone = was.join(now, [*key, "_row"], "left_anti").select(key)
+    fresh = new.withColumn("_row", same).join(was, [*key, "_row"], "left_anti").select(new.columns)
+    return gone, fresh
+
+
 def merged(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` with another key."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
 
@@ -51,3 +53,24 @@ def replace_text(spark: SparkSession, path: str, text: str, name: str) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     _, where, fs = _path(spark, path)
     fs.delete(where, False)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    _, where, fs = _path(spark, path)
+    fs.delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no folder."""
+    _, where, fs = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """A name for what a table's files are now: their paths, sizes and times."""
+    _, where, fs = _path(spark, path)
+    found, files = [], fs.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
