@@ -1,4 +1,10 @@
-"""Exact nearest neighbours of embeddings by Euclidean distance, counted in documents."""
+"""Exact nearest neighbours of embeddings by Euclidean distance, counted in documents.
+
+Vectors are put into cells, each around a centre, whose radius is known for every project. A query first
+searches the cells that are nearest until they have enough documents; the distance of the last of
+these is a bound, and by the triangle inequality a cell further off than the bound and its radius has nothing
+better. What is left of the cells is searched then, so two rounds give the exact result at any limit.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from seekwell.sources.shared import written
+
 FARTHEST = 1.7976931348623157e308
 #: Most vectors and queries, on average, that one group compares.
 PART, BLOCK = 50_000, 1_000
+#: Rows that centres are fitted on, most of these, most rows of the table of cells, and rounds of the fit.
+SAMPLE, CELLS, PLACES, ROUNDS = 20_000, 2_048, 1 << 17, 5
+#: The cell of vectors that have no distance to any query.
+NOWHERE = -1
 
 
 def score(dist: Column) -> Column:
@@ -64,36 +76,171 @@ def _nearest(vectors: pd.DataFrame, queries: pd.DataFrame, limit: int | None) ->
     return pd.concat(out)
 
 
+def centres(rows: DataFrame, n: int, dims: int) -> np.ndarray:
+    """At most ``CELLS`` centres of ``n`` vectors, as many as the root of their number, by k-means on a sample with the smallest hashes."""
+    projects = rows.agg(F.approx_count_distinct("project_name")).first()[0]
+    most = int(max(1, min(CELLS, np.sqrt(n), PLACES / max(1, projects))))
+    by = F.xxhash64("project_name", "path", "chunk_index")
+    share = min(1.0, 1.5 * SAMPLE / max(1, n))
+    some = rows if share == 1.0 else rows.where(F.pmod(by, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = _matrix(some.orderBy(by, "project_name", "path", "chunk_index").limit(SAMPLE).select("embedding").toPandas()["embedding"], dims)
+    sample = sample[np.isfinite(sample).all(axis=1)]
+    if not len(sample):
+        return np.zeros((1, dims))
+    found = sample[:: max(1, len(sample) // most)][:most].copy()
+    for _ in range(ROUNDS):
+        of = _nearest_centre(sample, found)[0]
+        sums, counts = np.zeros_like(found), np.bincount(of, minlength=len(found))
+        np.add.at(sums, of, sample)
+        found[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+    return found
+
+
+def _nearest_centre(matrix: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and its distance."""
+    of = np.zeros(len(matrix), np.int64)
+    for at in range(0, len(matrix), 4096):
+        part = matrix[at : at + 4096]
+        with np.errstate(all="ignore"):
+            of[at : at + 4096] = np.nan_to_num((np.square(found).sum(axis=1) - 2 * part @ found.T), nan=np.inf).argmin(axis=1)
+    return of, _distances(matrix, found[of])
+
+
+_PLACED = "project_name string, path string, chunk_index int, embedding array<double>, cell int, off double"
+
+
+def placed(rows: DataFrame, found: np.ndarray) -> DataFrame:
+    """Rows with their ``cell`` and how far ``off`` its centre they are; those without a distance are nowhere."""
+    dims = found.shape[1]
+
+    def place(parts):
+        for pdf in parts:
+            matrix = _matrix(pdf["embedding"], dims)
+            of, off = _nearest_centre(matrix, found)
+            good = np.isfinite(matrix).all(axis=1) & (off < FARTHEST)
+            yield pdf.assign(cell=np.where(good, of, NOWHERE).astype(np.int32), off=np.where(good, off, 0.0))
+
+    own = rows.select("project_name", "path", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return own.mapInPandas(place, _PLACED)
+
+
+class Cells:
+    """Cells of each project: their centres and radii, and how many documents and rows they have."""
+
+    def __init__(self, found: np.ndarray, stats: pd.DataFrame) -> None:
+        self.found = found
+        self.projects = [(name, part["cell"].to_numpy(), part["radius"].to_numpy(), part["docs"].to_numpy()) for name, part in stats.groupby("project_name", sort=True, dropna=False)]
+
+    def nearest(self, query: np.ndarray):
+        """For each project its cells, in order of the least distance that a vector in them can have, these distances, and the documents."""
+        off = _distances(self.found, query)
+        for name, cells, radius, docs in self.projects:
+            there = np.where(cells == NOWHERE, FARTHEST, off[cells])
+            slack = 1e-9 * (1 + there)  # distances are rounded
+            with np.errstate(over="ignore"):
+                least = np.where(there < FARTHEST, np.maximum(0, there - radius - slack), np.where(cells == NOWHERE, FARTHEST, 0))
+            order = np.lexsort((there, least))
+            yield None if name is None or name != name else name, cells[order], least[order], docs[order]
+
+
+_ASKED = "query_id long, query array<double>, project_name string, cell int"
+
+
+def _asked(queries: DataFrame, cells: Cells, limit: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Cells that queries search: at first those that are nearest and have enough documents; with ``bounds``, all others within these."""
+
+    def first(parts):
+        for pdf in parts:
+            yield _rows((q, name, own[: (docs.cumsum() < limit).sum() + 1]) for q in _queries(pdf) for name, own, _, docs in cells.nearest(q[1]))
+
+    def rest(parts):
+        for pdf in parts:
+            out = []
+            for q, known in zip(_queries(pdf), pdf["bounds"], strict=True):
+                bound = {} if known is None else {b["project_name"]: b["bound"] for b in known}
+                for name, own, least, docs in cells.nearest(q[1]):
+                    done = (docs.cumsum() < limit).sum() + 1
+                    out.append((q, name, own[done:][least[done:] <= bound.get(name, FARTHEST)]))
+            yield _rows(out)
+
+    if bounds is None:
+        return queries.mapInPandas(first, _ASKED)
+    return queries.join(bounds.groupBy("query_id").agg(F.collect_list(F.struct("project_name", "bound")).alias("bounds")), "query_id", "left").mapInPandas(rest, _ASKED)
+
+
+def _queries(pdf: pd.DataFrame):
+    return [(int(i), np.asarray(q, np.float64)) for i, q in zip(pdf["query_id"], pdf["query"], strict=True)]
+
+
+def _rows(found) -> pd.DataFrame:
+    out = [(q[0], q[1], name, int(c)) for q, name, own in found for c in own]
+    return pd.DataFrame(out, columns=["query_id", "query", "project_name", "cell"])
+
+
+def _searched(rows: DataFrame, sizes: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """The best documents of the cells that queries ask, a project each. A large cell is dealt into parts, its queries into blocks."""
+    asked = written(asked)
+    key = ["project_name", "cell"]
+    blocks = asked.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    same = lambda a, b: a["cell"].eqNullSafe(b["cell"]) & a["project_name"].eqNullSafe(b["project_name"])
+    plan = sizes.join(blocks, same(sizes, blocks)).select(sizes["cell"].alias("c"), sizes["project_name"].alias("p"), "parts", "blocks")
+    on = lambda a: a["cell"].eqNullSafe(plan["c"]) & a["project_name"].eqNullSafe(plan["p"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(plan, on(rows)).select(
+        "project_name", "path", "chunk_index", "embedding", "cell", F.pmod(F.xxhash64("path"), "parts").cast("int").alias("part"), every("blocks").alias("block")
+    )
+    right = asked.join(plan, on(asked)).select("query_id", "query", "project_name", "cell", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), every("parts").alias("part"))
+
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(a, b, limit)
+
+    by = [*key, "part", "block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compared, _HIT)
+
+
 def nearest_documents(vectors: DataFrame, queries: DataFrame, limit: int | None, scope: list[str] | None = None) -> DataFrame:
     """The ``limit`` nearest documents of each project for each query, by their nearest chunk.
 
     ``vectors(project_name, path, chunk_index, embedding)``; ``queries(query_id, query)``, which may grow
-    with the vectors. The scope filter comes before all else. Both are dealt into parts of bounded
-    size, the vectors by document; each part of vectors meets each block of queries once, and
-    only what may be among the first leaves the pair.
+    with the vectors. The scope filter comes before all else. Without a limit every pair is met.
     """
     rows = vectors if scope is None else vectors.where(F.col("project_name").isin(scope))
-    parts, blocks = (-(-max(n, 1) // most) for n, most in ((rows.count(), PART), (queries.count(), BLOCK)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(
-        "project_name", "path", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding",
-        F.pmod(F.xxhash64("project_name", "path"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"),
-    )
-    right = queries.select(
-        F.col("query_id").cast("long").alias("query_id"), "query",
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"),
-    )
-
-    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(a, b, limit)
-
-    best = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(compared, _HIT)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+    one = asked.select(F.size("query")).first()
+    if one is None:
+        best = rows.sparkSession.createDataFrame([], _HIT)
+    else:
+        best = _in_rounds(rows, asked, limit, one[0])[0]
     doc = W.partitionBy("query_id", "project_name").orderBy("distance", "path", "chunk_index")
-    ranked = best.withColumn("rank", F.row_number().over(doc))
+    # a document may have hits in several cells
+    own = best.groupBy("query_id", "project_name", "path").agg(F.min(F.struct("distance", "chunk_index")).alias("h"))
+    ranked = own.select("query_id", "project_name", "path", "h.chunk_index", "h.distance").withColumn("rank", F.row_number().over(doc))
     kept = ranked if limit is None else ranked.where(F.col("rank") <= limit)
     return kept.withColumn("score", score(F.col("distance")))
 
 
+def _in_rounds(rows: DataFrame, queries: DataFrame, limit: int | None, dims: int) -> tuple[DataFrame, float]:
+    """Hits of both rounds, and the share of pairs of queries and vectors that were met."""
+    n = rows.count()
+    most = limit if limit is not None else (1 << 62)
+    found = centres(rows, n, dims)
+    cells = written(placed(rows, found))
+    stats = written(
+        cells.groupBy("project_name", "cell").agg(F.max("off").alias("radius"), F.approx_count_distinct("path").alias("docs"), F.count("*").alias("rows"))
+    )
+    known = Cells(found, stats.toPandas())
+    sizes = stats.select("project_name", "cell", F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    first = written(_asked(queries, known, most))
+    best = written(_searched(cells, sizes, first, limit))
+    if limit is None:
+        return best, 1.0
+    place = W.partitionBy("query_id", "project_name").orderBy("d", "path")
+    docs = best.groupBy("query_id", "project_name", "path").agg(F.min("distance").alias("d")).withColumn("k", F.row_number().over(place))
+    second = written(_asked(queries, known, most, docs.where(F.col("k") == limit).select("query_id", "project_name", F.col("d").alias("bound"))))
+    met = first.unionByName(second).groupBy("project_name", "cell").count().join(stats, ["project_name", "cell"]).agg(F.sum(F.col("count") * F.col("rows"))).first()[0] or 0
+    return best.unionByName(_searched(cells, sizes, second, limit)), met / max(1, n * queries.count())
+
+
 def merged(hits: DataFrame, limit: int | None) -> DataFrame:
     """The best of all projects for each query: score, then project and path."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "project_name", "path")
