@@ -16,6 +16,7 @@ from seekwell.operators import context, documents, embedding, extraction, fusion
 from seekwell.operators.chunking import chunked
 from seekwell.schemas import documents as registry
 from seekwell.schemas import table
+from seekwell.sources.cache import ProcessingCache, identified
 from seekwell.sources.shared import fresh_path, written
 from seekwell.sources.snapshots import Workspace
 
@@ -358,6 +359,20 @@ def lexical_after_update(spark, sf):
     return hits.select("project_name", "path", F.round("raw_bm25", 6).alias("raw_bm25"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_DOCS}, k AS (SELECT DISTINCT content_hash FROM d WHERE doc_id % 2 = 0)
+SELECT project_name, count(*) AS asked, count(k.content_hash) AS kept, sum(CASE WHEN k.content_hash IS NOT NULL THEN strlen(body) ELSE 0 END)::BIGINT AS kept_bytes
+FROM d LEFT JOIN k ON k.content_hash = d.content_hash GROUP BY project_name""")
+def cache_round(spark, sf):
+    """Results are kept for every other document; what a second round, over all, still has to make."""
+    cache = ProcessingCache(spark, fresh_path(spark, "cache"))
+    work = identified(registry(spark, sf), F.lit("size"), F.lit("r1"), F.col("content_hash"))
+    cache.put(work.where("doc_id % 2 = 0").select(*maintenance.IDENTITY, F.encode(F.octet_length("body").cast("string"), "UTF-8").alias("payload")))
+    hits = cache.hits(work).select("doc_id", F.decode("payload", "UTF-8").cast("long").alias("size"))
+    return work.join(hits, "doc_id", "left").groupBy("project_name").agg(
+        F.count("*").alias("asked"), F.count("size").alias("kept"), F.coalesce(F.sum("size"), F.lit(0)).alias("kept_bytes")
+    )
+
+
 # --- vectors
 
 

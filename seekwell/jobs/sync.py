@@ -17,6 +17,8 @@ from seekwell.operators import embedding, extraction, maintenance
 from seekwell.operators.chunking import RECIPE as CHUNK_RULES
 from seekwell.operators.chunking import chunked, default_tokens
 from seekwell.operators.lexical import inverted, token_index
+from seekwell.operators.vector import valid
+from seekwell.sources.cache import ProcessingCache, identified
 from seekwell.sources.files import contents, listed
 from seekwell.sources.snapshots import Snapshot, Workspace
 
@@ -71,7 +73,7 @@ def registry(files: DataFrame) -> DataFrame:
     )
 
 
-def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models | None = None, full: bool = False) -> dict[str, int]:
+def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models | None = None, full: bool = False, cache: ProcessingCache | None = None) -> dict[str, int]:
     """Bring a workspace up to date with projects (or name to folder); returns counts of changes.
 
     What it leaves equals a build from nothing, which ``full`` makes: documents of unlisted projects
@@ -79,7 +81,7 @@ def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models
     contents without chunks are cut, only chunks without embeddings embedded, and only documents
     whose content or title is new get token rows, unless a recipe changed. Only buckets with a
     change are written. Without a model for extraction or embedding its results are kept as long
-    as they hold, with their recipes.
+    as they hold, with their recipes. A ``cache`` is asked before models are, and told what they say.
     """
     config = projects if isinstance(projects, Config) else Config(tuple(Project(n, r) for n, r in sorted(projects.items())))
     models = models or Models()
@@ -102,7 +104,7 @@ def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models
             stale = [k for group, names in extraction.RECIPE_KINDS.items() if same.get(f"extract.{group}") is False for k in names]
             waiting = maintenance.invalidated(docs, stale) if stale else docs
             todo = extraction.work(waiting, kinds or list(extraction.RICH)).join(files.select(*KEY, "root"), KEY)
-            outcomes = new.step("outcomes", extraction.extracted(todo, models.extract))
+            outcomes = new.step("outcomes", _extracted(new, todo, models, cache))
             docs = extraction.published(waiting, outcomes)
             texts = texts.unionByName(extraction.new_contents(outcomes)).dropDuplicates(["content_hash"])
         docs = new.step("docs", schemas.as_table(docs, schemas.DOCUMENTS))
@@ -117,7 +119,7 @@ def sync(workspace: Workspace, projects: Config | dict[str, str], models: Models
         chunks = new.step("chunked", schemas.as_table(chunked(work, models.count, models.most_input), schemas.CHUNKS))
         chunks = _stored(new, "chunks", ["content_hash"], size, chunks, dead, chunks, ["content_hash"], cut)
         if models.embed or old["embeddings"] is not None:
-            changes |= _embedded(new, docs, chunks, old["embeddings"] if cut else None, models, size)
+            changes |= _embedded(new, docs, chunks, old["embeddings"] if cut else None, models, size, cache)
         _indexed(new, docs, contents_, old["lexical"] if same["lexical"] else None, size)
         new.publish(recipes)
         workspace.collect(KEPT_SNAPSHOTS)
@@ -172,7 +174,7 @@ def _scanned(new: Snapshot, files: DataFrame, old: DataFrame | None) -> tuple[Da
     return still.unionByName(maintenance.applied(old, found.drop("body"))), found, changes
 
 
-def _embedded(new: Snapshot, docs: DataFrame, chunks: DataFrame, old: DataFrame | None, models: Models, size: int) -> dict[str, int]:
+def _embedded(new: Snapshot, docs: DataFrame, chunks: DataFrame, old: DataFrame | None, models: Models, size: int, cache: ProcessingCache | None) -> dict[str, int]:
     """Embeddings of all chunks that have none, beside those that still hold; without a model only these."""
     by = ["document_id", "content_hash"]
     kept = docs.sparkSession.createDataFrame([], schemas.EMBEDDINGS) if old is None else embedding.live_embeddings(old, docs)
@@ -185,8 +187,46 @@ def _embedded(new: Snapshot, docs: DataFrame, chunks: DataFrame, old: DataFrame
     texts = new.workspace._opened(new.tables["chunks"], wanted).select("content_hash", "chunk_index", F.col("body").alias("chunk"))
     named = work.join(docs.select("document_id", "title"), "document_id").join(texts, ["content_hash", "chunk_index"])
     inputs = named.withColumn("input", embedding.document_input(F.col("title"), F.col("chunk")))
-    found = new.step("embedded", embedding.embedded(inputs, models.embed, models.dims, models.count, models.most_input))
+    found = new.step("embedded", _with_embeddings(new, inputs, models, cache))
     good = schemas.as_table(found.where("failure IS NULL").drop("failure"), schemas.EMBEDDINGS)
     _stored(new, "embeddings", by[:1], size, good, dead, good, by)
     r = embedding.report(found).first()
     return {"embedded": r.chunks, "embedding_failed": r.failed}
+
+
+def _extracted(new: Snapshot, todo: DataFrame, models: Models, cache: ProcessingCache | None) -> DataFrame:
+    """Outcomes of extraction; of sources whose text the cache has no model is asked."""
+    if cache is None:
+        return extraction.extracted(todo, models.extract)
+    recipes = dict(models.extract_recipes)
+    recipe = F.coalesce(*(F.when(F.col("file_type").isin(*kinds), F.lit(recipes.get(group, ""))) for group, kinds in extraction.RECIPE_KINDS.items()), F.lit(""))
+    work = new.step("extract_work", identified(todo, F.concat(F.lit("extract."), "file_type"), recipe, F.col("source_hash")))
+    known = new.step("extract_hits", cache.hits(work).withColumn("body", F.decode("payload", "UTF-8")).where("body IS NOT NULL"))
+    made = new.step("extract_made", extraction.extracted(work.join(known.select(*KEY), KEY, "left_anti"), models.extract))
+    cache.put(work.join(made.where("outcome = 'extracted'").select(*KEY, F.encode("body", "UTF-8").alias("payload")), KEY))
+    told = known.select(*KEY, F.lit("extracted").alias("outcome"), "body", F.lit(None).cast("string").alias("reason"))
+    return told.unionByName(made.select(told.columns))
+
+
+_VECTOR = "input_token_count int, embedding array<float>"
+
+
+def _with_embeddings(new: Snapshot, inputs: DataFrame, models: Models, cache: ProcessingCache | None) -> DataFrame:
+    """Embeddings of inputs; of inputs that the cache has no model is asked. A kept vector of another size is none."""
+
+    def asked(work: DataFrame) -> DataFrame:
+        return embedding.embedded(work, models.embed, models.dims, models.count, models.most_input)
+
+    if cache is None:
+        return asked(inputs)
+    by = ["document_id", "content_hash", "chunk_index"]
+    recipe = F.lit(recipe_id("embed", models.embed_recipe, str(models.dims), str(models.most_input)))
+    work = new.step("embed_work", identified(inputs, F.lit("embed"), recipe, F.sha2("input", 256)))
+    known = cache.hits(work).withColumn("kept", F.from_json(F.decode("payload", "UTF-8"), _VECTOR))
+    known = new.step("embed_hits", known.where(valid("kept.embedding", models.dims)))
+    made = new.step("embed_made", asked(work.join(known.select(by), by, "left_anti")))
+    good = made.where("failure IS NULL").select(*by, F.encode(F.to_json(F.struct("input_token_count", "embedding")), "UTF-8").alias("payload"))
+    cache.put(work.join(good, by))
+    none = F.lit(None).cast("string").alias("failure")
+    told = known.select("document_id", "project_name", "content_hash", "chunk_index", "kept.input_token_count", "kept.embedding", none)
+    return made.select(told.columns).unionByName(told)

@@ -133,11 +133,6 @@ def cache_misses(work: DataFrame, cache: DataFrame) -> DataFrame:
     return work.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
-def cache_written(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """The cache with new results in place of those with the same key."""
-    return merged(cache, new.dropDuplicates(["cache_key"]), ["cache_key"])
-
-
 def evicted(cache: DataFrame, cap: int, keep: int, cheap: list[str]) -> DataFrame:
     """Beyond ``cap`` rows, the rows that go so that ``keep`` stay: cheap ones first, then the oldest, then by key.
 
@@ -189,11 +184,6 @@ def violations(docs: DataFrame) -> DataFrame:
     return docs.select(*KEY, F.explode(broken).alias("rule"))
 
 
-def repeated_keys(table: DataFrame, key: list[str]) -> DataFrame:
-    """Keys that a table has more than once."""
-    return table.groupBy(key).count().where("count > 1")
-
-
 def chunk_violations(chunks: DataFrame) -> DataFrame:
     """``(content_hash, rule)``: offsets out of order, indexes with gaps or twice."""
     by_content = chunks.groupBy("content_hash").agg(

@@ -4,10 +4,14 @@ import hashlib
 import os
 import random
 
+from pyspark.sql import functions as F
+
 from seekwell.functions.grammar import parse
+from seekwell.functions.names import recipe_id
 from seekwell.jobs import config, indexing
 from seekwell.jobs.sync import Models, sync
 from seekwell.operators import embedding, lexical, segments
+from seekwell.sources.cache import ProcessingCache, identified
 from seekwell.sources.snapshots import Workspace
 from seekwell.streaming.resync import resync
 
@@ -122,3 +126,65 @@ def test_an_index_follows_its_table(spark, tmp_path):
     assert found("alpha") == 20 and found("gamma") == 0
     write("gamma")
     assert found("alpha") == 0 and found("gamma") == 20
+
+
+def test_a_second_build_from_nothing_asks_no_model(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    for name in ("a.md", "b.md"):
+        (root / name).write_text(f"# {name}\n\nrate limit of {name}\n")
+    (root / "scan.pdf").write_bytes(b"%PDF-1.7 x")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def told(kind):
+        (asked / f"{kind}-{os.urandom(8).hex()}").write_text("")
+
+    def extract(path, kind):
+        told("extract")
+        return "extracted rate", hashlib.sha256(open(path, "rb").read()).hexdigest()
+
+    def embed(texts):
+        told("embed")
+        return embedding.hashed_embedding(8)(texts)
+
+    models = Models(extract, (("pdf", "v1"),), embed, "e1", 8)
+    cache = ProcessingCache(spark, str(tmp_path / "cache"))
+    spaces = [Workspace(spark, str(tmp_path / name)) for name in ("one", "two", "three")]
+    sync(spaces[0], {"p": str(root)}, models, cache=cache)
+    assert len(os.listdir(asked)) >= 2 and cache.table().count() == 4
+    for f in os.listdir(asked):
+        os.remove(asked / f)
+    assert sync(spaces[1], {"p": str(root)}, models, cache=cache) == {"added": 3, "embedded": 3, "embedding_failed": 0}
+    assert not os.listdir(asked)
+    for t in ("documents", "contents", "chunks", "embeddings", "postings"):
+        assert rows_of(spaces[1].read(t).drop("updated_at")) == rows_of(spaces[0].read(t).drop("updated_at")), t
+    (tmp_path / "cache" / "CURRENT").write_text("{broken")  # a broken cache has nothing, and fails nothing
+    assert sync(spaces[2], {"p": str(root)}, models, cache=cache)["embedded"] == 3
+    assert os.listdir(asked)
+
+
+def test_a_cache_checks_identity_replaces_and_evicts(spark, tmp_path):
+    now = [100]
+    cache = ProcessingCache(spark, str(tmp_path), cap=5, keep=3, cheap=("cheap",), clock=lambda: now[0])
+
+    def work(*rows):
+        return identified(spark.createDataFrame(list(rows), "op string, r string, h string, payload binary"), F.col("op"), F.col("r"), F.col("h")).drop("op", "r", "h")
+
+    found = lambda *rows: {(x.operation, x.recipe_id, x.input_hash): bytes(x.payload) for x in cache.hits(work(*((*r, None) for r in rows)).drop("payload")).collect()}
+    assert found(("cheap", "r", "1")) == {}
+    assert cache.put(work(("cheap", "r", "1", b"a"), ("dear", "r", "1", b"b"), ("dear", "r", "2", None)))
+    key = cache.table().where("operation = 'dear'").first().cache_key
+    assert bytes(key).hex() == recipe_id("processing-cache", "v1", "dear", "r", "1")
+    assert found(("cheap", "r", "1"), ("dear", "r", "1"), ("dear", "r", "2"), ("dear", "q", "1")) == {("cheap", "r", "1"): b"a", ("dear", "r", "1"): b"b"}
+    now[0] = 200
+    assert cache.put(work(("dear", "r", "1", b"c"))) and found(("dear", "r", "1")) == {("dear", "r", "1"): b"c"}
+    assert cache.put(work(*(("dear", "r", str(k), b"x") for k in range(10, 13)), ("cheap", "r", "9", b"y")))
+    assert cache.table().count() == 3 and {x.operation for x in cache.table().collect()} == {"dear"}  # six rows are over five
+    other = cache.table().withColumn("input_hash", F.lit("forged"))
+    made = cache.space.building()
+    made.change("cache", cache.table().select("cache_key"), other, ["cache_key"])
+    made.publish({})
+    assert found(("dear", "r", "10"), ("dear", "r", "11"), ("dear", "r", "12"), ("dear", "r", "1")) == {}
+    with cache.space.writing("another"):
+        assert not cache.put(work(("dear", "r", "1", b"d")))
