@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -122,7 +124,7 @@ def find_document_size_guard(spark, sf):
     return registry(spark, sf).select("doc_id", documents.guarded_body(F.col("body"), 2000).alias("body"))
 
 
-_HEADED = r"CASE WHEN doc_id % 3 = 0 THEN body ELSE left(body, 40) || chr(10) || repeat('#', (doc_id % 3)::INT) || ' ' || project_name || ' of ' || path END"
+_HEADED = r"CASE WHEN doc_id % 3 = 0 THEN body ELSE body || chr(10) || repeat('#', (doc_id % 3)::INT) || ' ' || project_name || ' of ' || path END"
 
 
 @query(rf"""WITH {_DOCS}, h AS (SELECT doc_id, path, trim(regexp_extract({_HEADED}, '(?m)^#{{1,2}}[\s\x0B]+(.+)$', 1)) AS heading FROM d)
@@ -130,7 +132,7 @@ SELECT doc_id, CASE WHEN heading <> '' THEN heading ELSE {_title_sql()} END AS t
 def title_derivation(spark, sf):
     docs = registry(spark, sf)
     body = F.expr(
-        "CASE WHEN doc_id % 3 = 0 THEN body ELSE concat(left(body, 40), '\n', repeat('#', cast(doc_id % 3 AS int)), ' ', project_name, ' of ', path) END"
+        "CASE WHEN doc_id % 3 = 0 THEN body ELSE concat(body, '\n', repeat('#', cast(doc_id % 3 AS int)), ' ', project_name, ' of ', path) END"
     )
     return docs.select("doc_id", title(body, F.col("path")).alias("title"))
 
@@ -849,10 +851,17 @@ def scan_report(spark, sf):
     return statistics.scan_report(maintenance.diff(docs, later), maintenance.write_kind(docs, later), later)
 
 
-@query(f"WITH {_STATS} SELECT 'NO_DOCUMENTS' AS warning FROM st GROUP BY ALL HAVING sum(documents) = 0")
+_SPACES = (("none", None), ("hollow", "archive"), ("full", "en"), ("full", "archive"), ("half", "de"))
+
+
+@query(f"""WITH {_STATS}, ws(workspace, project_name) AS (VALUES {', '.join(f"('{w}', {p and f"'{p}'" or 'NULL'})" for w, p in _SPACES)}),
+r AS (SELECT workspace, CASE WHEN count(ws.project_name) = 0 THEN 'NO_PROJECTS' WHEN coalesce(sum(documents), 0) = 0 THEN 'NO_DOCUMENTS' END AS warning
+  FROM ws LEFT JOIN st ON st.project_name = ws.project_name GROUP BY workspace)
+SELECT workspace, warning FROM r WHERE warning IS NOT NULL""")
 def workspace_warnings(spark, sf):
-    """Nothing is wrong with a workspace that has documents."""
-    return statistics.workspace_warnings(_statistics(spark, sf))
+    """Workspaces that have no project, or none with documents, are warned of."""
+    members = spark.createDataFrame(list(_SPACES), "workspace string, project_name string")
+    return statistics.workspace_warnings(_statistics(spark, sf), members)
 
 
 @query(f"WITH {_STATE} SELECT project_name, count(*) AS documents, max(epoch_ms(document_id * 1000)) AS updated_at FROM s GROUP BY 1")
@@ -927,13 +936,13 @@ def _hybrid(spark, sf) -> DataFrame:
     vectors = docs.select("doc_id", "project_name", "path").join(vecs, "doc_id").withColumn("chunk_index", F.lit(0))
     wanted = hybrid.candidates(_ASKED)
     texts = {"query": _ASKED.query, "vec": _ASKED.vec, "hyde": _ASKED.hyde}
-    questions = None
+    asked = []
     for no, c in enumerate(wanted):
         if not c.clauses:
             best = lexical.bm25_topk(index, parse(texts[c.kind]), None).join(vectors, ["project_name", "path"])
             one = best.orderBy("raw_bm25", "project_name", "path").limit(1).select(F.lit(no).alias("query_id"), F.col("embedding").alias("query"))
-            questions = one if questions is None else questions.unionByName(one)
-    return hybrid.search(_ASKED, wanted, index, vectors, questions, docs, _chunk_rows(docs), _contexts(docs))
+            asked.append(one)
+    return hybrid.search(_ASKED, wanted, index, vectors, written(reduce(DataFrame.unionByName, asked)), docs, _chunk_rows(docs), _contexts(docs))
 
 
 def _bm25_part(no: int, words: list[str], limit: int | None) -> str:

@@ -42,11 +42,12 @@ def _questions(workspace: Workspace, texts: dict[int, str], models: SearchModels
     return workspace.spark.createDataFrame(rows, "query_id int, query array<double>")
 
 
-def search(workspace: Workspace, config: Config, request: hybrid.Request, mode: str, models: SearchModels, projects: list[str] | None = None) -> DataFrame:
+def search(workspace: Workspace, config: Config, request: hybrid.Request, mode: str, models: SearchModels, projects: list[str] | None = None, traces: list[DataFrame] | None = None) -> DataFrame:
     """Items of a search of the ``mode`` ``lexical``, ``vector`` or ``hybrid``, in the projects that are named or searched by default.
 
     Ill-formed requests are refused even where there is nothing to search. Vectors that find
-    nothing fail the search, as they are missing then; keywords may find nothing.
+    nothing fail the search, as they are missing then; keywords may find nothing. A hybrid search adds a table of its
+    steps to ``traces``.
     """
     hybrid.validate(request, mode)
     scope = config.scope(projects)
@@ -63,7 +64,7 @@ def search(workspace: Workspace, config: Config, request: hybrid.Request, mode:
             questions = _questions(workspace, asked, models)
         else:
             questions = workspace.spark.createDataFrame([], "query_id int, query array<double>")
-        found = hybrid.search(request, wanted, index, vectors, questions, docs, _table(workspace, "chunks"), contexts, scope, models.rerank)
+        found = hybrid.search(request, wanted, index, vectors, questions, docs, _table(workspace, "chunks"), contexts, scope, models.rerank, traces)
         return results.items(found, request).orderBy("final_rank")
     if mode == "vector":
         vectors = _vectors(workspace)

@@ -18,6 +18,7 @@ from seekwell.functions.names import EngineError, virtual_path
 from seekwell.functions.text import non_blank
 from seekwell.operators import fusion, lexical, vector
 from seekwell.operators.context import effective_context
+from seekwell.sources.shared import written
 
 #: Most documents that a ranking gives, unless more are asked for.
 LEAST_CANDIDATES = 40
@@ -235,13 +236,18 @@ def search(
     contexts: DataFrame,
     scope: list[str] | None = None,
     rerank: Callable[[str, Column], Column] = default_rerank,
+    traces: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Matches of a hybrid search in final order: ``final_rank``, ``score``, evidence and context of each.
 
-    An empty scope finds nothing.
+    An empty scope finds nothing. Rankings and what they fuse into are few rows, which are written
+    once, as several later steps read them. ``traces`` gets what led to the result (``traced``).
     """
-    found = rankings(wanted, index, vectors, questions, docs, request.limit, scope)
-    ranked = with_evidence(fused(found, docs, request.limit), chunks, request)
+    found = written(rankings(wanted, index, vectors, questions, docs, request.limit, scope))
+    first = written(fused(found, docs, request.limit))
+    if traces is not None:
+        traces.append(traced(found, first))
+    ranked = written(with_evidence(first, chunks, request))
     context = effective_context(ranked.select(*lexical.KEY), contexts)
     whole = ranked.join(context, lexical.KEY)
     scores = checked_score(rerank(rerank_query(request), rerank_document(F.col("context"), F.col("evidence"))))

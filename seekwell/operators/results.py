@@ -79,7 +79,7 @@ def resolved(docs: DataFrame, targets: list[str], projects: dict[str, str]) -> D
     glob; callers tell an ambiguous id by its number of rows. A target that names nothing
     has one row without a path.
     """
-    parts = []
+    tags = []
     for at, target in enumerate(targets):
         if target.startswith("@"):
             kind, hit = "id", doc_id(F.col("content_hash")) == target.lower()
@@ -89,12 +89,10 @@ def resolved(docs: DataFrame, targets: list[str], projects: dict[str, str]) -> D
             kind = "glob" if any(c in path for c in "*?") else "path"
             hit = F.col("path").rlike(glob_regex(path)) if kind == "glob" else F.col("path") == path
             hit = (F.col("project_name") == project) & hit
-        found = docs.where(hit).select(F.lit(at).alias("at"), F.lit(kind).alias("kind"), "project_name", "path")
-        parts.append(found)
+        tags.append(F.when(hit, F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"))))
     asked = docs.sparkSession.createDataFrame(list(enumerate(targets)), "at int, target string")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    # the documents are read once, whatever the number of targets
+    every = docs.select("project_name", "path", F.inline(F.array_compact(F.array(*tags))))
     return asked.join(every, "at", "left").select("at", "target", "kind", "project_name", "path")
 
 

@@ -37,11 +37,15 @@ def project_statistics(
     return out.select(by, *numbers, *(["updated_at"] if "updated_at" in out.columns else []))
 
 
-def workspace_warnings(stats: DataFrame) -> DataFrame:
-    """``NO_PROJECTS`` if there is none, ``NO_DOCUMENTS`` if none of them has any."""
-    totals = stats.agg(F.count("*").alias("projects"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
+def workspace_warnings(stats: DataFrame, members: DataFrame) -> DataFrame:
+    """``(workspace, warning)``: ``NO_PROJECTS`` of one without any, ``NO_DOCUMENTS`` of one whose projects have none.
+
+    ``members(workspace, project_name)`` has a row for each project of a workspace, and one with a null project of one without.
+    """
+    joined = members.join(stats.select("project_name", "documents"), "project_name", "left")
+    totals = joined.groupBy("workspace").agg(F.count("project_name").alias("projects"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
     warning = F.when(F.col("projects") == 0, "NO_PROJECTS").when(F.col("documents") == 0, "NO_DOCUMENTS")
-    return totals.select(warning.alias("warning")).where("warning IS NOT NULL")
+    return totals.select("workspace", warning.alias("warning")).where("warning IS NOT NULL")
 
 
 def scan_report(changes: DataFrame, writes: DataFrame, docs: DataFrame) -> DataFrame:

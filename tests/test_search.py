@@ -396,6 +396,10 @@ def assert_searches(space):
     models = SearchModels(embedding.hashed_embedding(8), lambda text: hybrid.Expansion(("longer",), ("near",), ("a passage",)))
     found = search(space, places, hybrid.Request(query="body"), "lexical", models).collect()
     assert [(r.virtual_path, r.snippet, r.line, r.context) for r in found] == [("doc://p/a.md", "# One\nbody, longer", 2, "about p")]
+    steps = []
+    search(space, places, hybrid.Request(query="body"), "hybrid", models, traces=steps)
+    told = [(r.step, r.rank, r.virtual_path) for r in steps[0].collect()]
+    assert ("ranking 0", 1, "doc://p/a.md") in told and ("fusion", 1, "doc://p/a.md") in told
     near = search(space, places, hybrid.Request(query="three", limit=2), "vector", models).collect()
     assert [r.final_rank for r in near] == [1, 2] and all(r.id.startswith("@") for r in near)
     both = search(space, places, hybrid.Request(query="body longer", paths=True, limit=3), "hybrid", models).collect()

@@ -188,3 +188,17 @@ def test_a_cache_checks_identity_replaces_and_evicts(spark, tmp_path):
     assert found(("dear", "r", "10"), ("dear", "r", "11"), ("dear", "r", "12"), ("dear", "r", "1")) == {}
     with cache.space.writing("another"):
         assert not cache.put(work(("dear", "r", "1", b"d")))
+
+
+def test_plans_read_documents_once(spark):
+    from seekwell.operators import context, results
+
+    docs = spark.createDataFrame([("p", f"d/{i}.md", f"{i:064x}", "ready") for i in range(40)], "project_name string, path string, content_hash string, extraction_status string")
+    found = results.resolved(docs, ["@000000", "p/d/1.md", "p/d/*.md", "doc://p/d/2.md"], {"p": "/files"})
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # the documents and the targets
+    assert found.where("at = 3").first().path == "d/2.md" and found.where("at = 2").count() == 40
+    contexts = spark.createDataFrame([(f"q{k}", "/", "t", k) for k in range(30)] + [("p", "/", "own", 1), (None, "/d", "all", 2)], "project string, path string, text string, position int")
+    whole = context.effective_context(docs, contexts)
+    assert {r.context for r in whole.collect()} == {"all\n\nown"}
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "project_name" in next(line for line in plan.splitlines() if "Join Inner" in line or "Join LeftSemi" in line)
