@@ -319,9 +319,10 @@ def lexical_stemmed(spark, sf):
 #: Of every 50 documents one is changed, one goes and one comes again elsewhere.
 _CHANGED = """
 o AS (SELECT doc_id, lang AS project_name, source || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, text AS body FROM documents),
-d AS (
+e AS (
   SELECT doc_id, project_name, path, CASE WHEN doc_id % 50 = 7 THEN 'tion heres ' || body ELSE body END AS body FROM o WHERE doc_id % 50 <> 8
-  UNION ALL SELECT doc_id, project_name, 'again/' || path, body FROM o WHERE doc_id % 50 = 9)"""
+  UNION ALL SELECT doc_id, project_name, 'again/' || path, body FROM o WHERE doc_id % 50 = 9),
+d AS (SELECT *, sha256(body) AS content_hash FROM e)"""
 
 
 def _change(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +333,7 @@ def _change(spark, sf) -> tuple[DataFrame, DataFrame]:
     return docs.where("doc_id % 50 IN (7, 8)").select(*lexical.KEY), other.unionByName(again)
 
 
-@query(f"WITH {_CHANGED} SELECT doc_id, project_name, path, sha256(body) AS content_hash FROM d")
+@query(f"WITH {_CHANGED} SELECT doc_id, project_name, path, content_hash FROM d")
 def snapshot_merge(spark, sf):
     """A table of a workspace after a change, which wrote only the buckets that it touches."""
     space = Workspace(spark, fresh_path(spark, "space"), bucket_rows=1000)
@@ -348,6 +349,16 @@ def snapshot_merge(spark, sf):
     return space.read("documents")
 
 
+@query(f"""WITH {_STATE.replace(_DOCS, _CHANGED)} SELECT project_name, count(*) AS documents, count_if(extraction_status = 'ready')::BIGINT AS ready,
+count_if(extraction_status = 'pending')::BIGINT AS pending, count_if(extraction_status = 'failed')::BIGINT AS failed, sum(source_size_bytes)::BIGINT AS bytes FROM s GROUP BY project_name""")
+def stats_after_update(spark, sf):
+    """Counts after a change, from those before and the rows that went and came."""
+    docs = _with_state(registry(spark, sf))
+    gone, new = _change(spark, sf)
+    came = _with_state(new.withColumn("content_hash", F.sha2("body", 256)))
+    return statistics.changed_counts(statistics.document_counts(docs), docs.join(gone, lexical.KEY, "left_semi"), came)
+
+
 @query(_bm25_sql([(["tion"], True), (["heres"], True)], limit=10_000_000).replace(_DOCS, _CHANGED))
 def lexical_after_update(spark, sf):
     """Scores after a change, of the old postings with a segment of new ones and marks of what is gone."""

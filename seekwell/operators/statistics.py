@@ -6,6 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def document_counts(docs: DataFrame) -> DataFrame:
+    """A row for each project with documents: how many, in which states, of how many bytes."""
+    states = (F.count_if(F.col("extraction_status") == s).alias(s) for s in ("ready", "pending", "failed"))
+    return docs.groupBy("project_name").agg(F.count("*").alias("documents"), *states, F.coalesce(F.sum("source_size_bytes"), F.lit(0)).alias("bytes"))
+
+
+def changed_counts(counts: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """``document_counts`` after rows of the registry went and others came, from the counts before.
+
+    Only these rows are read, not the registry. A project whose last document goes has no row.
+    """
+    names = [c for c in counts.columns if c != "project_name"]
+    less = document_counts(gone).select("project_name", *((-F.col(c)).alias(c) for c in names))
+    whole = counts.unionByName(less).unionByName(document_counts(new))
+    return whole.groupBy("project_name").agg(*(F.sum(c).alias(c) for c in names)).where("documents > 0")
+
+
 def project_statistics(
     requested: DataFrame, docs: DataFrame, lexical: DataFrame, chunks: DataFrame, embeddings: DataFrame
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from seekwell.functions.grammar import parse
 from seekwell.functions.names import recipe_id
 from seekwell.jobs import config, indexing
 from seekwell.jobs.sync import Models, sync
-from seekwell.operators import embedding, lexical, segments
+from seekwell.operators import embedding, lexical, segments, statistics
 from seekwell.sources.cache import ProcessingCache, identified
 from seekwell.sources.snapshots import Workspace
 from seekwell.streaming.resync import resync
@@ -202,3 +202,19 @@ def test_plans_read_documents_once(spark):
     assert {r.context for r in whole.collect()} == {"all\n\nown"}
     plan = whole._jdf.queryExecution().optimizedPlan().toString()
     assert "project_name" in next(line for line in plan.splitlines() if "Join Inner" in line or "Join LeftSemi" in line)
+
+
+def test_counts_follow_random_changes(spark):
+    r = random.Random(4)
+    schema = "project_name string, path string, extraction_status string, source_size_bytes long"
+    table = lambda rows: spark.createDataFrame([(*k, *v) for k, v in rows.items()], schema)
+    some = lambda: (r.choice(["ready", "pending", "failed"]), r.choice([None, 3, 10**12]))
+    state = {(r.choice("pq"), f"d{i}"): some() for i in range(30)}
+    counts = statistics.document_counts(table(state))
+    for _ in range(3):
+        gone = {k: state[k] for k in r.sample(sorted(state), 12)}
+        new = {(r.choice("qr"), f"n{r.randrange(10**6)}"): some() for _ in range(5)} | {k: some() for k in list(gone)[:4]}
+        counts = statistics.changed_counts(counts, table(gone), table(new))
+        state = {k: v for k, v in state.items() if k not in gone} | new
+        assert rows_of(counts) == rows_of(statistics.document_counts(table(state)))
+    assert statistics.changed_counts(counts, table(state), table({})).count() == 0
