@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell.functions.text import title
+from seekwell.operators.impacts import Impacts, blocks_of, impacts_of, placed
 from seekwell.operators.lexical import KEY, Index, inverted, token_index, with_stems
 from seekwell.schemas import documents
 from seekwell.sources import store
@@ -25,25 +26,44 @@ def read_index(spark: SparkSession, path: str, stemmed: bool = False) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stemmed)
 
 
+#: Rows of a page of impacts, the least that a scan skips by its statistics.
+PAGE_ROWS = 4096
+
+
+def write_impacts(index: Index, path: str) -> None:
+    """Blocks of documents and of postings; terms in ranges, so that a scan has few pages beside those it needs."""
+    placed(index.lengths).write.parquet(f"{path}/places")
+    places = index.lengths.sparkSession.read.parquet(f"{path}/places")
+    blocks_of(places).write.parquet(f"{path}/blocks")
+    order = ["whole", "term", "block"]
+    rows = impacts_of(index.postings, places).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/impacts")
+
+
+def read_impacts(spark: SparkSession, path: str) -> Impacts:
+    return Impacts(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/impacts"))
+
+
 def tokenized(docs: DataFrame) -> DataFrame:
     """Token table of ``docs(project_name, path, body, ...)``, which is read once."""
     return token_index(spread(docs).withColumn("title", title(F.col("body"), F.col("path"))))
 
 
-def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
-    """The index of ``documents``, written into the shared folder when a session first asks for it.
+def _once(spark: SparkSession, sf_dir: str, kind: str, make) -> str:
+    """Where what is made of ``documents`` is, written into the shared folder when a session first asks for it.
 
-    It goes by the table's files, their sizes and times: a table that is written anew has another index.
+    It goes by the table's files, their sizes and times: a table that is written anew has another.
     """
-    state = store.state_of(spark, f"{sf_dir}/documents.parquet")
+    name = (spark.sparkContext.applicationId, shared_dir(spark), store.state_of(spark, f"{sf_dir}/documents.parquet"), kind)
+    if name not in _MADE:
+        path = fresh_path(spark, kind)
+        make(path)
+        _MADE[name] = path
+    return _MADE[name]
+
 
-    def once(kind: str, make) -> str:
-        name = (spark.sparkContext.applicationId, shared_dir(spark), state, kind)
-        if name not in _MADE:
-            path = fresh_path(spark, kind)
-            make(path)
-            _MADE[name] = path
-        return _MADE[name]
+def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
+    """The index of ``documents``."""
 
     def from_text(path: str) -> None:
         docs = documents(spark, sf_dir)
@@ -51,7 +71,12 @@ def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> In
         tokens = spark.read.parquet(f"{path}/tokens").withColumn("title_len", F.size("title_tokens")).withColumn("body_len", F.size("body_tokens"))
         write_index(inverted(tokens), path)
 
-    plain = read_index(spark, once("index", from_text))
+    plain = read_index(spark, _once(spark, sf_dir, "index", from_text))
     if not stemmed:
         return plain
-    return read_index(spark, once("stems", lambda path: write_index(with_stems(plain), path)), True)
+    return read_index(spark, _once(spark, sf_dir, "stems", lambda path: write_index(with_stems(plain), path)), True)
+
+
+def impact_index(spark: SparkSession, sf_dir: str) -> Impacts:
+    """The index of ``documents`` in blocks."""
+    return read_impacts(spark, _once(spark, sf_dir, "impacts", lambda path: write_impacts(keyword_index(spark, sf_dir), path)))

@@ -13,8 +13,8 @@ from seekwell.functions.names import doc_id, virtual_path
 from seekwell.functions.stemming import stemmed_vocabulary
 from seekwell.functions.text import best_line, cjk_grams, lines, nfkc, numbered, projection, snippet, title
 from seekwell.jobs import config
-from seekwell.jobs.indexing import keyword_index, tokenized
-from seekwell.operators import context, documents, embedding, extraction, fusion, hybrid, lexical, maintenance, results, segments, statistics, vector
+from seekwell.jobs.indexing import impact_index, keyword_index, tokenized
+from seekwell.operators import context, documents, embedding, extraction, fusion, hybrid, impacts, lexical, maintenance, results, segments, statistics, vector
 from seekwell.operators.chunking import chunked
 from seekwell.schemas import documents as registry
 from seekwell.schemas import table
@@ -254,6 +254,23 @@ def lexical_scoped(spark, sf):
     return _search(spark, sf, "de que", 20, ["es", "fr"])
 
 
+def _pruned(spark, sf, text: str, limit: int, scope: list[str] | None = None) -> DataFrame:
+    hits = impacts.topk(impact_index(spark, sf), parse(text), limit, scope)
+    return hits.select("project_name", "path", F.round("raw_bm25", 6).alias("raw_bm25"), F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([(["de"], True)]))
+def topk_block_maxima(spark, sf):
+    """A frequent word, from the blocks of postings that may have a hit."""
+    return _pruned(spark, sf, "de", 20)
+
+
+@query(_bm25_sql([(["with"], True), (["th"], True)], f"NOT ({_both(['entre'], True)} > 0)", "project_name IN ('en', 'fr')", 50))
+def topk_block_maxima_scoped(spark, sf):
+    """Two frequent words without a third in two projects, from the blocks that may have a hit."""
+    return _pruned(spark, sf, "with th -entre", 50, ["en", "fr"])
+
+
 @query(f"""WITH {_INDEX}, p AS (
   SELECT project_name, path, unnest(bt) AS term FROM n)
 SELECT term, project_name, path, count(*)::INTEGER AS tf FROM p WHERE term >= 'erin' AND term < 'erio' GROUP BY ALL""")

@@ -7,6 +7,7 @@ scan; ``lengths`` has a row for each document. A search reads the postings of it
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -159,6 +160,11 @@ def bm25_topk(index: Index, clauses: list[Clause], limit: int | None, scope: lis
     return out if limit is None else out.limit(limit)
 
 
+def idf(n: int, df: int) -> float:
+    """The weight of a word that ``df`` of ``n`` documents have."""
+    return max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+
+
 def best_first() -> WindowSpec:
     """The order of hits of one search, which its limit bounds."""
     return W.partitionBy(F.lit(1)).orderBy("raw_bm25", *KEY)
