@@ -14,7 +14,7 @@ from seekwell.functions.stemming import stemmed_vocabulary
 from seekwell.functions.text import best_line, cjk_grams, lines, nfkc, numbered, projection, snippet, title
 from seekwell.jobs import config
 from seekwell.jobs.indexing import impact_index, keyword_index, tokenized
-from seekwell.operators import context, documents, embedding, extraction, fusion, hybrid, impacts, lexical, maintenance, results, segments, statistics, vector
+from seekwell.operators import context, documents, embedding, extraction, feedback, fusion, hybrid, impacts, lexical, maintenance, results, segments, statistics, vector
 from seekwell.operators.chunking import chunked
 from seekwell.schemas import documents as registry
 from seekwell.schemas import table
@@ -538,6 +538,49 @@ def evidence_select(spark, sf):
     return fusion.best_chunk(_line_chunks(registry(spark, sf)), "content_hash", F.col("chunk"), terms)
 
 
+# --- what the corpus adds to a query
+
+_FEEDBACK_WORDS = ["tion", "heres", "ciones"]
+_IDF = "greatest(ln((c - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE)"
+_FIRST_HITS = f"""{_INDEX}, f AS ({" UNION ALL ".join(f"SELECT project_name, path, doc_len, '{w}' AS atom, {_both([w], True)}::DOUBLE AS f FROM n" for w in _FEEDBACK_WORDS)}),
+a AS (SELECT count(*)::DOUBLE AS c, avg(doc_len) AS mean FROM n),
+g AS (SELECT atom, count(*)::DOUBLE AS df FROM f WHERE f > 0 GROUP BY atom),
+h AS (SELECT project_name, path, round(sum({_IDF} * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / mean))), 9) AS score
+  FROM f JOIN g USING (atom), a WHERE f > 0 GROUP BY project_name, path ORDER BY score DESC, project_name, path LIMIT 10)"""
+
+
+@query(rf"""WITH {_FIRST_HITS}, t AS (SELECT score, len(bt) AS size, unnest(bt) AS term FROM h JOIN n USING (project_name, path)),
+s AS (SELECT term, sum(score / size) AS share FROM t WHERE length(term) >= 3 AND NOT regexp_matches(term, '\p{{Nd}}')
+  AND {" AND ".join(f"NOT starts_with(term, '{w}')" for w in _FEEDBACK_WORDS)} GROUP BY term),
+u AS (SELECT DISTINCT project_name, path, unnest(bt) AS term FROM n), v AS (SELECT term, count(*) AS docs FROM u GROUP BY term HAVING count(*) > 1),
+w AS (SELECT term, round(share * {_IDF.replace("df", "docs")}, 9) AS weight, docs FROM s JOIN v USING (term), a)
+SELECT term, round(weight, 6) AS weight, docs FROM w ORDER BY w.weight DESC, term LIMIT 10""")
+def expansion_terms(spark, sf):
+    """What the first hits of a query say beside its words."""
+    docs = registry(spark, sf).withColumn("title", title(F.col("body"), F.col("path")))
+    found = feedback.expansion_terms(keyword_index(spark, sf), docs, " ".join(_FEEDBACK_WORDS))
+    return found.withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {_INDEX}, a AS (SELECT count(*)::DOUBLE AS c FROM n),
+o AS (SELECT project_name, path, unnest(bt) AS term, generate_subscripts(bt, 1) AS pos FROM n),
+p AS ({" UNION ALL ".join(f"SELECT project_name, path, {i} AS atom, pos FROM o WHERE starts_with(term, '{w}')" for i, w in enumerate(_FEEDBACK_WORDS))}),
+g AS (SELECT atom, count(DISTINCT (project_name, path))::DOUBLE AS df FROM p GROUP BY atom), i2 AS (SELECT atom, {_IDF} AS idf FROM g, a),
+l AS (SELECT project_name, path, pos, {", ".join(f"max(CASE WHEN atom = {i} THEN pos END) OVER w AS l{i}" for i in range(3))} FROM p
+  WINDOW w AS (PARTITION BY project_name, path ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT project_name, path, (l0 IS NOT NULL)::INTEGER + (l1 IS NOT NULL)::INTEGER + (l2 IS NOT NULL)::INTEGER AS present, pos - least(l0, l1, l2) + 1 AS span FROM l),
+b AS (SELECT DISTINCT ON (project_name, path) * FROM e ORDER BY project_name, path, present DESC, span),
+k AS (SELECT project_name, path, sum(idf) AS held FROM (SELECT DISTINCT project_name, path, atom FROM p) JOIN i2 USING (atom) GROUP BY project_name, path),
+z AS (SELECT sum(idf) + (3 - count(*)) * (SELECT ln((c + 0.5::DOUBLE) / 0.5::DOUBLE) FROM a) AS whole FROM i2)
+SELECT n.project_name, n.path, coalesce(present, 0)::INTEGER AS present, span::INTEGER AS span, round(coalesce(held / whole * (1 + present / span::DOUBLE) / 2, 0), 6) AS closeness
+FROM n LEFT JOIN b ON n.project_name = b.project_name AND n.path = b.path LEFT JOIN k ON n.project_name = k.project_name AND n.path = k.path, z""")
+def rerank_proximity(spark, sf):
+    """The shortest stretch of each document that has the query's words that it has."""
+    index = keyword_index(spark, sf)
+    found = feedback.proximity(index, " ".join(_FEEDBACK_WORDS), index.lengths)
+    return found.withColumn("closeness", F.round("closeness", 6))
+
+
 # --- results
 
 _LINES = r"string_split_regex(body, '\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]')"

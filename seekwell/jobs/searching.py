@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +12,21 @@ from pyspark.sql import functions as F
 from seekwell.functions.grammar import parse
 from seekwell.functions.names import EngineError, virtual_path
 from seekwell.jobs.config import Config
-from seekwell.operators import hybrid, lexical, results, vector
+from seekwell.operators import feedback, hybrid, lexical, results, vector
 from seekwell.operators.context import effective_context
 from seekwell.sources.snapshots import Workspace
 
 
 @dataclass(frozen=True)
 class SearchModels:
-    """What models a search may ask: embeddings of texts, more inputs for a query, scores of documents."""
+    """What models a search may ask: embeddings of texts, more inputs for a query, scores of documents.
+
+    Without the last two the corpus takes their place: relevance feedback, and how near each other words are.
+    """
 
     embed: Callable[[list[str]], list[list[float]]]
     expand: Callable[[str], hybrid.Expansion] | None = None
-    rerank: Callable[[str, Column], Column] = hybrid.default_rerank
+    rerank: Callable[[str, Column], Column] | None = None
 
 
 def _table(workspace: Workspace, name: str) -> DataFrame:
@@ -56,7 +60,7 @@ def search(workspace: Workspace, config: Config, request: hybrid.Request, mode:
     limit = request.limit
     index = lexical.Index(_table(workspace, "postings"), _table(workspace, "lexical").select(*lexical.KEY, "doc_len"))
     if mode == "hybrid":
-        wanted = hybrid.candidates(request, models.expand)
+        wanted = hybrid.candidates(request, models.expand or feedback.from_corpus(index, docs, scope))
         vectors = _vectors(workspace)
         asked = {i: c.text for i, c in enumerate(wanted) if not c.clauses}
         if asked:
@@ -64,7 +68,7 @@ def search(workspace: Workspace, config: Config, request: hybrid.Request, mode:
             questions = _questions(workspace, asked, models)
         else:
             questions = workspace.spark.createDataFrame([], "query_id int, query array<double>")
-        found = hybrid.search(request, wanted, index, vectors, questions, docs, _table(workspace, "chunks"), contexts, scope, models.rerank, traces)
+        found = hybrid.search(request, wanted, index, vectors, questions, docs, _table(workspace, "chunks"), contexts, scope, models.rerank or hybrid.default_rerank, traces, None if models.rerank else partial(feedback.proximity, index))
         return results.items(found, request).orderBy("final_rank")
     if mode == "vector":
         vectors = _vectors(workspace)

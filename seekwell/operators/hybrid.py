@@ -237,11 +237,13 @@ def search(
     scope: list[str] | None = None,
     rerank: Callable[[str, Column], Column] = default_rerank,
     traces: list[DataFrame] | None = None,
+    closeness: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Matches of a hybrid search in final order: ``final_rank``, ``score``, evidence and context of each.
 
     An empty scope finds nothing. Rankings and what they fuse into are few rows, which are written
-    once, as several later steps read them. ``traces`` gets what led to the result (``traced``).
+    once, as several later steps read them. ``traces`` gets what led to the result (``traced``). With ``closeness``,
+    documents are reranked by what it says of them (``feedback.proximity``), not by ``rerank``.
     """
     found = written(rankings(wanted, index, vectors, questions, docs, request.limit, scope))
     first = written(fused(found, docs, request.limit))
@@ -250,9 +252,13 @@ def search(
     ranked = written(with_evidence(first, chunks, request))
     context = effective_context(ranked.select(*lexical.KEY), contexts)
     whole = ranked.join(context, lexical.KEY)
-    scores = checked_score(rerank(rerank_query(request), rerank_document(F.col("context"), F.col("evidence"))))
+    if closeness is None:
+        scores = checked_score(rerank(rerank_query(request), rerank_document(F.col("context"), F.col("evidence"))))
+    else:
+        near = closeness(rerank_query(request), first.where(F.col("fusion_rank") <= fusion.RERANK_DEPTH).select(*lexical.KEY))
+        whole, scores = whole.join(near.select(*lexical.KEY, "closeness"), lexical.KEY, "left"), F.coalesce("closeness", F.lit(0.0))
     scored = whole.withColumn("rerank", F.when(F.col("fusion_rank") <= fusion.RERANK_DEPTH, scores))
-    out = fusion.blended(scored)
+    out = fusion.blended(scored.drop("closeness"))
     return out if request.limit is None else out.where(F.col("final_rank") <= request.limit)
 
 
