@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from seekwell.functions.formats import size_text, time_text
 from seekwell.functions.grammar import Atom, parse, plain_terms
 from seekwell.functions.names import doc_id, virtual_path
 from seekwell.functions.stemming import stemmed_vocabulary
 from seekwell.functions.text import best_line, cjk_grams, lines, nfkc, numbered, projection, snippet, title
-from seekwell.jobs import config
+from seekwell.jobs import config, projects
 from seekwell.jobs.indexing import impact_index, keyword_index, tokenized
 from seekwell.operators import context, documents, embedding, extraction, feedback, fusion, hybrid, impacts, lexical, maintenance, results, segments, statistics, vector
 from seekwell.operators.chunking import chunked
@@ -958,6 +959,28 @@ def explicit_scope(spark, sf):
     return registry(spark, sf).where(F.col("project_name").isin(_PLACES.scope(["de", "en", "de"]))).select("doc_id")
 
 
+@query(f"""WITH {_DOCS} SELECT project_name, path FROM d WHERE project_name = 'de' AND (path = 'src3' OR starts_with(path, 'src3/'))""")
+def project_files(spark, sf):
+    """Files of a project below a folder of the file system."""
+    return projects.files(_PLACES, registry(spark, sf), "/corpus/de/src3").select("project_name", "path")
+
+
+_UNITS = ("KB", "MB", "GB", "TB", "PB")
+_SIZES = " ".join(f"WHEN v >= {1024 ** (i + 1)} THEN format('{{:.1f}} {_UNITS[i]}', round(v / {1024 ** (i + 1)}.0::DOUBLE, 1))" for i in reversed(range(5)))
+
+
+@query(rf"""WITH {_DOCS}, x AS (SELECT doc_id, strlen(body)::BIGINT * (1000 ** (doc_id % 4))::BIGINT AS v, strlen(body)::BIGINT * (30 ** (doc_id % 4))::BIGINT AS ms FROM d),
+y AS (SELECT *, round(ms / 1000.0::DOUBLE)::BIGINT AS s FROM x)
+SELECT doc_id, CASE {_SIZES} ELSE v || ' B' END AS size,
+CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 10000 THEN format('{{:.1f}}s', round(ms / 1000.0::DOUBLE, 1)) WHEN s < 60 THEN s || 's'
+  WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm' END AS time FROM y""")
+def shown_sizes(spark, sf):
+    """Sizes of documents, and times that grow with them, as people read them."""
+    size, by = F.octet_length("body").cast("long"), F.col("doc_id") % 4
+    value = lambda base: size * F.pow(F.lit(base), by).cast("long")
+    return registry(spark, sf).select("doc_id", size_text(value(1000)).alias("size"), time_text(value(30)).alias("time"))
+
+
 _TARGETS = ["doc://en/src1*/*7.txt", "de/src2/*", "/corpus/en/src3/**", "doc://fr/none.txt"]
 
 
