@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed values.
 UNITS = ("KB", "MB", "GB", "TB", "PB")
 
 
