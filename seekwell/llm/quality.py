@@ -3,8 +3,9 @@
 Two multinomials over hashed word unigrams and bigrams are compared: one of trusted
 documents, smoothed towards the other, which is that of the whole corpus. A document's
 score is the mean of log(p_trusted / p_corpus) over its n-grams, so length does not
-matter. Documents below a threshold are rejected; the threshold is a low quantile of the
-held-out scores of those trusted documents that pass the base rules.
+matter. Documents below a threshold are rejected; the threshold is the lower confidence
+bound of a low quantile of the held-out scores of those trusted documents that pass the
+base rules.
 
 All of it is SQL expressions. The only thing sent to the tasks is the table of
 ``BUCKETS`` weights, whose size is fixed, as a literal in the plan.
@@ -22,13 +23,13 @@ from seekwell.llm.common import read
 BUCKETS = 10_000
 #: Labelled documents that make up the trusted side, at most; the lowest by hash of their id.
 MAX_TRUSTED = 20_000
-#: This share of the trusted documents that pass the base rules scores below the threshold.
+#: This share of the trusted documents that pass the base rules scores below the quantile that the threshold is based on.
 QUANTILE = 0.01
-#: With fewer of them that quantile is not told by the data, and a cautious bound over all trusted documents
-#: holds: the lower of their quantile and of so many standard deviations below their mean, less a margin.
-MIN_PASSING = 100
-DEVIATIONS = 4
-MARGIN = 0.05
+#: The threshold is lower than that quantile by what its estimate may be off: so many deviations of a score over the
+#: root of their number. Of normal scores a quantile of 0.01 has a standard error of 3.7 such; two of these are taken.
+ERRORS = 7.4
+#: Deviation of scores that counts as one observation beside those of the documents, so that few don't look certain.
+PRIOR_DEVIATION = 1.0
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -129,9 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> tuple[li
 
     The corpus counts are of every document. For the threshold each half of the trusted
     documents is scored by weights that come from the other half, as documents are that the
-    weights have not seen. The threshold is the plain ``QUANTILE`` of those that pass the base
-    rules, from ``MIN_PASSING`` of them on. Without a trusted document all weights are zero and
-    the threshold is minus infinity: nothing is rejected.
+    weights have not seen. The threshold is the lower confidence bound of the ``QUANTILE`` of
+    those that pass the base rules, by one formula for any number of them. Without any the
+    threshold is minus infinity: the base rules alone reject.
     """
     halves = trusted_ids(labels, most).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
     trusted = F.broadcast(halves)
@@ -147,14 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> tuple[li
     other = F.when(F.col("half") == 0, score(each[1])).otherwise(score(each[0]))
     scored = base_columns(_hashed(docs.select("doc_id", "text").join(trusted, "doc_id"))).withColumn("s", other)
     passing = F.when(~F.col("base_failed"), F.col("s"))
-    told = scored.where("size(h) > 0").agg(
-        F.count(passing).alias("n"),
-        F.percentile(passing, F.lit(QUANTILE)).alias("low"),
-        F.least(F.percentile("s", F.lit(QUANTILE)), F.avg("s") - DEVIATIONS * F.stddev_pop("s")).alias("few"),
-    ).first()
-    if told.n >= MIN_PASSING:
-        return both, round(told.low, 6)
-    return both, -math.inf if told.few is None else round(told.few - MARGIN, 6)
+    # a generator, as in ``kept_documents``: the three uses would each have a copy of all expressions
+    one = scored.select(F.explode(F.array(passing)).alias("s"))
+    told = one.agg(F.count("s").alias("n"), F.percentile("s", F.lit(QUANTILE)).alias("low"), F.var_pop("s").alias("var")).first()
+    return both, threshold(told.n, told.low, told.var) if told.n else -math.inf
+
+
+def threshold(n: int, low: float, variance: float) -> float:
+    """Lower confidence bound of the quantile ``low`` of n scores."""
+    deviation = math.sqrt((n * variance + PRIOR_DEVIATION**2) / (n + 1))
+    return round(low - ERRORS * deviation / math.sqrt(n), 6)
 
 
 def score(weights: list[float]) -> Column:
