@@ -41,8 +41,8 @@ BINS, DEVIATIONS = 256, 3.0
 LIKELY_BITS = 9
 #: Larger groups are compared one set at a time.
 _SMALL = 24
-#: Parts that the candidates of one set are dealt over.
-SALTS = 16
+#: Sets, and shingles of them, that a place has on average at most.
+PLACE_SETS, PLACE_SHINGLES = 128, 2_000_000
 _WORDS = ("h", "h2", "h3")
 _RULE = word_rule(SHINGLE)
 _CHUNK = 1 << 20
@@ -370,33 +370,70 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
 
 
 def _checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by set and role: the set's own text, then those of its candidates, to links."""
-    own, name = None, None
+    """Rows sorted by cell and role: the texts of a cell, then its pairs, to links.
+
+    A pair that the links of the cell connect already isn't checked, so these are a spanning forest.
+    """
+    sets: dict[int, np.ndarray] = {}
+    root: dict[int, int] = {}
+    now = None
+
+    def find(name: int) -> int:
+        while (up := root.setdefault(name, name)) != name:
+            root[name] = name = root[up]
+        return name
+
     for pdf in parts:
-        us, vs = [], []
-        for u, v, role, s in zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["role"].tolist(), shingle_sets(pdf["text"].tolist()), strict=True):
+        links = []
+        columns = (pdf[c].tolist() for c in ("lo", "hi", "role", "fp", "us", "vs"))
+        for lo, hi, role, name, us, vs, s in zip(*columns, shingle_sets(pdf["text"].tolist()), strict=True):
+            if (lo, hi) != now:
+                now = lo, hi
+                sets.clear()
+                root.clear()
             if role == 0:
-                own, name = s, u
-            elif u == name and similar(own, s):
-                us.append(u)
-                vs.append(v)
-        yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+                sets[name] = s
+                continue
+            for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+                if (a := find(u)) != (b := find(v)) and similar(sets[u], sets[v]):
+                    root[a] = b
+                    links.append((u, v))
+        yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+
+def _places(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Names of the sets in the pairs ``named(u, v)``, with a place each: ``(fp, place)``.
+
+    Families are what pairs of each set and its smallest partner connect. Each is dealt over as many places
+    as its sets and their shingles ask for.
+    """
+    families = connected_components(named.groupBy("v").agg(F.min("u").alias("u"))).withColumnRenamed("node", "fp")
+    nodes = named.select(F.col("u").alias("fp")).distinct().unionByName(named.select(F.col("v").alias("fp")).distinct()).distinct()
+    members = nodes.join(sets.select("fp", "n"), "fp").join(families, "fp", "left")
+    members = written(members.select("fp", "n", F.coalesce("component", "fp").alias("family")))
+    asked = F.greatest(F.count("*") / F.lit(PLACE_SETS), F.sum("n") / F.lit(PLACE_SHINGLES))
+    dealt = members.join(members.groupBy("family").agg(F.ceil(asked).alias("places")), "family")
+    return written(dealt.select("fp", F.xxhash64("family", F.pmod(F.xxhash64("fp"), F.greatest("places", F.lit(1)))).alias("place")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` of set names, as links ``(u, v)``, that are similar.
+    """Links ``(u, v)`` that connect what those of ``pairs(a, b)`` of set names do that are similar.
 
-    Each candidate text is sent to the set that it is checked with, whose own text comes first;
-    candidates of one set are dealt over ``SALTS`` parts.
+    Sets have places, and two places are a cell, which has the pairs between them. A text goes once to
+    each cell that has a pair of it, not to each pair: in a family of m sets to about m / ``PLACE_SETS`` cells
+    at most. A cell holds some 2 * ``PLACE_SETS`` sets and the pairs between them.
     """
     named = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    dealt = named.withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int"))
-    roles = dealt.select("u", "salt", "v", F.lit(1).alias("role"), F.col("v").alias("fp")).unionByName(
-        dealt.select("u", "salt", F.lit(0).cast("long").alias("v"), F.lit(0).alias("role"), F.col("u").alias("fp")).distinct()
-    )
-    placed = roles.join(sets.select("fp", "k"), "fp").select("u", "salt", "v", "role", "k")
-    sent = placed.join(texts, "k").select("u", "salt", "v", "role", "text")
-    return written(sent.repartition("u", "salt").sortWithinPartitions("u", "salt", "role").mapInPandas(_checked, "u long, v long").distinct())
+    at = _places(named, sets)
+    side = lambda end: at.select(F.col("fp").alias(end), F.col("place").alias(f"{end}_place"))
+    placed = named.join(side("u"), "u").join(side("v"), "v")
+    lo, hi = F.least("u_place", "v_place").alias("lo"), F.greatest("u_place", "v_place").alias("hi")
+    cells = written(placed.groupBy(lo, hi).agg(F.collect_list(F.struct("u", "v")).alias("pairs")))
+    names = cells.select("lo", "hi", F.explode(F.array_distinct(F.concat("pairs.u", "pairs.v"))).alias("fp"))
+    sent = names.join(sets.select("fp", "k"), "fp").join(texts, "k").select("lo", "hi", "fp", "text").withColumn("role", F.lit(0))
+    asked = cells.select("lo", "hi", F.lit(0).cast("long").alias("fp"), F.lit(1).alias("role"), F.col("pairs.u").alias("us"), F.col("pairs.v").alias("vs"))
+    rows = sent.unionByName(asked, allowMissingColumns=True).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "role")
+    return written(rows.mapInPandas(_checked, "u long, v long").distinct())
 
 
 def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:

@@ -31,7 +31,13 @@ def test_only_trusted_documents_that_pass_the_base_rules_set_the_threshold(spark
     for i in range(120):
         own = np.bincount(np.concatenate([grams[j] for j in ids if half[j] != half[i]]), minlength=quality.BUCKETS)
         held_out.append(np.mean([math.log((own[g] + quality.BUCKETS * p[g]) / (own.sum() + quality.BUCKETS) / p[g]) for g in grams[i]]))
-    assert quality.fit(docs, labels(ids))[1] == pytest.approx(np.quantile(held_out, quality.QUANTILE), abs=1e-5)
+    deviation = math.sqrt((120 * np.var(held_out) + 1) / 121)
+    assert quality.fit(docs, labels(ids))[1] == pytest.approx(np.quantile(held_out, 0.01) - 7.4 * deviation / math.sqrt(120), abs=1e-5)
+
+
+def test_the_threshold_has_one_rule_for_any_number_of_trusted_documents():
+    limits = [quality.threshold(n, -0.2, 0.01) for n in range(1, 5000)]
+    assert all(a < b for a, b in zip(limits, limits[1:], strict=False)) and limits[0] < -5 and -0.22 < limits[-1] < -0.2
 
 
 def test_input_is_counted_in_text_not_in_files(spark, tmp_path):
@@ -126,3 +132,37 @@ def test_shingle_sets_of_short_and_long_texts(monkeypatch):
         assert similar.similar(sets[0], sets[1]) and not similar.similar(sets[0], sets[3]) and not similar.similar(sets[5], sets[6])
     whole = list(similar.shingle_sets(some))
     assert all((a == b).all() for a, b in zip(sets, whole, strict=True))
+
+
+def test_candidates_are_checked_in_cells_whatever_their_families(spark, tmp_path, monkeypatch):
+    """Families that are cut into several places lose no link, and pairs under 0.8 give none."""
+    monkeypatch.setattr(similar, "PLACE_SETS", 4)
+    monkeypatch.setattr(similar, "PLACE_SHINGLES", 500)
+    r = random.Random(8)
+    base = [[f"w{r.randrange(9999)}" for _ in range(60)] for _ in range(3)]
+    texts_of = [" ".join(w if r.random() > 0.015 else "other" for w in base[i % 3]) for i in range(40)] + ["", "one two"]
+    docs = texts(spark, list(enumerate(texts_of)))
+    sets = list(similar.shingle_sets(texts_of))
+    keys = docs.select("doc_id", common.doc_key().alias("k"))
+    names = spark.createDataFrame([(i, 1000 - i, len(s)) for i, s in enumerate(sets)], "doc_id long, fp long, n int")
+    pairs = [(1000 - i, 1000 - j) for i in range(len(sets)) for j in range(i) if i % 3 == j % 3 or j == 0]
+    found = similar._verified(
+        spark.createDataFrame([*pairs, pairs[0]], "a long, b long"), keys.join(names, "doc_id").drop("doc_id"), docs.select(common.doc_key().alias("k"), "text")
+    ).collect()
+
+    def groups(links):
+        root = {1000 - i: 1000 - i for i in range(len(sets))}
+        for u, v in links:
+            a, b = root[u], root[v]
+            root = {k: b if x == a else x for k, x in root.items()}
+        return {frozenset(k for k in root if root[k] == x) for x in root.values()}
+
+    want = [(a, b) for a, b in pairs if similar.similar(sets[1000 - a], sets[1000 - b])]
+    assert {(x.u, x.v) for x in found} <= {(min(p), max(p)) for p in want} and len(want) > 50
+    assert groups((x.u, x.v) for x in found) == groups(want)
+
+
+def test_an_empty_table_of_candidates_gives_no_links(spark):
+    sets = spark.createDataFrame([], "fp long, n int, k struct<k1: long, k2: long>")
+    none = spark.createDataFrame([], "k struct<k1: long, k2: long>, text string")
+    assert similar._verified(spark.createDataFrame([], "a long, b long"), sets, none).collect() == []
