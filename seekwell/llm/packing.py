@@ -205,10 +205,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BI
     return dealt.mapInPandas(pack, schema)
 
 
-def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places; a task packs the pieces of about 64 MB of input."""
     tasks = task_count(docs, 64)
-    return packed(written(tokenized(docs, path)), tasks=tasks)
+    return packed(written(tokenized(docs, path, with_ids=with_ids)), tasks=tasks)
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
