@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, with their sequence and offset."""
-    return packed_documents(docs)
+    """Token pieces of all documents: their ids, sequence and offset."""
+    return packed_documents(docs, with_ids=True)
 
 
 STAGES = [
