@@ -11,6 +11,8 @@ from seekwell.functions.names import EngineError
 
 _CJK_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]")
 
+_UNIT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]\p{M}*")
+
 
 @dataclass(frozen=True)
 class Clause:
@@ -144,6 +146,17 @@ def needs_text_check(clause: Clause) -> bool:
     return clause.phrase and bool(_CJK_RUN.search(normal(clause.text)))
 
 
+def grams(run: str) -> list[str]:
+    """The n-grams of a run, as ``text.cjk_grams`` has them."""
+    units = _UNIT.findall(run)
+    return ["".join(units[i : i + n]) for n in (1, 2, 3) for i in range(len(units) - n + 1)]
+
+
+def is_gram(token: str) -> bool:
+    """Whether a token is an n-gram of a script without spaces."""
+    return bool(_CJK_RUN.match(token))
+
+
 def text_terms(text: str | None) -> list[str]:
     """Words of a text for choosing lines and chunks; repeated ones stay."""
     return normal(text or "").lower().replace('"', "").replace("-", " ").split()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,8 +14,12 @@ _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー"
 _MAYBE_CJK = (
     r"[ᄀ-ᇿ⺀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯\x{16FE0}-\x{1B2FF}\x{1F200}-\x{1F2FF}\x{20000}-\x{3FFFF}]"
 )
+#: The same characters and all others; most are told by their number alone, before their script is looked up.
+_IN_CJK = rf"[\x{{1100}}-\x{{10FFFF}}&&[一-龥{_CJK}]]"
+_NOT_CJK = rf"[[\x00-\x{{10FF}}][^{_CJK}]]"
 #: A run of one script group: its first character is no mark, marks go along.
-_RUNS = rf"[{_CJK}][{_CJK}\p{{M}}]*|[\p{{L}}\p{{Nd}}&&[^{_CJK}]][\p{{L}}\p{{Nd}}\p{{M}}&&[^{_CJK}]]*"
+_CJK_RUN = rf"{_IN_CJK}[{_IN_CJK}\p{{M}}]*"
+_RUNS = rf"{_CJK_RUN}|[[\p{{L}}\p{{Nd}}]&&{_NOT_CJK}][[\p{{L}}\p{{Nd}}\p{{M}}]&&{_NOT_CJK}]*"
 #: What comes before a new part of an identifier, marks included: between digit and letter, small and
 #: capital letter, and before the last capital of an acronym.
 _BEFORE_PART = (
@@ -24,7 +29,11 @@ _BEFORE_PART = (
     r"|\p{L}\p{M}*(?=\p{Nd})"
 )
 _WORD = r"[\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*"
-_UNIT = rf"[{_CJK}]\p{{M}}*"
+_UNIT = rf"{_IN_CJK}\p{{M}}*"
+#: Latin-1 and punctuation: no marks, and letters in short ranges. What parts identifiers and words are there.
+_BEYOND_LATIN = r"[^\x00-\xFF\u2010-\u2027]"
+_LATIN_PART = r"[0-9](?=[A-Za-zÀ-ÖØ-öø-ÿ])|[a-zß-öø-ÿ](?=[A-ZÀ-ÖØ-Þ0-9])|[A-ZÀ-ÖØ-Þ](?=[0-9]|[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])"
+_LATIN_WORD = r"[a-z0-9ß-öø-ÿ]+"
 #: Characters outside this set may change under NFKC, alone or behind another one.
 _STABLE = (
     r"\x00-\x9F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž"
@@ -76,7 +85,25 @@ def tokens(text: Column) -> Column:
         return F.when(run.rlike(f"^[{_CJK}]"), cjk_grams(run)).otherwise(plain(run))
 
     quick = F.regexp_extract_all(F.lower(parted(text)), F.lit(f"({_WORD})"), F.lit(1))
-    return F.when(text.rlike(f"{_MAYBE_CJK}|Σ"), F.flatten(F.transform(runs, split))).otherwise(quick)
+    latin = F.regexp_extract_all(F.lower(F.regexp_replace(text, f"({_LATIN_PART})", "$1 ")), F.lit(_LATIN_WORD), F.lit(0))
+    # these few stand for others in compatibility form
+    is_latin = ~text.rlike(f"{_BEYOND_LATIN}|[ªµº²³¹¼-¾]")
+    return F.when(is_latin, latin).when(text.rlike(f"{_MAYBE_CJK}|Σ"), F.flatten(F.transform(runs, split))).otherwise(quick)
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens ``tokens`` gives, without making n-grams: a run of n > 2 characters has n + n - 1 + n - 2."""
+    units = F.length(text) - F.length(F.regexp_replace(text, rf"[{_IN_CJK}&&[^\p{{M}}]]+", ""))
+    runs = F.regexp_count(text, F.lit(_CJK_RUN))
+    longer = F.regexp_count(text, F.lit(rf"{_UNIT}{_IN_CJK}[{_IN_CJK}\p{{M}}]*"))
+    rest = F.regexp_replace(F.regexp_replace(text, _CJK_RUN, " "), f"({_BEFORE_PART})", "$1 ")
+    some = 3 * units - 2 * runs - longer + F.regexp_count(rest, F.lit(_WORD))
+    return F.when(text.rlike(_MAYBE_CJK), some).otherwise(F.size(tokens(text)))
+
+
+def gram_count(text: Column, gram: str) -> Column:
+    """How often an n-gram of a script without spaces is among the tokens of a text; it may overlap itself."""
+    return F.regexp_count(text, F.lit(rf"(?={re.escape(gram)}(?!\p{{M}}))"))
 
 
 def projection(text: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekwell.functions.grammar import Clause
 from seekwell.functions.text import title
+from seekwell.operators import lexical
 from seekwell.operators.impacts import Impacts, blocks_of, impacts_of, placed
 from seekwell.operators.lexical import KEY, Index, inverted, token_index, with_stems
 from seekwell.schemas import documents
@@ -18,8 +20,18 @@ _MADE: dict[tuple, str] = {}
 def write_index(index: Index, path: str) -> None:
     """Postings in ranges of terms; a term of very many documents goes over several files."""
     order = ["term", *KEY]
-    index.postings.repartitionByRange(*order).sortWithinPartitions(*order, "col").write.parquet(f"{path}/postings")
     index.lengths.write.parquet(f"{path}/lengths")
+    ranges = _ranges(index.lengths.sparkSession.read.parquet(f"{path}/lengths"))
+    index.postings.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "col").write.parquet(f"{path}/postings")
+
+
+#: Tokens of a range of terms, which one task sorts.
+RANGE = 4_000_000
+
+
+def _ranges(lengths: DataFrame) -> int:
+    """So many ranges that each has about ``RANGE`` tokens, and the session's tasks all have one."""
+    return max(lengths.sparkSession.sparkContext.defaultParallelism, (lengths.agg(F.sum("doc_len")).first()[0] or 0) // RANGE + 1)
 
 
 def read_index(spark: SparkSession, path: str, stemmed: bool = False) -> Index:
@@ -49,6 +61,11 @@ def tokenized(docs: DataFrame) -> DataFrame:
     return token_index(spread(docs).withColumn("title", title(F.col("body"), F.col("path"))))
 
 
+def answering(docs: DataFrame, clauses: list[Clause]) -> Index:
+    """What one query reads of the index of ``docs(project_name, path, body, ...)``, which is read once."""
+    return lexical.answering(spread(docs).withColumn("title", title(F.col("body"), F.col("path"))), clauses)
+
+
 def _once(spark: SparkSession, sf_dir: str, kind: str, make) -> str:
     """Where what is made of ``documents`` is, written into the shared folder when a session first asks for it.
 

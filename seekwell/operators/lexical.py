@@ -8,18 +8,23 @@ scan; ``lengths`` has a row for each document. A search reads the postings of it
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
-from seekwell.functions.grammar import Atom, Clause, atoms, needs_text_check, normal
+from seekwell.functions.grammar import Atom, Clause, atoms, grams, is_gram, needs_text_check, normal
 from seekwell.functions.stemming import stem, stemmed_vocabulary
-from seekwell.functions.text import nfkc, tokens
+from seekwell.functions.text import gram_count, nfkc, token_count, tokens
+from seekwell.sources.shared import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 KEY = ["project_name", "path"]
@@ -94,10 +99,17 @@ def atom_counts(index: Index, wanted: list[Atom]) -> DataFrame:
     counts = found.where(~F.col("atom").isin(several)) if several else found
     counts = counts.select(*KEY, "atom", F.col("tf").cast("long").alias("n"))
     if several:
-        starts = found.where(F.col("atom").isin(several)).select(*KEY, "atom", "col", "at", F.explode("positions").alias("pos"))
+        most = max(len(wanted[a].tokens) for a in several)
+        # a column of a document is one row, with the places where each word of the atom says that it begins
+        begin = F.transform("positions", lambda p: p - F.col("at"))
+        gathered = found.where(F.col("atom").isin(several)).select(*KEY, "atom", "col", "at", begin.alias("begin")).groupBy(*KEY, "atom", "col").agg(
+            *(F.flatten(F.collect_list(F.when(F.col("at") == i, F.col("begin")))).alias(f"_b{i}") for i in range(most))
+        )
         whole = F.element_at(F.array(*(F.lit(len(a.tokens)) for a in wanted)), F.col("atom") + 1)
-        runs = starts.groupBy(*KEY, "atom", "col", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count("*").alias("k"))
-        counts = counts.unionByName(runs.where(F.col("k") == whole).select(*KEY, "atom", F.lit(1).cast("long").alias("n")))
+        both = F.col("_b0")
+        for i in range(1, most):
+            both = F.when(whole > i, F.array_intersect(both, F.col(f"_b{i}"))).otherwise(both)
+        counts = counts.unionByName(gathered.select(*KEY, "atom", F.size(both).cast("long").alias("n")).where("n > 0"))
     columns = [F.coalesce(F.sum(F.when(F.col("atom") == a, F.col("n"))), F.lit(0)).alias(f"_f{a}") for a in range(len(wanted))]
     return counts.groupBy(*KEY).agg(*columns)
 
@@ -178,11 +190,142 @@ def public_score(raw: Column) -> Column:
     )
 
 
+#: Most tokens that one step of a task groups.
+STEP = 2_000_000
+
+
+def _steps(batch: pa.RecordBatch, sides: tuple[str, ...], step: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``step`` tokens each, one row at least."""
+    ends = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sides).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + step, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _places(rows: pa.RecordBatch, side: str, wanted: list[Atom] | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of a column, and row, term and position of its tokens, of wanted ones only."""
+    lists = rows.column(side)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    pos = np.arange(len(code)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    if wanted is not None:
+        terms = found.dictionary
+        good = pc.is_in(terms, pa.array(sorted({t for a in wanted for t in a.tokens}), terms.type)).to_numpy(zero_copy_only=False)
+        for a in wanted:
+            if a.prefix:
+                good = good | pc.starts_with(terms, a.tokens[-1]).to_numpy(zero_copy_only=False)
+        keep = np.flatnonzero(good[code]) if len(code) else np.zeros(0, np.int64)
+        code, row, pos = code[keep], row[keep], pos[keep]
+    return found.dictionary, row, code, pos
+
+
+def _posted(rows: pa.RecordBatch, col: int, wanted: list[Atom] | None) -> pa.RecordBatch:
+    """Postings of one column of token rows."""
+    terms, row, code, pos = _places(rows, _SIDES[col], wanted)
+    name = row * max(1, len(terms)) + code
+    order = np.argsort(name, kind="stable")
+    name = name[order]
+    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    ends = np.append(begin, len(name)).astype(np.int32)
+    first = order[begin]
+    arrays = [
+        terms.take(pa.array(code[first])),
+        *(rows.column(k).take(pa.array(row[first])) for k in KEY),
+        pa.array(np.full(len(begin), col, np.int8)),
+        pa.array(np.diff(ends).astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order].astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=_POSTING_NAMES)
+
+
+_SIDES = ("title_tokens", "body_tokens")
+_POSTING = "term string, project_name string, path string, col tinyint, tf int, positions array<int>"
+_POSTING_NAMES = [c.split()[0] for c in _POSTING.split(", ")]
+
+
 def postings(index: DataFrame) -> DataFrame:
-    """A row for each term, document and column: its count and positions."""
-    sides = [F.struct(F.lit(i).cast("tinyint").alias("col"), F.col(c).alias("tokens")) for i, c in enumerate(("title_tokens", "body_tokens"))]
-    places = index.select(*KEY, F.inline(F.array(*sides))).select(*KEY, "col", F.posexplode("tokens").alias("pos", "term"))
-    return places.groupBy("term", *KEY, "col").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """A row for each term, document and column: its count and positions. A document is one row, so nothing is shuffled."""
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _steps(batch, _SIDES, STEP):
+                for col in range(len(_SIDES)):
+                    yield _posted(rows, col, None)
+
+    return index.select(*KEY, *_SIDES).mapInArrow(posted, _POSTING)
+
+
+#: The column of a row that tells a document's length.
+_LENGTH = -1
+
+
+def answering(docs: DataFrame, clauses: list[Clause]) -> Index:
+    """The part of the index of ``docs(project_name, path, title, body)`` that a query reads, for a table searched once.
+
+    Texts are gone through once; postings of other terms are never made, and of n-grams of scripts without
+    spaces only counts are.
+    """
+    wanted = [a for c in clauses for a in atoms(c)]
+    if all(len(a.tokens) == 1 and not a.prefix and is_gram(a.tokens[0]) for a in wanted):
+        texts = F.struct(nfkc(F.concat("title", F.lit(" "), "path")).alias("t0"), nfkc(F.col("body")).alias("t1"))
+        rows = docs.select(*KEY, F.explode(F.array(texts)).alias("_t")).select(*KEY, "_t.*")
+        none = F.lit(None).cast("array<int>").alias("positions")
+        row = lambda term, col, n: F.struct(F.lit(term).cast("string").alias("term"), F.lit(col).cast("tinyint").alias("col"), n.cast("int").alias("tf"), none)
+        grams = sorted({a.tokens[0] for a in wanted})
+        each = [row(None, _LENGTH, token_count(F.col("t0")) + token_count(F.col("t1"))), *(row(g, i, gram_count(F.col(f"t{i}"), g)) for g in grams for i in (0, 1))]
+        made = rows.select(*KEY, F.inline(F.array(*each))).where(f"col = {_LENGTH} OR tf > 0").select(*_POSTING_NAMES)
+    else:
+
+        def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                own = [pa.nulls(n, pa.string()), *(batch.column(k) for k in KEY), pa.array(np.full(n, _LENGTH, np.int8)), batch.column("doc_len"), pa.nulls(n, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(own, names=_POSTING_NAMES)
+                for rows in _steps(batch, _SIDES, STEP):
+                    for col in range(len(_SIDES)):
+                        yield _posted(rows, col, wanted)
+
+        made = token_index(docs).select(*KEY, *_SIDES, "doc_len").mapInArrow(posted, _POSTING)
+    made = written(made)
+    return Index(made.where(F.col("col") != _LENGTH), made.where(F.col("col") == _LENGTH).select(*KEY, F.col("tf").alias("doc_len")))
+
+
+def _grams_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The n-grams of each row's runs with their number; a run's are made once."""
+    terms, row, code, _ = _places(rows, "runs", None)
+    runs = terms.to_pylist()
+    pair, times = np.unique(row * max(1, len(runs)) + code, return_counts=True)
+    row, code = pair // max(1, len(runs)), pair % max(1, len(runs))
+    ids: dict[str, int] = {}
+    own = [[ids.setdefault(g, len(ids)) for g in grams(r)] for r in runs]
+    sizes = np.array([len(o) for o in own], np.int64)
+    flat = np.array([g for o in own for g in o], np.int64)
+    n = sizes[code]
+    at = np.repeat((sizes.cumsum() - sizes)[code], n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+    name, place = np.unique(np.repeat(row, n) * max(1, len(ids)) + flat[at], return_inverse=True)
+    found = np.bincount(place, np.repeat(times, n), len(name)).astype(np.int64)
+    row, gram = name // max(1, len(ids)), name % max(1, len(ids))
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(list(ids), pa.string()).take(pa.array(gram)), pa.array(found)], names=["doc_id", "gram", "n"])
+
+
+def gram_totals(runs: DataFrame) -> DataFrame:
+    """``(gram, n, docs)`` of ``runs(doc_id, runs)``: occurrences of n-grams, and documents that have them.
+
+    A row has each of its n-grams once before anything is shuffled.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _steps(batch, ("runs",), STEP // 8):
+                yield _grams_of(rows)
+
+    own = runs.select(F.col("doc_id").cast("long").alias("doc_id"), "runs").mapInArrow(counted, "doc_id long, gram string, n long")
+    return own.groupBy("doc_id", "gram").agg(F.sum("n").alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"))
 
 
 def vocabulary(index: Index) -> DataFrame:
