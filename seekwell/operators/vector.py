@@ -151,17 +151,18 @@ def _asked(queries: DataFrame, cells: Cells, limit: int, bounds: DataFrame | Non
 
     def first(parts):
         for pdf in parts:
-            yield _rows((q, name, own[: (docs.cumsum() < limit).sum() + 1]) for q in _queries(pdf) for name, own, _, docs in cells.nearest(q[1]))
+            yield from _rows((q, name, own[: (docs.cumsum() < limit).sum() + 1]) for q in _queries(pdf) for name, own, _, docs in cells.nearest(q[1]))
+
+    def within(pdf):
+        for q, known in zip(_queries(pdf), pdf["bounds"], strict=True):
+            bound = {} if known is None else {b["project_name"]: b["bound"] for b in known}
+            for name, own, least, docs in cells.nearest(q[1]):
+                done = (docs.cumsum() < limit).sum() + 1
+                yield q, name, own[done:][least[done:] <= bound.get(name, FARTHEST)]
 
     def rest(parts):
         for pdf in parts:
-            out = []
-            for q, known in zip(_queries(pdf), pdf["bounds"], strict=True):
-                bound = {} if known is None else {b["project_name"]: b["bound"] for b in known}
-                for name, own, least, docs in cells.nearest(q[1]):
-                    done = (docs.cumsum() < limit).sum() + 1
-                    out.append((q, name, own[done:][least[done:] <= bound.get(name, FARTHEST)]))
-            yield _rows(out)
+            yield from _rows(within(pdf))
 
     if bounds is None:
         return queries.mapInPandas(first, _ASKED)
@@ -172,9 +173,23 @@ def _queries(pdf: pd.DataFrame):
     return [(int(i), np.asarray(q, np.float64)) for i, q in zip(pdf["query_id"], pdf["query"], strict=True)]
 
 
-def _rows(found) -> pd.DataFrame:
-    out = [(q[0], q[1], name, int(c)) for q, name, own in found for c in own]
-    return pd.DataFrame(out, columns=["query_id", "query", "project_name", "cell"])
+#: Most rows of a frame of queries and their cells.
+ASKED_ROWS = 20_000
+
+
+def _rows(found):
+    """Frames of cells that queries ask, of ``ASKED_ROWS`` each at most: together they may be queries times cells."""
+    out = []
+    for q, name, own in found:
+        for c in own.tolist():
+            out.append((q[0], q[1], name, int(c)))
+            if len(out) == ASKED_ROWS:
+                yield pd.DataFrame(out, columns=_ASKED_NAMES)
+                out = []
+    yield pd.DataFrame(out, columns=_ASKED_NAMES)
+
+
+_ASKED_NAMES = [c.split()[0] for c in _ASKED.split(", ")]
 
 
 def _searched(rows: DataFrame, sizes: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
