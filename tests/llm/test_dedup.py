@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -180,6 +181,30 @@ def test_groups_have_all_occurrences(spark):
     assert covered == {(k, x) for places in counts.values() if len(set(places)) > 1 for k, s in places for x in range(s, s + 100)}
 
 
+def test_occurrences_leave_a_task_in_pieces(monkeypatch):
+    """Verdicts and occurrences of a block with many nested repeats are never one frame."""
+    r = random.Random(4)
+    base = "".join(r.choices("abcdefgh", k=1200))
+    rule = suffix_array.byte_rule()
+    docs = pd.DataFrame({"block": np.int32(0), "id": range(60), "there": True, "text": [base[a : a + r.randrange(150, 400)] for a in r.choices(range(700), k=60)]})
+
+    def made():
+        wanted = repeats._keys(rule, docs).assign(level=0)
+        tiles = repeats._cut_tiles(rule, docs, wanted).sort_values(["key", "digest", "id", "start"])
+        said = list(repeats._compared(rule, repeats._grouped, iter([tiles])))
+        return said, list(repeats._marked(rule, docs, pd.concat(said)))
+
+    whole = pd.concat(made()[1])
+    monkeypatch.setattr(repeats, "_SENT", 500)
+    monkeypatch.setattr(repeats, "_ROWS", 100)
+    said, found = made()
+    most = max(len(s) for f in said for s in f["spans"])
+    assert len(said) > 5 and max(f["spans"].map(len).sum() for f in said) <= 500 + most
+    assert len(found) > 5 and max(map(len, found)) <= 100 + most // repeats._MARK.itemsize
+    order = list(whole.columns)
+    assert pd.concat(found).sort_values(order).to_numpy().tolist() == whole.sort_values(order).to_numpy().tolist()
+
+
 def test_no_rows(spark):
     none = frame(spark, [])
     assert suffix_array.digests(none).collect() == []
