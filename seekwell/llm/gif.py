@@ -17,12 +17,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from seekwell.llm.common import read
+from seekwell.llm.common import read, task_count
 
 #: A payload's row of pixels, and the rows of a frame at most.
 ROW, MOST_ROWS = 192, 64
 DELAY_MS = 100
 BINS = 4
+#: Bytes of images, and frames, that a task sends at a time.
+SENT, SENT_ROWS = 2_000_000, 2000
+#: MB of texts that a task stores and reads.
+TASK_MB = 4
 _FULL = 4096
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 _COLOURS = np.stack([np.arange(256), 255 - np.arange(256), np.arange(256) * 7 % 256], axis=1).astype(np.uint8).tobytes()
@@ -292,18 +296,24 @@ def timed_frames(images: DataFrame, column: str = "gif", key: str = "doc_id") ->
     """
 
     def read_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for pdf in parts:
             for name, data in zip(pdf["key"], pdf["image"], strict=True):
                 if data is None:
                     continue
                 try:
-                    rows = [
+                    rows += [
                         (name, i, f.start_ms, f.delay_ms, f.width, f.height, f.samples, *f.histogram(), None)
                         for i, f in enumerate(decode(bytes(data)))
                     ]
                 except BrokenImage as e:
-                    rows = [(name, *[None] * 9, str(e))]
-                yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows.append((name, *[None] * 9, str(e)))
+                size += len(data)
+                if size >= SENT or len(rows) >= SENT_ROWS:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     kind = dict(images.dtypes)[key]
     names = [key, *(x.split()[0] for x in FRAME_COLUMNS.split(", "))]
@@ -375,5 +385,8 @@ def op9_gif_media(spark, sf_dir: str) -> DataFrame:
 
 def gif_timed_frames(spark, sf_dir: str) -> DataFrame:
     """Every frame of every stored text: its time, size and colour histograms, without the pixels."""
-    frames = timed_frames(stored(read(spark, sf_dir, "documents")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # files may have few parts, and a part's texts take seconds a MB
+    dealt = docs.repartition(task_count(docs, TASK_MB, spark.sparkContext.defaultParallelism))
+    frames = timed_frames(stored(dealt))
     return frames.select("doc_id", "frame", "start_ms", "delay_ms", "width", "height", "red", "green", "blue")

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,28 @@ def test_pipeline_stages(spark):
     mix = mixture(clean)
     assert mix.columns == docs.columns and {r.doc_id for r in mix.collect()} <= ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "passages", "mix", "packing"]
+
+
+class OneBatch:
+    """Stands in for a table of one batch of images."""
+
+    dtypes = [("doc_id", "bigint"), ("gif", "binary")]
+
+    def __init__(self, images):
+        self.images = images
+
+    def selectExpr(self, *names):
+        return self
+
+    def mapInPandas(self, read_all, schema):
+        return list(read_all(iter([pd.DataFrame({"key": range(len(self.images)), "image": self.images})])))
+
+
+def test_frames_of_many_images_are_sent_together(monkeypatch):
+    images = [gif.encode(bytes([65 + i % 20]) * 192 * (1 + i % 3 * 50)) for i in range(300)] + [None, b"no image"]
+    sent = gif.timed_frames(OneBatch(images))
+    assert len(sent) == 1 and len(sent[0]) == sum(len(gif.decode(g)) for g in images[:300]) + 1
+    monkeypatch.setattr(gif, "SENT_ROWS", 50)
+    parts = gif.timed_frames(OneBatch(images))
+    assert len(parts) > 5 and max(map(len, parts)) < 60
+    assert pd.concat(parts).drop(columns="samples").to_dict("list") == sent[0].drop(columns="samples").to_dict("list")
