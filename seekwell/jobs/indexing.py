@@ -25,8 +25,8 @@ def write_index(index: Index, path: str) -> None:
     index.postings.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "col").write.parquet(f"{path}/postings")
 
 
-#: Tokens of a range of terms, which one task sorts.
-RANGE = 4_000_000
+#: Tokens of a range of terms, which one task sorts: few enough that it does so in memory.
+RANGE = 1_000_000
 
 
 def _ranges(lengths: DataFrame) -> int:

@@ -184,14 +184,17 @@ def fused(found: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFr
     return fusion.fused(ranked, candidate_limit(limit)).join(chosen, "virtual_path").select("*", "hit.*").drop("hit")
 
 
-def with_evidence(ranked: DataFrame, chunks: DataFrame, request: Request, depth: int = fusion.RERANK_DEPTH) -> DataFrame:
+def with_evidence(ranked: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], request: Request, depth: int = fusion.RERANK_DEPTH) -> DataFrame:
     """Adds ``evidence`` and ``evidence_start`` to the first ``depth`` of fused documents, null to others.
 
     The evidence is the hit's own chunk, or the chunk with most of the query's terms and half as
-    much of the intent's. A document whose chunks are missing fails the search.
+    much of the intent's. A document whose chunks are missing fails the search. ``chunks`` may be a function that
+    makes those of the contents in a table ``(content_hash)``, so that no others are made.
     """
     first = ranked.where(F.col("fusion_rank") <= depth)
     terms = [(t, 1.0) for t in plain_terms(request.asked)] + [(t, 0.5) for t in text_terms(request.intent)]
+    if callable(chunks):
+        chunks = chunks(first.select("content_hash").distinct())
     named = chunks.select("content_hash", F.col("chunk_index").alias("_chunk"), F.col("body").alias("_text"), "char_start_offset")
     pairs = first.select("virtual_path", "content_hash", "chunk_index").join(named, "content_hash")
     own = F.col("chunk_index") == F.col("_chunk")
@@ -232,7 +235,7 @@ def search(
     vectors: DataFrame,
     questions: DataFrame,
     docs: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Callable[[DataFrame], DataFrame],
     contexts: DataFrame,
     scope: list[str] | None = None,
     rerank: Callable[[str, Column], Column] = default_rerank,
