@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,11 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TOKENIZER = "word_bpe_49k.json"
-#: Parts kept by a worker: between this many and twice as many.
-_CACHED = 900_000
+#: Ids of the pieces that leave a task at once.
+SENT = 1_000_000
+#: Parts kept by a worker: this many met lately, and as many before them; longer ones are not kept.
+_CACHED = 100_000
+_LONGEST = 64
 #: White space that ``str.split`` or the tokenizer may see otherwise than space, tab and line ends.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile("[^ \t\n\r]+")
@@ -45,13 +49,21 @@ def _byte_letters() -> dict[int, int]:
 
 
 class Learned(dict):
-    """A dictionary that finds out what it lacks."""
+    """A dictionary that finds out what it lacks, and holds ``most`` short keys and the ``most`` before them at the most."""
 
-    def __init__(self, learn: Callable[[str], bytes]) -> None:
-        self.learn = learn
+    def __init__(self, learn: Callable[[str], bytes], most: int) -> None:
+        self.learn, self.most = learn, most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = self.learn(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.learn(key)
+        if len(key) <= _LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -72,22 +84,15 @@ class Encoder:
         self.word = self.tokenizer.model.tokenize
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.letters = _byte_letters()
-        self.older: dict[str, bytes] = {}
-        self.known = Learned(self._again)
-        self.signs = {"": b""}
+        self.known = Learned(self._part, _CACHED)
+        self.signs = Learned(self._whole, _CACHED // 10)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.known) > _CACHED:
-            self.known, self.older = Learned(self._again), self.known
         parts = _PLAIN.findall(text) if _ODD.search(text) else text.split()
         return b"".join(map(self.known.__getitem__, parts))
 
-    def _again(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        return self._part(part) if ids is None else ids
-
     def _part(self, part: str) -> bytes:
         word = part.rstrip(_SIGNS)
         if word.isascii() and word.isalpha():
@@ -97,13 +102,8 @@ class Encoder:
             word = word.lower().encode().decode("latin-1").translate(self.letters)
         else:
             return self._whole(part)
-        ids = self.signs.get(sign)
-        if ids is None:
-            if len(self.signs) > _CACHED // 10:
-                self.signs = {"": b""}
-            ids = self.signs[sign] = self._whole(sign)
         id_bytes = self.id_bytes
-        return b"".join([id_bytes[t.id] for t in self.word(word)]) + ids
+        return b"".join([id_bytes[t.id] for t in self.word(word)]) + self.signs[sign]
 
     def _whole(self, part: str) -> bytes:
         id_bytes = self.id_bytes
@@ -127,25 +127,34 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
 
     A document's ids end with ``END_ID``; a null or empty text has only that. Longer ones are
     cut every ``capacity`` ids. Repeated rows give repeated pieces. ``path`` names the
-    tokenizer's file, which every worker must have; by default the public one's.
+    tokenizer's file, which every worker must have; by default the public one's. A task has one
+    text as a string at a time, and sends pieces of ``SENT`` ids or more at once.
     """
     end = np.array([END_ID], "<u4").tobytes()
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path or tokenizer_path())
-        for pdf in parts:
-            rows = []
-            for doc_id, ids in zip(pdf["doc_id"], map(encode, pdf["text"].tolist()), strict=True):
-                ids += end
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, rows, waiting = encoder(path or tokenizer_path()), [], 0
+        for batch in batches:
+            for doc_id, text in zip(*batch.columns, strict=True):
+                doc_id, ids = doc_id.as_py(), encode(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                    waiting += len(part) // 4
+                    if waiting >= SENT:
+                        yield sent(rows)
+                        rows, waiting = [], 0
+        if rows:
+            yield sent(rows)
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
 class BestFit:
