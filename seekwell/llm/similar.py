@@ -15,7 +15,7 @@ with 0.999 (as simulated); what isn't met as a pair may still be connected by ot
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,16 +239,20 @@ def candidates(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
     return *found[0][:2], more[0]
 
 
-def candidates_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (u, v) of a bucket that have different labels and may be similar.
+def cells_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Cells (lo, hi) of places that have pairs of a bucket, and the prints of each that are in such pairs.
 
-    ``side`` has the prints of the bucket, of type ``_SIDE`` and sorted; ``at`` tells which of them has each key.
+    Pairs are those with different labels that may be similar. ``side`` has the prints of the bucket, of type
+    ``_SIDE`` and sorted; ``at`` tells which of them has each key. Pairs are held ``_HELD`` at a time.
     """
     cuts, sizes = _groups(keys)
     small = np.repeat((sizes <= _SMALL) & (sizes > 1), sizes)
     k, own = keys[small], at[small]
     prints, labels, counts = (np.ascontiguousarray(side[c]) for c in ("h", "label", "n"))
-    found, held = [np.zeros(0, np.int64)], 0
+    places, place = np.unique(side["place"], return_inverse=True)
+    cells, members = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found: list[np.ndarray] = []
+    held = 0
 
     def worth(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = counts[i], counts[j]
@@ -264,15 +268,24 @@ def candidates_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray) -> tu
             held = 0
 
     def checked() -> None:
-        """Each pair once, and only those whose sketches allow it."""
-        new = np.unique(np.concatenate(found[1:])) if len(found) > 1 else found[0]
-        i, j = np.divmod(new, max(1, len(side)))
-        good = np.zeros(len(new), bool)
+        """Of pairs whose sketches allow it, keep the cell and both prints."""
+        nonlocal cells, members
+        if not found:
+            return
+        new = np.unique(np.concatenate(found))
+        found.clear()
         for start in range(0, len(new), 1 << 16):  # sketches are taken for so many pairs at a time
-            part = slice(start, start + (1 << 16))
-            a, b = side[i[part]], side[j[part]]
-            good[part] = may_be_similar(a["sketch"], b["sketch"], a["n"], b["n"])
-        found[:] = [np.union1d(found[0], new[good])]
+            i, j = np.divmod(new[start : start + (1 << 16)], len(side))
+            a, b = side[i], side[j]
+            good = may_be_similar(a["sketch"], b["sketch"], a["n"], b["n"])
+            i, j = i[good], j[good]
+            cell = np.minimum(place[i], place[j]) * len(places) + np.maximum(place[i], place[j])
+            cells, members = np.concatenate([cells, cell, cell]), np.concatenate([members, i, j])
+            order = np.lexsort((members, cells))
+            cells, members = cells[order], members[order]
+            new_one = np.ones(len(cells), bool)
+            new_one[1:] = (cells[1:] != cells[:-1]) | (members[1:] != members[:-1])
+            cells, members = cells[new_one], members[new_one]
 
     for lag in range(1, min(_SMALL, len(k))):
         same = np.flatnonzero(k[lag:] == k[:-lag])
@@ -290,22 +303,53 @@ def candidates_between(keys: np.ndarray, at: np.ndarray, side: np.ndarray) -> tu
             rest = rest[worth(rest, np.full(len(rest), group[one]))]
             add(rest, np.full(len(rest), group[one]))
     checked()
-    i, j = np.divmod(found[0], max(1, len(side)))
-    u, v = prints[i], prints[j]
-    return np.minimum(u, v), np.maximum(u, v)
+    cuts, sizes = _groups(cells)
+    lo, hi = np.divmod(cells[cuts[:-1]], max(1, len(places)))
+    named = prints.view(np.int64)[members]
+    return places[lo], places[hi], [named[c : c + n] for c, n in zip(cuts[:-1].tolist(), sizes.tolist(), strict=True)]
 
 
 _ENTRY = np.dtype([("key", "<u4"), ("h", "<u8")])
-_SIDE = np.dtype([("h", "<u8"), ("label", "<i8"), ("n", "<i4"), ("sketch", "u1", (BINS,))])
+_SIDE = np.dtype([("h", "<u8"), ("label", "<i8"), ("place", "<i8"), ("n", "<i4"), ("sketch", "u1", (BINS,))])
 
 
-def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
+def candidate_pairs(prints: DataFrame) -> DataFrame:
     """``prints(h, h2, h3)``, distinct by ``h``, to candidates ``(u, v)`` of these first 64 bits.
 
-    A row with equal ends is a print that has more candidates. With ``labelled``, ``prints(h, h2, h3, label, n, sketch)``
-    give all candidates with different labels instead; sketches go once to each bucket that has the print. Keys of equal leading bits
-    make a bucket, of about ``_BUCKET`` entries at every size of the input; a batch of prints sends
-    one row to each bucket.
+    A row with equal ends is a print that has more candidates.
+    """
+
+    def met(found: np.ndarray, side: bytes) -> pd.DataFrame:
+        u, v, more = candidates(found["key"].copy(), found["h"].copy())
+        u, v = np.concatenate([u, more]), np.concatenate([v, more])
+        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return _in_buckets(prints, False, met, "u long, v long").distinct()
+
+
+def candidate_cells(prints: DataFrame) -> DataFrame:
+    """``prints(h, h2, h3, label, place, n, sketch)``, distinct by ``h``, to cells ``(lo, hi, hs)`` of places.
+
+    A cell has the prints ``hs`` that have a candidate with another label in it, one of either place. The
+    pairs themselves stay in the tasks: there are as many as the square of a group's size. Sketches go once
+    to each bucket that has the print.
+    """
+
+    def met(found: np.ndarray, side: bytes) -> pd.DataFrame:
+        known = np.frombuffer(side, _SIDE)
+        known = known[np.argsort(known["h"])]
+        lo, hi, hs = cells_between(found["key"].copy(), np.searchsorted(known["h"], found["h"]), known)
+        return pd.DataFrame({"lo": lo, "hi": hi, "hs": hs})
+
+    met_in = _in_buckets(prints, True, met, "lo long, hi long, hs array<long>")
+    return met_in.groupBy("lo", "hi").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
+
+
+def _in_buckets(prints: DataFrame, labelled: bool, met: Callable[[np.ndarray, bytes], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``met`` makes of the entries of each bucket, sorted by key and print, and of their sides, if ``labelled``.
+
+    Keys of equal leading bits make a bucket, of about ``_BUCKET`` entries at every size of the input; a
+    batch of prints sends one row to each bucket.
     """
     table = decoding_table()
     entries = prints.count() * _PAIRS * _KEYS_OF_PAIR
@@ -328,7 +372,8 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
                 if labelled:
                     side = np.empty(len(some), _SIDE)
                     side["h"] = some[:, 0].view(np.uint64)
-                    side["label"], side["n"] = (pdf[c].to_numpy(np.int64)[at : at + _BATCH] for c in ("label", "n"))
+                    for c in ("label", "place", "n"):
+                        side[c] = pdf[c].to_numpy(np.int64)[at : at + _BATCH]
                     side["sketch"] = np.frombuffer(b"".join(pdf["sketch"].iloc[at : at + _BATCH]), np.uint8).reshape(-1, BINS)
                     sides = [side[np.unique(rows[a:b])].tobytes() for a, b in ranges]
                 sent = [packed[a:b].tobytes() for a, b in ranges]
@@ -342,16 +387,7 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
 
         def out() -> pd.DataFrame:
             found = np.frombuffer(b"".join(held), _ENTRY)
-            found = found[np.lexsort((found["h"], found["key"]))]
-            keys, prints = found["key"].copy(), found["h"].copy()
-            if labelled:
-                side = np.frombuffer(b"".join(known), _SIDE)
-                side = side[np.argsort(side["h"])]
-                u, v = candidates_between(keys, np.searchsorted(side["h"], prints), side)
-            else:
-                u, v, more = candidates(keys, prints)
-                u, v = np.concatenate([u, more]), np.concatenate([v, more])
-            return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+            return met(found[np.lexsort((found["h"], found["key"]))], b"".join(known))
 
         for pdf in parts:
             for bucket, packed, side in zip(pdf["bucket"].tolist(), pdf["entries"], pdf["sides"], strict=True):
@@ -365,8 +401,9 @@ def candidate_pairs(prints: DataFrame, labelled: bool = False) -> DataFrame:
         if held:
             yield out()
 
-    keyed = prints.select(*_WORDS, *["label", "n", "sketch"] * labelled).mapInPandas(emit, "bucket int, entries binary, sides binary")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "u long, v long").distinct()
+    more = ("label", "place", "n", "sketch") if labelled else ()
+    keyed = prints.select(*_WORDS, *more).mapInPandas(emit, "bucket int, entries binary, sides binary")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, schema)
 
 
 def _checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -401,13 +438,83 @@ def _checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["u", "v"])
 
 
+class _Cell:
+    """The sets of a cell, and the links between those of different labels that are similar."""
+
+    def __init__(self, lo: int, hi: int) -> None:
+        self.key = lo, hi
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.sets: list[np.ndarray] = []
+
+    def links(self) -> list[tuple[int, int]]:
+        """The likeliest pairs are checked first, and none that labels and links connect already: a spanning forest."""
+        fp, label, place, print_ = np.array(self.rows, np.int64).reshape(-1, 4).T
+        prints, sizes = np.ascontiguousarray(print_).view(np.uint64), np.array([len(s) for s in self.sets])
+        sketches = np.array([sketch(s) for s in self.sets])
+        us, vs = [], []
+        for one in range(len(fp) - 1):
+            rest = np.arange(one + 1, len(fp))
+            ok = (label[rest] != label[one]) & (np.bitwise_count(prints[rest] ^ prints[one]) <= MOST_BITS)
+            if self.key[0] != self.key[1]:  # pairs of one place have a cell of their own
+                ok &= place[rest] != place[one]
+            rest = rest[ok]
+            if len(rest):
+                rest = rest[may_be_similar(sketches[rest], sketches[one][None], sizes[rest], sizes[one])]
+            us.append(np.full(len(rest), one))
+            vs.append(rest)
+        u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+        alike = np.concatenate(
+            [np.zeros(0, np.int64), *(np.count_nonzero(sketches[v[at : at + 4096]] == sketches[u[at : at + 4096]], axis=1) for at in range(0, len(u), 4096))]
+        )
+        root: dict[int, int] = {}
+
+        def find(name: int) -> int:
+            while (up := root.setdefault(name, name)) != name:
+                root[name] = name = root[up]
+            return name
+
+        out = []
+        for i in np.argsort(-alike, kind="stable").tolist():
+            a, b = u[i], v[i]
+            if (x := find(int(label[a]))) != (y := find(int(label[b]))) and similar(self.sets[a], self.sets[b]):
+                root[x] = y
+                out.append((int(fp[a]), int(fp[b])))
+        return out
+
+
+def _met(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by cell, the sets of each with their texts, to links."""
+    cell = _Cell(0, 0)
+    for pdf in parts:
+        links = []
+        columns = (pdf[c].tolist() for c in ("lo", "hi", "fp", "label", "place", "h"))
+        for lo, hi, *row, s in zip(*columns, shingle_sets(pdf["text"].tolist()), strict=True):
+            if (lo, hi) != cell.key:
+                links += cell.links()
+                cell = _Cell(lo, hi)
+            cell.rows.append(tuple(row))
+            cell.sets.append(s)
+        yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["u", "v"])
+    yield pd.DataFrame(np.array(cell.links(), np.int64).reshape(-1, 2), columns=["u", "v"])
+
+
+def _verified_between(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that connect the sets of ``labelled(fp, k, label, place, n, sketch, h, h2, h3)`` that are similar.
+
+    A cell of two places gets the texts that have a candidate in it, each once, and finds their pairs itself.
+    """
+    names = written(candidate_cells(labelled)).select("lo", "hi", F.explode("hs").alias("h"))
+    sent = names.join(labelled.select("h", "fp", "k", "label", "place"), "h").join(texts, "k")
+    rows = sent.select("lo", "hi", "fp", "label", "place", "h", "text").repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+    return written(rows.mapInPandas(_met, "u long, v long").distinct())
+
+
 def _places(named: DataFrame, sets: DataFrame) -> DataFrame:
     """Names of the sets in the pairs ``named(u, v)``, with a place each: ``(fp, place)``.
 
-    Families are what pairs of each set and its smallest partner connect. Each is dealt over as many places
-    as its sets and their shingles ask for.
+    Families are what the pairs connect. Each is dealt over as many places as its sets and their shingles ask for.
     """
-    families = connected_components(named.groupBy("v").agg(F.min("u").alias("u"))).withColumnRenamed("node", "fp")
+    families = connected_components(named).withColumnRenamed("node", "fp")
     nodes = named.select(F.col("u").alias("fp")).distinct().unionByName(named.select(F.col("v").alias("fp")).distinct()).distinct()
     members = nodes.join(sets.select("fp", "n"), "fp").join(families, "fp", "left")
     members = written(members.select("fp", "n", F.coalesce("component", "fp").alias("family")))
@@ -416,15 +523,24 @@ def _places(named: DataFrame, sets: DataFrame) -> DataFrame:
     return written(dealt.select("fp", F.xxhash64("family", F.pmod(F.xxhash64("fp"), F.greatest("places", F.lit(1)))).alias("place")))
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)``, u < v, each once."""
+    return written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` that connect what those of ``pairs(a, b)`` of set names do that are similar.
+    """Links that connect what those of ``pairs(a, b)`` of set names do that are similar."""
+    named = _named(pairs)
+    return _checked_pairs(named, _places(named, sets), sets, texts)
+
 
-    Sets have places, and two places are a cell, which has the pairs between them. A text goes once to
+def _checked_pairs(named: DataFrame, at: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that connect what those of the pairs ``named(u, v)`` of set names do that are similar.
+
+    Sets have places ``at(fp, place)``, and two places are a cell, which has the pairs between them. A text goes once to
     each cell that has a pair of it, not to each pair: in a family of m sets to about m / ``PLACE_SETS`` cells
     at most. A cell holds some 2 * ``PLACE_SETS`` sets and the pairs between them.
     """
-    named = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    at = _places(named, sets)
     side = lambda end: at.select(F.col("fp").alias(end), F.col("place").alias(f"{end}_place"))
     placed = named.join(side("u"), "u").join(side("v"), "v")
     lo, hi = F.least("u_place", "v_place").alias("lo"), F.greatest("u_place", "v_place").alias("hi")
@@ -440,13 +556,15 @@ def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between names of the sets in ``marked(k1, k2, fp, n, sketch, h, h2, h3)`` that are similar.
 
     A first round checks a few candidates of each set. Sets that have more of them go
-    into a second round, with all candidates that the first did not connect them to.
+    into a second round, with all candidates that the first did not connect them to. These may be
+    as many as the square of a group's size, so they are never rows: places come from the first round's
+    pairs, and cells of two places find their pairs themselves.
     """
     more = ("n", "sketch", *_WORDS)
     sets = written(marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), *(F.first(c).alias(c) for c in more)))
     texts = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     # sets of one fingerprint are all held against one of them
-    first = written(sets.groupBy("h").agg(F.min("fp").alias("fp")).join(sets.drop("k", "h"), "fp"))
+    first = written(sets.groupBy("h").agg(F.min("fp").alias("fp")).join(sets.drop("h"), "fp"))
     side = lambda h, fp: first.select(F.col("h").alias(h), F.col("fp").alias(fp), *(F.col(c).alias(f"{h}_{c}") for c in ("n", "sketch")))
 
     def ends(met: DataFrame) -> DataFrame:
@@ -456,13 +574,13 @@ def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
     met = written(candidate_pairs(first))
     same = sets.join(first.select("h", F.col("fp").alias("a")), "h").where("fp <> a").select("a", F.col("fp").alias("b"))
-    links = _verified(ends(met.where("u <> v")).unionByName(same), sets, texts)
+    named = _named(ends(met.where("u <> v")).unionByName(same))
+    at = _places(named, sets)
+    links = _checked_pairs(named, at, sets, texts)
     parts = connected_components(links).withColumnRenamed("node", "fp")
-    left = first.join(met.where("u = v").select(F.col("u").alias("h")), "h", "left_semi")
-    labelled = written(left.join(parts, "fp", "left").withColumn("label", F.coalesce("component", "fp")))
-    pairs = candidate_pairs(labelled, True)
-    named = pairs.join(first.select(F.col("h").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("h").alias("v"), F.col("fp").alias("b")), "v")
-    return links.unionByName(_verified(named.select("a", "b"), sets, texts))
+    left = first.join(met.where("u = v").select(F.col("u").alias("h")), "h", "left_semi").join(parts, "fp", "left").join(at, "fp", "left")
+    label, place = F.coalesce("component", "fp").alias("label"), F.coalesce("place", F.xxhash64("fp")).alias("place")
+    return links.unionByName(_verified_between(written(left.select("fp", "k", label, place, *more)), texts))
 
 
 def _allowed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

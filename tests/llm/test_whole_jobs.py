@@ -166,3 +166,49 @@ def test_an_empty_table_of_candidates_gives_no_links(spark):
     sets = spark.createDataFrame([], "fp long, n int, k struct<k1: long, k2: long>")
     none = spark.createDataFrame([], "k struct<k1: long, k2: long>, text string")
     assert similar._verified(spark.createDataFrame([], "a long, b long"), sets, none).collect() == []
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Copies just under and over 0.8: their pairs grow with the square of their number, what is written does not."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(9999)}" for _ in range(300)]
+    # two copies with four edits each are some 0.76 alike, and over 0.8 where edits are close
+    near = [" ".join(f"e{i}" if k in edits else w for k, w in enumerate(base)) for i, edits in enumerate(set(r.sample(range(300), 4)) for _ in range(160))]
+    sets = [set(s.tolist()) for s in similar.shingle_sets(near)]
+    alike = [(i, j) for i in range(160) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert 100 < len(alike) < 160 * 159 // 4
+    most = {}
+    for m in (40, 160):
+        rows = []
+        monkeypatch.setattr(similar, "written", lambda df, rows=rows: (out := common.written(df), rows.append(out.count()))[0])
+        got = {x.doc_id for x in similar.first_of_each_similar(texts(spark, list(enumerate(near[:m])))).collect()}
+        root = list(range(m))
+        for i, j in alike:
+            if i < m:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+        roots = {x for x in range(m) if root[x] == x}
+        assert got >= roots and len(got - roots) <= 0.02 * m
+        most[m] = max(rows)
+    assert most[160] <= 6 * most[40]
+
+
+def test_cells_find_the_pairs_between_their_places_once():
+    """Sets of one place have a cell of their own, and labels that are the same are connected already."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(9999)}" for _ in range(200)]
+    near = [" ".join(f"x{i}" if k == 7 * i else w for k, w in enumerate(base)) for i in range(6)]
+    sets = list(similar.shingle_sets(near))
+    prints = [int(similar.wide_fingerprint(s)[0].view(np.int64)) for s in sets]
+
+    def links(lo, hi, labels, places):
+        cell = similar._Cell(lo, hi)
+        cell.rows, cell.sets = [(i, labels[i], places[i], prints[i]) for i in range(6)], sets
+        return cell.links()
+
+    assert len(links(1, 1, range(6), [1] * 6)) == 5
+    assert links(1, 1, [3] * 6, [1] * 6) == []
+    across = links(1, 2, range(6), [1, 1, 1, 1, 1, 2])
+    assert len(across) == 5 and all(5 in x for x in across)
+    assert len(links(1, 1, [0, 0, 0, 9, 9, 9], [1] * 6)) == 1
+    assert similar._Cell(0, 0).links() == []
