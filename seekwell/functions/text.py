@@ -39,6 +39,9 @@ _STABLE = (
     r"\x00-\x9F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž"
     r"Α-ΡΣ-Ωα-ωА-я–—‘-„•ぁ-ゖァ-ヺー一-鿿가-힣"
 )
+#: Quick tests that find more than what isn't in ``_STABLE``: beyond Latin-1 and some punctuation, or one of these.
+#: (Java is quick with a range or two, and with single characters of Latin-1, but not with many ranges.)
+_BEYOND_STABLE, _LATIN_CHANGING = r"[^\x00-\xFF–-•]", r"[\xA0¨ª¯²³´µ¸¹º¼½¾]|‗"
 
 
 def _normalized(texts: pd.Series) -> pd.Series:
@@ -50,7 +53,8 @@ def nfkc(text: Column) -> Column:
 
     Only texts with a character that may change go to Python; of others a null goes.
     """
-    changing = F.when(text.rlike(f"[^{_STABLE}]"), text)
+    may_change = text.rlike(_BEYOND_STABLE) | text.rlike(_LATIN_CHANGING)
+    changing = F.when(may_change & text.rlike(f"[^{_STABLE}]"), text)
     return F.coalesce(F.pandas_udf(_normalized, "string")(changing), text)
 
 
@@ -87,7 +91,7 @@ def tokens(text: Column) -> Column:
     quick = F.regexp_extract_all(F.lower(parted(text)), F.lit(f"({_WORD})"), F.lit(1))
     latin = F.regexp_extract_all(F.lower(F.regexp_replace(text, f"({_LATIN_PART})", "$1 ")), F.lit(_LATIN_WORD), F.lit(0))
     # these few stand for others in compatibility form
-    is_latin = ~text.rlike(f"{_BEYOND_LATIN}|[ªµº²³¹¼-¾]")
+    is_latin = ~(text.rlike(_BEYOND_LATIN) | text.rlike("[ªµº²³¹¼½¾]"))
     return F.when(is_latin, latin).when(text.rlike(f"{_MAYBE_CJK}|Σ"), F.flatten(F.transform(runs, split))).otherwise(quick)
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from seekwell.functions.grammar import Clause
 from seekwell.functions.text import title
 from seekwell.operators import lexical
-from seekwell.operators.impacts import Impacts, blocks_of, impacts_of, placed
+from seekwell.operators.impacts import Impacts, blocks_of, impacts_of, made_of, placed
 from seekwell.operators.lexical import KEY, Index, inverted, token_index, with_stems
 from seekwell.schemas import documents
 from seekwell.sources import store
-from seekwell.sources.shared import fresh_path, shared_dir, spread
+from seekwell.sources.shared import fresh_path, shared_dir, spread, written
 
 _MADE: dict[tuple, str] = {}
 
@@ -46,10 +46,22 @@ def write_impacts(index: Index, path: str) -> None:
     """Blocks of documents and of postings; terms in ranges, so that a scan has few pages beside those it needs."""
     placed(index.lengths).write.parquet(f"{path}/places")
     places = index.lengths.sparkSession.read.parquet(f"{path}/places")
+    # ranges are cut from a first look at all rows, so these are made before
+    _write_blocks(places, written(impacts_of(index.postings, places)), path)
+
+
+def write_impacts_of_tokens(tokens: DataFrame, path: str) -> None:
+    """The same of a table of tokens, without its postings."""
+    made = written(made_of(tokens))
+    places = made.where("slot IS NOT NULL").select("project_name", "path", "doc_len", "block", "slot")
+    _write_blocks(places, made.where("slot IS NULL").drop("slot", "project_name", "path", "doc_len"), path)
+
+
+def _write_blocks(places: DataFrame, rows: DataFrame, path: str) -> None:
     blocks_of(places).write.parquet(f"{path}/blocks")
     order = ["whole", "term", "block"]
-    rows = impacts_of(index.postings, places).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/impacts")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/impacts")
 
 
 def read_impacts(spark: SparkSession, path: str) -> Impacts:
@@ -79,13 +91,16 @@ def _once(spark: SparkSession, sf_dir: str, kind: str, make) -> str:
     return _MADE[name]
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of tokens of ``documents``, which its indexes are made of."""
+    return spark.read.parquet(_once(spark, sf_dir, "tokens", lambda path: tokenized(documents(spark, sf_dir)).drop("body").write.parquet(path)))
+
+
 def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
     """The index of ``documents``."""
 
     def from_text(path: str) -> None:
-        docs = documents(spark, sf_dir)
-        tokenized(docs).drop("body").write.parquet(f"{path}/tokens")
-        tokens = spark.read.parquet(f"{path}/tokens").withColumn("title_len", F.size("title_tokens")).withColumn("body_len", F.size("body_tokens"))
+        tokens = _tokens(spark, sf_dir).withColumn("title_len", F.size("title_tokens")).withColumn("body_len", F.size("body_tokens"))
         write_index(inverted(tokens), path)
 
     plain = read_index(spark, _once(spark, sf_dir, "index", from_text))
@@ -96,4 +111,4 @@ def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> In
 
 def impact_index(spark: SparkSession, sf_dir: str) -> Impacts:
     """The index of ``documents`` in blocks."""
-    return read_impacts(spark, _once(spark, sf_dir, "impacts", lambda path: write_impacts(keyword_index(spark, sf_dir), path)))
+    return read_impacts(spark, _once(spark, sf_dir, "impacts", lambda path: write_impacts_of_tokens(_tokens(spark, sf_dir), path)))

@@ -224,6 +224,11 @@ def _places(rows: pa.RecordBatch, side: str, wanted: list[Atom] | None) -> tuple
     return found.dictionary, row, code, pos
 
 
+def placed_terms(rows: pa.RecordBatch, side: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of a column, and row and term of its tokens."""
+    return _places(rows, side, None)[:3]
+
+
 def _posted(rows: pa.RecordBatch, col: int, wanted: list[Atom] | None) -> pa.RecordBatch:
     """Postings of one column of token rows."""
     terms, row, code, pos = _places(rows, _SIDES[col], wanted)
