@@ -34,8 +34,8 @@ def _ranges(lengths: DataFrame) -> int:
     return max(lengths.sparkSession.sparkContext.defaultParallelism, (lengths.agg(F.sum("doc_len")).first()[0] or 0) // RANGE + 1)
 
 
-def read_index(spark: SparkSession, path: str, stemmed: bool = False) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stemmed)
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
 #: Rows of a page of impacts, the least that a scan skips by its statistics.
@@ -106,7 +106,8 @@ def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> In
     plain = read_index(spark, _once(spark, sf_dir, "index", from_text))
     if not stemmed:
         return plain
-    return read_index(spark, _once(spark, sf_dir, "stems", lambda path: write_index(with_stems(plain), path)), True)
+    stems = _once(spark, sf_dir, "stems", lambda path: with_stems(plain).stems.write.parquet(path))
+    return Index(plain.postings, plain.lengths, spark.read.parquet(stems))
 
 
 def impact_index(spark: SparkSession, sf_dir: str) -> Impacts:

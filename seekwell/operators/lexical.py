@@ -47,8 +47,24 @@ class Index:
 
     postings: DataFrame
     lengths: DataFrame
-    #: Whether terms are stems without diacritics; queries are treated alike.
-    stemmed: bool = False
+    #: ``(term, stem)`` if queries go by stems without diacritics: postings stay by plain terms, and those of a query's stems are read.
+    stems: DataFrame | None = None
+
+    @property
+    def stemmed(self) -> bool:
+        return self.stems is not None
+
+    def matching(self, test: Column) -> DataFrame:
+        """Postings whose ``term``, its stem if queries go by stems, passes a test."""
+        if self.stems is None:
+            return self.postings.where(test)
+        found = written(self.stems.select(F.col("term").alias("_plain"), F.col("stem").alias("term")).where(test))
+        few = found.limit(FEW + 1).count() <= FEW
+        return self.postings.withColumnRenamed("term", "_plain").join(F.broadcast(found) if few else found, "_plain").drop("_plain")
+
+
+#: Up to so many terms are sent to all tasks.
+FEW = 200_000
 
 
 def inverted(index: DataFrame) -> Index:
@@ -57,9 +73,8 @@ def inverted(index: DataFrame) -> Index:
 
 
 def with_stems(index: Index) -> Index:
-    """The same index by stems; each distinct term is stemmed once."""
-    stems = stemmed_vocabulary(index.postings)
-    return Index(index.postings.join(stems, "term").drop("term").withColumnRenamed("stem", "term"), index.lengths, True)
+    """The same index by stems; each distinct term is stemmed once, and postings are those of the plain index."""
+    return Index(index.postings, index.lengths, stemmed_vocabulary(index.postings))
 
 
 def atom_count(column: str, atom: Atom) -> Column:
@@ -92,7 +107,7 @@ def atom_counts(index: Index, wanted: list[Atom]) -> DataFrame:
         for i, t in enumerate(atom.tokens):
             is_it = prefix_range(t) if atom.prefix and i + 1 == len(atom.tokens) else F.col("term") == t
             tags.append((is_it, F.struct(F.lit(a).alias("atom"), F.lit(i).alias("at"))))
-    found = index.postings.where(reduce(or_, (c for c, _ in tags))).select(
+    found = index.matching(reduce(or_, (c for c, _ in tags))).select(
         *KEY, "col", "tf", "positions", F.inline(F.array_compact(F.array(*(F.when(c, t) for c, t in tags))))
     )
     several = [i for i, a in enumerate(wanted) if len(a.tokens) > 1]
