@@ -4,6 +4,9 @@ Vectors are put into cells, each around a centre, whose radius is known for ever
 searches the cells that are nearest until they have enough documents; the distance of the last of
 these is a bound, and by the triangle inequality a cell further off than the bound and its radius has nothing
 better. What is left of the cells is searched then, so two rounds give the exact result at any limit.
+
+Neighbouring cells of a project share a shelf. A query goes once to a shelf with the cells that it asks there, and its
+distances to these are one product of matrices, from which those that may be among the nearest are counted exactly.
 """
 
 from __future__ import annotations
@@ -76,6 +79,61 @@ def _nearest(vectors: pd.DataFrame, queries: pd.DataFrame, limit: int | None) ->
     return pd.concat(out)
 
 
+#: Products that a task holds at a time, and how far they may be off, as a part of the squared lengths.
+PRODUCTS, OFF = 4_000_000, 1e-9
+
+
+def _nearest_asked(vectors: pd.DataFrame, queries: pd.DataFrame, limit: int | None) -> pd.DataFrame:
+    """``_nearest`` of one project's shelf, whose cells ``cells`` of the queries says; all are met where numbers are too large."""
+    if limit is None or not len(vectors) or not len(queries):
+        return _nearest(vectors, queries, limit)
+    found = vectors.sort_values(["path", "chunk_index"], kind="stable", ignore_index=True)
+    asked = np.array([np.asarray(q, np.float64) for q in queries["query"]])
+    matrix = _matrix(found["embedding"], asked.shape[-1])
+    with np.errstate(all="ignore"):
+        own, theirs = np.square(matrix).sum(axis=1), np.square(asked).sum(axis=1)
+    if not (np.isfinite(own).all() and np.isfinite(theirs).all()):
+        return _nearest(vectors, queries, limit)
+    doc = pd.factorize(found["path"], use_na_sentinel=False)[0]
+    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    by_cell = np.argsort(found["cell"].to_numpy(), kind="stable")
+    cells, begin = np.unique(found["cell"].to_numpy()[by_cell], return_index=True)
+    ends = np.append(begin[1:], len(by_cell))
+    back = np.argsort(by_cell)
+    apart, own = matrix[by_cell], own[by_cell]
+    wants = np.zeros((len(asked), len(cells)), bool)
+    for i, c in enumerate(queries["cells"]):
+        wants[i, np.isin(cells, np.asarray(c))] = True
+    step, out = max(1, PRODUCTS // len(found)), []
+    for at in range(0, len(asked), step):
+        some, want = asked[at : at + step], wants[at : at + step]
+        near = np.full((len(some), len(found)), np.inf)
+        for c in np.flatnonzero(want.any(axis=0)).tolist():
+            i, a, b = np.flatnonzero(want[:, c]), begin[c], ends[c]
+            near[i, a:b] = own[a:b] - 2 * (some[i] @ apart[a:b].T)
+        near = near[:, back] + theirs[at : at + step, None]
+        bound = np.full(len(some), np.inf)
+        if len(starts) > limit:
+            bound = np.partition(np.minimum.reduceat(near, starts, axis=1), limit - 1, axis=1)[:, limit - 1]
+        slack = OFF * (theirs[at : at + step] + own.max())
+        q, row = np.nonzero((near <= (bound + slack)[:, None]) & (near < np.inf))
+        d = np.concatenate([np.zeros(0), *(_distances(matrix[row[k : k + 50_000]], some[q[k : k + 50_000]]) for k in range(0, len(q), 50_000))])
+        order = np.lexsort((row, d, doc[row], q))
+        q, row, d = q[order], row[order], d[order]
+        first = np.ones(len(q), bool)
+        first[1:] = (q[1:] != q[:-1]) | (doc[row][1:] != doc[row][:-1])
+        q, row, d = q[first], row[first], d[first]
+        order = np.lexsort((row, d, q))
+        q, row, d = q[order], row[order], d[order]
+        begins = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        keep = np.arange(len(q)) - np.repeat(begins, np.diff([*begins, len(q)])) < limit
+        out.append((q[keep] + at, row[keep], d[keep]))
+    q, row, d = (np.concatenate(c) for c in zip(*out, strict=True))
+    hits = found.iloc[row]
+    names = queries["query_id"].to_numpy()[q]
+    return pd.DataFrame({"query_id": names, "project_name": hits["project_name"].to_numpy(), "path": hits["path"].to_numpy(), "chunk_index": hits["chunk_index"].to_numpy(), "distance": d})
+
+
 def centres(rows: DataFrame, n: int, dims: int) -> np.ndarray:
     """At most ``CELLS`` centres of ``n`` vectors, as many as the root of their number, by k-means on a sample with the smallest hashes."""
     projects = rows.agg(F.approx_count_distinct("project_name")).first()[0]
@@ -143,7 +201,7 @@ class Cells:
             yield None if name is None or name != name else name, cells[order], least[order], docs[order]
 
 
-_ASKED = "query_id long, query array<double>, project_name string, cell int"
+_ASKED = "query_id long, project_name string, cell int"
 
 
 def _asked(queries: DataFrame, cells: Cells, limit: int, bounds: DataFrame | None = None) -> DataFrame:
@@ -179,35 +237,57 @@ ASKED_ROWS = 20_000
 
 def _rows(found):
     """Frames of cells that queries ask, of ``ASKED_ROWS`` each at most: together they may be queries times cells."""
-    out = []
+    out, size = [], 0
+
+    def frame() -> pd.DataFrame:
+        many = [len(c) for *_, c in out]
+        columns = (np.repeat(np.array([o[k] for o in out], kind), many) for k, kind in ((0, np.int64), (1, object)))
+        cells = np.concatenate([np.zeros(0, np.int32), *(c for *_, c in out)]).astype(np.int32)
+        return pd.DataFrame(dict(zip(_ASKED_NAMES, (*columns, cells), strict=True)))
+
     for q, name, own in found:
-        for c in own.tolist():
-            out.append((q[0], q[1], name, int(c)))
-            if len(out) == ASKED_ROWS:
-                yield pd.DataFrame(out, columns=_ASKED_NAMES)
-                out = []
-    yield pd.DataFrame(out, columns=_ASKED_NAMES)
+        for at in range(0, len(own), ASKED_ROWS):
+            rest = own[at : at + ASKED_ROWS]
+            if size + len(rest) > ASKED_ROWS:
+                yield frame()
+                out, size = [], 0
+            out.append((q[0], name, rest))
+            size += len(rest)
+    yield frame()
 
 
 _ASKED_NAMES = [c.split()[0] for c in _ASKED.split(", ")]
 
 
-def _searched(rows: DataFrame, sizes: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    """The best documents of the cells that queries ask, a project each. A large cell is dealt into parts, its queries into blocks."""
-    asked = written(asked)
-    key = ["project_name", "cell"]
-    blocks = asked.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    same = lambda a, b: a["cell"].eqNullSafe(b["cell"]) & a["project_name"].eqNullSafe(b["project_name"])
-    plan = sizes.join(blocks, same(sizes, blocks)).select(sizes["cell"].alias("c"), sizes["project_name"].alias("p"), "parts", "blocks")
-    on = lambda a: a["cell"].eqNullSafe(plan["c"]) & a["project_name"].eqNullSafe(plan["p"])
+def shelves(stats: DataFrame, limit: int | None) -> DataFrame:
+    """The ``shelf`` of each cell, with about ``PART`` rows, and the parts that a larger one is dealt into. Without a limit each cell is one."""
+    if limit is None:
+        return stats.select("project_name", "cell", F.col("cell").alias("shelf"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    before = F.sum("rows").over(W.partitionBy("project_name").orderBy("cell")) - F.col("rows")
+    placed_ = stats.withColumn("shelf", F.when(F.col("cell") == NOWHERE, NOWHERE).otherwise(F.floor(before / PART)).cast("int"))
+    whole = F.sum("rows").over(W.partitionBy("project_name", "shelf"))
+    return placed_.select("project_name", "cell", "shelf", F.ceil(whole / PART).cast("int").alias("parts"))
+
+
+def _searched(rows: DataFrame, sizes: DataFrame, asked: DataFrame, limit: int | None, queries: DataFrame) -> DataFrame:
+    """The best documents of the cells that queries ask, a project and shelf each. A large shelf is dealt into parts, its queries into blocks."""
+    of = lambda some, plan, *keys: some.join(plan, [some[k].eqNullSafe(plan[f"_{k}"]) for k in keys]).drop(*(f"_{k}" for k in keys))
+    known = lambda plan, *keys: plan.withColumnsRenamed({k: f"_{k}" for k in keys})
+    key = ("project_name", "shelf")
+    of_cell = known(sizes.select("project_name", "cell", "shelf"), "project_name", "cell")
+    once = written(of(asked, of_cell, "project_name", "cell").groupBy("query_id", *key).agg(F.collect_list("cell").alias("cells")))
+    blocks = known(once.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), *key)
+    plan = known(of(sizes.select(*key, "parts").distinct(), blocks, *key), *key)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.join(plan, on(rows)).select(
-        "project_name", "path", "chunk_index", "embedding", "cell", F.pmod(F.xxhash64("path"), "parts").cast("int").alias("part"), every("blocks").alias("block")
+    left = of(of(rows, of_cell, "project_name", "cell"), plan, *key).select(
+        "project_name", "path", "chunk_index", "embedding", "cell", "shelf", F.pmod(F.xxhash64("path"), "parts").cast("int").alias("part"), every("blocks").alias("block")
+    )
+    right = of(once, plan, *key).join(queries, "query_id").select(
+        "query_id", "query", "cells", *key, F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), every("parts").alias("part")
     )
-    right = asked.join(plan, on(asked)).select("query_id", "query", "project_name", "cell", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), every("parts").alias("part"))
 
     def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(a, b, limit)
+        return _nearest_asked(a, b, limit)
 
     by = [*key, "part", "block"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compared, _HIT)
@@ -244,16 +324,16 @@ def _in_rounds(rows: DataFrame, queries: DataFrame, limit: int | None, dims: int
         cells.groupBy("project_name", "cell").agg(F.max("off").alias("radius"), F.approx_count_distinct("path").alias("docs"), F.count("*").alias("rows"))
     )
     known = Cells(found, stats.toPandas())
-    sizes = stats.select("project_name", "cell", F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    sizes = written(shelves(stats, limit))
     first = written(_asked(queries, known, most))
-    best = written(_searched(cells, sizes, first, limit))
+    best = written(_searched(cells, sizes, first, limit, queries))
     if limit is None:
         return best, 1.0
     place = W.partitionBy("query_id", "project_name").orderBy("d", "path")
     docs = best.groupBy("query_id", "project_name", "path").agg(F.min("distance").alias("d")).withColumn("k", F.row_number().over(place))
     second = written(_asked(queries, known, most, docs.where(F.col("k") == limit).select("query_id", "project_name", F.col("d").alias("bound"))))
     met = first.unionByName(second).groupBy("project_name", "cell").count().join(stats, ["project_name", "cell"]).agg(F.sum(F.col("count") * F.col("rows"))).first()[0] or 0
-    return best.unionByName(_searched(cells, sizes, second, limit)), met / max(1, n * queries.count())
+    return best.unionByName(_searched(cells, sizes, second, limit, queries)), met / max(1, n * queries.count())
 
 
 def merged(hits: DataFrame, limit: int | None) -> DataFrame:
